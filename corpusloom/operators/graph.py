@@ -96,11 +96,15 @@ def cooccurrence_edges(inc: DataFrame, edge_type: str, drop_self: bool = True,
     """
     und = (cooccurrence_pairs(inc, block_rows)
            .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_shared")))
+    if directed:
+        # Both directions from one pass over the aggregated pairs (no second
+        # evaluation of the pair join as a union branch would need).
+        und = und.select(F.explode(F.array(
+            F.struct(F.col("src").alias("s"), F.col("dst").alias("d"), "n_shared"),
+            F.struct(F.col("dst").alias("s"), F.col("src").alias("d"), "n_shared"))).alias("e")) \
+            .select(F.col("e.s").alias("src"), F.col("e.d").alias("dst"), F.col("e.n_shared").alias("n_shared"))
     if not drop_self:
         und = und.unionByName(self_pairs(inc).withColumn("n_shared", F.lit(1).cast("long")))
-    if directed:
-        und = und.unionByName(und.filter(F.col("src") != F.col("dst"))
-                              .select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n_shared"))
     return und.select(F.lit(edge_type).alias("edge_type"), "src", "dst", "n_shared")
 
 

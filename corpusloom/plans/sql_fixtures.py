@@ -106,3 +106,21 @@ cte("valid_pred", ("predictions",), """
 SELECT *, true_category = predicted_one AS is_correct
 FROM predictions
 WHERE predicted_one <> 'ERROR' AND true_category IS NOT NULL AND predicted_one IS NOT NULL""")
+
+cte("labelled", ("records",), """
+SELECT r.*, d.source AS source_file FROM records r JOIN documents d ON CAST(d.doc_id AS VARCHAR) = r.lens_id""")
+
+cte("kp", ("records",), r"""
+SELECT r.*, list_filter(list_transform(regexp_split_to_array(title, '[,.;:!?]'),
+                                       lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS phrases
+FROM records r""")
+
+cte("with_kp", ("kp",), """
+SELECT *, coalesce(array_to_string(flatten(list_transform(list_sort(list_distinct(phrases)), lambda p: string_split(p, ' '))), '|'), '') AS keyphrases
+FROM kp""")
+
+cte("prompts", (), """
+SELECT conv_id * 1000 + turn AS id,
+       text || chr(10) || 'Categories: {categories}' || chr(10) || 'Text: {text}' || chr(10)
+       || 'Reply with JSON {{"scores": {{"<category>": <score>}}}}' AS prompt_template
+FROM conversations WHERE role = 'system'""")

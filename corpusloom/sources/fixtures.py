@@ -114,3 +114,45 @@ def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(F.col("l_partkey").cast("string").alias("id"),
                      F.col("l_orderkey").cast("string").alias("key")).distinct()
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FB2 with provenance: records plus ``source_file`` (the document source),
+    standing in for the per-file origin of each record."""
+    src = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("lens_id"),
+                                                   F.col("source").alias("source_file"))
+    return records(spark, sf_dir).join(src, "lens_id")
+
+
+# Punctuation that separates the phrases of a title.
+PHRASE_SPLIT = "[,.;:!?]"
+
+
+def title_phrases(title: Column) -> Column:
+    """Stand-in keyphrase list of a record: the trimmed, non-empty pieces of its
+    title between punctuation marks (input of U3 / P10)."""
+    from corpusloom.functions.text import strip_ws
+    return F.filter(F.transform(F.split(title, PHRASE_SPLIT, -1), lambda x: strip_ws(x)), lambda x: x != "")
+
+
+def with_keyphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with ``phrases`` (array) and ``keyphrases`` packed as the
+    reference packs them (P10 with ``split_words=True, casefold=False``)."""
+    from corpusloom.functions.text import distinct_phrases, pack_keyphrases
+    r = records(spark, sf_dir).withColumn("phrases", title_phrases(F.col("title")))
+    return r.withColumn("keyphrases", pack_keyphrases(distinct_phrases("phrases"), split_words=True,
+                                                      casefold=False))
+
+
+# The instruction block appended to every prompt template.
+PROMPT_TAIL = ("\nCategories: {categories}\nText: {text}\n"
+               'Reply with JSON {{"scores": {{"<category>": <score>}}}}')
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FB6 ``prompts(id, prompt_template)``: every system turn of the
+    conversations table with our instruction block (both placeholders and
+    doubled braces) appended; id = conv_id * 1000 + turn."""
+    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "system")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
+                    F.concat(F.col("text"), F.lit(PROMPT_TAIL)).alias("prompt_template"))
