@@ -404,7 +404,7 @@ def split_edges(edges: DataFrame, val: float = 0.05, test: float = 0.10, seed: i
     ntrain = F.col("_E") - nv - nt
     r = r.withColumn("split", F.when(F.col("_r") < ntrain, "train")
                      .when(F.col("_r") < ntrain + nv, "val").otherwise("test"))
-    return (edges.join(r.select("edge_type", "a", "b", "split"),
-                       (edges.edge_type == r.edge_type) & (F.least(edges.src, edges.dst) == r.a)
-                       & (F.greatest(edges.src, edges.dst) == r.b))
-            .select(edges.edge_type, edges.src, edges.dst, r.split))
+    e = edges.select("edge_type", "src", "dst", F.least("src", "dst").alias("a"),
+                     F.greatest("src", "dst").alias("b"))
+    return (e.join(r.select("edge_type", "a", "b", "split"), ["edge_type", "a", "b"])
+            .select("edge_type", "src", "dst", "split"))

@@ -44,3 +44,313 @@ directed AS (SELECT src, dst FROM pairs UNION ALL SELECT dst, src FROM pairs)
 SELECT ca.category AS src_category, cb.category AS dst_category, count(*) AS n_edges
 FROM directed d JOIN records ca ON ca.lens_id = d.src JOIN records cb ON cb.lens_id = d.dst
 GROUP BY 1, 2"""))(category_pair_edges)
+
+
+# ---------------------------------------------------------------- shared SQL for the graph family
+from corpusloom.plans.sql_fixtures import cte  # noqa: E402
+
+cte("ids", ("records",), """
+SELECT lens_id, row_number() OVER (ORDER BY md5('0:' || lens_id), lens_id) - 1 AS node
+FROM (SELECT DISTINCT lens_id FROM records WHERE lens_id IS NOT NULL)""")
+cte("cats", ("records",), """
+SELECT category, row_number() OVER (ORDER BY md5('0:' || category), category) - 1 AS cat
+FROM (SELECT DISTINCT category FROM records WHERE category IS NOT NULL)""")
+cte("nodes", ("ids", "cats"), """
+SELECT i.node, i.lens_id, max(c.cat) AS y
+FROM records r JOIN ids i ON i.lens_id = r.lens_id JOIN cats c ON c.category = r.category
+GROUP BY i.node, i.lens_id""")
+cte("feats", ("ids", "cats"), """
+SELECT DISTINCT i.node, c.cat AS dim, 1.0 AS value
+FROM records r JOIN ids i ON i.lens_id = r.lens_id JOIN cats c ON c.category = r.category""")
+
+
+def _edges_sql(name: str, keys_cte: str, edge_type: str, self_loops: bool = False) -> None:
+    selfp = f"""
+  UNION ALL SELECT node, node, 1 FROM (SELECT node, key FROM {keys_cte} GROUP BY node, key HAVING count(*) >= 2)
+  GROUP BY node""" if self_loops else ""
+    cte(name, ("ids", keys_cte), f"""
+SELECT '{edge_type}' AS edge_type, i1.node AS src, i2.node AS dst, d.n_shared
+FROM (
+  SELECT src, dst, n_shared FROM (
+    SELECT a.node AS src, b.node AS dst, count(*) AS n_shared
+    FROM (SELECT DISTINCT node, key FROM {keys_cte}) a JOIN (SELECT DISTINCT node, key FROM {keys_cte}) b
+      ON a.key = b.key AND a.node < b.node GROUP BY 1, 2) p
+  UNION ALL SELECT dst, src, n_shared FROM (
+    SELECT a.node AS src, b.node AS dst, count(*) AS n_shared
+    FROM (SELECT DISTINCT node, key FROM {keys_cte}) a JOIN (SELECT DISTINCT node, key FROM {keys_cte}) b
+      ON a.key = b.key AND a.node < b.node GROUP BY 1, 2) q{selfp}
+) d JOIN ids i1 ON i1.lens_id = d.src JOIN ids i2 ON i2.lens_id = d.dst""")
+
+
+cte("raw_keys_ne", ("raw_keys",), "SELECT node, key FROM raw_keys WHERE key <> ''")
+cte("kp_keys", ("with_kp",), """
+SELECT lens_id AS node, unnest(string_split(keyphrases, '|')) AS key FROM with_kp""")
+cte("kp_keys_ne", ("kp_keys",), "SELECT node, key FROM kp_keys WHERE key <> ''")
+_edges_sql("g3_edges", "level_keys", "same_classification")
+_edges_sql("g2_edges", "raw_keys_ne", "same_classification")
+_edges_sql("g2_edges_all", "raw_keys", "same_classification", self_loops=True)
+_edges_sql("g4_edges", "kp_keys_ne", "same_keyphrase")
+
+
+def _graph(spark: SparkSession, sf_dir: str):
+    recs = fx.records(spark, sf_dir).withColumn("classifications", merge_codes("cpc", "ipcr"))
+    nodes, cats, feats = g.build_nodes(recs)
+    return recs, nodes, cats, feats
+
+
+@query("g1_build_nodes", sql=sql(["nodes"], "SELECT node, lens_id, y FROM nodes"))
+def g1(spark, sf):
+    return _graph(spark, sf)[1]
+
+
+@query("p20_one_hot", sql=sql(["feats"], "SELECT node, dim, value FROM feats"))
+def p20(spark, sf):
+    return _graph(spark, sf)[3]
+
+
+@query("p20_one_hot_array", sql=sql(["feats", "cats"], """,
+n AS (SELECT count(*) AS k FROM cats)
+SELECT f.node, list_position(list_transform(range(0, n.k), lambda i: CASE WHEN i = f.dim THEN 1.0 ELSE 0.0 END), 1.0) - 1 AS hot,
+       n.k AS width FROM feats f, n"""))
+def p20_array(spark, sf):
+    _, _, cats, feats = _graph(spark, sf)
+    per = feats.groupBy("node").agg(F.collect_set("dim").alias("dims"))
+    from corpusloom.operators.ranking import attach_scalars
+    x = attach_scalars(per, cats.agg(F.count(F.lit(1)).alias("k")))
+    x = g.one_hot(x, "dims", F.col("k"))
+    return x.select("node", (F.array_position("x", 1.0) - 1).cast("long").alias("hot"), F.col("k").alias("width"))
+
+
+@query("w1_dense_index", sql=sql(["cats"], "SELECT category, cat FROM cats"))
+def w1(spark, sf):
+    return _graph(spark, sf)[2]
+
+
+@query("j2_attach_index", sql=sql(["ids", "cats"], """
+SELECT r.lens_id, r.category, i.node, c.cat FROM records r JOIN ids i ON i.lens_id = r.lens_id JOIN cats c ON c.category = r.category"""))
+def j2(spark, sf):
+    recs, nodes, cats, _ = _graph(spark, sf)
+    x = g.attach_index(recs.select("lens_id", "category"), nodes, "lens_id", "node", "node")
+    return g.attach_index(x, cats, "category", "cat", "cat")
+
+
+@query("w7_last_label", sql="""
+SELECT l_partkey AS id, arg_max(l_returnflag, (l_shipdate, l_orderkey, l_linenumber)) AS label
+FROM lineitem GROUP BY l_partkey""")
+def w7(spark, sf):
+    from corpusloom.sources.tables import table
+    li = table(spark, sf, "lineitem").select(
+        F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("label"),
+        F.struct("l_shipdate", "l_orderkey", "l_linenumber").alias("seq"))
+    return g.last_label(li, "id", "label", "seq")
+
+
+@query("a4_inverted_index", sql=sql(["raw_keys"], """
+SELECT key, count(*) AS n_postings, count(DISTINCT node) AS n_nodes FROM raw_keys GROUP BY key"""))
+def a4(spark, sf):
+    recs = fx.records(spark, sf)
+    return g.inverted_index(_raw_incidence(recs, drop_empty=False))
+
+
+def _class_edges(spark, sf, levels, drop_empty=True, drop_self=True):
+    recs, nodes, _, _ = _graph(spark, sf)
+    return g.class_edges(recs, nodes, levels=levels, drop_empty=drop_empty, drop_self=drop_self)
+
+
+@query("g2_class_edges", sql=sql(["g2_edges"], "SELECT * FROM g2_edges"))
+def g2(spark, sf):
+    return _class_edges(spark, sf, None)
+
+
+@query("g2_class_edges_with_empty_key", sql=sql(["g2_edges_all"], "SELECT * FROM g2_edges_all"))
+def g2_all(spark, sf):
+    """The reference's behaviour: the empty key links every code-less record
+    (one clique) and a key repeated inside a record adds a self loop."""
+    return _class_edges(spark, sf, None, drop_empty=False, drop_self=False)
+
+
+@query("g3_class_edges", sql=sql(["g3_edges"], "SELECT * FROM g3_edges"))
+def g3(spark, sf):
+    return _class_edges(spark, sf, ("group",))
+
+
+@query("g4_keyphrase_edges", sql=sql(["g4_edges"], "SELECT * FROM g4_edges"))
+def g4(spark, sf):
+    recs = fx.with_keyphrases(spark, sf)
+    nodes, _, _ = g.build_nodes(recs)
+    return g.keyphrase_edges(recs, nodes)
+
+
+@query("j1_basket_pairs", headline=True, sql="""
+WITH b AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS id, CAST(l_orderkey AS VARCHAR) AS key FROM lineitem)
+SELECT x.id AS src, y.id AS dst, count(*) AS n_shared FROM b x JOIN b y ON x.key = y.key AND x.id < y.id GROUP BY 1, 2""")
+def j1(spark, sf):
+    """J1 at bench size: parts linked by a common order, one row per
+    undirected pair with the number of shared orders."""
+    b = fx.baskets(spark, sf).select(F.col("id").alias("node"), "key")
+    return g.cooccurrence_pairs(b).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_shared"))
+
+
+@query("j1_pair_count_by_category", sql=sql(["level_keys", "records"], """,
+inc AS (SELECT DISTINCT node, key FROM level_keys)
+SELECT ra.category AS src_grp, rb.category AS dst_grp, count(*) AS n_pairs
+FROM inc a JOIN inc b ON a.key = b.key AND a.node <> b.node
+JOIN records ra ON ra.lens_id = a.node JOIN records rb ON rb.lens_id = b.node GROUP BY 1, 2"""))
+def j1_counts(spark, sf):
+    """Directed (pair, shared key) counts per category pair computed per key
+    (cnt_a * cnt_b), never emitting pairs — safe for any key size."""
+    recs = fx.records(spark, sf)
+    groups = recs.select(F.col("lens_id").alias("node"), F.col("category").alias("grp"))
+    return g.pair_count_by_group(_level_incidence(recs), groups)
+
+
+@query("j3_category_edges", sql=sql(["ids", "cats"], """
+SELECT 'contains' AS edge_type, i.node AS src, c.cat AS dst FROM records r JOIN ids i ON i.lens_id = r.lens_id JOIN cats c ON c.category = r.category"""))
+def j3(spark, sf):
+    recs, nodes, cats, _ = _graph(spark, sf)
+    return g.category_edges(recs, nodes, cats).filter(F.col("edge_type") == "contains")
+
+
+@query("g5_category_edges", sql=sql(["ids", "cats"], """,
+e AS (SELECT i.node AS src, c.cat AS dst FROM records r JOIN ids i ON i.lens_id = r.lens_id JOIN cats c ON c.category = r.category)
+SELECT 'contains' AS edge_type, src, dst FROM e UNION ALL SELECT 'rev_contains', dst, src FROM e"""))
+def g5(spark, sf):
+    recs, nodes, cats, _ = _graph(spark, sf)
+    return g.category_edges(recs, nodes, cats)
+
+
+@query("u4_to_undirected", sql=sql(["g3_edges", "ids", "cats"], """,
+ce AS (SELECT i.node AS src, c.cat AS dst FROM records r JOIN ids i ON i.lens_id = r.lens_id JOIN cats c ON c.category = r.category),
+allr AS (SELECT edge_type, src, dst FROM g3_edges UNION ALL SELECT edge_type, dst, src FROM g3_edges
+         UNION ALL SELECT 'contains', src, dst FROM ce UNION ALL SELECT 'rev_contains', dst, src FROM ce)
+SELECT edge_type, count(*) AS n_edges, count(DISTINCT (src, dst)) AS n_distinct FROM (
+  SELECT DISTINCT edge_type, src, dst FROM allr WHERE edge_type = 'same_classification'
+  UNION ALL SELECT edge_type, src, dst FROM allr WHERE edge_type <> 'same_classification') GROUP BY edge_type"""))
+def u4(spark, sf):
+    recs, nodes, cats, _ = _graph(spark, sf)
+    e3 = g.class_edges(recs, nodes).select("edge_type", "src", "dst")
+    ce = g.category_edges(recs, nodes, cats).filter(F.col("edge_type") == "contains")
+    und = g.to_undirected(e3.unionByName(ce), bipartite_types=["contains"])
+    return und.groupBy("edge_type").agg(F.count(F.lit(1)).alias("n_edges"),
+                                        F.countDistinct("src", "dst").alias("n_distinct"))
+
+
+@query("w4_fallback_masks", sql=sql(["ids"], """
+SELECT node, node < floor(n * 0.8) AS train_mask, false AS val_mask, node >= floor(n * 0.8) AS test_mask
+FROM ids, (SELECT count(*) AS n FROM ids)"""))
+def w4(spark, sf):
+    return g.fallback_masks(_graph(spark, sf)[1]).select("node", "train_mask", "val_mask", "test_mask")
+
+
+@query("a12_graph_profile", sql=sql(["nodes", "g3_edges", "feats"], """
+SELECT (SELECT count(*) FROM nodes) AS num_nodes, (SELECT count(DISTINCT y) FROM nodes) AS num_classes,
+       (SELECT count(*) FROM g3_edges) AS num_edges,
+       (SELECT count(*) = 0 FROM g3_edges e WHERE NOT EXISTS (SELECT 1 FROM g3_edges m WHERE m.src = e.dst AND m.dst = e.src)) AS is_undirected,
+       (SELECT max(dim) + 1 FROM feats) AS feature_dim"""))
+def a12(spark, sf):
+    recs, nodes, _, feats = _graph(spark, sf)
+    return g.graph_profile(nodes, g.class_edges(recs, nodes), features=feats)
+
+
+_GCN = """,
+e AS (SELECT DISTINCT src, dst FROM g3_edges WHERE src <> dst),
+deg AS (SELECT n.node, 1.0 / sqrt(1 + coalesce(d.c, 0)) AS dinv
+        FROM ids n LEFT JOIN (SELECT dst AS node, count(*) AS c FROM e GROUP BY dst) d ON d.node = n.node),
+x0 AS (SELECT node, dim, value FROM feats),
+y0 AS (SELECT x.node, x.dim, x.value * deg.dinv AS v FROM x0 x JOIN deg USING (node)),
+h1 AS (SELECT m.node, m.dim, sum(m.v) * any_value(deg.dinv) AS value
+       FROM (SELECT e.dst AS node, y.dim, y.v FROM e JOIN y0 y ON y.node = e.src UNION ALL SELECT node, dim, v FROM y0) m
+       JOIN deg USING (node) GROUP BY m.node, m.dim)"""
+
+
+@query("g7_gcn_propagate", sql=sql(["g3_edges", "ids", "feats"], _GCN + "\nSELECT node, dim, value FROM h1"))
+def g7(spark, sf):
+    recs, nodes, _, feats = _graph(spark, sf)
+    return g.gcn_propagate(nodes, g.class_edges(recs, nodes), feats, hops=1)
+
+
+@query("g7_gcn_two_hop", sql=sql(["g3_edges", "ids", "feats"], _GCN + """,
+y1 AS (SELECT x.node, x.dim, x.value * deg.dinv AS v FROM h1 x JOIN deg USING (node)),
+h2 AS (SELECT m.node, m.dim, sum(m.v) * any_value(deg.dinv) AS value
+       FROM (SELECT e.dst AS node, y.dim, y.v FROM e JOIN y1 y ON y.node = e.src UNION ALL SELECT node, dim, v FROM y1) m
+       JOIN deg USING (node) GROUP BY m.node, m.dim)
+SELECT node, dim, value FROM h2"""))
+def g7_two(spark, sf):
+    recs, nodes, _, feats = _graph(spark, sf)
+    return g.gcn_propagate(nodes, g.class_edges(recs, nodes), feats, hops=2, checkpoint_each_hop=True)
+
+
+@query("j7_neighbour_sum", sql=sql(["g3_edges", "feats"], """
+SELECT e.dst AS node, f.dim, sum(f.value) AS value FROM g3_edges e JOIN feats f ON f.node = e.src GROUP BY e.dst, f.dim"""))
+def j7(spark, sf):
+    recs, nodes, _, feats = _graph(spark, sf)
+    e = g.class_edges(recs, nodes)
+    return (e.join(feats.withColumnRenamed("node", "src"), "src")
+            .groupBy(F.col("dst").alias("node"), "dim").agg(F.sum("value").alias("value")))
+
+
+_SAGE = """,
+nb AS (SELECT DISTINCT src, dst FROM g3_edges),
+indeg AS (SELECT dst AS node, count(*) AS deg FROM nb GROUP BY dst),
+d AS (SELECT max(dim) + 1 AS w FROM feats),
+pool AS (SELECT nb.dst AS node, f.dim, {agg}(f.value) AS p, count(*) AS k FROM nb JOIN feats f ON f.node = nb.src GROUP BY nb.dst, f.dim),
+neigh AS (SELECT p.node, p.dim + d.w AS dim, {val} AS value FROM pool p JOIN indeg i USING (node), d)
+SELECT node, dim, value FROM (SELECT node, dim, value FROM feats UNION ALL SELECT node, dim, value FROM neigh) WHERE value <> 0"""
+
+
+@query("g8_sage_mean", sql=sql(["g3_edges", "feats"], _SAGE.format(agg="sum", val="p / i.deg")))
+def g8_mean(spark, sf):
+    recs, nodes, _, feats = _graph(spark, sf)
+    return g.sage_aggregate(nodes, g.class_edges(recs, nodes), feats, agg="mean")
+
+
+@query("g8_sage_max", sql=sql(["g3_edges", "feats"], _SAGE.format(
+    agg="max", val="CASE WHEN p.k < i.deg THEN greatest(p.p, 0.0) ELSE p.p END")))
+def g8_max(spark, sf):
+    recs, nodes, _, feats = _graph(spark, sf)
+    return g.sage_aggregate(nodes, g.class_edges(recs, nodes), feats, agg="max")
+
+
+@query("g9_hetero_propagate")
+def g9(spark, sf):
+    """Per-edge-type GCN over class-code and keyphrase edges, summed per node
+    and dim (the heterogeneous convolution's ``aggr='sum'``)."""
+    recs = fx.with_keyphrases(spark, sf).withColumn("classifications", merge_codes("cpc", "ipcr"))
+    nodes, _, feats = g.build_nodes(recs)
+    edges = g.class_edges(recs, nodes).unionByName(g.keyphrase_edges(recs, nodes))
+    return g.hetero_propagate(nodes, edges, feats, ["same_classification", "same_keyphrase"])
+
+
+@query("g7_shared_key_messages", sql=sql(["level_keys", "ids", "feats"], """,
+inc AS (SELECT DISTINCT i.node, k.key FROM level_keys k JOIN ids i ON i.lens_id = k.node),
+pairs AS (SELECT a.node AS src, b.node AS dst, count(*) AS w FROM inc a JOIN inc b ON a.key = b.key AND a.node <> b.node GROUP BY 1, 2)
+SELECT p.dst AS node, f.dim, sum(p.w * f.value) AS value FROM pairs p JOIN feats f ON f.node = p.src GROUP BY 1, 2
+HAVING sum(p.w * f.value) <> 0"""))
+def g7_shared(spark, sf):
+    """``n_shared``-weighted neighbour sums straight from the incidence table
+    (two aggregations, no pairs): the hot-key-proof form of the message step."""
+    recs, nodes, _, feats = _graph(spark, sf)
+    inc = g._to_dense(_level_incidence(recs), nodes)
+    return g.shared_key_propagate(inc, feats)
+
+
+@query("p21_normalise_rows", sql=sql(["vectors"], """,
+e AS (SELECT vec_id, i - 1 AS dim, abs(embedding[i]) AS x FROM (SELECT vec_id, embedding, generate_subscripts(embedding, 1) AS i FROM vectors))
+SELECT vec_id, dim, CASE WHEN s <> 0 THEN x / s ELSE x END AS value FROM (SELECT *, sum(x) OVER (PARTITION BY vec_id) AS s FROM e)"""))
+def p21(spark, sf):
+    v = fx.vectors(spark, sf).select("vec_id", F.transform("embedding", lambda x: F.abs(x)).alias("a"))
+    return v.select("vec_id", F.posexplode(g.normalise_rows("a")).alias("dim", "value"))
+
+
+@query("b8_split_edges", sql=sql(["g3_edges"], """,
+u AS (SELECT DISTINCT edge_type, least(src, dst) AS a, greatest(src, dst) AS b FROM g3_edges),
+r AS (SELECT *, row_number() OVER (PARTITION BY edge_type ORDER BY md5('42:' || edge_type || ':' || a || ':' || b), a, b) - 1 AS rk,
+             count(*) OVER (PARTITION BY edge_type) AS n FROM u),
+s AS (SELECT edge_type, a, b, CASE WHEN rk < n - floor(n * 0.05) - floor(n * 0.10) THEN 'train'
+             WHEN rk < n - floor(n * 0.10) THEN 'val' ELSE 'test' END AS split FROM r)
+SELECT e.edge_type, s.split, count(*) AS n_edges FROM g3_edges e JOIN s ON s.edge_type = e.edge_type
+  AND s.a = least(e.src, e.dst) AND s.b = greatest(e.src, e.dst) GROUP BY 1, 2"""))
+def b8(spark, sf):
+    recs, nodes, _, _ = _graph(spark, sf)
+    s = g.split_edges(g.class_edges(recs, nodes), 0.05, 0.10, seed=42)
+    return s.groupBy("edge_type", "split").agg(F.count(F.lit(1)).alias("n_edges"))
