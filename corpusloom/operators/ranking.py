@@ -10,8 +10,8 @@ a *monotone* sub-bucket key:
                                                               a small count table)
               + row_number within (group, sub-bucket)         (bounded window)
 
-Sub-buckets per group are ``ceil(n_group / target_rows)``, so no window task
-sees more than ~``target_rows`` rows whatever the skew, and the result equals
+With 2^16 sub-buckets per group a class holding a third of 10^12 rows is
+ranked in windows of ~5 million rows, in parallel, and the result equals
 ``row_number() over (partition by group order by hash, tiebreak) - 1`` exactly
 (so DuckDB can check it).
 """
@@ -42,33 +42,33 @@ def hash32(hex_col: Column) -> Column:
 def hash_rank(df: DataFrame, order_hash: Column, by: Sequence[str] = (),
               tiebreak: Sequence[str] = (), rank_col: str = "rank",
               size_col: str | None = None,
-              target_rows: int = DEFAULT_TARGET_ROWS) -> DataFrame:
+              bucket_bits: int | None = None) -> DataFrame:
     """Add ``rank_col`` = 0-based position of each row inside its ``by`` group
     when ordered by ``(order_hash, *tiebreak)``; optionally ``size_col`` = group
-    size.  ``order_hash`` must be a lower-case hex md5 string."""
+    size.  ``order_hash`` must be a lower-case hex md5 string.
+
+    ``bucket_bits`` sub-buckets per group (default 2^16 grouped, 2^20 global):
+    a group of n rows is ranked in windows of ~n / 2^bits rows each."""
     by = list(by)
     tb = list(tiebreak)
+    bits = bucket_bits if bucket_bits is not None else (16 if by else 20)
     x = df.withColumn("_h", order_hash)
-    sizes = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")) if by else \
-        x.agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumn("_nb", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(target_rows))).cast("long"))
-    if by:
-        # One row per group; the planner (AQE) broadcasts it when it is small and
-        # otherwise splits the hot group's partition (skew join).
-        x = x.join(sizes, by)
-    else:
-        x = attach_scalars(x, sizes)
-    x = x.withColumn("_s", F.shiftright(hash32(F.col("_h")) * F.col("_nb"), 32))
+    # Sub-bucket = leading ``bits`` bits of the hash: monotone in the order.
+    x = x.withColumn("_s", F.shiftright(hash32(F.col("_h")), 32 - bits))
+    # Small count table: at most 2^bits rows per group (only non-empty ones).
     sub = x.groupBy(*by, "_s").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*by).orderBy("_s") if by else Window.orderBy("_s")
     sub = sub.withColumn("_off", F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                                            F.lit(0)).cast("long")).drop("_c")
-    x = x.join(sub, by + ["_s"])
+                                            F.lit(0)).cast("long"))
+    if size_col:
+        wn = Window.partitionBy(*by) if by else Window.partitionBy()
+        sub = sub.withColumn(size_col, F.sum("_c").over(wn).cast("long"))
+    # The join on (group, sub-bucket) and the final window share one
+    # partitioning, so the big side is shuffled once.
+    x = x.join(sub.drop("_c"), by + ["_s"])
     w2 = Window.partitionBy(*by, "_s").orderBy("_h", *tb)
     x = x.withColumn(rank_col, (F.col("_off") + F.row_number().over(w2) - 1).cast("long"))
-    if size_col:
-        x = x.withColumnRenamed("_n", size_col)
-    return x.drop("_h", "_n", "_nb", "_s", "_off")
+    return x.drop("_h", "_s", "_off")
 
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
