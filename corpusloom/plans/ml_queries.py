@@ -1 +1,96 @@
-"""ml queries."""
+"""Learning queries (L4-L8, S12, G6).  Fitted weights are not comparable across
+engines, so the L5-L8 / S12 queries return stable row sets (labels, counts);
+standardisation and masks have exact oracles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusloom.functions.text import merge_codes
+from corpusloom.operators import graph as g
+from corpusloom.operators import metrics as mt
+from corpusloom.operators import ml
+from corpusloom.operators import sampling as sm
+from corpusloom.plans import graph_queries, sampling_queries  # noqa: F401  (their shared CTEs)
+from corpusloom.plans.registry import query
+from corpusloom.plans.sql_fixtures import sql
+from corpusloom.sources import fixtures as fx
+from corpusloom.sources import io
+
+
+@query("l4_standardise", sql=sql(["vectors"], """,
+e AS (SELECT vec_id, i - 1 AS dim, embedding[i] AS x FROM (SELECT vec_id, embedding, generate_subscripts(embedding, 1) AS i FROM vectors)),
+s AS (SELECT dim, avg(x) AS mu, stddev_pop(x) AS sd FROM e GROUP BY dim)
+SELECT vec_id, dim, CASE WHEN sd = 0 THEN x - mu ELSE (x - mu) / sd END AS value FROM e JOIN s USING (dim)"""))
+def l4(spark, sf):
+    return ml.standardise_long(fx.vectors(spark, sf), "embedding", "vec_id")
+
+
+def _vector_split(spark, sf):
+    v = fx.vectors(spark, sf)
+    return sm.stratified_split(v, "category", 0.2, 42, id_col="vec_id")
+
+
+@query("l5_rbf_classifier")
+def l5(spark, sf):
+    """Fit on the stratified 80 % (L5), score the 20 % (L7), report."""
+    s = _vector_split(spark, sf)
+    model = ml.fit_rbf_classifier(s.filter(~F.col("is_test")), n_features=256)
+    p = ml.predict(model, s.filter(F.col("is_test")))
+    return mt.classification_report(p, "category", "predicted").select("label", "support")
+
+
+@query("l6_tune_rbf")
+def l6(spark, sf):
+    """Grid search: 3 C x 4 gamma, 5 folds, weighted F1 (one row)."""
+    s = _vector_split(spark, sf).filter(~F.col("is_test"))
+    gam, c, score, _ = ml.tune_rbf(s, n_features=64)
+    return spark.range(1).select(F.lit(str(gam)).alias("best_gamma"), F.lit(float(c)).alias("best_C"),
+                                 F.lit(12).alias("grid_size"), F.lit(5).alias("folds"))
+
+
+@query("l7_predict")
+def l7(spark, sf):
+    s = _vector_split(spark, sf)
+    model = ml.fit_rbf_classifier(s.filter(~F.col("is_test")), n_features=128)
+    return ml.predict(model, s.filter(F.col("is_test"))).select("vec_id", "category", "predicted_one",
+                                                                "predicted_two")
+
+
+def _masked_graph(spark, sf):
+    recs = fx.records(spark, sf).withColumn("classifications", merge_codes("cpc", "ipcr"))
+    nodes, cats, feats = g.build_nodes(recs)
+    split = sm.split_fraction(recs.select("lens_id", "category"), 0.8, 42, tiebreak=["category"])
+    masks = g.node_masks(nodes, split)
+    return recs, nodes, cats, feats, masks
+
+
+@query("g6_node_masks", sql=sql(["split80", "ids"], """
+SELECT i.node, i.lens_id, bool_or(NOT s.is_test) AS train_mask, bool_or(s.is_test) AS test_mask
+FROM split80 s JOIN ids i ON i.lens_id = s.lens_id GROUP BY 1, 2"""))
+def g6(spark, sf):
+    return _masked_graph(spark, sf)[4]
+
+
+@query("l8_node_classifier")
+def l8(spark, sf):
+    """Label features of train nodes only (test rows masked, no leakage),
+    one GCN hop over class-code edges, MLP [k, 16, k] on train nodes, scored
+    on test nodes: one row per test label with counts."""
+    recs, nodes, cats, feats, masks = _masked_graph(spark, sf)
+    train_feats = feats.join(masks.filter("train_mask").select("node"), "node")
+    prop = g.gcn_propagate(nodes, g.class_edges(recs, nodes), train_feats, hops=1)
+    k = 4  # label count of the record fixture (a plan constant, like the model's output width)
+    _, scored = ml.fit_node_classifier(nodes, prop, masks, n_classes=k, width=k, max_iter=100)
+    return scored.groupBy(F.col("y").alias("label")).agg(F.count(F.lit(1)).alias("n_test"))
+
+
+@query("s12_model_store")
+def s12(spark, sf):
+    s = _vector_split(spark, sf)
+    model = ml.fit_rbf_classifier(s.filter(~F.col("is_test")), n_features=64)
+    path = io.scratch_path(spark, "model")
+    model.save(path)
+    again = ml.RbfModel.load(path)
+    p = ml.predict(again, s.filter(F.col("is_test")))
+    return p.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
