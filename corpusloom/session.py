@@ -50,11 +50,15 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the session's ``spark.checkpoint.dir``; only when it is unset (tests,
     local runs) create a fresh scratch folder."""
-    d = checkpoint_dir(spark)
+    d = spark.sparkContext.getCheckpointDir()
+    if d:
+        return d
+    d = spark.conf.get("spark.checkpoint.dir", None) or None
     if not d:
         d = tempfile.mkdtemp(prefix="corpusloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    # (Spark adds a unique sub-folder under the given one.)
     spark.sparkContext.setCheckpointDir(d)
-    return d
+    return spark.sparkContext.getCheckpointDir() or d
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
