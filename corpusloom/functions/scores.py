@@ -36,15 +36,25 @@ def parse_scores(col) -> Column:
       is a number; null otherwise (then the row is an error row).
     """
     r = _c(col)
-    v = F.try_parse_json(F.concat(F.lit("["), r, F.lit("]")))
+    return scores_struct(parse_inputs(r)["v"], parse_inputs(r)["m"])
+
+
+def parse_inputs(r: Column) -> Column:
+    """The two parses of one response: ``v`` the VARIANT of ``[`` + text + ``]``
+    (validity, key presence), ``m`` the insertion-ordered score map."""
+    return F.struct(F.try_parse_json(F.concat(F.lit("["), r, F.lit("]"))).alias("v"),
+                    F.from_json(r, "scores map<string,double>").getField("scores").alias("m"))
+
+
+def scores_struct(v: Column, m: Column) -> Column:
+    """P13 from the two parses (see ``parse_scores``)."""
     arr = F.try_variant_get(v, "$", "array<variant>")
     first = F.try_variant_get(v, "$[0]", "variant")
     ok = v.isNotNull() & (F.size(arr) == 1) & F.schema_of_variant(first).startswith("OBJECT")
     sc = F.try_variant_get(v, "$[0].scores", "variant")
     sj = F.to_json(sc)
     empty = sc.isNull() | F.is_variant_null(sc) | sj.isin("{}", "[]", '""', "0", "false", "-0")
-    m = F.from_json(r, "scores map<string,double>").getField("scores")
-    numeric = (F.schema_of_variant(sc).startswith("OBJECT<") & m.isNotNull()
+    numeric =(F.schema_of_variant(sc).startswith("OBJECT<") & m.isNotNull()
                & F.forall(F.map_values(m), lambda x: x.isNotNull()))
     return F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), F.coalesce(ok & empty, F.lit(False)).alias("empty"),
                     F.when(ok & ~empty & numeric, m).alias("scores"))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions.text import distinct_phrases, pack_keyphrases
+from corpusloom.operators.partitioning import spread
 from corpusloom.operators.ranking import attach_scalars
 
 # Token pattern and the stop words (English, French, German,
@@ -44,8 +45,8 @@ def tokens(text: Column) -> Column:
 
 def token_ok(toks: Column, stop_words: Sequence[str] = STOP_WORDS, min_len: int = MIN_TOKEN_LEN) -> Column:
     """Per token: long enough and not a stop word."""
-    stop = F.array(*[F.lit(w) for w in stop_words])
-    return F.transform(toks, lambda t: (F.length(t) >= min_len) & ~F.array_contains(stop, t))
+    # ``isin`` over many literals is planned as a hash-set lookup.
+    return F.transform(toks, lambda t: (F.length(t) >= min_len) & ~t.isin(list(stop_words)))
 
 
 def candidates(toks: Column, ok: Column, max_words: int = 3) -> Column:
@@ -68,19 +69,22 @@ def tfidf_keyphrases(docs: DataFrame, id_col: str, text_col: str, k: int = 10, m
     """L1 (tfidf): ``(id, rank, phrase, score, tf, df)`` — top ``k`` per document
     by ``tf * ln(N / df)``, ties by phrase."""
     d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).filter(F.col("_t").isNotNull())
+    d = spread(d)
     # Tokens and flags are computed once per document in their own projections
     # (an expensive expression referenced several times is not re-inlined).
     t = d.select("_id", tokens(F.col("_t")).alias("_toks"))
     t = t.select("_id", "_toks", token_ok(F.col("_toks")).alias("_ok"))
     cand = t.select("_id", F.explode(candidates(F.col("_toks"), F.col("_ok"), max_words)).alias("phrase"))
     tf = cand.groupBy("_id", "phrase").agg(F.count(F.lit(1)).alias("tf"))
-    df_ = tf.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
+    # Both branches read (id, phrase, tf): the tokenising stage runs once and
+    # its shuffle output is reused (``cf`` keeps ``tf`` from being pruned away).
+    df_ = tf.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     n = d.agg(F.count(F.lit(1)).alias("_N"))
     scored = attach_scalars(tf.join(df_, "phrase"), n).withColumn(
         "score", F.col("tf") * F.log(F.col("_N") / F.col("df")))
     w = Window.partitionBy("_id").orderBy(F.desc("score"), F.asc("phrase"))
     top = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return top.select(F.col("_id").alias(id_col), "rank", "phrase", "score", "tf", "df")
+    return top.select(F.col("_id").alias(id_col), "rank", "phrase", "score", "tf", "df", "cf")
 
 
 def extract_keyphrases(docs: DataFrame, id_col: str, text_col: str, k: int = 10,

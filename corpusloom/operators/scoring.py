@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.functions.scores import clean_response, content_key, parse_scores, result_columns, top_two
+from corpusloom.functions.scores import (clean_response, content_key, parse_inputs, result_columns, scores_struct,
+                                         top_two)
 from corpusloom.operators.ranking import attach_scalars
 
 # Sentinels used while unescaping a format template (never valid
@@ -56,11 +57,22 @@ def render_prompt(df: DataFrame, prompt: DataFrame, categories: Sequence[str], t
 
 # ----------------------------------------------------------------------------- P12-P15
 
+def parse_responses(df: DataFrame, response_col: str = "response", out_col: str = "_p") -> DataFrame:
+    """P12 + P13 as an operator: adds ``out_col`` = ``struct<ok, empty, scores>``.
+
+    The two parses run once per row: they are produced by a ``Generate``
+    (``inline`` of a one-element array), which Catalyst neither inlines into
+    later projections nor pushes filters through — otherwise every column and
+    filter that reads the parse would re-parse the text."""
+    x = df.select("*", F.inline(F.array(F.struct(parse_inputs(clean_response(response_col)).alias("_pi")))))
+    return x.withColumn(out_col, scores_struct(F.col("_pi.v"), F.col("_pi.m"))).drop("_pi")
+
+
 def to_result_rows(df: DataFrame, response_col: str = "response", id_col: str = "LensID",
                    title_col: str = "Title", truth_col: str = "true_category") -> DataFrame:
     """Clean, parse, top-2 and shape result rows; any failure gives an
     'ERROR' row that keeps id, title and truth."""
-    x = df.withColumn("_p", parse_scores(clean_response(response_col)))
+    x = parse_responses(df, response_col)
     x = x.withColumn("_t", top_two(F.col("_p.scores")))
     return x.select(F.col(id_col).alias("LensID"), F.col(title_col).alias("Title"),
                     F.col(truth_col).alias("true_category"), *result_columns("_p", "_t"))

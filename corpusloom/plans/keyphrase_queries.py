@@ -23,16 +23,16 @@ SELECT doc_id, unnest(list_transform(
          lambda i: array_to_string(list_slice(t, i, i + n - 1), ' '))) AS phrase
 FROM kp_ok, (VALUES (1), (2), (3)) v(n)""")
 cte("kp_scored", ("kp_cand",), """
-SELECT tf.doc_id, tf.phrase, tf.tf, d.df, tf.tf * ln(n.n / d.df) AS score
+SELECT tf.doc_id, tf.phrase, tf.tf, d.df, d.cf, tf.tf * ln(n.n / d.df) AS score
 FROM (SELECT doc_id, phrase, count(*) AS tf FROM kp_cand GROUP BY 1, 2) tf
-JOIN (SELECT phrase, count(*) AS df FROM (SELECT DISTINCT doc_id, phrase FROM kp_cand) GROUP BY phrase) d USING (phrase),
+JOIN (SELECT phrase, count(DISTINCT doc_id) AS df, count(*) AS cf FROM kp_cand GROUP BY phrase) d USING (phrase),
      (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL) n""")
 cte("kp_top", ("kp_scored",), """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, phrase) AS rank FROM kp_scored)
 WHERE rank <= 10""")
 
 
-@query("l1_tfidf_keyphrases", sql=sql(["kp_top"], "SELECT doc_id, rank, phrase, score, tf, df FROM kp_top"))
+@query("l1_tfidf_keyphrases", sql=sql(["kp_top"], "SELECT doc_id, rank, phrase, score, tf, df, cf FROM kp_top"))
 def l1(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     return kp.tfidf_keyphrases(d, "doc_id", "text", k=10)
