@@ -311,7 +311,20 @@ def g8_max(spark, sf):
     return g.sage_aggregate(nodes, g.class_edges(recs, nodes), feats, agg="max")
 
 
-@query("g9_hetero_propagate")
+def _gcn_cte(t: str, edges: str) -> str:
+    return f""",
+e_{t} AS (SELECT DISTINCT src, dst FROM {edges} WHERE src <> dst),
+deg_{t} AS (SELECT n.node, 1.0 / sqrt(1 + coalesce(d.c, 0)) AS dinv
+            FROM ids n LEFT JOIN (SELECT dst AS node, count(*) AS c FROM e_{t} GROUP BY dst) d ON d.node = n.node),
+y_{t} AS (SELECT x.node, x.dim, x.value * deg.dinv AS v FROM feats x JOIN deg_{t} deg USING (node)),
+h_{t} AS (SELECT m.node, m.dim, sum(m.v) * any_value(deg.dinv) AS value
+          FROM (SELECT e.dst AS node, y.dim, y.v FROM e_{t} e JOIN y_{t} y ON y.node = e.src
+                UNION ALL SELECT node, dim, v FROM y_{t}) m JOIN deg_{t} deg USING (node) GROUP BY m.node, m.dim)"""
+
+
+@query("g9_hetero_propagate", sql=sql(["g3_edges", "g4_edges", "ids", "feats"],
+                                      _gcn_cte("a", "g3_edges") + _gcn_cte("b", "g4_edges") + """
+SELECT node, dim, sum(value) AS value FROM (SELECT * FROM h_a UNION ALL SELECT * FROM h_b) GROUP BY node, dim"""))
 def g9(spark, sf):
     """Per-edge-type GCN over class-code and keyphrase edges, summed per node
     and dim (the heterogeneous convolution's ``aggr='sum'``)."""
