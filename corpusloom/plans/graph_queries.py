@@ -10,6 +10,7 @@ from corpusloom.functions.text import merge_codes, normalise_codes
 from corpusloom.operators import graph as g
 from corpusloom.plans.registry import query
 from corpusloom.plans.sql_fixtures import sql
+from corpusloom.session import cut_lineage
 from corpusloom.sources import fixtures as fx
 
 
@@ -93,9 +94,18 @@ _edges_sql("g4_edges", "kp_keys_ne", "same_keyphrase")
 
 
 def _graph(spark: SparkSession, sf_dir: str):
-    recs = fx.records(spark, sf_dir).withColumn("classifications", merge_codes("cpc", "ipcr"))
+    """Records and node tables, materialised at the stage boundary (reliable
+    checkpoint in the shared folder): every later join reads them instead of
+    re-planning records -> ranks in each branch."""
+    recs = cut_lineage(fx.records(spark, sf_dir).withColumn("classifications", merge_codes("cpc", "ipcr")))
     nodes, cats, feats = g.build_nodes(recs)
-    return recs, nodes, cats, feats
+    return recs, cut_lineage(nodes), cut_lineage(cats), cut_lineage(feats)
+
+
+def _edges(recs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Class-code (group level) edges, materialised: read twice by propagation
+    (degrees and messages)."""
+    return cut_lineage(g.class_edges(recs, nodes))
 
 
 @query("g1_build_nodes", sql=sql(["nodes"], "SELECT node, lens_id, y FROM nodes"))
@@ -228,7 +238,7 @@ SELECT edge_type, count(*) AS n_edges, count(DISTINCT (src, dst)) AS n_distinct
   UNION ALL SELECT edge_type, src, dst FROM allr WHERE edge_type <> 'same_classification') GROUP BY edge_type"""))
 def u4(spark, sf):
     recs, nodes, cats, _ = _graph(spark, sf)
-    e3 = g.class_edges(recs, nodes).select("edge_type", "src", "dst")
+    e3 = _edges(recs, nodes).select("edge_type", "src", "dst")
     ce = g.category_edges(recs, nodes, cats).filter(F.col("edge_type") == "contains")
     und = g.to_undirected(e3.unionByName(ce), bipartite_types=["contains"])
     return und.groupBy("edge_type").agg(F.count(F.lit(1)).alias("n_edges"),
@@ -249,7 +259,7 @@ SELECT (SELECT count(*) FROM nodes) AS num_nodes, (SELECT count(DISTINCT y) FROM
        (SELECT max(dim) + 1 FROM feats) AS feature_dim"""))
 def a12(spark, sf):
     recs, nodes, _, feats = _graph(spark, sf)
-    return g.graph_profile(nodes, g.class_edges(recs, nodes), features=feats)
+    return g.graph_profile(nodes, _edges(recs, nodes), features=feats)
 
 
 _GCN = """,
@@ -266,7 +276,7 @@ h1 AS (SELECT m.node, m.dim, sum(m.v) * any_value(deg.dinv) AS value
 @query("g7_gcn_propagate", sql=sql(["g3_edges", "ids", "feats"], _GCN + "\nSELECT node, dim, value FROM h1"))
 def g7(spark, sf):
     recs, nodes, _, feats = _graph(spark, sf)
-    return g.gcn_propagate(nodes, g.class_edges(recs, nodes), feats, hops=1)
+    return g.gcn_propagate(nodes, _edges(recs, nodes), feats, hops=1)
 
 
 @query("g7_gcn_two_hop", sql=sql(["g3_edges", "ids", "feats"], _GCN + """,
@@ -277,14 +287,14 @@ h2 AS (SELECT m.node, m.dim, sum(m.v) * any_value(deg.dinv) AS value
 SELECT node, dim, value FROM h2"""))
 def g7_two(spark, sf):
     recs, nodes, _, feats = _graph(spark, sf)
-    return g.gcn_propagate(nodes, g.class_edges(recs, nodes), feats, hops=2, checkpoint_each_hop=True)
+    return g.gcn_propagate(nodes, _edges(recs, nodes), feats, hops=2, checkpoint_each_hop=True)
 
 
 @query("j7_neighbour_sum", sql=sql(["g3_edges", "feats"], """
 SELECT e.dst AS node, f.dim, sum(f.value) AS value FROM g3_edges e JOIN feats f ON f.node = e.src GROUP BY e.dst, f.dim"""))
 def j7(spark, sf):
     recs, nodes, _, feats = _graph(spark, sf)
-    e = g.class_edges(recs, nodes)
+    e = _edges(recs, nodes)
     return (e.join(feats.withColumnRenamed("node", "src"), "src")
             .groupBy(F.col("dst").alias("node"), "dim").agg(F.sum("value").alias("value")))
 
@@ -301,14 +311,14 @@ SELECT node, dim, value FROM (SELECT node, dim, value FROM feats UNION ALL SELEC
 @query("g8_sage_mean", sql=sql(["g3_edges", "feats"], _SAGE.format(agg="sum", val="p / i.deg")))
 def g8_mean(spark, sf):
     recs, nodes, _, feats = _graph(spark, sf)
-    return g.sage_aggregate(nodes, g.class_edges(recs, nodes), feats, agg="mean")
+    return g.sage_aggregate(nodes, _edges(recs, nodes), feats, agg="mean")
 
 
 @query("g8_sage_max", sql=sql(["g3_edges", "feats"], _SAGE.format(
     agg="max", val="CASE WHEN p.k < i.deg THEN greatest(p.p, 0.0) ELSE p.p END")))
 def g8_max(spark, sf):
     recs, nodes, _, feats = _graph(spark, sf)
-    return g.sage_aggregate(nodes, g.class_edges(recs, nodes), feats, agg="max")
+    return g.sage_aggregate(nodes, _edges(recs, nodes), feats, agg="max")
 
 
 def _gcn_cte(t: str, edges: str) -> str:
@@ -330,7 +340,7 @@ def g9(spark, sf):
     and dim (the heterogeneous convolution's ``aggr='sum'``)."""
     recs = fx.with_keyphrases(spark, sf).withColumn("classifications", merge_codes("cpc", "ipcr"))
     nodes, _, feats = g.build_nodes(recs)
-    edges = g.class_edges(recs, nodes).unionByName(g.keyphrase_edges(recs, nodes))
+    edges = _edges(recs, nodes).unionByName(g.keyphrase_edges(recs, nodes))
     return g.hetero_propagate(nodes, edges, feats, ["same_classification", "same_keyphrase"])
 
 
@@ -365,5 +375,5 @@ SELECT e.edge_type, s.split, count(*) AS n_edges FROM g3_edges e JOIN s ON s.edg
   AND s.a = least(e.src, e.dst) AND s.b = greatest(e.src, e.dst) GROUP BY 1, 2"""))
 def b8(spark, sf):
     recs, nodes, _, _ = _graph(spark, sf)
-    s = g.split_edges(g.class_edges(recs, nodes), 0.05, 0.10, seed=42)
+    s = g.split_edges(_edges(recs, nodes), 0.05, 0.10, seed=42)
     return s.groupBy("edge_type", "split").agg(F.count(F.lit(1)).alias("n_edges"))

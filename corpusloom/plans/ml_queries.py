@@ -15,6 +15,7 @@ from corpusloom.plans import graph_queries, sampling_queries  # noqa: F401  (the
 from corpusloom.plans.registry import query
 from corpusloom.plans.sql_fixtures import sql
 from corpusloom.sources import fixtures as fx
+from corpusloom.session import cut_lineage
 from corpusloom.sources import io
 
 
@@ -58,10 +59,9 @@ def l7(spark, sf):
 
 
 def _masked_graph(spark, sf):
-    recs = fx.records(spark, sf).withColumn("classifications", merge_codes("cpc", "ipcr"))
-    nodes, cats, feats = g.build_nodes(recs)
+    recs, nodes, cats, feats = graph_queries._graph(spark, sf)
     split = sm.split_fraction(recs.select("lens_id", "category"), 0.8, 42, tiebreak=["category"])
-    masks = g.node_masks(nodes, split)
+    masks = cut_lineage(g.node_masks(nodes, split))
     return recs, nodes, cats, feats, masks
 
 
@@ -79,7 +79,7 @@ def l8(spark, sf):
     on test nodes: one row per test label with counts."""
     recs, nodes, cats, feats, masks = _masked_graph(spark, sf)
     train_feats = feats.join(masks.filter("train_mask").select("node"), "node")
-    prop = g.gcn_propagate(nodes, g.class_edges(recs, nodes), train_feats, hops=1)
+    prop = g.gcn_propagate(nodes, graph_queries._edges(recs, nodes), train_feats, hops=1)
     k = 4  # label count of the record fixture (a plan constant, like the model's output width)
     _, scored = ml.fit_node_classifier(nodes, prop, masks, n_classes=k, width=k, max_iter=100)
     return scored.groupBy(F.col("y").alias("label")).agg(F.count(F.lit(1)).alias("n_test"))
