@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import KEY_SEP, code_levels, explode_keys, normalise_codes, split_keys
+from corpusloom.operators.partitioning import default_parallelism
 from corpusloom.operators.ranking import attach_scalars, hash_rank, seeded_hash
 from corpusloom.session import cut_lineage
 
@@ -72,6 +73,12 @@ def cooccurrence_pairs(inc: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS,
                     F.explode(F.sequence(F.col("_u"), F.col("_b") - 1)).alias("_q"))
     right = x.select("key", F.col("node").alias("c"),
                      F.explode(F.sequence(F.lit(0), F.col("_u"))).alias("_p"), F.col("_u").alias("_q"))
+    # The join's output is quadratic in its input, so size-based partition
+    # coalescing (which sees only the small input) would starve it: fix the
+    # partition count on the block key; the join reuses this partitioning.
+    n = default_parallelism(inc)
+    left = left.repartition(n, "key", "_p", "_q")
+    right = right.repartition(n, "key", "_p", "_q")
     pairs = (left.join(right, ["key", "_p", "_q"])
              .where((F.col("_p") < F.col("_q")) | (F.col("a") < F.col("c"))))
     cols = [F.least("a", "c").alias("src"), F.greatest("a", "c").alias("dst")]
