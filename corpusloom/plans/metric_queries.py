@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import metrics as mt
 from corpusloom.operators import sampling as sm
 from corpusloom.operators import scoring as so
+from corpusloom.plans import sampling_queries  # noqa: F401  (split80 CTE)
 from corpusloom.plans.registry import query
 from corpusloom.plans.sql_fixtures import cte, sql
 from corpusloom.sources import fixtures as fx
@@ -42,12 +43,38 @@ def p17(spark, sf):
     return valid(spark, sf).select("vec_id", "is_correct")
 
 
-@query("p18_class_predicates", sql=sql(["records"], """
-SELECT 'majority' AS predicate, category = 'en' AS value, count(*) AS n FROM records GROUP BY 2"""))
+@query("p18_class_predicates", sql=sql(["records", "split80"], """
+SELECT 'majority' AS predicate, category = 'en' AS value, count(*) AS n FROM records GROUP BY 2
+UNION ALL SELECT 'test', is_test, count(*) FROM split80 GROUP BY 2"""))
 def p18(spark, sf):
+    """Majority vs rest and test vs train row counts (the two predicates)."""
     r = fx.records(spark, sf)
-    return (r.groupBy((F.col("category") == "en").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-            .select(F.lit("majority").alias("predicate"), "value", "n"))
+    maj = (r.groupBy((F.col("category") == "en").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+           .select(F.lit("majority").alias("predicate"), "value", "n"))
+    s = sm.split_fraction(r.select("lens_id", "category"), 0.8, 42, tiebreak=["category"])
+    tt = (s.groupBy(F.col("is_test").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+          .select(F.lit("test").alias("predicate"), "value", "n"))
+    return maj.unionByName(tt)
+
+
+@query("t3_top_two_from_vector", sql=sql(["scores5"], """,
+p AS (SELECT vec_id, i, (s + 1) / (tot + 5) AS prob FROM (
+        SELECT vec_id, s1 + s2 + s3 + s4 + s5 AS tot, s1, s2, s3, s4, s5 FROM scores5)
+      UNPIVOT (s FOR col IN (s1, s2, s3, s4, s5)) u, LATERAL (SELECT CAST(substr(col, 2) AS INTEGER) AS i)),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY prob DESC, i DESC) AS rk FROM p)
+SELECT vec_id, max(CASE WHEN rk = 1 THEN 'c' || i END) AS predicted_one, max(CASE WHEN rk = 1 THEN prob END) AS confidence_one,
+       max(CASE WHEN rk = 2 THEN 'c' || i END) AS predicted_two, max(CASE WHEN rk = 2 THEN prob END) AS confidence_two
+FROM r GROUP BY vec_id"""))
+def t3(spark, sf):
+    """Top-2 classes of a probability vector (smoothed score shares); an exact
+    tie favours the later class."""
+    from corpusloom.functions.scores import top_two_from_vector
+    r = fx.responses(spark, sf)
+    tot = sum(F.col(f"s{i}") for i in range(1, 6))
+    probs = F.array(*[(F.col(f"s{i}") + 1) / (tot + 5) for i in range(1, 6)])
+    t = top_two_from_vector(probs, F.array(*[F.lit(c) for c in VECTOR_LABELS]))
+    return r.select("vec_id", t["k1"].alias("predicted_one"), t["v1"].alias("confidence_one"),
+                    t["k2"].alias("predicted_two"), t["v2"].alias("confidence_two"))
 
 
 @query("j4_align", sql=sql(["predictions", "vectors"], """
