@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import KEY_SEP, code_levels, explode_keys, normalise_codes, split_keys
+from corpusloom.functions.text import KEY_SEP, code_levels, explode_keys, normalise_codes
 from corpusloom.operators.partitioning import default_parallelism
 from corpusloom.operators.ranking import attach_scalars, hash_rank, seeded_hash
 from corpusloom.session import cut_lineage

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.scores import ERROR_LABEL
-from corpusloom.operators.ranking import attach_scalars
 
 MAX_LABELS = 10_000
 

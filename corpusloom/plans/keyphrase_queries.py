@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from corpusloom.operators import keyphrases as kp
 from corpusloom.plans.registry import query
 from corpusloom.plans.sql_fixtures import cte, sql

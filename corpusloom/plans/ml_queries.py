@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import merge_codes
 from corpusloom.operators import graph as g
 from corpusloom.operators import metrics as mt
 from corpusloom.operators import ml

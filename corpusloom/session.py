@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,9 +63,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint when the session names a checkpoint folder; otherwise
-    the plan is returned unchanged (lineage kept, recompute on loss).  Never a
-    local checkpoint: executors can be lost at any time."""
-    if checkpoint_dir(df.sparkSession):
-        return df.checkpoint(eager=True)
-    return df
+    """Reliable checkpoint (written to the session's checkpoint folder, read
+    back as a new plan root).  Never a local checkpoint: executors can be lost
+    at any time.  When the session names no folder (tests, local runs) a
+    scratch one is created, with a warning."""
+    spark = df.sparkSession
+    if not checkpoint_dir(spark):
+        warnings.warn("spark.checkpoint.dir is unset; using a local scratch folder (set it on a cluster)")
+    ensure_checkpoint_dir(spark)
+    return df.checkpoint(eager=True)
