@@ -79,6 +79,8 @@ def cooccurrence_pairs(inc: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS,
     n = default_parallelism(inc)
     left = left.repartition(n, "key", "_p", "_q")
     right = right.repartition(n, "key", "_p", "_q")
+    # Sort-merge (not a forced hash join): a partition holds many cells and
+    # must be able to spill at scale.
     pairs = (left.join(right, ["key", "_p", "_q"])
              .where((F.col("_p") < F.col("_q")) | (F.col("a") < F.col("c"))))
     cols = [F.least("a", "c").alias("src"), F.greatest("a", "c").alias("dst")]

@@ -73,7 +73,8 @@ def hash_rank(df: DataFrame, order_hash: Column, by: Sequence[str] = (),
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a single-row aggregate (``df.agg(...)`` with no
-    grouping: exactly one row, a proven size bound) to every row of ``df`` with
-    a broadcast hash join on a constant key — no shuffle of ``df``."""
-    return (df.withColumn("_one", F.lit(1))
-            .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+    grouping: exactly one row, checked by Spark at run time) to every row of
+    ``df`` as an uncorrelated scalar subquery: computed once, inlined as a
+    value — no join (not even a one-row one) and no shuffle of ``df``."""
+    s = one_row.select(F.struct(*one_row.columns).alias("_one")).scalar()
+    return df.withColumn("_one", s).select(*df.columns, *[F.col("_one")[c].alias(c) for c in one_row.columns])
