@@ -42,6 +42,18 @@ def test_cooccurrence_matches_brute_force(spark, seed, block):
     assert got == dict(_brute_pairs(rows))
 
 
+def test_hot_key_third_of_rows_is_spread(spark):
+    """One key holds a third of all incidence rows: its pairs come from many
+    block cells and land in many partitions, and the count is exact."""
+    rows = [(f"h{i:04d}", "hot") for i in range(600)] + \
+           [(f"c{i:04d}", f"k{i % 300}") for i in range(1200)]
+    inc = spark.createDataFrame(rows, "node string, key string")
+    pairs = g.cooccurrence_pairs(inc, block_rows=64)
+    per_part = [r["count"] for r in pairs.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(per_part) == 600 * 599 // 2 + 300 * (4 * 3 // 2)
+    assert len(per_part) >= 4 and max(per_part) < 0.5 * sum(per_part)
+
+
 def test_directed_edges_symmetric_and_self_loops(spark):
     rows = [("a", "x"), ("a", "x"), ("b", "x"), ("c", "y")]
     inc = spark.createDataFrame(rows, "node string, key string")
