@@ -61,7 +61,7 @@ SELECT i.node, i.lens_id, max(c.cat) AS y
 FROM records r JOIN ids i ON i.lens_id = r.lens_id JOIN cats c ON c.category = r.category
 GROUP BY i.node, i.lens_id""")
 cte("feats", ("ids", "cats"), """
-SELECT DISTINCT i.node, c.cat AS dim, 1.0 AS value
+SELECT DISTINCT i.node, c.cat AS dim, CAST(1.0 AS DOUBLE) AS value
 FROM records r JOIN ids i ON i.lens_id = r.lens_id JOIN cats c ON c.category = r.category""")
 
 
@@ -120,7 +120,7 @@ def p20(spark, sf):
 
 @query("p20_one_hot_array", sql=sql(["feats", "cats"], """,
 n AS (SELECT count(*) AS k FROM cats)
-SELECT f.node, list_position(list_transform(range(0, n.k), lambda i: CASE WHEN i = f.dim THEN 1.0 ELSE 0.0 END), 1.0) - 1 AS hot,
+SELECT f.node, CAST(list_position(list_transform(range(0, n.k), lambda i: CASE WHEN i = f.dim THEN 1.0 ELSE 0.0 END), 1.0) - 1 AS BIGINT) AS hot,
        n.k AS width FROM feats f, n"""))
 def p20_array(spark, sf):
     _, _, cats, feats = _graph(spark, sf)
@@ -358,7 +358,7 @@ def g7_shared(spark, sf):
 
 
 @query("p21_normalise_rows", sql=sql(["vectors"], """,
-e AS (SELECT vec_id, i - 1 AS dim, abs(embedding[i]) AS x FROM (SELECT vec_id, embedding, generate_subscripts(embedding, 1) AS i FROM vectors))
+e AS (SELECT vec_id, CAST(i - 1 AS INTEGER) AS dim, abs(embedding[i]) AS x FROM (SELECT vec_id, embedding, generate_subscripts(embedding, 1) AS i FROM vectors))
 SELECT vec_id, dim, CASE WHEN s <> 0 THEN x / s ELSE x END AS value FROM (SELECT *, sum(x) OVER (PARTITION BY vec_id) AS s FROM e)"""))
 def p21(spark, sf):
     v = fx.vectors(spark, sf).select("vec_id", F.transform("embedding", lambda x: F.abs(x)).alias("a"))

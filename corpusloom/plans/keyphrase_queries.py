@@ -26,7 +26,7 @@ FROM (SELECT doc_id, phrase, count(*) AS tf FROM kp_cand GROUP BY 1, 2) tf
 JOIN (SELECT phrase, count(DISTINCT doc_id) AS df, count(*) AS cf FROM kp_cand GROUP BY phrase) d USING (phrase),
      (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL) n""")
 cte("kp_top", ("kp_scored",), """
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, phrase) AS rank FROM kp_scored)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, phrase) AS INTEGER) AS rank FROM kp_scored)
 WHERE rank <= 10""")
 
 

@@ -102,9 +102,9 @@ per2 AS (SELECT *, CASE WHEN precision + recall <> 0 THEN 2 * precision * recall
 SELECT label, precision, recall, f1, support FROM per2
 UNION ALL SELECT 'accuracy', NULL, NULL, (SELECT count(*) FILTER (WHERE is_correct) / count(*) FROM valid_pred),
                  (SELECT count(*) FROM valid_pred)
-UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM per2
+UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM per2
 UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
-                 sum(f1 * support) / sum(support), sum(support) FROM per2"""
+                 sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM per2"""
 
 
 @query("a6_classification_report", sql=sql(["valid_pred"], _REPORT))
@@ -169,8 +169,8 @@ def _emb_sets(spark, sf):
 
 _DIST = """
 SELECT set_name, label, n, total, n / total AS share,
-       row_number() OVER (PARTITION BY set_name ORDER BY n DESC, label) AS rank
-FROM (SELECT set_name, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY set_name) AS total
+       CAST(row_number() OVER (PARTITION BY set_name ORDER BY n DESC, label) AS INTEGER) AS rank
+FROM (SELECT set_name, label, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY set_name) AS BIGINT) AS total
       FROM emb_sets GROUP BY 1, 2)"""
 
 
@@ -185,7 +185,7 @@ def w6(spark, sf):
 
 
 @query("t2_labels_by_frequency", sql=sql(["records"], """
-SELECT category AS label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, category) AS rank
+SELECT category AS label, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, category) AS INTEGER) AS rank
 FROM records GROUP BY category"""))
 def t2(spark, sf):
     r = fx.records(spark, sf).select(F.lit("all").alias("set_name"), F.col("category").alias("label"))
@@ -193,7 +193,7 @@ def t2(spark, sf):
 
 
 @query("t4_sorted_labels", sql=sql(["valid_pred"], """
-SELECT row_number() OVER (ORDER BY label) - 1 AS pos, label FROM (SELECT DISTINCT true_category AS label FROM valid_pred)"""))
+SELECT CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS pos, label FROM (SELECT DISTINCT true_category AS label FROM valid_pred)"""))
 def t4(spark, sf):
     return mt.sorted_labels(valid(spark, sf), "true_category")
 

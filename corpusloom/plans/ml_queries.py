@@ -19,7 +19,7 @@ from corpusloom.sources import io
 
 
 @query("l4_standardise", sql=sql(["vectors"], """,
-e AS (SELECT vec_id, i - 1 AS dim, embedding[i] AS x FROM (SELECT vec_id, embedding, generate_subscripts(embedding, 1) AS i FROM vectors)),
+e AS (SELECT vec_id, CAST(i - 1 AS INTEGER) AS dim, embedding[i] AS x FROM (SELECT vec_id, embedding, generate_subscripts(embedding, 1) AS i FROM vectors)),
 s AS (SELECT dim, avg(x) AS mu, stddev_pop(x) AS sd FROM e GROUP BY dim)
 SELECT vec_id, dim, CASE WHEN sd = 0 THEN x - mu ELSE (x - mu) / sd END AS value FROM e JOIN s USING (dim)"""))
 def l4(spark, sf):

@@ -18,7 +18,7 @@ from corpusloom.sources import io
 from corpusloom.sources.tables import table
 
 cte("tokens", (), """
-SELECT vec_id, (i - 1) // 8 AS pos, (i - 1) % 8 AS dim, CAST(embedding[i] AS DOUBLE) AS value,
+SELECT vec_id, CAST((i - 1) // 8 AS INTEGER) AS pos, CAST((i - 1) % 8 AS INTEGER) AS dim, CAST(embedding[i] AS DOUBLE) AS value,
        CASE WHEN (i - 1) // 8 < vec_id % 8 + 1 THEN 1 ELSE 0 END AS mask
 FROM (SELECT vec_id, embedding, generate_subscripts(embedding, 1) AS i FROM embeddings)""")
 
@@ -49,8 +49,9 @@ def p11(spark, sf):
 
 
 @query("j6_prompt_per_label", sql=_RENDER_SQL.replace(
-    "SELECT r.lens_id, replace(", "SELECT r.category, sum(length(replace(").replace(
-    "AS prompt\nFROM records r, seg", ")) AS prompt_chars, count(*) AS n_prompts\nFROM records r, seg GROUP BY r.category"))
+    "SELECT r.lens_id, replace(", "SELECT r.category, CAST(sum(length(replace(").replace(
+    "AS prompt\nFROM records r, seg",
+    ")) AS BIGINT) AS prompt_chars, count(*) AS n_prompts\nFROM records r, seg GROUP BY r.category"))
 def j6(spark, sf):
     return (_rendered(spark, sf).groupBy("category")
             .agg(F.sum(F.length("prompt")).alias("prompt_chars"), F.count(F.lit(1)).alias("n_prompts")))
@@ -123,7 +124,7 @@ def p22(spark, sf):
 
 
 @query("p23_softmax", sql=sql(["vectors"], """,
-e AS (SELECT vec_id, i - 1 AS dim, embedding[i] AS x, list_max(embedding) AS mx
+e AS (SELECT vec_id, CAST(i - 1 AS INTEGER) AS dim, embedding[i] AS x, list_max(embedding) AS mx
       FROM (SELECT vec_id, embedding, generate_subscripts(embedding, 1) AS i FROM vectors))
 SELECT vec_id, dim, exp(x - mx) / sum(exp(x - mx)) OVER (PARTITION BY vec_id) AS prob FROM e"""))
 def p23(spark, sf):
