@@ -166,7 +166,8 @@ def last_label(df: DataFrame, id_col: str, label_col: str, seq_col: str) -> Data
 
 
 def build_nodes(records: DataFrame, id_col: str = "lens_id", label_col: str = "category",
-                seq_col: str | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+                seq_col: str | None = None, seed: int = 0,
+                materialize: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """G1: node tables for records and categories.
 
     Returns ``(nodes, categories, features)``:
@@ -180,6 +181,10 @@ def build_nodes(records: DataFrame, id_col: str = "lens_id", label_col: str = "c
     r = records.select(F.col(id_col).alias("lens_id"), F.col(label_col).alias("category"),
                        (F.col(seq_col) if seq_col else F.col(id_col)).alias("_seq"))
     r = r.join(cats, "category").join(ids, "lens_id")
+    if materialize:
+        # one stage table (rows with both indices); nodes and features are
+        # cheap aggregates of it
+        r = cut_lineage(r)
     nodes = r.groupBy("node", "lens_id").agg(F.max_by("cat", "_seq").alias("y"))
     feats = r.select("node", F.col("cat").alias("dim")).distinct().withColumn("value", F.lit(1.0))
     return nodes, cats, feats

@@ -98,8 +98,8 @@ def _graph(spark: SparkSession, sf_dir: str):
     checkpoint in the shared folder): every later join reads them instead of
     re-planning records -> ranks in each branch."""
     recs = cut_lineage(fx.records(spark, sf_dir).withColumn("classifications", merge_codes("cpc", "ipcr")))
-    nodes, cats, feats = g.build_nodes(recs)
-    return recs, cut_lineage(nodes), cut_lineage(cats), cut_lineage(feats)
+    nodes, cats, feats = g.build_nodes(recs, materialize=True)
+    return recs, nodes, cats, feats
 
 
 def _edges(recs: DataFrame, nodes: DataFrame) -> DataFrame:
