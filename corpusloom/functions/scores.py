@@ -97,13 +97,20 @@ def argmax_label(arr) -> Column:
     return (F.array_position(a, F.array_max(a)) - 1).cast("int")
 
 
+def bind_sum(arr: Column, fn) -> Column:
+    """``fn(s)`` with ``s`` = the array's sum bound once per row: the sum is
+    the finish value of an ``aggregate`` (a lambda variable), so ``fn`` may use
+    it inside per-element lambdas without re-summing the array per element."""
+    return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x, fn)
+
+
 def softmax(arr) -> Column:
-    """Numerically stable row softmax."""
+    """Numerically stable row softmax; the maximum and the sum are each
+    bound once per row (linear in the width)."""
     a = _c(arr)
-    mx = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - mx))
-    s = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / s)
+    e = F.aggregate(a, F.lit(float("-inf")), lambda m, x: F.greatest(m, x),
+                    lambda m: F.transform(a, lambda x: F.exp(x - m)))
+    return bind_sum(e, lambda s: F.transform(e, lambda x: x / s))
 
 
 def top_two_from_vector(probs, classes) -> Column:

@@ -393,9 +393,10 @@ def shared_key_propagate(inc: DataFrame, features: DataFrame) -> DataFrame:
 
 def normalise_rows(vec) -> Column:
     """Row-L1 normalisation (features scaled to sum 1); zero rows unchanged."""
+    from corpusloom.functions.scores import bind_sum
     v = F.col(vec) if isinstance(vec, str) else vec
-    s = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(s != 0, F.transform(v, lambda x: x / s)).otherwise(v)
+    # the row sum is bound once (not recomputed inside the per-element lambda)
+    return bind_sum(v, lambda s: F.when(s != 0, F.transform(v, lambda x: x / s)).otherwise(v))
 
 
 def normalise_rows_long(features: DataFrame) -> DataFrame:

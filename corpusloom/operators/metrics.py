@@ -173,8 +173,9 @@ def cv_summary(scores: DataFrame, score_col: str = "score") -> DataFrame:
 
 def cross_entropy(logits: Column, y: Column) -> Column:
     """Per-row cross entropy of integer class ``y`` under softmax(logits)."""
-    mx = F.array_max(logits)
-    lse = mx + F.log(F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - mx)))
+    # max bound once per row (finish lambda), then one pass for the log-sum-exp
+    lse = F.aggregate(logits, F.lit(float("-inf")), lambda m, x: F.greatest(m, x),
+                      lambda m: m + F.log(F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - m))))
     return lse - F.element_at(logits, y + 1)
 
 
