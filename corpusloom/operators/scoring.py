@@ -168,20 +168,31 @@ def missing_embeddings(texts: DataFrame, store: DataFrame | None, text_col: str,
     return k.join(store.select("content_key").distinct(), "content_key", "left_anti")
 
 
-def embed_texts(texts: DataFrame, embed_fn: Callable, store: DataFrame | None, text_col: str,
-                embedder: str, max_parallel: int | None = None, batch_size: int = 64) -> tuple[DataFrame, DataFrame]:
-    """L2: embed only the store misses.  Returns ``(new_rows, embedded)``:
-    ``new_rows`` (content_key, embedder, embedding) to append to the store, and
-    ``embedded`` = the input rows with their embedding, hits and misses alike."""
+def new_embeddings(texts: DataFrame, embed_fn: Callable, store: DataFrame | None, text_col: str,
+                   embedder: str, max_parallel: int | None = None, batch_size: int = 64) -> DataFrame:
+    """Rows ``(content_key, embedder, embedding)`` for the store misses only
+    (a lazy plan: the model runs when it is written)."""
     miss = missing_embeddings(texts, store, text_col, embedder)
-    new = (call_model(miss, embed_fn, "text", "embedding", T.ArrayType(T.DoubleType()),
-                      max_parallel=max_parallel, batch_size=batch_size)
-           .select("content_key", F.lit(embedder).alias("embedder"), "embedding"))
-    known = new if store is None else store.filter(F.col("embedder") == embedder) \
-        .select("content_key", "embedder", "embedding").unionByName(new)
-    embedded = store_keys(texts, text_col, embedder).join(known.select("content_key", "embedding"),
-                                                           "content_key", "left")
-    return new, embedded
+    return (call_model(miss, embed_fn, "text", "embedding", T.ArrayType(T.DoubleType()),
+                       max_parallel=max_parallel, batch_size=batch_size)
+            .select("content_key", F.lit(embedder).alias("embedder"), "embedding"))
+
+
+def embed_texts(texts: DataFrame, embed_fn: Callable, store_path: str, text_col: str, embedder: str,
+                max_parallel: int | None = None, batch_size: int = 64) -> DataFrame:
+    """L2: embed only the store misses, append them to the store, and return
+    the input rows with their embedding (hits and misses alike) read back from
+    the store.  The model runs exactly once per missing text — inside the
+    append job, whose output commits atomically — and never again downstream
+    (a retried task re-calls only its own batch; nothing is stored twice)."""
+    from corpusloom.sources import io
+    spark = texts.sparkSession
+    new = new_embeddings(texts, embed_fn, io.read_embeddings(spark, store_path), text_col, embedder,
+                         max_parallel, batch_size)
+    io.write_embeddings(new, store_path)
+    store = io.read_embeddings(spark, store_path).filter(F.col("embedder") == embedder)
+    return store_keys(texts, text_col, embedder).join(store.select("content_key", "embedding"),
+                                                      "content_key", "left")
 
 
 # ----------------------------------------------------------------------------- L3

@@ -158,11 +158,8 @@ def l2(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang", "text")
     path = io.scratch_path(spark, "embedding-store")
     fn = hashing_embedder(16)
-    new1, _ = so.embed_texts(d.filter(F.col("lang") == "en"), fn, None, "text", "hash16")
-    io.write_embeddings(new1, path)
-    store = io.read_embeddings(spark, path)
-    new2, embedded = so.embed_texts(d, fn, store, "text", "hash16")
-    io.write_embeddings(new2, path)
+    so.embed_texts(d.filter(F.col("lang") == "en"), fn, path, "text", "hash16")
+    embedded = so.embed_texts(d, fn, path, "text", "hash16")
     return (embedded.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"),
                                          F.count("embedding").alias("n_embedded")))
 

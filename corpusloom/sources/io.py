@@ -144,8 +144,15 @@ def write_embeddings(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).partitionBy("embedder").parquet(path)
 
 
+STORE_SCHEMA = T.StructType([T.StructField("content_key", T.StringType()),
+                             T.StructField("embedding", T.ArrayType(T.DoubleType())),
+                             T.StructField("embedder", T.StringType())])
+
+
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.parquet(path) if _exists(spark, path) else None
+    """The store, or None before its first write (explicit schema: an empty
+    append still reads)."""
+    return spark.read.schema(STORE_SCHEMA).parquet(path) if _exists(spark, path) else None
 
 
 # S11 -----------------------------------------------------------------------------

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusloom.operators.scoring import embed_texts
+from corpusloom.operators.scoring import new_embeddings
 from corpusloom.sources import io
 
 
@@ -24,8 +24,7 @@ def embed_batch(batch: DataFrame, embed_fn: Callable, store_path: str, text_col:
     """One micro-batch: embed the store misses and append them."""
     spark = batch.sparkSession
     store = io.read_embeddings(spark, store_path)
-    new, _ = embed_texts(batch, embed_fn, store, text_col, embedder)
-    io.write_embeddings(new, store_path)
+    io.write_embeddings(new_embeddings(batch, embed_fn, store, text_col, embedder), store_path)
 
 
 def start_embedding_feed(spark: SparkSession, source_path: str, schema: T.StructType, text_col: str,

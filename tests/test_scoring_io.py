@@ -49,12 +49,19 @@ def test_zero_shot_failing_model_gives_error_rows(spark):
 def test_embedding_store_second_run_embeds_nothing(spark):
     path = io.scratch_path(spark, "t-store")
     texts = spark.createDataFrame([(i, f"text {i % 5}") for i in range(20)], "id int, text string")
-    fn = hashing_embedder(8)
-    new, emb = so.embed_texts(texts, fn, None, "text", "h8")
-    assert new.count() == 5 and emb.filter(F.col("embedding").isNull()).count() == 0
-    io.write_embeddings(new, path)
-    new2, emb2 = so.embed_texts(texts, fn, io.read_embeddings(spark, path), "text", "h8")
-    assert new2.count() == 0 and emb2.filter(F.col("embedding").isNotNull()).count() == 20
+    calls = []
+
+    def fn(batch):
+        calls.append(len(batch))
+        return hashing_embedder(8)(batch)
+
+    emb = so.embed_texts(texts, fn, path, "text", "h8").cache()
+    assert emb.filter(F.col("embedding").isNull()).count() == 0 and emb.count() == 20
+    assert io.read_embeddings(spark, path).count() == 5          # one row per distinct text
+    assert so.new_embeddings(texts, fn, io.read_embeddings(spark, path), "text", "h8").count() == 0
+    emb2 = so.embed_texts(texts, fn, path, "text", "h8")
+    assert emb2.filter(F.col("embedding").isNotNull()).count() == 20
+    assert io.read_embeddings(spark, path).count() == 5          # second run stored nothing
 
 
 def test_mean_pool_all_zero_mask(spark):
