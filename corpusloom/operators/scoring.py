@@ -143,7 +143,11 @@ def zero_shot(df: DataFrame, prompt: DataFrame, categories: Sequence[str], call_
               text_col: str = "text", id_col: str = "lens_id", title_col: str = "title",
               truth_col: str = "category", max_parallel: int | None = 10) -> DataFrame:
     """Render -> call the model (3 attempts, 1-2 s jittered wait) -> clean,
-    parse, top-2 -> result rows; a failing call becomes an 'ERROR' row."""
+    parse, top-2 -> result rows; a failing call becomes an 'ERROR' row.
+
+    The result is a lazy plan: write it once (``io.write_results``, as the
+    zero-shot workflow does) and read the file back before using it several
+    times, so every record is sent to the model once."""
     r = render_prompt(df.select(F.col(id_col).alias("LensID"), F.col(title_col).alias("Title"),
                                 F.col(truth_col).alias("true_category"), F.col(text_col).alias("_text")),
                       prompt, categories, "_text")
