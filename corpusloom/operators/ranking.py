@@ -23,8 +23,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_TARGET_ROWS = 1 << 20
-
 
 def seeded_hash(seed, *parts) -> Column:
     """md5 hex of ``seed:part1:part2...`` (identical in DuckDB via ``md5(... || ':' || ...)``)."""

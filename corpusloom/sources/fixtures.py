@@ -2,7 +2,7 @@
 tables with plain DataFrame work (see FIXTURES.md part B).  Every fixture is a
 lazy plan over the given tables, so its size grows with them.
 
-The DuckDB twins of these definitions live in ``corpusloom.plans.oracle``.
+The DuckDB twins of these definitions live in ``corpusloom.plans.sql_fixtures``.
 """
 
 from __future__ import annotations
