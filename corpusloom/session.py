@@ -9,8 +9,10 @@ and only when the setting is unset.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
-import warnings
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,26 +53,41 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the session's ``spark.checkpoint.dir``; only when it is unset (tests,
-    local runs) create a fresh scratch folder."""
-    d = spark.sparkContext.getCheckpointDir()
-    if d:
-        return d
-    d = spark.conf.get("spark.checkpoint.dir", None) or None
+    """Use the session's ``spark.checkpoint.dir``.  Only a ``local`` master (one
+    machine: tests, bench) may do without: it gets a fresh scratch folder.  On a
+    cluster an unset folder is an error, since executors do not share ``/tmp``."""
+    d = checkpoint_dir(spark)
     if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="corpusloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    # (Spark adds a unique sub-folder under the given one.)
-    spark.sparkContext.setCheckpointDir(d)
+    if not spark.sparkContext.getCheckpointDir():
+        # (Spark adds a unique sub-folder under the given one.)
+        spark.sparkContext.setCheckpointDir(d)
     return spark.sparkContext.getCheckpointDir() or d
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (written to the session's checkpoint folder, read
     back as a new plan root).  Never a local checkpoint: executors can be lost
-    at any time.  When the session names no folder (tests, local runs) a
-    scratch one is created, with a warning."""
-    spark = df.sparkSession
-    if not checkpoint_dir(spark):
-        warnings.warn("spark.checkpoint.dir is unset; using a local scratch folder (set it on a cluster)")
-    ensure_checkpoint_dir(spark)
+    at any time."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage_path(spark: SparkSession, label: str) -> str:
+    """A new path under the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage/{label}-{uuid.uuid4().hex}"
+
+
+def stage_table(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` as a Parquet table under the shared checkpoint folder and
+    read it back: cuts lineage, survives lost executors, and (unlike a row
+    checkpoint) is compressed and column-pruned by later scans."""
+    spark = df.sparkSession
+    path = stage_path(spark, label)
+    w = df.write.option("compression", "zstd")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
