@@ -27,7 +27,31 @@ mix_copies AS (SELECT d.*, r.source_size, r.target,
                FROM mix_sized d JOIN mix_rates r ON d.source IS NOT DISTINCT FROM r.source)"""
 
 
+def line_dedup_sql(documents: str = "documents") -> str:
+    """CTE ``line_kept`` (the columns of documents, with ``kept``, ``n_lines``, ``n_dropped``)."""
+    blank = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+line_split AS (SELECT *, string_split(coalesce(text, ''), chr(10)) AS lines FROM {documents}),
+line_rows AS (SELECT DISTINCT doc_id, translate(trim(u.line, {blank}), '{upper}', '{upper.lower()}') AS key
+              FROM line_split, unnest(lines) AS u(line)),
+line_repeated AS (SELECT key, max(doc_id) AS keeper FROM line_rows WHERE length(key) >= 40
+                  GROUP BY key HAVING count(*) >= 5),
+line_lost AS (SELECT r.doc_id, list(r.key) AS keys FROM line_rows r JOIN line_repeated k ON r.key = k.key
+              WHERE r.doc_id IS DISTINCT FROM k.keeper GROUP BY r.doc_id),
+line_left AS (SELECT s.*, CASE WHEN l.keys IS NULL THEN lines ELSE
+              list_filter(lines, lambda x: NOT list_contains(l.keys, translate(trim(x, {blank}), '{upper}', '{upper.lower()}'))) END AS left_lines
+              FROM line_split s LEFT JOIN line_lost l ON s.doc_id IS NOT DISTINCT FROM l.doc_id),
+line_kept AS (SELECT * EXCLUDE (lines, left_lines), len(lines)::BIGINT AS n_lines,
+              (len(lines) - len(left_lines))::BIGINT AS n_dropped,
+              CASE WHEN len(lines) = len(left_lines) THEN text ELSE array_to_string(left_lines, chr(10)) END AS kept
+              FROM line_left)"""
+
+
 OP4 = f"""WITH {mix_sql()}
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM mix_copies"""
 
-ORACLES = {"op4_mix_sources": OP4}
+OP8 = f"""WITH {line_dedup_sql()}
+SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM line_kept"""
+
+ORACLES = {"op4_mix_sources": OP4, "op8_line_dedup": OP8}
