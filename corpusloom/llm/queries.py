@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import line_dedup, mixing, simhash
+from corpusloom.llm import license_scan, line_dedup, mixing, quality, simhash
 from corpusloom.llm import sql as S
 from corpusloom.sources.tables import table
 
@@ -34,8 +34,20 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best licence template of every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts, distances and verdict of every document."""
+    return quality.quality(table(spark, sf_dir, "documents")).drop("lang")
+
+
 _QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op4_mix_sources,
+    op5_license_scan,
+    op7_quality_rules,
     op8_line_dedup,
     op9_simhash_groups,
 )}
