@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import license_scan, line_dedup, mixing, quality, simhash
+from corpusloom.llm import license_scan, line_dedup, mixing, quality, simhash, syncmers
 from corpusloom.llm import sql as S
 from corpusloom.sources.tables import table
 
@@ -44,12 +44,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).drop("lang")
 
 
+def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text, of its edited form, and their likeness."""
+    return syncmers.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 _QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op4_mix_sources,
     op5_license_scan,
     op7_quality_rules,
     op8_line_dedup,
     op9_simhash_groups,
+    op10_syncmers,
 )}
 
 
