@@ -30,8 +30,7 @@ def lower_ascii(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Maximal runs of characters other than ASCII white space; null text: none."""
-    blank_to_space = F.regexp_replace(F.coalesce(text, F.lit("")), BLANK, " ")
-    return F.array_remove(F.split(blank_to_space, " ", -1), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK, -1), "")
 
 
 def n_words(text: Column) -> Column:

@@ -10,8 +10,7 @@ Besides, the plain rules: ``base_failed`` if there are fewer than ``MIN_WORDS``
 words, or more than ``MAX_REPEAT_PERCENT`` percent of the words lie in 5-word
 windows that the text has twice or more.
 
-All of it is DataFrame expressions.  The windows are first counted by hash; only
-texts in which two hashes are equal compare the windows themselves.
+All of it is DataFrame expressions.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null
 language is a language of its own; rows that repeat an id are documents of their
@@ -25,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import BLANK, let, lower_ascii, own_columns, words
+from corpusloom.llm.common import let, own_columns, words
 from corpusloom.session import stage_table
 
 WINDOW = 5
@@ -41,7 +40,8 @@ MAX_COMMON_DISTANCE = 0.38
 
 
 def n_repeat_words(tokens: Column) -> Column:
-    """Words in windows of WINDOW words that the array has twice or more."""
+    """Words in windows of WINDOW words that the array has twice or more.  Windows are
+    told apart by 64-bit hashes; only texts with two equal ones sort them."""
     last = F.size(tokens) - WINDOW
 
     def hashed(h: Column) -> Column:
@@ -49,23 +49,22 @@ def n_repeat_words(tokens: Column) -> Column:
 
     def covered(pairs: Column) -> Column:
         """pairs: (window, position) in order; counts the words under repeated windows."""
-        n = F.size(pairs)
-        again = F.filter(F.sequence(F.lit(0), n - 1), lambda j: (
-            (j > 0) & (pairs[F.greatest(j - 1, F.lit(0))]["w"] == pairs[j]["w"]))
-            | ((j < n - 1) & (pairs[F.least(j + 1, n - 1)]["w"] == pairs[j]["w"])))
-        at = F.sort_array(F.transform(again, lambda j: pairs[j]["p"]))
+        ws, no = F.transform(pairs, lambda x: x["w"]), F.array(F.lit(False))
+        same = let(ws, lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1),
+                                            lambda x, y: x == y))
+        again = let(same, lambda eq: F.zip_with(F.concat(no, eq), F.concat(eq, no), lambda x, y: x | y))
+        at = F.sort_array(F.filter(F.zip_with(again, pairs, lambda yes, x: F.when(yes, x["p"])), lambda p: p.isNotNull()))
         start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum"))
         return F.aggregate(at, start, lambda acc, p: F.struct(
             (p + WINDOW).alias("end"), (acc["sum"] + p + WINDOW - F.greatest(p, acc["end"])).alias("sum")),
             lambda acc: acc["sum"])
 
-    def exact() -> Column:
-        return let(F.array_sort(F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
-            F.concat_ws(" ", F.slice(tokens, i + 1, WINDOW)).alias("w"), i.alias("p")))), covered)
+    def counted(hs: Column) -> Column:
+        pairs = F.sort_array(F.transform(hs, lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
+        return F.when(F.size(F.array_distinct(hs)) < F.size(hs), let(pairs, covered)).otherwise(F.lit(0))
 
-    some = let(let(F.transform(tokens, lambda w: F.xxhash64(w)), hashed),
-               lambda hs: F.size(F.array_distinct(hs)) < F.size(hs))
-    return F.when(last < 1, F.lit(0)).otherwise(F.when(some, exact()).otherwise(F.lit(0))).cast("long")
+    return F.when(last < 1, F.lit(0)).otherwise(
+        let(let(F.transform(tokens, lambda w: F.xxhash64(w)), hashed), counted)).cast("long")
 
 
 def n_dup_lines(text: Column) -> Column:
@@ -77,19 +76,33 @@ def _without(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def char_classes(text: Column, word_chars: Column, n_symbols: Column) -> Column:
-    """Characters of each class: a-z, A-Z, other letters, digits, punctuation, symbols,
-    white space, anything else."""
-    named = [_without(text, "[a-z]+"), _without(text, "[A-Z]+"), _without(text, r"[\p{L}&&[^\x00-\x7F]]+"),
-             _without(text, "[0-9]+"), _without(text, r"[.,;:!?()'\"-]+"), n_symbols, F.length(text) - word_chars]
-    return let(F.array(*[c.cast("long") for c in named]), lambda a: F.concat(a, F.array(
-        F.length(text) - F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x))))
+def char_counts(text: Column) -> Column:
+    """Struct of ``word_chars``, ``n_symbols`` and ``classes``: the number of a-z, A-Z, other
+    letters, digits, punctuation, symbols, white space and other characters.
+
+    a-z and spaces, most of a text, are taken out first; the other classes are counted
+    in what is left."""
+    spaces = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+
+    def counted(c: Column) -> Column:
+        rest = c["rest"]
+        blanks = c["spaces"] + _without(rest, r"[\x09-\x0D]+")
+        symbols = F.length(rest) - F.length(F.translate(rest, SYMBOLS, ""))
+        named = F.array(*[x.cast("long") for x in (
+            c["n"] - F.length(rest) - c["spaces"], _without(rest, "[A-Z]+"), _without(rest, r"[\p{L}&&[^A-Z]]+"),
+            _without(rest, "[0-9]+"), _without(rest, r"[.,;:!?()'\"-]+"), symbols, blanks)])
+        return let(named, lambda a: F.struct(
+            (c["n"] - a[6]).alias("word_chars"), a[5].alias("n_symbols"),
+            F.concat(a, F.array(c["n"] - F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x))).alias("classes")))
+
+    return let(F.struct(F.regexp_replace(text, "[a-z ]+", "").alias("rest"), spaces.alias("spaces"),
+                        F.length(text).cast("long").alias("n")), counted)
 
 
 def _common_words(docs: DataFrame, k: int) -> DataFrame:
     """``(lang, common)``: the k most frequent words of each language over all its
-    documents (ties by the word), lower-cased A-Z, in code point order."""
-    tokens = docs.select("lang", F.explode(words(lower_ascii(F.col("text")))).alias("word"))
+    documents (ties by the word), in code point order."""
+    tokens = docs.select("lang", F.explode(words(F.col("text"))).alias("word"))
     counts = tokens.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     return (counts.withColumn("k", F.row_number().over(top)).where(F.col("k") <= k)
@@ -129,7 +142,7 @@ def js_distance(p: Column, q: Column) -> Column:
 def _sum_arrays(df: DataFrame, by: str, name: str) -> DataFrame:
     """The sum of the arrays ``name`` in each group, entry by entry."""
     entries = df.select(by, F.posexplode(name).alias("i", "x")).groupBy(by, "i").agg(F.sum("x").alias("x"))
-    return entries.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("_e")).select(
+    return entries.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("_e")).select(
         by, F.transform("_e", lambda e: e["x"]).alias(name))
 
 
@@ -141,23 +154,20 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     common = stage_table(_common_words(rows, common_words), "common-words")
     known = sorted({w for (ws,) in common.select("common").collect() for w in ws})  # at most k a language
     text = F.col("text")
-    counted = rows.select("doc_id", "lang", "text", words(text).alias("tokens"),
-                          F.length(F.regexp_replace(text, BLANK, "")).cast("long").alias("word_chars"),
-                          (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"))
-    frequent = F.filter(F.transform("tokens", lower_ascii), lambda w: w.isin(known)) if known else F.array().cast(
-        "array<string>")
+    counted = rows.select("doc_id", "lang", "text", words(text).alias("tokens"))
+    frequent = F.filter("tokens", lambda w: w.isin(known)) if known else F.array().cast("array<string>")
     counted = counted.select(
-        "doc_id", "lang", F.size("tokens").cast("long").alias("n_words"), "word_chars", "n_symbols",
+        "doc_id", "lang", F.size("tokens").cast("long").alias("n_words"), char_counts(text).alias("chars"),
         n_dup_lines(text).alias("n_dup_lines"), n_repeat_words(F.col("tokens")).alias("n_repeat_words"),
-        char_classes(text, F.col("word_chars"), F.col("n_symbols")).alias("classes"), frequent.alias("frequent"))
+        frequent.alias("frequent"))
     common = common.select(F.col("lang").alias("_lang"), "common")
     found = counted.join(F.broadcast(common), F.col("lang").eqNullSafe(F.col("_lang")), "left")
     own = let(_common_counts(F.col("frequent"), F.coalesce("common", F.array().cast("array<string>"))),
               lambda a: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(
                   F.col("n_words") - F.aggregate(F.slice(a, F.lit(1), F.size(a) - 1), F.lit(0).cast("long"),
                                                  lambda s, x: s + x))))
-    return stage_table(found.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                                    "n_repeat_words", "classes", own.alias("common")), "quality")
+    return stage_table(found.select("doc_id", "lang", "n_words", "chars.word_chars", "chars.n_symbols", "n_dup_lines",
+                                    "n_repeat_words", "chars.classes", own.alias("common")), "quality")
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
