@@ -7,13 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import license_scan, line_dedup, mixing, quality, simhash, syncmers
+from corpusloom.llm import bpe, lang_id, license_scan, line_dedup, mixing, quality, simhash, syncmers, toxicity
 from corpusloom.llm import sql as S
+from corpusloom.llm.common import held_out
 from corpusloom.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 4, 2)
+    model = lang_id.fit(docs.where(~out))
+    return lang_id.identify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "family_pred")
+
+
+def tokenizer_path() -> str:
+    """Where the public tokenizer file lies that the queries use."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """Number and digest of each document's token ids, digest of the text they decode to."""
+    coded = bpe.encode(docs, bpe.build_lexicon(docs, tokenizer_path()))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token digests of every document."""
+    return bpe_digests(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
@@ -39,6 +66,20 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def toxicity_chain(spark: SparkSession, sf_dir: str) -> toxicity.Chain:
+    """The chain for documents, from the labelled ones.  The table has one toxicity
+    label; graded categories derived from it come first in the chain."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.fit(docs.join(labels, "doc_id"), ["toxic"], graded=True)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category probabilities and verdict of every document."""
+    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_chain(spark, sf_dir))
+    return scored.withColumn("toxic", F.col("p_toxic") >= toxicity.THRESHOLD)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality counts, distances and verdict of every document."""
     return quality.quality(table(spark, sf_dir, "documents")).drop("lang")
@@ -50,8 +91,11 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
+    op1_language_id,
+    op2_bpe,
     op4_mix_sources,
     op5_license_scan,
+    op6_toxicity,
     op7_quality_rules,
     op8_line_dedup,
     op9_simhash_groups,
