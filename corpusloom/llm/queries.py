@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, lang_id, license_scan, line_dedup, mixing, quality, simhash, syncmers, toxicity
+from corpusloom.llm import bpe, katz, lang_id, license_scan, line_dedup, mixing, quality, simhash, syncmers, toxicity
 from corpusloom.llm import sql as S
 from corpusloom.llm.common import held_out
 from corpusloom.sources.tables import table
@@ -41,6 +41,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document, learned from nine tenths of them."""
+    return katz.score(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 10, 0))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
@@ -93,6 +98,7 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op1_language_id,
     op2_bpe,
+    op3_katz,
     op4_mix_sources,
     op5_license_scan,
     op6_toxicity,
