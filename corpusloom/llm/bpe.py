@@ -390,3 +390,16 @@ def decode(tokens: DataFrame, lexicon: str, id_col: str = "doc_id", ids_col: str
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "decoded"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, decoded string")
+
+
+def default_tokenizer() -> str:
+    """Where the public byte-level tokenizer file lies that the queries use."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def digests(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document."""
+    coded = encode(docs, build_lexicon(docs, tokenizer_path or default_tokenizer()))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))

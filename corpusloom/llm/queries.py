@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,22 +24,9 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "family_pred")
 
 
-def tokenizer_path() -> str:
-    """Where the public tokenizer file lies that the queries use."""
-    import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
-def bpe_digests(docs: DataFrame) -> DataFrame:
-    """Number and digest of each document's token ids, digest of the text they decode to."""
-    coded = bpe.encode(docs, bpe.build_lexicon(docs, tokenizer_path()))
-    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
-                        F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token digests of every document."""
-    return bpe_digests(table(spark, sf_dir, "documents"))
+    return bpe.digests(table(spark, sf_dir, "documents"))
 
 
 def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,17 +59,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
-def toxicity_chain(spark: SparkSession, sf_dir: str) -> toxicity.Chain:
-    """The chain for documents, from the labelled ones.  The table has one toxicity
-    label; graded categories derived from it come first in the chain."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    return toxicity.fit(docs.join(labels, "doc_id"), ["toxic"], graded=True)
-
-
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Category probabilities and verdict of every document."""
-    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_chain(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit_labels(docs, table(spark, sf_dir, "labels")))
     return scored.withColumn("toxic", F.col("p_toxic") >= toxicity.THRESHOLD)
 
 
@@ -95,7 +76,7 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-_QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
+_QUERIES: dict[str, QueryFn] = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (
     op1_language_id,
     op2_bpe,
     op3_katz,

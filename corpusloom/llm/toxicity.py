@@ -28,11 +28,12 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import own_columns, unit_hash
@@ -90,7 +91,7 @@ def _informative(sample: DataFrame, label: str, n_features: int) -> list[tuple[s
               .agg(F.sum(label).cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("n"))
               .where(F.col("n") >= MIN_ROWS).withColumn("b", F.col("n") - F.col("a")))
 
-    def part(x: str, of: float) -> F.Column:
+    def part(x: str, of: float) -> Column:
         expected = F.col("n") * of / (pos + neg)
         return F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / expected)).otherwise(0.0)
 
@@ -174,6 +175,12 @@ def fit(labelled: DataFrame, categories: Sequence[str], id_col: str = "doc_id",
     return Chain(names, vocabulary, weights)
 
 
+def fit_labels(docs: DataFrame, labels: DataFrame) -> Chain:
+    """A chain from a table ``labels(doc_id, toxic)``.  It has one toxicity label;
+    graded categories derived from it come first in the chain."""
+    return fit(docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id"), ["toxic"], graded=True)
+
+
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``p_<category>`` for each category, of every document."""
     rows = own_columns(docs, id_col, text_col).toDF("doc_id", "text")
@@ -195,8 +202,8 @@ def drop_toxic(docs: DataFrame, chain: Chain, text_col: str = "text", threshold:
     """The rows of ``docs`` whose last category has a probability below ``threshold``."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
-    @F.udf("double", useArrow=True)
-    def last(text: str) -> float:
-        return shared.value.predict(text)[-1]
+    @F.pandas_udf("double")
+    def last(texts: pd.Series) -> pd.Series:
+        return pd.Series([shared.value.predict(t)[-1] for t in texts], dtype=float)
 
     return docs.where(last(F.col(f"`{text_col}`")) < threshold)
