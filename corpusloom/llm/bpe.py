@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,14 +39,21 @@ from corpusloom.session import stage_path
 
 LEXICON_WORDS = 1 << 17
 WORDS_PER_TASK = 1 << 16
-MEMO_CHUNKS = 1 << 18
+MEMO_CHUNKS = 1 << 19
 DOCS_AT_ONCE = 256
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the pre-tokenizer's pattern (white space spelled out).
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+"
                      rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: White space beside a space: only then can a word reach over a space.
-WIDE = regex.compile(rf" [{SPACE}]|[{SPACE}] ")
+#: White space other than the space and the line feed.
+RARE = re.compile(r"[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Words of up to so many bytes are merged together, longer ones one by one.
+TOGETHER = 48
+
+
+def _wide(text: str) -> bool:
+    """Whether white space may stand beside a space: only then can a word reach over one."""
+    return "  " in text or " \n" in text or "\n " in text or RARE.search(text) is not None
 
 
 def _byte_chars() -> dict[str, int]:
@@ -78,27 +86,79 @@ def read_tokenizer(path: str) -> dict[str, np.ndarray]:
 
 
 class Merger:
-    """Exact merging of one word by ranks."""
+    """Exact merging of words by ranks."""
 
     def __init__(self, arrays: dict[str, np.ndarray]):
-        self.byte_ids = arrays["byte_ids"].tolist()
-        self.rank = {(a, b): (r, c) for r, (a, b, c) in enumerate(arrays["merges"].tolist())}
-
-    def encode(self, word: bytes) -> list[int]:
-        ids = [self.byte_ids[b] for b in word]
-        if len(ids) > 48:
-            return self._long(ids)
-        rank = self.rank
-        while len(ids) > 1:
-            best, at = None, -1
-            for i, pair in enumerate(zip(ids, ids[1:], strict=False)):
-                found = rank.get(pair)
-                if found and (best is None or found[0] < best[0]):
-                    best, at = found, i
-            if best is None:
+        merges = arrays["merges"].astype(np.int64)
+        self.byte_ids = arrays["byte_ids"].astype(np.int64)
+        self.rank = {(a, b): (r, c) for r, (a, b, c) in enumerate(merges.tolist())}
+        # the same as arrays: pairs in order, with rank and result; the last rank is none
+        self.none = len(merges)
+        pairs = merges[:, 0] << 32 | merges[:, 1]
+        order = np.argsort(pairs)
+        self.pairs, self.ranks = np.append(pairs[order], np.int64(1) << 62), np.append(order, self.none)
+        self.results = np.append(merges[:, 2], -1)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.searchsorted(self.pairs, key)
+        at[at == len(self.pairs)] = 0
+        return np.where((self.pairs[at] == key) & (left >= 0) & (right >= 0), self.ranks[at], self.none)
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids, one word after another, and how many each word has.
+
+        Words of like length are merged together: each round merges, in every word, the
+        first pair of the lowest rank."""
+        n = len(words)
+        size = np.fromiter(map(len, words), np.int64, n)
+        text, at = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
+        out, length = [np.zeros(0, np.int64)] * n, np.zeros(n, np.int64)
+        for low, high in ((0, 6), (6, 12), (12, 24), (24, TOGETHER)):
+            some = np.flatnonzero((size > low) & (size <= high))
+            for part in np.array_split(some, len(some) // 16384 + 1) if len(some) else ():
+                ids, left = self._together(text, at[part], size[part])
+                length[part] = left
+                for i, row, k in zip(part.tolist(), ids, left.tolist(), strict=True):
+                    out[i] = row[:k]
+        for i in np.flatnonzero(size > TOGETHER).tolist():
+            out[i] = np.array(self._long(self.byte_ids[text[at[i]:at[i] + size[i]]].tolist()))
+            length[i] = len(out[i])
+        return np.concatenate(out) if n else np.zeros(0, np.int64), length
+
+    def _together(self, text: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        width = int(size.max())
+        col = np.arange(width)
+        inside = col < size[:, None]
+        ids = np.where(inside, self.byte_ids[text[np.where(inside, at[:, None] + col, 0)]], -1)
+        left = size.copy()
+        if width < 2:
+            return ids, left
+        rank = self._ranks(ids[:, :-1], ids[:, 1:])
+        live = np.arange(len(ids))
+        while len(live):
+            j = rank[live].argmin(axis=1)
+            best = rank[live, j]
+            live, j, best = live[best < self.none], j[best < self.none], best[best < self.none]
+            if not len(live):
                 break
-            ids[at:at + 2] = [best[1]]
-        return ids
+            # close the gap after j, then rank the two pairs that the merged token is in
+            source = np.minimum(col + (col > j[:, None]), width - 1)
+            moved = np.take_along_axis(ids[live], source, axis=1)
+            moved[:, -1] = -1
+            moved[np.arange(len(live)), j] = self.results[best]
+            ids[live] = moved
+            left[live] -= 1
+            ranks = np.take_along_axis(rank[live], np.minimum(source[:, :-1], width - 2), axis=1)
+            ranks[:, -1] = self.none
+            row = np.arange(len(live))
+            right = np.minimum(j + 1, width - 1)
+            k = np.minimum(j, width - 2)
+            ranks[row, k] = np.where(j < width - 1, self._ranks(moved[row, j], moved[row, right]), ranks[row, k])
+            before = np.flatnonzero(j > 0)
+            ranks[before, j[before] - 1] = self._ranks(moved[before, j[before] - 1], moved[before, j[before]])
+            rank[live] = ranks
+        return ids, left
 
     def _long(self, ids: list[int]) -> list[int]:
         """The same merges for a long word, by a heap over a linked list."""
@@ -169,11 +229,10 @@ def compile_lexicon(words: list[bytes], merger: Merger) -> dict[str, np.ndarray]
             target.append(number[t])
             skip.append(before)
             before += count[t]
-    ids = [merger.encode(w) for w in words]
+    ids, size = merger.encode(words)
     return {"arc_key": np.array(keys, np.int64), "arc_target": np.array(target, np.int64),
             "arc_skip": np.array(skip, np.int64), "ends": np.array([ends[s] for s in order], np.uint8),
-            "start": np.array([number[0]], np.int64), "word_at": np.cumsum([0, *map(len, ids)]).astype(np.int64),
-            "word_ids": np.array([i for x in ids for i in x], np.int32)}
+            "start": np.array([number[0]], np.int64), "word_at": np.concatenate([[0], np.cumsum(size)]).astype(np.int64), "word_ids": ids.astype(np.int32)}
 
 
 def to_file(arrays: dict[str, np.ndarray]) -> bytes:
@@ -216,7 +275,8 @@ class Codec:
         self._forget()
 
     def _forget(self) -> None:
-        self.memo: dict[tuple[str, str] | str, int] = {}
+        #: place of a chunk's run; a chunk is what follows a space, or (after a space as mark) a text by itself
+        self.memo: dict[str, int] = {}
         self.start, self.length, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(
             4096, np.int32), 0
 
@@ -247,63 +307,76 @@ class Codec:
         found[found] = a["ends"][state[found]] == 1
         return np.where(found, place, -1)
 
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and each word's start and length in them: from the lexicon, else merged."""
+        place = self.lookup(words)
+        at, known, new = self.a["word_at"], np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+        ids, size = self.merger.encode([words[i] for i in new])
+        length = np.zeros(len(words), np.int64)
+        length[known], length[new] = at[place[known] + 1] - at[place[known]], size
+        start = np.zeros(len(words), np.int64)
+        start[new] = np.cumsum(size) - size
+        start[known] = len(ids) + np.cumsum(length[known]) - length[known]
+        return np.concatenate([ids, _gather(self.a["word_ids"], at[place[known]], length[known])]), start, length
+
     def _resolve(self, chunks: list[str]) -> None:
         """Put the ids of new chunks (texts that are cut apart on their own) in the memo."""
-        pieces = [WORD.findall(c) for c in chunks]
-        words = list({w for ws in pieces for w in ws})
-        raw = [w.encode() for w in words]
-        places, at, ids = self.lookup(raw), self.a["word_at"], self.a["word_ids"]
-        known = {w: ids[at[p]:at[p + 1]].tolist() if p >= 0 else self.merger.encode(b)
-                 for w, b, p in zip(words, raw, places.tolist(), strict=True)}
-        new = [[i for w in ws for i in known[w]] for ws in pieces]
-        size = np.fromiter(map(len, new), np.int64, len(new))
-        flat = np.array([i for x in new for i in x], np.int32)
-        first, total = len(self.memo), self.used + len(flat)
-        for name, need in (("start", first + len(new)), ("length", first + len(new)), ("flat", total)):
+        pieces = [WORD.findall(c[1:] if c[:1] == " " else " " + c) for c in chunks]
+        number: dict[str, int] = {}
+        which = np.array([number.setdefault(w, len(number)) for ws in pieces for w in ws], np.int64)
+        ids, start, length = self._words([w.encode() for w in number])
+        flat = _gather(ids, start[which], length[which])
+        ends = np.cumsum([len(ws) for ws in pieces])
+        total = np.concatenate([[0], np.cumsum(length[which])])
+        stop = total[ends]
+        first, used = len(self.memo), self.used + len(flat)
+        for name, need in (("start", first + len(chunks)), ("length", first + len(chunks)), ("flat", used)):
             old = getattr(self, name)
             if need > len(old):
-                setattr(self, name, np.concatenate([old, np.zeros(need + len(old) - len(old), old.dtype)]))
-        self.start[first:first + len(new)] = self.used + np.cumsum(size) - size
-        self.length[first:first + len(new)] = size
-        self.flat[self.used:total] = flat
-        self.used = total
-        self.memo.update(zip(chunks, range(first, first + len(new)), strict=True))
-
-    def _chunks(self, text: str) -> list[str | int]:
-        """The text in parts that are cut into words on their own: a number for a
-        special token, else a text."""
-        out: list[str | int] = []
-        for part in self.split.split(text) if self.special else [text]:
-            if part in self.special:
-                out.append(self.special[part])
-            elif not part:
-                continue
-            elif WIDE.search(part):
-                out += WORD.findall(part)
-            else:
-                first, *rest = part.split(" ")
-                out += [first] if first else []
-                out += [" " + p for p in rest]
-        return out
+                setattr(self, name, np.concatenate([old, np.zeros(need, old.dtype)]))
+        begin = np.concatenate([[0], stop[:-1]])
+        self.start[first:first + len(chunks)] = self.used + begin
+        self.length[first:first + len(chunks)] = stop - begin
+        self.flat[self.used:used] = flat
+        self.used = used
+        self.memo.update(zip(chunks, range(first, first + len(chunks)), strict=True))
+
+    def _chunks(self, text: str) -> list[str]:
+        """Keys of the parts of a text without special tokens that are cut on their own."""
+        if _wide(text):
+            return [" " + w for w in WORD.findall(text)]
+        out = text.split(" ")
+        if out[0]:
+            out[0] = " " + out[0]
+            return out
+        return out[1:]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
         if len(self.memo) > MEMO_CHUNKS:
             self._forget()
-        chunks = [self._chunks(t) for t in texts]
-        new = {c for cs in chunks for c in cs if c not in self.memo}
-        marks = [c for c in new if isinstance(c, int)]
-        self._resolve([c for c in new if not isinstance(c, int)])
-        out = []
-        for cs in chunks:
-            if marks and any(isinstance(c, int) for c in cs):
-                parts = [[c] if isinstance(c, int) else self.flat[self.start[s]:self.start[s] + self.length[s]]
-                         for c in cs for s in [0 if isinstance(c, int) else self.memo[c]]]
-                out.append(np.concatenate(parts).astype(np.int32))
+        parts = []  # (text, special token or None, keys)
+        for k, text in enumerate(texts):
+            if self.special and any(s in text for s in self.special):
+                for part in filter(None, self.split.split(text)):
+                    parts.append((k, self.special.get(part), [] if part in self.special else self._chunks(part)))
             else:
-                slot = np.fromiter(map(self.memo.__getitem__, cs), np.int64, len(cs))
-                out.append(_gather(self.flat, self.start[slot], self.length[slot]))
-        return out
+                parts.append((k, None, self._chunks(text)))
+        found = [list(map(self.memo.get, keys)) for _, _, keys in parts]
+        holes = [[i for i, x in enumerate(slots) if x is None] for slots in found]
+        new = {keys[i] for (_, _, keys), at in zip(parts, holes, strict=True) for i in at}
+        if new:
+            self._resolve(list(new))
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        for (k, special, keys), slots, at in zip(parts, found, holes, strict=True):
+            if special is not None:
+                out[k].append(np.array([special], np.int32))
+                continue
+            for i in at:
+                slots[i] = self.memo[keys[i]]
+            slot = np.array(slots, np.int64)
+            out[k].append(_gather(self.flat, self.start[slot], self.length[slot]))
+        return [x[0] if len(x) == 1 else np.concatenate([np.zeros(0, np.int32), *x]) for x in out]
 
     def decode(self, ids: np.ndarray) -> str:
         at = self.a["token_at"]
