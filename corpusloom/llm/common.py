@@ -56,6 +56,12 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """All columns as one struct ``row``, so that columns put beside it cannot clash;
+    ``select("row.*")`` gives them back."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

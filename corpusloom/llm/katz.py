@@ -287,8 +287,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         lower = np.bincount(b.first[own], k["p1"][b.second[own]], n)
         seen = np.bincount(b.first[own], (k["seen"] / np.maximum(k["before"], 1))[own], n)
         some = np.bincount(b.first[own], minlength=n) > 0
-        return pa.table({"history": pa.array(b.history[some].view(np.int64)), "lower": pa.array(lower[some]),
-                         "seen": pa.array(seen[some])})
+        return pa.table({"history": pa.array(b.history[some].view(np.int64)), "lower": pa.array(lower[some], pa.float64()),
+                         "seen": pa.array(seen[some], pa.float64())})
 
     found = pairs.applyInArrow(documents, f"block long, place long, doc_id {kind}, held_out boolean, n_tokens long, "
                                           "n_known long, base_score double, direct double")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import own_columns
+from corpusloom.llm.common import own_columns, packed
 from corpusloom.session import stage_table
 
 MIN_CHARS = 40
@@ -173,9 +173,8 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns more: ``_lines`` (before dropping) and ``_dropped``.  A text of which no
     line is dropped, a null one too, is left as it is."""
     lost = repeated_lines(docs, id_col, text_col, min_chars, min_docs, max_filter_bits).toDF("_id", "_keys")
-    rows = docs.join(lost, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")), "left").drop("_id")
-    names, kind = docs.columns, {f.name: f for f in docs.schema}
-    assert kind[text_col].dataType.simpleString() == "string"
+    row = packed(docs)
+    rows = row.join(lost, row["row"][id_col].eqNullSafe(lost["_id"]), "left")
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")
     def cut(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
@@ -192,6 +191,6 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             gone.append(len(lines) - len(kept))
         return pd.DataFrame({"text": out, "n_lines": n, "n_dropped": gone})
 
-    rows = rows.withColumn("_cut", cut(F.col(f"`{text_col}`"), F.col("_keys")))
-    return rows.select(*[F.col("_cut.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
+    rows = rows.withColumn("_cut", cut(F.col("row")[text_col], F.col("_keys")))
+    return rows.select(*[F.col("_cut.text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns],
                        F.col("_cut.n_lines").alias("_lines"), F.col("_cut.n_dropped").alias("_dropped"))

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import n_words, ordered_rank, own_columns, unit_hash
+from corpusloom.llm.common import n_words, ordered_rank, own_columns, packed, unit_hash
 from corpusloom.session import stage_table
 
 WEIGHTS = (3, 1, 2)
@@ -68,17 +68,16 @@ def _copies(rate: Column, doc_id: Column, seed: str) -> Column:
     return (F.floor(rate) + extra.cast("long")).cast("long")
 
 
-def _with_rates(rows: DataFrame, source: str, salt_by: str, rates: DataFrame, prefix: str) -> DataFrame:
-    """Attach each row's source columns (``prefix`` + name).  Rates are one row per
-    source: broadcast when a count shows that they are few, else joined on
-    (source, salt) so that no source is one task's work."""
-    rates = rates.select(*[F.col(c).alias(prefix + c) for c in rates.columns])
+def _with_rates(rows: DataFrame, source: Column, salt_by: Column, rates: DataFrame) -> DataFrame:
+    """Attach each row's source columns (``_source, _source_size, _target, _rate``).  Rates
+    are one row per source: broadcast when a count shows that they are few, else
+    joined on (source, salt) so that no source is one task's work."""
+    rates = rates.select(*[F.col(c).alias("_" + c) for c in rates.columns])
     if rates.count() <= BROADCAST_SOURCES:
-        return rows.join(F.broadcast(rates), F.col(f"`{source}`").eqNullSafe(F.col(prefix + "source")), "left")
-    salted = rates.withColumn(prefix + "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn(prefix + "row_salt", F.pmod(F.xxhash64(F.col(f"`{salt_by}`")), F.lit(SALTS)).cast("int"))
-    return rows.join(salted, F.col(f"`{source}`").eqNullSafe(F.col(prefix + "source"))
-                     & (F.col(prefix + "row_salt") == F.col(prefix + "salt")), "left").drop(prefix + "row_salt")
+        return rows.join(F.broadcast(rates), source.eqNullSafe(rates["_source"]), "left")
+    salted = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    row_salt = F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")
+    return rows.join(salted, source.eqNullSafe(salted["_source"]) & (row_salt == salted["_salt"]), "left")
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -87,10 +86,9 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     sized = stage_table(own_columns(docs, id_col, text_col, source_col).toDF("doc_id", "text", "source")
                         .select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
     rates = source_targets(sized, **targets)
-    return (_with_rates(sized, "source", "doc_id", rates, "_s_")
-            .select("doc_id", "size", F.col("_s_source_size").alias("source_size"),
-                    F.col("_s_target").alias("target"),
-                    _copies(F.col("_s_rate"), F.col("doc_id"), seed).alias("copies")))
+    return (_with_rates(sized, sized["source"], sized["doc_id"], rates)
+            .select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
+                    _copies(F.col("_rate"), F.col("doc_id"), seed).alias("copies")))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -100,7 +98,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = own_columns(docs, text_col, source_col).toDF("text", "source").select(
         "source", n_words(F.col("text")).alias("size"))
     rates = source_targets(sized, **targets)
-    copies = _copies(F.col("_mix_rate"), F.col(f"`{id_col}`"), seed)
-    return (_with_rates(docs, source_col, id_col, rates, "_mix_")
-            .withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    rows = packed(docs)
+    doc_id, source = rows["row"][id_col], rows["row"][source_col]
+    copies = _copies(F.col("_rate"), doc_id, seed)
+    return (_with_rates(rows, source, doc_id, rates)
+            .select("row", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("_copy")).select("row.*"))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import connected_components, own_columns
+from corpusloom.llm.common import connected_components, own_columns, packed
 from corpusloom.session import stage_table
 
 SHINGLE = 3
@@ -159,9 +159,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def fp_of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts)).view(np.int64))
 
-    rows = (docs.join(ids, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")), "inner")
-            .withColumn("_fp", fp_of(F.col(f"`{text_col}`")))
+    row = packed(docs)
+    rows = (row.join(ids, row["row"][id_col].eqNullSafe(ids["_id"]), "inner")
+            .withColumn("_fp", fp_of(F.col("row")[text_col]))
             .where(F.array_contains("_stay_fps", F.col("_fp"))))
-    first = Window.partitionBy("_id", "_fp").orderBy(F.xxhash64(f"`{text_col}`"))
-    return (rows.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") == 1)
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    first = Window.partitionBy("_id", "_fp").orderBy(F.xxhash64(F.col("row")[text_col]))
+    return rows.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") == 1).select("row.*")

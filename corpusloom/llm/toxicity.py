@@ -104,7 +104,7 @@ def _fit_one(data: DataFrame, label: str, inputs: str) -> LogisticRegression | f
     total = data.agg(F.sum(label).alias("pos"), F.count(F.lit(1)).alias("n")).first()
     if not total.n or total.pos in (0, total.n):
         return float(total.pos or 0) / max(1, total.n)
-    return LogisticRegression(featuresCol=inputs, labelCol=label, maxIter=30, regParam=1e-4,
+    return LogisticRegression(featuresCol=inputs, labelCol=label, maxIter=50, regParam=1e-5,
                               standardization=False).fit(data.withColumn(label, F.col(label).cast("double")))
 
 
