@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import own_columns
 from corpusloom.session import stage_table
 
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 20
 BUCKET_TOKENS = 1 << 21
 TURING = 5
 FITTED = 32
