@@ -128,10 +128,7 @@ def fit(labelled: DataFrame, categories: Sequence[str], id_col: str = "doc_id",
     last = categories[-1]
     rows = own_columns(labelled, id_col, text_col, *categories).toDF("doc_id", "text", *categories).dropna(
         subset=list(categories))
-    n = {r[0]: r[1] for r in rows.groupBy(F.col(last).cast("int")).count().collect()}
-    share = F.when(F.col(last) == 1, min(1.0, sample_per_class / max(1, n.get(1, 0)))).otherwise(
-        min(1.0, sample_per_class / max(1, n.get(0, 0))))
-    chosen = rows.where(unit_hash("toxicity", F.col("doc_id")) < share).select(
+    chosen = rows.where(_class_share(rows, last, sample_per_class)).select(
         unit_hash("fold", F.col("doc_id")).alias("u"), "text", *[F.col(c).cast("int").alias(c) for c in categories])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +142,7 @@ def fit(labelled: DataFrame, categories: Sequence[str], id_col: str = "doc_id",
     best = _informative(sample, last, n_features)
     vocabulary = [f for f, _ in best]
     if not best:
-        rate = _logit(n.get(1, 0) / max(1, sum(n.values())))
+        rate = _logit(sample.agg(F.avg(last)).first()[0] or 0.0)
         return Chain(categories, [], [np.append(np.zeros(i), rate) for i in range(len(categories))])
     names = list(categories)
     if graded:
@@ -175,10 +172,24 @@ def fit(labelled: DataFrame, categories: Sequence[str], id_col: str = "doc_id",
     return Chain(names, vocabulary, weights)
 
 
-def fit_labels(docs: DataFrame, labels: DataFrame) -> Chain:
+def _class_share(rows: DataFrame, label: str, sample_per_class: int) -> Column:
+    """Whether a row is in the sample: by a hash of its id, about ``sample_per_class``
+    rows with and as many without the label."""
+    n = {r[0]: r[1] for r in rows.groupBy(F.col(label).cast("int")).count().collect()}
+    share = F.when(F.col(label) == 1, min(1.0, sample_per_class / max(1, n.get(1, 0)))).otherwise(
+        min(1.0, sample_per_class / max(1, n.get(0, 0))))
+    return unit_hash("toxicity", F.col("doc_id")) < share
+
+
+def fit_labels(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> Chain:
     """A chain from a table ``labels(doc_id, toxic)``.  It has one toxicity label;
-    graded categories derived from it come first in the chain."""
-    return fit(docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id"), ["toxic"], graded=True)
+    graded categories derived from it come first in the chain.  The sample is drawn
+    from the labels, so only its ids (about ``2 * sample_per_class``) are broadcast to
+    the documents and no text is shuffled."""
+    labels = labels.select("doc_id", "toxic").dropna()
+    chosen = labels.where(_class_share(labels, "toxic", sample_per_class))
+    return fit(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), ["toxic"], graded=True,
+               sample_per_class=sample_per_class)
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
