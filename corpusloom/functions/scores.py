@@ -54,7 +54,10 @@ def scores_struct(v: Column, m: Column) -> Column:
     sc = F.try_variant_get(v, "$[0].scores", "variant")
     sj = F.to_json(sc)
     empty = sc.isNull() | F.is_variant_null(sc) | sj.isin("{}", "[]", '""', "0", "false", "-0")
-    numeric =(F.schema_of_variant(sc).startswith("OBJECT<") & m.isNotNull()
+    # by the values' own types: "NaN" and "Infinity" are strings, though a cast takes them
+    values = F.map_values(F.try_variant_get(sc, "$", "map<string,variant>"))
+    numeric = (F.schema_of_variant(sc).startswith("OBJECT<") & m.isNotNull()
+               & F.forall(values, lambda x: F.schema_of_variant(x).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"))
                & F.forall(F.map_values(m), lambda x: x.isNotNull()))
     return F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), F.coalesce(ok & empty, F.lit(False)).alias("empty"),
                     F.when(ok & ~empty & numeric, m).alias("scores"))
@@ -91,6 +94,13 @@ def content_key(text, embedder: str | Column) -> Column:
     return F.concat(F.substring(F.md5(_c(text)), 1, 16), F.lit("_"), e)
 
 
+def store_key(text, embedder: str | Column) -> Column:
+    """Identity of a text in the embedding store: the whole sha-256 of the text (a null
+    text is an empty one) + '_' + embedder.  ``content_key`` is its short form for show."""
+    e = embedder if isinstance(embedder, Column) else F.lit(embedder)
+    return F.concat(F.sha2(F.coalesce(_c(text), F.lit("")), 256), F.lit("_"), e)
+
+
 def argmax_label(arr) -> Column:
     """0-based index of the first maximum."""
     a = _c(arr)

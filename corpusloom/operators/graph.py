@@ -185,7 +185,8 @@ def build_nodes(records: DataFrame, id_col: str = "lens_id", label_col: str = "c
         # one stage table (rows with both indices); nodes and features are
         # cheap aggregates of it
         r = cut_lineage(r)
-    nodes = r.groupBy("node", "lens_id").agg(F.max_by("cat", "_seq").alias("y"))
+    # rows that tie in the order (all rows of an id without one) are told apart by label
+    nodes = r.groupBy("node", "lens_id").agg(F.max_by("cat", F.struct("_seq", "cat")).alias("y"))
     feats = r.select("node", F.col("cat").alias("dim")).distinct().withColumn("value", F.lit(1.0))
     return nodes, cats, feats
 

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions.text import distinct_phrases, pack_keyphrases
-from corpusloom.operators.partitioning import spread
 from corpusloom.operators.ranking import attach_scalars
 
 # Token pattern and the stop words (English, French, German,
@@ -35,7 +34,6 @@ STOP_WORDS = (
     "sich", "und", "von", "zu",
     "al", "con", "del", "el", "es", "las", "lo", "los", "para", "por", "se", "su", "una", "y",
 )
-MIN_TOKEN_LEN = 3
 
 
 def tokens(text: Column) -> Column:
@@ -43,7 +41,7 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), TOKEN_SPLIT, -1), lambda t: t != "")
 
 
-def token_ok(toks: Column, stop_words: Sequence[str] = STOP_WORDS, min_len: int = MIN_TOKEN_LEN) -> Column:
+def token_ok(toks: Column, stop_words: Sequence[str] = STOP_WORDS, min_len: int = 1) -> Column:
     """Per token: long enough and not a stop word."""
     # ``isin`` over many literals is planned as a hash-set lookup.
     return F.transform(toks, lambda t: (F.length(t) >= min_len) & ~t.isin(list(stop_words)))
@@ -65,15 +63,16 @@ def candidates(toks: Column, ok: Column, max_words: int = 3) -> Column:
     return F.flatten(F.array(*grams))
 
 
-def tfidf_keyphrases(docs: DataFrame, id_col: str, text_col: str, k: int = 10, max_words: int = 3) -> DataFrame:
+def tfidf_keyphrases(docs: DataFrame, id_col: str, text_col: str, k: int = 10, max_words: int = 3,
+                     min_len: int = 1) -> DataFrame:
     """L1 (tfidf): ``(id, rank, phrase, score, tf, df)`` — top ``k`` per document
-    by ``tf * ln(N / df)``, ties by phrase."""
+    by ``tf * ln(N / df)``, ties by phrase.  Tokens shorter than ``min_len`` end a phrase
+    like a stop word (by default none are)."""
     d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).filter(F.col("_t").isNotNull())
-    d = spread(d)
     # Tokens and flags are computed once per document in their own projections
     # (an expensive expression referenced several times is not re-inlined).
     t = d.select("_id", tokens(F.col("_t")).alias("_toks"))
-    t = t.select("_id", "_toks", token_ok(F.col("_toks")).alias("_ok"))
+    t = t.select("_id", "_toks", token_ok(F.col("_toks"), min_len=min_len).alias("_ok"))
     cand = t.select("_id", F.explode(candidates(F.col("_toks"), F.col("_ok"), max_words)).alias("phrase"))
     tf = cand.groupBy("_id", "phrase").agg(F.count(F.lit(1)).alias("tf"))
     # Both branches read (id, phrase, tf): the tokenising stage runs once and

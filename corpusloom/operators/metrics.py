@@ -1,9 +1,8 @@
 """Classifier evaluation.
 
 Every metric is a small aggregate over the prediction table: one scan with
-partial aggregation, then arithmetic on a table with one row per label.  The
-label set, where it must be materialised (confusion matrix cells), is bounded
-by an explicit runtime check.
+partial aggregation, then arithmetic on a table with one row per label (or pair of
+labels), for any number of labels.
 """
 
 from __future__ import annotations
@@ -14,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.scores import ERROR_LABEL
-
-MAX_LABELS = 10_000
+from corpusloom.operators.ranking import ordered_rank
+from corpusloom.session import stage_table
 
 
 def _div(num: Column, den: Column) -> Column:
@@ -49,14 +48,22 @@ def accuracy(df: DataFrame, truth: str = "true_category", pred: str = "predicted
                   F.count(F.lit(1)).alias("n"))
 
 
-def per_label_counts(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    """``(label, support, n_pred, tp)`` over the union of actual and predicted labels."""
-    t = df.groupBy(F.col(truth).alias("label")).agg(F.count(F.lit(1)).alias("support"),
-                                                    F.count_if(F.col(truth) == F.col(pred)).alias("tp"))
-    p = df.groupBy(F.col(pred).alias("label")).agg(F.count(F.lit(1)).alias("n_pred"))
-    return (t.join(p, "label", "full")
-            .select("label", F.coalesce("support", F.lit(0)).alias("support"),
-                    F.coalesce("n_pred", F.lit(0)).alias("n_pred"), F.coalesce("tp", F.lit(0)).alias("tp")))
+def pair_counts(df: DataFrame, truth: str = "true_category", pred: str = "predicted_one") -> DataFrame:
+    """``(truth, pred, n)``: all that A5-A7 need of the predictions, as a stage table, so
+    whatever made the predictions runs once."""
+    return stage_table(df.groupBy(F.col(truth).alias("truth"), F.col(pred).alias("pred"))
+                       .agg(F.count(F.lit(1)).alias("n")), "pair-counts")
+
+
+def per_label_counts(counts: DataFrame) -> DataFrame:
+    """``(label, support, n_pred, tp)`` over the union of actual and predicted labels,
+    from ``pair_counts``: each pair adds to the row of its truth and of its prediction."""
+    n, zero = F.col("n"), F.lit(0).cast("long")
+    sides = F.array(F.struct(F.col("truth").alias("label"), n.alias("support"), zero.alias("n_pred"),
+                             F.when(F.col("truth") == F.col("pred"), n).otherwise(zero).alias("tp")),
+                    F.struct(F.col("pred").alias("label"), zero.alias("support"), n.alias("n_pred"), zero.alias("tp")))
+    return (counts.select(F.inline(sides)).groupBy("label")
+            .agg(F.sum("support").alias("support"), F.sum("n_pred").alias("n_pred"), F.sum("tp").alias("tp")))
 
 
 def classification_report(df: DataFrame, truth: str = "true_category", pred: str = "predicted_one",
@@ -64,14 +71,16 @@ def classification_report(df: DataFrame, truth: str = "true_category", pred: str
     """Per-label precision / recall / F1 / support, then the accuracy row
     (in the f1 column, support = n), the macro and the support-weighted
     averages; undefined ratios are 0."""
-    c = per_label_counts(df, truth, pred)
+    counts = pair_counts(df, truth, pred)
+    c = per_label_counts(counts)
     if labels is not None:
         c = c.filter(F.col("label").isin(list(labels)))
     p = _div(F.col("tp"), F.col("n_pred"))
     r = _div(F.col("tp"), F.col("support"))
     per = (c.withColumn("precision", p).withColumn("recall", r)
            .withColumn("f1", _div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))))
-    tot = df.agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(truth) == F.col(pred)).alias("_tp"))
+    hit = F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0)
+    tot = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_n"), F.coalesce(F.sum(hit), F.lit(0)).alias("_tp"))
     body = per.select("label", "precision", "recall", "f1", F.col("support").cast("long").alias("support"))
     acc = tot.select(F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
                      F.lit(None).cast("double").alias("recall"), _div(F.col("_tp"), F.col("_n")).alias("f1"),
@@ -89,47 +98,41 @@ def classification_report(df: DataFrame, truth: str = "true_category", pred: str
     return body.unionByName(acc).unionByName(macro).unionByName(weighted)
 
 
-def label_set(df: DataFrame, truth: str = "true_category", pred: str = "predicted_one",
-              max_labels: int = MAX_LABELS) -> DataFrame:
-    """T4 (union form): one row ``labels`` = sorted distinct actual and
-    predicted labels.  Distinct first (partial aggregation), then a bounded
-    collect guarded by a runtime size check."""
-    u = (df.select(F.col(truth).alias("l")).unionByName(df.select(F.col(pred).alias("l")))
-         .filter(F.col("l").isNotNull()).distinct())
-    arr = u.agg(F.array_sort(F.collect_list("l")).alias("labels"))
-    return arr.select(F.when(F.assert_true(F.size("labels") <= max_labels).isNull(), F.col("labels")).alias("labels"))
+def _positions(labels: DataFrame) -> DataFrame:
+    """``(pos, label)`` of a frame of distinct labels, in label order."""
+    return ordered_rank(labels.filter(F.col("label").isNotNull()), [F.col("label")], "pos").select(
+        F.col("pos").cast("int").alias("pos"), "label")
 
 
-def sorted_labels(df: DataFrame, col: str, max_labels: int = MAX_LABELS) -> DataFrame:
-    """T4: sorted distinct labels of one column as ``(pos, label)`` rows."""
-    return label_set(df, col, col, max_labels).select(F.posexplode("labels").alias("pos", "label"))
+def sorted_labels(df: DataFrame, col: str) -> DataFrame:
+    """T4: sorted distinct labels of one column as ``(pos, label)`` rows, any number."""
+    return _positions(df.select(F.col(col).alias("label")).distinct())
 
 
 def confusion_matrix(df: DataFrame, truth: str = "true_category", pred: str = "predicted_one",
-                     labels: Sequence[str] | None = None, max_labels: int = MAX_LABELS) -> DataFrame:
+                     labels: Sequence[str] | None = None) -> DataFrame:
     """``(actual, predicted, n)`` for every cell of the label grid, zero
     cells included.  ``labels`` fixes the order/selection (embedding pipeline);
     by default the sorted union of actual and predicted labels (always the
-    union, so a label only ever predicted keeps its column)."""
+    union, so a label only ever predicted keeps its column).
+
+    The grid has the square of the number of labels as rows, by its definition; it is
+    laid out by position (each label's row of positions, joined to the labels)."""
+    counts = pair_counts(df, truth, pred)
     if labels is None:
-        ls = label_set(df, truth, pred, max_labels)
+        both = counts.select(F.explode(F.array("truth", "pred")).alias("label")).distinct()
+        places = stage_table(_positions(both), "labels")
     else:
-        ls = df.sparkSession.range(1).select(F.array(*[F.lit(x) for x in labels]).alias("labels"))
-    cells = (ls.select(F.explode("labels").alias("actual"), "labels")
-             .select("actual", F.explode("labels").alias("predicted")))
-    counts = df.groupBy(F.col(truth).alias("actual"), F.col(pred).alias("predicted")).agg(
-        F.count(F.lit(1)).alias("n"))
-    return (cells.join(counts, ["actual", "predicted"], "left")
+        places = df.sparkSession.createDataFrame(list(enumerate(labels)), "pos int, label string")
+    last = places.count() - 1
+    across = F.sequence(F.lit(0), F.lit(last)) if last >= 0 else F.array().cast("array<int>")
+    cells = (places.select(F.col("label").alias("actual"), F.explode(across).alias("pos"))
+             .join(places.withColumnRenamed("label", "predicted"), "pos"))
+    found = counts.select(F.col("truth").alias("actual"), F.col("pred").alias("predicted"), "n")
+    return (cells.join(found, ["actual", "predicted"], "left")
             .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
 
-def confusion_wide(cm: DataFrame) -> DataFrame:
-    """A7 wide: one row per actual label with a ``predicted -> n`` map (no
-    driver-side pivot value collection)."""
-    return cm.groupBy("actual").agg(F.map_from_entries(F.array_sort(F.collect_list(
-        F.struct("predicted", "n")))).alias("row"))
-
-
 # ---------------------------------------------------------------------------- A8-A11
 
 def confidence_by_correct(df: DataFrame, conf: str = "confidence_one", correct: str = "is_correct") -> DataFrame:

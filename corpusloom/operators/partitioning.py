@@ -11,16 +11,3 @@ def default_parallelism(df: DataFrame) -> int:
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
     except Exception:  # noqa: BLE001
         return spark.sparkContext.defaultParallelism
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition *only* when the input is under-split (fewer
-    partitions than ``min_partitions``, default the shuffle parallelism), so
-    CPU-heavy per-row work (tokenising whole texts, model calls) uses every
-    core.  On a cluster scan a large table already has thousands of splits and
-    this is a no-op; the partition count of a file scan is known at planning
-    time (no job runs)."""
-    target = min_partitions or default_parallelism(df)
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df

@@ -15,7 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.ranking import attach_scalars, hash32, hash_rank, seeded_hash
+from corpusloom.operators.ranking import attach_scalars, hash60, hash_rank, row_hash, seeded_hash
+from corpusloom.session import stage_table
 
 DRAW_CHUNK = 4096
 
@@ -27,7 +28,7 @@ def hash_order(df: DataFrame, seed=42, id_col: str = "lens_id", tiebreak: Sequen
     to the caller (``orderBy('shuffle_key')``) because nothing downstream needs one."""
     out = df.withColumn("shuffle_key", seeded_hash(seed, id_col))
     if position_col:
-        out = hash_rank(out, F.col("shuffle_key"), tiebreak=[id_col, *tiebreak], rank_col=position_col)
+        out = hash_rank(out, F.col("shuffle_key"), tiebreak=[id_col, *tiebreak, row_hash(df)], rank_col=position_col)
     return out
 
 
@@ -35,14 +36,14 @@ def split_fraction(df: DataFrame, frac: float = 0.8, seed=42, id_col: str = "len
                    tiebreak: Sequence[str] = (), test_col: str = "is_test") -> DataFrame:
     """Positional split of the shuffled frame — the first ``floor(frac*n)``
     rows train, the rest test.  Exact sizes (no Bernoulli sampling)."""
-    r = hash_rank(df, seeded_hash(seed, id_col), tiebreak=[id_col, *tiebreak], rank_col="_r", size_col="_n")
+    r = hash_rank(df, seeded_hash(seed, id_col), tiebreak=[id_col, *tiebreak, row_hash(df)], rank_col="_r", size_col="_n")
     return r.withColumn(test_col, F.col("_r") >= F.floor(F.col("_n") * frac)).drop("_r", "_n")
 
 
 def cap_per_class(df: DataFrame, limit: int, seed="42:cap", label: str = "category",
                   id_col: str = "lens_id", tiebreak: Sequence[str] = ()) -> DataFrame:
     """Keep ``min(n, limit)`` rows of each class (seeded)."""
-    r = hash_rank(df, seeded_hash(seed, id_col), by=[label], tiebreak=[id_col, *tiebreak], rank_col="_r")
+    r = hash_rank(df, seeded_hash(seed, id_col), by=[label], tiebreak=[id_col, *tiebreak, row_hash(df)], rank_col="_r")
     return r.filter(F.col("_r") < limit).drop("_r")
 
 
@@ -56,14 +57,14 @@ def oversample(df: DataFrame, seed=42, label: str = "category", id_col: str = "l
                num_partitions: int | None = None) -> DataFrame:
     """B2: bootstrap — every class, the largest included, is redrawn with
     replacement to the largest class size.  Draw ``k`` of class ``c`` picks the
-    row of rank ``h(seed:c:k) mod n_c``.
+    row of rank ``h(seed:c:k) mod n_c``, h of 60 bits.
 
     Draw numbers are generated in chunks of ``DRAW_CHUNK`` spread over
     ``num_partitions`` tasks, then equi-joined to the ranked rows on
     ``(class, rank)`` — no task generates a whole class."""
     spark = df.sparkSession
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranked = hash_rank(df, seeded_hash(seed, id_col), by=[label], tiebreak=[id_col, *tiebreak], rank_col="_r")
+    ranked = hash_rank(df, seeded_hash(seed, id_col), by=[label], tiebreak=[id_col, *tiebreak, row_hash(df)], rank_col="_r")
     sizes = class_sizes(df, label)
     classes = attach_scalars(sizes, sizes.agg(F.max("n").alias("_mx")))
     chunks = classes.select(label, "n", "_mx", F.explode(F.sequence(
@@ -72,7 +73,7 @@ def oversample(df: DataFrame, seed=42, label: str = "category", id_col: str = "l
     draws = chunks.select(label, "n", F.explode(F.sequence(
         F.col("_chunk") * DRAW_CHUNK,
         F.least((F.col("_chunk") + 1) * DRAW_CHUNK, F.col("_mx")) - 1)).alias(draw_col))
-    draws = draws.withColumn("_r", F.pmod(hash32(seeded_hash(seed, label, draw_col)), F.col("n"))).drop("n")
+    draws = draws.withColumn("_r", F.pmod(hash60(seeded_hash(seed, label, draw_col)), F.col("n"))).drop("n")
     return draws.join(ranked, [label, "_r"]).drop("_r")
 
 
@@ -85,16 +86,19 @@ def suffix_copies(df: DataFrame, id_col: str = "lens_id", seed=42, order_cols: S
     return r.withColumn(out_col or id_col, F.concat(F.col(id_col), F.lit("_"), F.col("_k").cast("string"))).drop("_k")
 
 
-def balance_train(df: DataFrame, limit: int | None = 1000, seed=42, frac: float = 0.8,
+def balance_train(df: DataFrame, limit: int | None = None, seed=42, frac: float = 0.8,
                   label: str = "category", id_col: str = "lens_id", test_col: str = "is_test") -> DataFrame:
     """Split -> (cap) -> oversample the train part only -> suffix ids ->
-    append the untouched test rows (ids not suffixed)."""
-    s = split_fraction(df, frac, seed, id_col, tiebreak=[label], test_col=test_col)
+    append the untouched test rows (ids not suffixed).  ``limit`` is a feature: with it,
+    every class keeps at most so many train rows, and no others reach what is built
+    from the result; by default none are left out.  The split, the capped train rows
+    and the draws are stage tables: both parts of the split come from one evaluation."""
+    s = stage_table(split_fraction(df, frac, seed, id_col, tiebreak=[label], test_col=test_col), "split")
     train = s.filter(~F.col(test_col))
     test = s.filter(F.col(test_col))
     if limit is not None:
-        train = cap_per_class(train, limit, f"{seed}:cap", label, id_col, tiebreak=[label])
-    over = oversample(train, seed, label, id_col, tiebreak=[label])
+        train = stage_table(cap_per_class(train, limit, f"{seed}:cap", label, id_col, tiebreak=[label]), "capped")
+    over = stage_table(oversample(train, seed, label, id_col, tiebreak=[label]), "draws")
     over = suffix_copies(over, id_col, seed, (label, "draw")).drop("draw")
     return over.unionByName(test)
 
@@ -112,7 +116,7 @@ def undersample_majority(df: DataFrame, majority: str, others: Sequence[str], ta
     rows of the majority class, target defaulting to A3 over ``others``."""
     maj = df.filter(F.col(label) == majority)
     rest = df.filter(F.col(label) != majority)
-    r = hash_rank(maj, seeded_hash(seed, id_col), tiebreak=[id_col], rank_col="_r")
+    r = hash_rank(maj, seeded_hash(seed, id_col), tiebreak=[id_col, row_hash(df)], rank_col="_r")
     if target is None:
         r = attach_scalars(r, mean_class_size(df, others, label))
         keep = F.col("_r") < F.col("mean_size")
@@ -124,14 +128,14 @@ def stratified_split(df: DataFrame, label: str = "category", test_size: float =
                      id_col: str = "lens_id", test_col: str = "is_test") -> DataFrame:
     """Per label, the first ``round(test_size * n_label)`` rows of the seeded
     order are test (sklearn allocates the remainder slightly differently)."""
-    r = hash_rank(df, seeded_hash(seed, id_col), by=[label], tiebreak=[id_col], rank_col="_r", size_col="_n")
+    r = hash_rank(df, seeded_hash(seed, id_col), by=[label], tiebreak=[id_col, row_hash(df)], rank_col="_r", size_col="_n")
     return r.withColumn(test_col, F.col("_r") < F.round(F.col("_n") * test_size)).drop("_r", "_n")
 
 
 def sample_n(df: DataFrame, n: int, seed=42, id_col: str = "lens_id") -> DataFrame:
     """Seeded uniform subsample of exactly ``min(n, rows)`` rows (the
     sample size is the feature)."""
-    r = hash_rank(df, seeded_hash(seed, id_col), tiebreak=[id_col], rank_col="_r")
+    r = hash_rank(df, seeded_hash(seed, id_col), tiebreak=[id_col, row_hash(df)], rank_col="_r")
     return r.filter(F.col("_r") < n).drop("_r")
 
 
@@ -146,7 +150,7 @@ def head_n(df: DataFrame, n: int, by: str, order: Sequence[str]) -> DataFrame:
 def stratified_folds(df: DataFrame, k: int = 5, label: str = "category", seed=42,
                      id_col: str = "lens_id", fold_col: str = "fold") -> DataFrame:
     """Stratified, shuffled k-fold ids: rank inside the label mod ``k``."""
-    r = hash_rank(df, seeded_hash(seed, id_col), by=[label], tiebreak=[id_col], rank_col="_r")
+    r = hash_rank(df, seeded_hash(seed, id_col), by=[label], tiebreak=[id_col, row_hash(df)], rank_col="_r")
     return r.withColumn(fold_col, (F.col("_r") % k).cast("int")).drop("_r")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.functions.scores import (clean_response, content_key, parse_inputs, result_columns, scores_struct,
+from corpusloom.functions.scores import (clean_response, parse_inputs, result_columns, scores_struct, store_key,
                                          top_two)
 from corpusloom.operators.ranking import attach_scalars
 
@@ -94,7 +94,10 @@ def _with_retries(fn: Callable, attempts: int, wait: tuple[float, float]):
     def call(batch):
         for k in range(attempts):
             try:
-                return fn(batch)
+                out = list(fn(batch))
+                if len(out) != len(batch):
+                    raise ValueError(f"the model gave {len(out)} answers for {len(batch)} texts")
+                return out
             except Exception:  # noqa: BLE001 - any model failure is retried, then surfaced
                 if k == attempts - 1:
                     raise
@@ -105,10 +108,14 @@ def _with_retries(fn: Callable, attempts: int, wait: tuple[float, float]):
 def call_model(df: DataFrame, fn: Callable[[list[str]], list], in_col: str, out_col: str,
                out_type: T.DataType, max_parallel: int | None = None, batch_size: int = 64,
                attempts: int = 3, wait: tuple[float, float] = (1.0, 2.0),
-               per_row_errors: bool = False) -> DataFrame:
+               per_row_errors: bool = False, profile=None) -> DataFrame:
     """Run a user callable over ``in_col`` in Arrow batches of
-    ``batch_size``; ``max_parallel`` bounds concurrent calls by the number of
-    partitions (no driver threads).  With ``per_row_errors`` a batch that still
+    ``batch_size``.  Concurrent calls are bounded by the resources of the task, not by
+    the number of partitions: on a cluster pass ``profile`` (a Spark ResourceProfile
+    whose tasks ask for a share of a custom ``model`` resource), so work stays in many
+    small partitions and a retried task repeats only its own.  A ``local`` master has no
+    profiles; there ``max_parallel`` sets the number of partitions.  An answer of the
+    wrong length counts as a failure.  With ``per_row_errors`` a batch that still
     fails after the retries is retried row by row and failing rows get null
     (the caller turns them into error rows)."""
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, out_type, True)])
@@ -120,7 +127,7 @@ def call_model(df: DataFrame, fn: Callable[[list[str]], list], in_col: str, out_
                 part = pdf.iloc[start:start + batch_size].copy()
                 texts = part[in_col].fillna("").tolist()
                 try:
-                    out = list(guarded(texts))
+                    out = guarded(texts)
                 except Exception:  # noqa: BLE001
                     if not per_row_errors:
                         raise
@@ -133,8 +140,9 @@ def call_model(df: DataFrame, fn: Callable[[list[str]], list], in_col: str, out_
                 part[out_col] = pd.Series(out, index=part.index, dtype=object)
                 yield part
 
-    src = df.repartition(max_parallel) if max_parallel else df
-    return src.mapInPandas(run, schema)
+    if df.sparkSession.sparkContext.master.startswith("local["):
+        return (df.repartition(max_parallel) if max_parallel else df).mapInPandas(run, schema)
+    return df.mapInPandas(run, schema, profile=profile)
 
 
 # ----------------------------------------------------------------------------- L9
@@ -159,13 +167,14 @@ def zero_shot(df: DataFrame, prompt: DataFrame, categories: Sequence[str], call_
 # ----------------------------------------------------------------------------- J5 / L2
 
 def store_keys(texts: DataFrame, text_col: str, embedder: str) -> DataFrame:
-    return texts.withColumn("content_key", content_key(text_col, embedder))
+    return texts.withColumn("content_key", store_key(text_col, embedder))
 
 
 def missing_embeddings(texts: DataFrame, store: DataFrame | None, text_col: str,
                        embedder: str) -> DataFrame:
-    """Distinct texts (by content key) that the store does not hold yet."""
-    k = store_keys(texts, text_col, embedder).select("content_key", F.col(text_col).alias("text")) \
+    """Distinct texts (by the whole hash) that the store does not hold yet; null
+    texts count as one empty text."""
+    k = store_keys(texts, text_col, embedder).select("content_key", F.coalesce(text_col, F.lit("")).alias("text")) \
         .dropDuplicates(["content_key"])
     if store is None:
         return k
@@ -194,7 +203,9 @@ def embed_texts(texts: DataFrame, embed_fn: Callable, store_path: str, text_col:
     new = new_embeddings(texts, embed_fn, io.read_embeddings(spark, store_path), text_col, embedder,
                          max_parallel, batch_size)
     io.write_embeddings(new, store_path)
-    store = io.read_embeddings(spark, store_path).filter(F.col("embedder") == embedder)
+    # two writers at once may both have added a text: one row for each key
+    store = (io.read_embeddings(spark, store_path).filter(F.col("embedder") == embedder)
+             .dropDuplicates(["content_key"]))
     return store_keys(texts, text_col, embedder).join(store.select("content_key", "embedding"),
                                                       "content_key", "left")
 

@@ -94,10 +94,10 @@ _edges_sql("g4_edges", "kp_keys_ne", "same_keyphrase")
 
 
 def _graph(spark: SparkSession, sf_dir: str):
-    """Records and node tables, materialised at the stage boundary (reliable
-    checkpoint in the shared folder): every later join reads them instead of
-    re-planning records -> ranks in each branch."""
-    recs = cut_lineage(fx.records(spark, sf_dir).withColumn("classifications", merge_codes("cpc", "ipcr")))
+    """Records (ids, labels and codes only) and node tables as stage tables: every
+    later join reads them instead of re-planning records -> ranks in each branch."""
+    recs = cut_lineage(fx.records(spark, sf_dir).select("lens_id", "category", "cpc", "ipcr")
+                       .withColumn("classifications", merge_codes("cpc", "ipcr")))
     nodes, cats, feats = g.build_nodes(recs, materialize=True)
     return recs, nodes, cats, feats
 

@@ -1,35 +1,13 @@
-"""Keyphrase extraction queries (L1) over the whole texts of ``documents``."""
+"""Keyphrase extraction queries (L1) over the whole texts of ``documents``; the CTEs of
+the same work are in ``sql_fixtures``, since record fixtures use them."""
 
 from __future__ import annotations
 
 from corpusloom.operators import keyphrases as kp
 from corpusloom.plans.registry import query
-from corpusloom.plans.sql_fixtures import cte, sql
+from corpusloom.plans.sql_fixtures import sql
 from corpusloom.sources.tables import table
 
-_STOP = "[" + ", ".join("'" + w + "'" for w in kp.STOP_WORDS) + "]"
-
-cte("kp_tokens", (), r"""
-SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t
-FROM documents WHERE text IS NOT NULL""")
-cte("kp_ok", ("kp_tokens",), f"""
-SELECT doc_id, t, list_transform(t, lambda w: length(w) >= {kp.MIN_TOKEN_LEN} AND NOT list_contains({_STOP}, w)) AS ok
-FROM kp_tokens""")
-cte("kp_cand", ("kp_ok",), """
-SELECT doc_id, unnest(list_transform(
-         list_filter(range(1, len(t) - n + 2), lambda i: list_aggregate(list_slice(ok, i, i + n - 1), 'bool_and')),
-         lambda i: array_to_string(list_slice(t, i, i + n - 1), ' '))) AS phrase
-FROM kp_ok, (VALUES (1), (2), (3)) v(n)""")
-cte("kp_scored", ("kp_cand",), """
-SELECT tf.doc_id, tf.phrase, tf.tf, d.df, d.cf, tf.tf * ln(n.n / d.df) AS score
-FROM (SELECT doc_id, phrase, count(*) AS tf FROM kp_cand GROUP BY 1, 2) tf
-JOIN (SELECT phrase, count(DISTINCT doc_id) AS df, count(*) AS cf FROM kp_cand GROUP BY phrase) d USING (phrase),
-     (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL) n""")
-cte("kp_top", ("kp_scored",), """
-SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, phrase) AS INTEGER) AS rank FROM kp_scored)
-WHERE rank <= 10""")
-
-
 @query("l1_tfidf_keyphrases", sql=sql(["kp_top"], "SELECT doc_id, rank, phrase, score, tf, df, cf FROM kp_top"))
 def l1(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")

@@ -1,6 +1,6 @@
 """Learning queries (L4-L8, S12, G6).  Fitted weights are not comparable across
-engines, so the L5-L8 / S12 queries return stable row sets (labels, counts);
-standardisation and masks have exact oracles."""
+engines, so the L5-L8 / S12 queries return what does not depend on them (which rows are
+scored, with what label, and whether each result is consistent), with oracles."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from corpusloom.operators import ml
 from corpusloom.operators import sampling as sm
 from corpusloom.plans import graph_queries, sampling_queries  # noqa: F401  (their shared CTEs)
 from corpusloom.plans.registry import query
-from corpusloom.plans.sql_fixtures import sql
+from corpusloom.plans.sql_fixtures import cte, sql
 from corpusloom.sources import fixtures as fx
 from corpusloom.session import cut_lineage
 from corpusloom.sources import io
@@ -31,7 +31,16 @@ def _vector_split(spark, sf):
     return sm.stratified_split(v, "category", 0.2, 42, id_col="vec_id")
 
 
-@query("l5_rbf_classifier")
+cte("vec_test", ("vectors",), """
+SELECT vec_id, category FROM (
+  SELECT vec_id, category, count(*) OVER (PARTITION BY category) AS n,
+         row_number() OVER (PARTITION BY category ORDER BY md5('42:' || vec_id), vec_id) - 1 AS rk FROM vectors)
+WHERE rk < round(n * 0.2)""")
+
+
+@query("l5_rbf_classifier", sql=sql(["vec_test"], """
+SELECT category AS label, count(*) AS support FROM vec_test GROUP BY category
+UNION ALL SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), (SELECT count(*) FROM vec_test)"""))
 def l5(spark, sf):
     """Fit on the stratified 80 % (L5), score the 20 % (L7), report."""
     s = _vector_split(spark, sf)
@@ -40,21 +49,26 @@ def l5(spark, sf):
     return mt.classification_report(p, "category", "predicted").select("label", "support")
 
 
-@query("l6_tune_rbf")
+@query("l6_tune_rbf", sql="SELECT 12 AS grid_size, 5 AS folds, true AS in_grid, true AS scored")
 def l6(spark, sf):
-    """Grid search: 3 C x 4 gamma, 5 folds, weighted F1 (one row)."""
+    """Grid search: 3 C x 4 gamma, 5 stratified folds, weighted F1 (one row)."""
     s = _vector_split(spark, sf).filter(~F.col("is_test"))
     gam, c, score, _ = ml.tune_rbf(s, n_features=64)
-    return spark.range(1).select(F.lit(str(gam)).alias("best_gamma"), F.lit(float(c)).alias("best_C"),
-                                 F.lit(12).alias("grid_size"), F.lit(5).alias("folds"))
+    return spark.range(1).select(F.lit(len(ml.GRID_C) * len(ml.GRID_GAMMA)).alias("grid_size"), F.lit(5).alias("folds"),
+                                 F.lit(gam in ml.GRID_GAMMA and c in ml.GRID_C).alias("in_grid"),
+                                 F.lit(0.0 < score <= 1.0).alias("scored"))
 
 
-@query("l7_predict")
+@query("l7_predict", sql=sql(["vec_test"], "SELECT vec_id, category, true AS consistent FROM vec_test"))
 def l7(spark, sf):
     s = _vector_split(spark, sf)
     model = ml.fit_rbf_classifier(s.filter(~F.col("is_test")), n_features=128)
-    return ml.predict(model, s.filter(F.col("is_test"))).select("vec_id", "category", "predicted_one",
-                                                                "predicted_two")
+    known = F.array(*[F.lit(c) for c in model.classes])
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, x: a + x)
+    ok = (F.array_contains(known, F.col("predicted_one")) & F.array_contains(known, F.col("predicted_two"))
+          & (F.col("predicted_one") != F.col("predicted_two")) & (F.col("predicted") == F.col("predicted_one"))
+          & (F.col("confidence_one") >= F.col("confidence_two")) & F.abs(total - 1).between(0, 1e-6))
+    return ml.predict(model, s.filter(F.col("is_test"))).select("vec_id", "category", ok.alias("consistent"))
 
 
 def _masked_graph(spark, sf):
@@ -71,7 +85,9 @@ def g6(spark, sf):
     return _masked_graph(spark, sf)[4]
 
 
-@query("l8_node_classifier")
+@query("l8_node_classifier", sql=sql(["split80", "nodes"], """
+SELECT n.y AS label, count(*) AS n_test
+FROM nodes n JOIN (SELECT lens_id FROM split80 GROUP BY lens_id HAVING bool_or(is_test)) s ON s.lens_id = n.lens_id GROUP BY n.y"""))
 def l8(spark, sf):
     """Label features of train nodes only (test rows masked, no leakage),
     one GCN hop over class-code edges, MLP [k, 16, k] on train nodes, scored
@@ -79,12 +95,12 @@ def l8(spark, sf):
     recs, nodes, cats, feats, masks = _masked_graph(spark, sf)
     train_feats = feats.join(masks.filter("train_mask").select("node"), "node")
     prop = g.gcn_propagate(nodes, graph_queries._edges(recs, nodes), train_feats, hops=1)
-    k = 4  # label count of the record fixture (a plan constant, like the model's output width)
+    k = cats.count()  # the model's output width
     _, scored = ml.fit_node_classifier(nodes, prop, masks, n_classes=k, width=k, max_iter=100)
     return scored.groupBy(F.col("y").alias("label")).agg(F.count(F.lit(1)).alias("n_test"))
 
 
-@query("s12_model_store")
+@query("s12_model_store", sql=sql(["vec_test"], "SELECT category, count(*) AS n FROM vec_test GROUP BY category"))
 def s12(spark, sf):
     s = _vector_split(spark, sf)
     model = ml.fit_rbf_classifier(s.filter(~F.col("is_test")), n_features=64)

@@ -35,7 +35,7 @@ r AS (SELECT *, {_rk('category', '42', ', category')} AS rk FROM {src}),
 c AS (SELECT category, count(*) AS n FROM {src} GROUP BY category),
 m AS (SELECT max(n) AS mx FROM c),
 d AS (SELECT category, n, unnest(range(0, mx)) AS draw FROM c, m),
-dr AS (SELECT category, draw, (('0x' || substr(md5('42:' || category || ':' || CAST(draw AS VARCHAR)), 1, 8))::BIGINT) % n AS rk FROM d),
+dr AS (SELECT category, draw, (('0x' || substr(md5('42:' || category || ':' || CAST(draw AS VARCHAR)), 1, 15))::BIGINT) % n AS rk FROM d),
 o AS (SELECT r.*, dr.draw FROM dr JOIN r ON r.category = dr.category AND r.rk = dr.rk)"""
 
 

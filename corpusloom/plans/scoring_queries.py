@@ -64,7 +64,8 @@ _VALID = "'{\"predicted_label\": \"c1\", \"confidence\": ' || " + _T[0] + " || '
 cte("responses", ("scores5",), f"""
 SELECT *, CASE vec_id % 20 WHEN 0 THEN 'unparseable' WHEN 1 THEN '[' || {_SC} || ']' WHEN 2 THEN '{{}}'
   WHEN 3 THEN {_VALID} || ' thanks' WHEN 4 THEN '```json' || chr(10) || {_VALID} || chr(10) || '```'
-  WHEN 5 THEN '{{"predicted_label": null, "scores": null}}' ELSE {_VALID} END AS response
+  WHEN 5 THEN '{{"predicted_label": null, "scores": null}}' WHEN 6 THEN '{{"scores": {{"c1": "NaN", "c2": 0.3}}}}'
+  WHEN 7 THEN '{{"scores": {{"c1": 0.3, "c2": "Infinity"}}}}' ELSE {_VALID} END AS response
 FROM scores5""")
 
 
@@ -78,11 +79,11 @@ def p12(spark, sf):
 
 @query("p13_parse_scores", sql=sql(["scores5"], f"""
 SELECT vec_id, {_CASE} NOT IN (0, 1, 3) AS ok, {_CASE} IN (2, 5) AS is_empty,
-       CASE WHEN {_CASE} IN (0, 1, 3, 2, 5) THEN NULL ELSE 5 END AS n_scores,
-       CASE WHEN {_CASE} IN (0, 1, 3, 2, 5) THEN NULL ELSE (s1 + s2 + s3 + s4 + s5) / 1000.0 END AS score_sum
+       CASE WHEN {_CASE} IN (0, 1, 3, 2, 5, 6, 7) THEN NULL ELSE 5 END AS n_scores,
+       CASE WHEN {_CASE} IN (0, 1, 3, 2, 5, 6, 7) THEN NULL ELSE (s1 + s2 + s3 + s4 + s5) / 1000.0 END AS score_sum
 FROM scores5"""))
 def p13(spark, sf):
-    r = fx.responses(spark, sf).withColumn("p", sc.parse_scores(sc.clean_response("response")))
+    r = so.parse_responses(fx.responses(spark, sf), "response", "p")
     m = F.col("p.scores")
     return r.select("vec_id", F.col("p.ok").alias("ok"), F.col("p.empty").alias("is_empty"),
                     F.when(m.isNotNull(), F.size(m)).alias("n_scores"),
@@ -90,9 +91,9 @@ def p13(spark, sf):
 
 
 @query("p14_top_two", sql=sql(["score_top"], f"""
-SELECT vec_id, k1, v1, k2, v2 FROM score_top WHERE {_CASE} NOT IN (0, 1, 3, 2, 5)"""))
+SELECT vec_id, k1, v1, k2, v2 FROM score_top WHERE {_CASE} NOT IN (0, 1, 3, 2, 5, 6, 7)"""))
 def p14(spark, sf):
-    r = fx.responses(spark, sf).withColumn("p", sc.parse_scores(sc.clean_response("response")))
+    r = so.parse_responses(fx.responses(spark, sf), "response", "p")
     r = r.filter(F.col("p.scores").isNotNull()).withColumn("t", sc.top_two(F.col("p.scores")))
     return r.select("vec_id", "t.k1", "t.v1", "t.k2", "t.v2")
 
@@ -139,7 +140,7 @@ def l3(spark, sf):
     return so.mean_pool(fx.tokens(spark, sf))
 
 
-_DOC_KEYS = "SELECT DISTINCT substr(md5(text), 1, 16) || '_hash16' AS content_key, lang FROM documents"
+_DOC_KEYS = "SELECT DISTINCT sha256(coalesce(text, '')) || '_hash16' AS content_key, lang FROM documents"
 
 
 @query("j5_cache_misses", sql=f"""
@@ -151,7 +152,7 @@ def j5(spark, sf):
     return so.missing_embeddings(d, store, "text", "hash16").select("content_key")
 
 
-@query("l2_embed_texts")
+@query("l2_embed_texts", sql="SELECT lang, count(*) AS n_docs, count(*) AS n_embedded FROM documents GROUP BY lang")
 def l2(spark, sf):
     """Embed the English documents into a fresh store, then run the whole
     corpus: only misses are embedded the second time."""
@@ -170,12 +171,26 @@ def _zero_shot(spark, sf, max_parallel):
                         max_parallel=max_parallel)
 
 
-@query("l9_zero_shot")
+def _consistent(r: DataFrame) -> DataFrame:
+    """Each result row is an error row, or its two predictions are different labels in
+    order of confidence."""
+    labels = F.array(*[F.lit(x) for x in LABELS])
+    error = (F.col("predicted_one") == sc.ERROR_LABEL) & (F.col("predicted_two") == sc.ERROR_LABEL) & (
+        F.col("confidence_one") == 0)
+    fine = (F.array_contains(labels, F.col("predicted_one")) & F.array_contains(labels, F.col("predicted_two"))
+            & (F.col("predicted_one") != F.col("predicted_two")) & F.col("confidence_one").between(0, 1)
+            & (F.col("confidence_one") >= F.col("confidence_two")))
+    return r.withColumn("consistent", F.coalesce(error | fine, F.lit(False)))
+
+
+@query("l9_zero_shot", sql=sql(["records"], """
+SELECT lens_id AS "LensID", title AS "Title", category AS true_category, true AS consistent FROM records"""))
 def l9(spark, sf):
-    return _zero_shot(spark, sf, 8)
+    return _consistent(_zero_shot(spark, sf, 8)).select("LensID", "Title", "true_category", "consistent")
 
 
-@query("l10_bounded_parallel")
+@query("l10_bounded_parallel", sql=sql(["records"], """
+SELECT category AS true_category, count(*) AS n, count(*) AS n_consistent FROM records GROUP BY category"""))
 def l10(spark, sf):
-    return (_zero_shot(spark, sf, 2).groupBy("true_category", "predicted_one")
-            .agg(F.count(F.lit(1)).alias("n")))
+    return (_consistent(_zero_shot(spark, sf, 2)).groupBy("true_category")
+            .agg(F.count(F.lit(1)).alias("n"), F.count_if("consistent").alias("n_consistent")))

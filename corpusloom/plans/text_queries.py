@@ -89,23 +89,23 @@ def p9(spark, sf):
     return k.select("lens_id", F.explode(tx.code_levels("key", tx.LEVELS)).alias("level"))
 
 
-@_q("p10_pack_keyphrases", sql(["with_kp"], "SELECT lens_id, keyphrases FROM with_kp"))
+@_q("p10_pack_keyphrases", sql(["kp"], """
+SELECT lens_id, coalesce(array_to_string(flatten(list_transform(phrases, lambda p: string_split(translate(p, ',\'\'"[]', ''), ' '))), '|'), '') AS keyphrases
+FROM kp"""))
 def p10(spark, sf):
-    return fx.with_keyphrases(spark, sf).select("lens_id", "keyphrases")
+    r = fx.with_keyphrases(spark, sf)
+    return r.select("lens_id", tx.pack_keyphrases("phrases", split_words=True, casefold=False).alias("keyphrases"))
 
 
-@_q("p10_pack_keyphrases_whole", sql(["kp"], """
-SELECT lens_id, coalesce(array_to_string(list_transform(list_sort(list_distinct(phrases)), lambda p: lower(p)), '|'), '') AS keyphrases
-FROM kp"""))
+@_q("p10_pack_keyphrases_whole", sql(["with_kp"], "SELECT lens_id, keyphrases FROM with_kp"))
 def p10_whole(spark, sf):
-    r = fx.records(spark, sf).withColumn("phrases", fx.title_phrases(F.col("title")))
-    return r.select("lens_id", tx.pack_keyphrases(tx.distinct_phrases("phrases")).alias("keyphrases"))
+    return fx.with_keyphrases(spark, sf).select("lens_id", "keyphrases")
 
 
-@_q("u1_union_by_label", sql(["records"], "SELECT * FROM records WHERE category IN ('en', 'fr', 'de', 'es')"))
+@_q("u1_union_by_label", sql(["records"], "SELECT * FROM records"))
 def u1(spark, sf):
     r = fx.records(spark, sf)
-    return io.build_combined([r.filter(F.col("category") == lab) for lab in LABELS])
+    return io.build_combined([r.filter(F.col("category").eqNullSafe(lab)) for lab in fx.labels(r)])
 
 
 @_q("u2_distinct_labels", sql(["records"], "SELECT DISTINCT category FROM records"))
@@ -113,10 +113,9 @@ def u2(spark, sf):
     return fx.records(spark, sf).select("category").distinct()
 
 
-@_q("u3_distinct_phrases", sql(["kp"], """
-SELECT lens_id, array_to_string(list_sort(list_distinct(phrases)), '|') AS phrases FROM kp"""))
+@_q("u3_distinct_phrases", sql(["kp"], "SELECT lens_id, array_to_string(phrases, '|') AS phrases FROM kp"))
 def u3(spark, sf):
-    r = fx.records(spark, sf).withColumn("phrases", fx.title_phrases(F.col("title")))
+    r = fx.with_keyphrases(spark, sf)
     return r.select("lens_id", F.array_join(tx.distinct_phrases("phrases"), "|").alias("phrases"))
 
 

@@ -67,14 +67,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (written to the session's checkpoint folder, read
-    back as a new plan root).  Never a local checkpoint: executors can be lost
-    at any time."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stage_path(spark: SparkSession, label: str) -> str:
     """A new path under the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage/{label}-{uuid.uuid4().hex}"
@@ -91,3 +83,9 @@ def stage_table(df: DataFrame, label: str, partition_by: Sequence[str] = ()) ->
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Cut the plan at a stage boundary: a stage table, so later branches read only
+    the columns they need.  Never a local checkpoint: executors can be lost at any time."""
+    return stage_table(df, "cut")

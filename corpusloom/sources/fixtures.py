@@ -54,6 +54,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("lang").alias("category")))
 
 
+def labels(records_: DataFrame, col: str = "category") -> list[str | None]:
+    """The distinct labels of the data (a handful of files' worth), a null one included."""
+    return sorted((r[0] for r in records_.select(col).distinct().collect()), key=lambda x: (x is None, x))
+
+
 def vector_category(label: Column) -> Column:
     return F.concat(F.lit("c"), (label % N_VECTOR_CLASSES + 1).cast("string"))
 
@@ -76,7 +81,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``response`` plays a model answer; its shape is chosen by ``vec_id % 20``:
     0 malformed word, 1 JSON list, 2 empty object, 3 valid + trailing text,
-    4 fenced, 5 ``scores`` null, otherwise valid.
+    4 fenced, 5 ``scores`` null, 6 and 7 a score that is a string, otherwise valid.
     """
     e = table(spark, sf_dir, "embeddings")
     base = e.select("vec_id", vector_category(F.col("label")).alias("true_category"),
@@ -93,6 +98,8 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(case == 3, F.concat(valid, F.lit(" thanks")))
             .when(case == 4, F.concat(F.lit("```json\n"), valid, F.lit("\n```")))
             .when(case == 5, F.lit('{"predicted_label": null, "scores": null}'))
+            .when(case == 6, F.lit('{"scores": {"c1": "NaN", "c2": 0.3}}'))
+            .when(case == 7, F.lit('{"scores": {"c1": 0.3, "c2": "Infinity"}}'))
             .otherwise(valid))
     return base.withColumn("response", resp)
 
@@ -124,24 +131,14 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).join(src, "lens_id")
 
 
-# Punctuation that separates the phrases of a title.
-PHRASE_SPLIT = "[,.;:!?]"
-
-
-def title_phrases(title: Column) -> Column:
-    """Stand-in keyphrase list of a record: the trimmed, non-empty pieces of its
-    title between punctuation marks (input of U3 / P10)."""
-    from corpusloom.functions.text import strip_ws
-    return F.filter(F.transform(F.split(title, PHRASE_SPLIT, -1), lambda x: strip_ws(x)), lambda x: x != "")
-
-
 def with_keyphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records with ``phrases`` (array) and ``keyphrases`` packed as the
-    reference packs them (P10 with ``split_words=True, casefold=False``)."""
-    from corpusloom.functions.text import distinct_phrases, pack_keyphrases
-    r = records(spark, sf_dir).withColumn("phrases", title_phrases(F.col("title")))
-    return r.withColumn("keyphrases", pack_keyphrases(distinct_phrases("phrases"), split_words=True,
-                                                      casefold=False))
+    """Records with ``phrases`` (the L1 keyphrases of title and abstract, sorted) and
+    ``keyphrases`` (packed whole, P10)."""
+    from corpusloom.functions.text import combined_text
+    from corpusloom.operators.keyphrases import extract_keyphrases
+    r = records(spark, sf_dir)
+    k = extract_keyphrases(r.select("lens_id", combined_text("title", "abstract").alias("_text")), "lens_id", "_text")
+    return r.join(k, "lens_id")
 
 
 # The instruction block appended to every prompt template.

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import uuid
+import warnings
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -33,7 +34,12 @@ RESULT_SCHEMA = T.StructType([
     T.StructField("confidence_two", T.DoubleType())])
 PROMPT_SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("prompt_template", T.StringType())])
 
-_CSV = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
+# Nothing is trimmed; a null is an empty field, an empty text a quoted empty one.  (For
+# reading, the name of null must differ from the empty text; no text has this one.)
+_CSV = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"',
+        "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+_CSV_READ = {**_CSV, "nullValue": "\u0001null\u0001", "emptyValue": ""}
+_CSV_WRITE = {**_CSV, "nullValue": "", "emptyValue": '""'}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -43,15 +49,43 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 # S1 ------------------------------------------------------------------------------
+def _by_name(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns of ``schema`` by the header's names: its own, or for the record
+    columns those of the raw export.  Other columns, and their order, do not matter."""
+    export = dict(zip(RECORD_SCHEMA.names, RAW_RECORD_COLUMNS, strict=True))
+    picked = []
+    for f in schema.fields:
+        name = next((n for n in (f.name, export.get(f.name)) if n in raw.columns), None)
+        if name is None:
+            raise ValueError(f"the header has no column {f.name!r}; it has {raw.columns}")
+        picked.append(F.col(f"`{name}`").cast(f.dataType).alias(f.name))
+    return raw.select(*picked)
+
+
 def read_records(spark: SparkSession, path: str | Sequence[str],
                  schema: T.StructType = RECORD_SCHEMA) -> DataFrame:
-    """Header CSV with quoted multi-line text, explicit all-string schema."""
+    """Header CSV with quoted multi-line text; columns by header name, as strings.
+    Each path has a header of its own."""
     paths = [path] if isinstance(path, str) else list(path)
-    return spark.read.schema(schema).options(**_CSV).csv(paths)
+    return reduce(DataFrame.unionByName, [_by_name(spark.read.options(**_CSV_READ).csv(p), schema) for p in paths])
+
+
+def read_records_with_path(spark: SparkSession, paths: Sequence[str], schema: T.StructType = RECORD_SCHEMA) -> DataFrame:
+    """S1 with ``path``, the decoded path of the file (or Spark-written folder) of each row."""
+    out = []
+    for p in paths:
+        raw = spark.read.options(**_CSV_READ).csv(p)
+        out.append(_by_name(raw, schema).withColumn("path", source_path(F.input_file_name())))
+    return reduce(DataFrame.unionByName, out)
+
+
+def local_form(path: str) -> str:
+    """A path in the form that ``source_path`` gives it."""
+    return "/" + path[len("file:"):].lstrip("/") if path.startswith("file:") else path
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).options(**_CSV).csv(path)
+    df.write.mode(mode).options(**_CSV_WRITE).csv(path)
 
 
 # S2 / S3 -------------------------------------------------------------------------
@@ -61,36 +95,40 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def load_labelled(spark: SparkSession, files: Mapping[str, str],
+def load_labelled(spark: SparkSession, files: Mapping[str, str | None],
                   schema: T.StructType = RECORD_SCHEMA) -> DataFrame:
     """Every file adds constant ``category`` and ``source_file``; missing
-    files are skipped with a warning; the rest are concatenated by name.
-    One scan over all present files, the label attached from the file name
-    (no per-file loop of jobs)."""
-    present = {p: lab for p, lab in files.items() if _exists(spark, p)}
-    for p in files:
-        if p not in present:
-            print(f"Warning: File not found: {p}")
-    if not present:
-        return spark.createDataFrame([], schema.add("category", T.StringType()).add("source_file", T.StringType()))
-    df = read_records(spark, list(present), schema).withColumn("_path", F.input_file_name())
-    return (df.withColumn("source_file", _base_name(F.col("_path")))
-            .withColumn("category", label_for_file(F.col("source_file"),
-                                                   {os.path.basename(p): lab for p, lab in present.items()}))
-            .drop("_path"))
-
-
-def _base_name(path: Column) -> Column:
-    """File name of a scanned file; for a folder written by Spark, the folder."""
-    return F.regexp_extract(F.regexp_replace(path, r"/part-[^/]*$", ""), r"([^/]+)$", 1)
-
-
-def label_for_file(name: Column, mapping: Mapping[str, str]) -> Column:
-    """S3: label of a file by its name, falling back to the file stem.  The
-    mapping is a plan constant (a handful of files), so it is a literal map."""
-    m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))]) if mapping else None
-    stem = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1)
-    return F.coalesce(F.element_at(m, name), stem) if m is not None else stem
+    files are skipped with a warning; the rest are concatenated by name.  Label and
+    name belong to the path, so files of one name in two folders keep their own."""
+    frames = []
+    for path, label in files.items():
+        if _exists(spark, path):
+            frames.append(read_records(spark, path, schema)
+                          .withColumn("category", F.lit(label).cast("string"))
+                          .withColumn("source_file", F.lit(os.path.basename(path.rstrip("/")))))
+        else:
+            warnings.warn(f"no such file, skipped: {path}", stacklevel=2)
+    if not frames:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("category", T.StringType()),
+                                                       T.StructField("source_file", T.StringType())]))
+    return build_combined(frames)
+
+
+def source_path(path: Column) -> Column:
+    """Decoded path of a scanned file (``input_file_name`` is a URI); for a folder
+    written by Spark, the folder."""
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(F.regexp_replace(plain, r"^file:/+", "/"), r"/part-[^/]*$", "")
+
+
+def label_for_file(path: Column, mapping: Mapping[str, str]) -> Column:
+    """S3: label of a file by its whole (decoded) path, falling back to the stem of its
+    name.  The mapping is a plan constant (a handful of files), so it is a literal map."""
+    stem = F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1)
+    if not mapping:
+        return stem
+    m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
+    return F.coalesce(F.element_at(m, path), stem)
 
 
 # S4 / S5 / S6 / S7 ---------------------------------------------------------------
@@ -125,7 +163,7 @@ def latest_prompt(prompts: DataFrame) -> DataFrame:
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PROMPT_SCHEMA).options(**_CSV).csv(path)
+    return _by_name(spark.read.options(**_CSV_READ).csv(path), PROMPT_SCHEMA)
 
 
 # S9 ------------------------------------------------------------------------------
@@ -135,7 +173,7 @@ def write_results(df: DataFrame, path: str) -> None:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RESULT_SCHEMA).options(**_CSV).csv(path)
+    return _by_name(spark.read.options(**_CSV_READ).csv(path), RESULT_SCHEMA)
 
 
 # S10 -----------------------------------------------------------------------------
@@ -166,14 +204,3 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return (spark.read.parquet(os.path.join(path, "nodes")),
             spark.read.parquet(os.path.join(path, "edges")))
-
-
-# S12 -----------------------------------------------------------------------------
-def save_model(model, path: str) -> None:
-    """Fitted ``PipelineModel`` (or any MLWritable) saved, replacing."""
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str):
-    from pyspark.ml import PipelineModel
-    return PipelineModel.load(path)
