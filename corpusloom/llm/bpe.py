@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import own_columns
-from corpusloom.session import stage_path
+from corpusloom.session import stage_path, stage_table
 
 LEXICON_WORDS = 1 << 17
 WORDS_PER_TASK = 1 << 16
@@ -407,8 +407,20 @@ def frequent_words(docs: DataFrame, text_col: str = "text", lexicon_words: int =
                                           pa.array([n for _, n in top], pa.int64())], ["word", "n"])
 
     found = own_columns(docs, text_col).mapInArrow(count, "word binary, n long")
-    top = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(lexicon_words)
-    return [bytes(r.word) for r in top.select("word").collect()]
+    totals = stage_table(found.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # the least frequency with at most lexicon_words words above it, from a histogram of
+    # frequencies on a log scale (a few hundred rows)
+    step = F.floor(F.log2("n") * 8)
+    sizes = totals.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect()
+    kept, least = 0, None
+    for row in sizes:
+        kept += row.words
+        if kept > lexicon_words:
+            break
+        least = row.step
+    if least is None:
+        return []
+    return [bytes(r.word) for r in totals.where(step >= least).select("word").collect()]
 
 
 def publish(spark: SparkSession, arrays: dict[str, np.ndarray]) -> str:
