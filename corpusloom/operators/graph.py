@@ -275,9 +275,10 @@ def graph_profile(nodes: DataFrame, edges: DataFrame, masks: DataFrame | None =
     n = nodes.agg(F.count(F.lit(1)).alias("num_nodes"),
                   F.countDistinct("y").alias("num_classes"))
     e = edges.agg(F.count(F.lit(1)).alias("num_edges"))
-    mirror = edges.select(F.col("edge_type"), F.col("dst").alias("src"), F.col("src").alias("dst"))
-    unmatched = mirror.join(edges.select("edge_type", "src", "dst"), ["edge_type", "src", "dst"], "left_anti")
-    u = unmatched.agg((F.count(F.lit(1)) == 0).alias("is_undirected"))
+    # one aggregation by undirected pair: each pair (but a self loop) needs both directions
+    pairs = edges.groupBy("edge_type", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(
+        F.bool_or(F.col("src") <= F.col("dst")).alias("there"), F.bool_or(F.col("src") >= F.col("dst")).alias("back"))
+    u = pairs.agg((F.count_if(~(F.col("there") & F.col("back"))) == 0).alias("is_undirected"))
     out = _one_row_join([n, e, u])
     if masks is not None:
         t = masks.agg(F.count_if("train_mask").alias("num_train"))
@@ -304,26 +305,26 @@ def _degree_inv_sqrt(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             .select("node", F.pow(F.coalesce("_d", F.lit(0)) + 1.0, -0.5).alias("dinv")))
 
 
-def gcn_propagate(nodes: DataFrame, edges: DataFrame, features: DataFrame, hops: int = 1,
-                  checkpoint_each_hop: bool = False) -> DataFrame:
+def gcn_propagate(nodes: DataFrame, edges: DataFrame, features: DataFrame, hops: int = 1) -> DataFrame:
     """``X' = D^-1/2 (A + I) D^-1/2 X`` on coalesced 0/1 edges (self
     loops added once, degrees counted with them), repeated ``hops`` times.
 
     Long form in and out: ``(node, dim, value)``.  Each hop is one join of the
     edge list with pre-scaled features and one ``groupBy(dst, dim).sum`` with
     partial aggregation; hot destination nodes only grow the map-side combine.
+    Between hops the features are a stage table, so the plan grows linearly.
     """
     e = edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct()
     dinv = _degree_inv_sqrt(nodes, e)
     x = features.select("node", "dim", F.col("value").cast("double").alias("value"))
-    for _ in range(hops):
+    for hop in range(hops):
+        if hop:
+            x = cut_lineage(x)
         y = x.join(dinv, "node").select("node", "dim", (F.col("value") * F.col("dinv")).alias("v"))
         msg = (e.join(y.withColumnRenamed("node", "src"), "src")
                .select(F.col("dst").alias("node"), "dim", "v"))
         agg = msg.unionByName(y).groupBy("node", "dim").agg(F.sum("v").alias("s"))
         x = agg.join(dinv, "node").select("node", "dim", (F.col("s") * F.col("dinv")).alias("value"))
-        if checkpoint_each_hop:
-            x = cut_lineage(x)
     return x
 
 
@@ -335,12 +336,14 @@ def sage_aggregate(nodes: DataFrame, edges: DataFrame, features: DataFrame, agg:
 
     Dense semantics for max/mean: a missing (zero) feature of a neighbour counts
     as 0, so mean = sum / in-degree and max = max(0, stored max) when some
-    neighbour lacks the dim."""
+    neighbour lacks the dim.  Between hops the features are a stage table."""
     fn = {"mean": F.sum, "sum": F.sum, "max": F.max}[agg]
     e = edges.select("src", "dst").distinct()
     indeg = e.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("_deg"))
     x = features.select("node", "dim", F.col("value").cast("double").alias("value"))
-    for _ in range(hops):
+    for hop in range(hops):
+        if hop:
+            x = cut_lineage(x)
         d = x.agg((F.max("dim") + 1).alias("_d")) if n_dims is None else None
         msg = e.join(x.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "dim", "value")
         pooled = msg.groupBy("node", "dim").agg(fn("value").alias("p"), F.count(F.lit(1)).alias("_k"))
@@ -400,14 +403,6 @@ def normalise_rows(vec) -> Column:
     return bind_sum(v, lambda s: F.when(s != 0, F.transform(v, lambda x: x / s)).otherwise(v))
 
 
-def normalise_rows_long(features: DataFrame) -> DataFrame:
-    """P21 in long form."""
-    s = features.groupBy("node").agg(F.sum("value").alias("_s"))
-    return (features.join(s, "node")
-            .select("node", "dim", F.when(F.col("_s") != 0, F.col("value") / F.col("_s"))
-                    .otherwise(F.col("value")).alias("value")))
-
-
 def split_edges(edges: DataFrame, val: float = 0.05, test: float = 0.10, seed: int = 42) -> DataFrame:
     """Link-level split per edge type on undirected pairs (mirror rows stay
     together): first ``E - floor(val E) - floor(test E)`` pairs of the seeded

@@ -30,12 +30,18 @@ def category_pair_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct directed same-classification edges per (source category,
     destination category) — the live graph path of the reference ending in a
     small aggregate."""
-    recs = fx.records(spark, sf_dir)
-    edges = g.cooccurrence_edges(_level_incidence(recs), "same_classification")
-    cat = recs.select(F.col("lens_id"), F.col("category"))
-    return (edges.join(cat.withColumnRenamed("lens_id", "src").withColumnRenamed("category", "src_category"), "src")
-            .join(cat.withColumnRenamed("lens_id", "dst").withColumnRenamed("category", "dst_category"), "dst")
-            .groupBy("src_category", "dst_category").agg(F.count(F.lit(1)).alias("n_edges")))
+    # the category travels on the incidence rows, so no edge is joined to a record; each
+    # undirected pair is counted once and only the few result rows are mirrored
+    recs = fx.records(spark, sf_dir).select(
+        F.struct("lens_id", "category").alias("node"),
+        normalise_codes(merge_codes("cpc", "ipcr")).alias("_codes"))
+    pairs = g.cooccurrence_pairs(g.incidence(recs, "node", "_codes", levels=("group",))).select("src", "dst").distinct()
+    one_way = pairs.groupBy(F.col("src.category").alias("src_category"), F.col("dst.category").alias("dst_category")).agg(
+        F.count(F.lit(1)).alias("n"))
+    other_way = F.array(F.struct("src_category", "dst_category", "n"),
+                        F.struct(F.col("dst_category").alias("src_category"), F.col("src_category").alias("dst_category"), "n"))
+    return (one_way.select(F.inline(other_way)).groupBy("src_category", "dst_category")
+            .agg(F.sum("n").alias("n_edges")))
 
 
 query("g3_category_pair_edges", headline=True, sql=sql(["records", "level_keys"], """,
@@ -186,8 +192,8 @@ def g3(spark, sf):
 
 @query("g4_keyphrase_edges", sql=sql(["g4_edges"], "SELECT * FROM g4_edges"))
 def g4(spark, sf):
-    recs = fx.with_keyphrases(spark, sf)
-    nodes, _, _ = g.build_nodes(recs)
+    recs = cut_lineage(fx.with_keyphrases(spark, sf).select("lens_id", "category", "keyphrases"))
+    nodes, _, _ = g.build_nodes(recs, materialize=True)
     return g.keyphrase_edges(recs, nodes)
 
 
@@ -287,7 +293,7 @@ h2 AS (SELECT m.node, m.dim, sum(m.v) * any_value(deg.dinv) AS value
 SELECT node, dim, value FROM h2"""))
 def g7_two(spark, sf):
     recs, nodes, _, feats = _graph(spark, sf)
-    return g.gcn_propagate(nodes, _edges(recs, nodes), feats, hops=2, checkpoint_each_hop=True)
+    return g.gcn_propagate(nodes, _edges(recs, nodes), feats, hops=2)
 
 
 @query("j7_neighbour_sum", sql=sql(["g3_edges", "feats"], """
@@ -321,6 +327,23 @@ def g8_max(spark, sf):
     return g.sage_aggregate(nodes, _edges(recs, nodes), feats, agg="max")
 
 
+def _sage_hop(k: int, x: str) -> str:
+    return f""",
+d{k} AS (SELECT max(dim) + 1 AS w FROM {x}),
+p{k} AS (SELECT nb.dst AS node, f.dim, sum(f.value) AS p FROM nb JOIN {x} f ON f.node = nb.src GROUP BY nb.dst, f.dim),
+x{k} AS (SELECT node, dim, value FROM (SELECT node, dim, value FROM {x} UNION ALL
+         SELECT p.node, p.dim + d.w, p.p / i.deg FROM p{k} p JOIN indeg i USING (node), d{k} d) WHERE value <> 0)"""
+
+
+@query("g8_sage_two_hop", sql=sql(["g3_edges", "feats"], """,
+nb AS (SELECT DISTINCT src, dst FROM g3_edges),
+indeg AS (SELECT dst AS node, count(*) AS deg FROM nb GROUP BY dst)""" + _sage_hop(1, "feats") + _sage_hop(2, "x1")
+                                  + "\nSELECT node, dim, value FROM x2"))
+def g8_two(spark, sf):
+    recs, nodes, _, feats = _graph(spark, sf)
+    return g.sage_aggregate(nodes, _edges(recs, nodes), feats, agg="mean", hops=2)
+
+
 def _gcn_cte(t: str, edges: str) -> str:
     return f""",
 e_{t} AS (SELECT DISTINCT src, dst FROM {edges} WHERE src <> dst),
@@ -338,9 +361,10 @@ SELECT node, dim, sum(value) AS value FROM (SELECT * FROM h_a UNION ALL SELECT *
 def g9(spark, sf):
     """Per-edge-type GCN over class-code and keyphrase edges, summed per node
     and dim (the heterogeneous convolution's ``aggr='sum'``)."""
-    recs = fx.with_keyphrases(spark, sf).withColumn("classifications", merge_codes("cpc", "ipcr"))
-    nodes, _, feats = g.build_nodes(recs)
-    edges = _edges(recs, nodes).unionByName(g.keyphrase_edges(recs, nodes))
+    recs = cut_lineage(fx.with_keyphrases(spark, sf).withColumn("classifications", merge_codes("cpc", "ipcr"))
+                       .select("lens_id", "category", "classifications", "keyphrases"))
+    nodes, _, feats = g.build_nodes(recs, materialize=True)
+    edges = _edges(recs, nodes).unionByName(cut_lineage(g.keyphrase_edges(recs, nodes)))
     return g.hetero_propagate(nodes, edges, feats, ["same_classification", "same_keyphrase"])
 
 

@@ -193,14 +193,34 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.schema(STORE_SCHEMA).parquet(path) if _exists(spark, path) else None
 
 
+SET_SCHEMA = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("label", T.StringType()),
+                           T.StructField("content_key", T.StringType()), T.StructField("set_name", T.StringType())])
+
+
+def write_embedding_set(items: DataFrame, set_name: str, path: str) -> None:
+    """One named set beside the vectors — ``item_id, label, content_key`` of its
+    items (a set may have no labels: null); a set of that name is replaced."""
+    (items.select(F.col("item_id").cast("string").alias("item_id"), F.col("label").cast("string").alias("label"), "content_key")
+     .write.mode("overwrite").parquet(os.path.join(path, "sets", f"set_name={set_name}")))
+
+
+def read_embedding_sets(spark: SparkSession, path: str) -> DataFrame:
+    """All sets of a store: ``item_id, label, content_key, set_name``."""
+    return spark.read.schema(SET_SCHEMA).parquet(os.path.join(path, "sets"))
+
+
 # S11 -----------------------------------------------------------------------------
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Graph store — ``nodes/`` and ``edges/`` (partitioned by edge type),
-    replaced on each write."""
-    nodes.write.mode("overwrite").parquet(os.path.join(path, "nodes"))
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, features: DataFrame | None = None,
+                masks: DataFrame | None = None) -> None:
+    """Graph store — ``nodes/``, ``edges/`` (partitioned by edge type) and, so that
+    a reloaded graph can be trained, ``features/`` and ``masks/``; replaced on each write."""
     edges.write.mode("overwrite").partitionBy("edge_type").parquet(os.path.join(path, "edges"))
+    for name, part in (("nodes", nodes), ("features", features), ("masks", masks)):
+        if part is not None:
+            part.write.mode("overwrite").parquet(os.path.join(path, name))
 
 
-def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return (spark.read.parquet(os.path.join(path, "nodes")),
-            spark.read.parquet(os.path.join(path, "edges")))
+def read_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The stored parts of a graph by name."""
+    parts = {name: os.path.join(path, name) for name in ("nodes", "edges", "features", "masks")}
+    return {name: spark.read.parquet(p) for name, p in parts.items() if _exists(spark, p)}

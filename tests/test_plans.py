@@ -20,6 +20,23 @@ def test_no_cross_or_nested_loop_joins(spark, name):
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin", _plan(spark, name))
 
 
+def _leaves(spark, name):
+    plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan()
+    return plan.collectLeaves().size()
+
+
+@pytest.mark.parametrize(("name", "most"), [("b3_balance_train", 6), ("a6_classification_report", 6),
+                                            ("g3_category_pair_edges", 16)])
+def test_inputs_are_not_planned_over_and_over(spark, name, most):
+    assert _leaves(spark, name) <= most
+
+
+def test_graph_stage_tables_hold_no_texts(spark):
+    from corpusloom.plans import graph_queries
+    recs = graph_queries._graph(spark, SF_SMALL)[0]
+    assert set(recs.columns) == {"lens_id", "category", "cpc", "ipcr", "classifications"}
+
+
 def test_rank_windows_are_sub_bucketed(spark):
     p = _plan(spark, "b5_stratified_split")
     # the row_number window is partitioned by (class, hash sub-bucket), never by the class alone

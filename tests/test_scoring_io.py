@@ -79,6 +79,60 @@ def test_csv_round_trip_multiline_and_quotes(spark):
     back = {r.lens_id: r for r in io.read_records(spark, p).collect()}
     assert back["1"].title == 'say "hi"\nnext line' and back["1"].cpc == "A/1;;B/2"
     assert back["2"].title is None and back["2"].abstract == "x,y"
+    assert back["1"].abstract is None and back["1"].ipcr == "" and back["2"].ipcr is None
+
+
+def test_csv_keeps_blanks_and_edges(spark):
+    texts = ["  lead", "trail  \n", " ", "", None, "\tx\t", '"', "a\r\nb", "x,\"y\""]
+    df = spark.createDataFrame([(str(i), t, None, None, None) for i, t in enumerate(texts)], io.RECORD_SCHEMA)
+    p = io.scratch_path(spark, "t-csv")
+    io.write_csv(df, p)
+    back = {int(r.lens_id): r.title for r in io.read_records(spark, p).collect()}
+    assert [back[i] for i in range(len(texts))] == texts
+
+
+def test_csv_columns_by_header_name(spark):
+    p = io.scratch_path(spark, "t-csv")
+    io.write_csv(spark.createDataFrame([("7", "A/1", "T", "LID", "B/2", "Abs")],
+                                       "`#` string, `CPC Classifications` string, Title string, `Lens ID` string, "
+                                       "`IPCR Classifications` string, Abstract string"), p)
+    r = io.read_records(spark, p).first()
+    assert tuple(r) == ("LID", "T", "Abs", "A/1", "B/2")
+    io.write_csv(spark.createDataFrame([("x",)], "Title string"), p)
+    with pytest.raises(ValueError):
+        io.read_records(spark, p)
+
+
+def test_labels_follow_the_whole_path(spark):
+    base = io.scratch_path(spark, "t files+x")
+    files = {os.path.join(base, d, "My Set.csv"): d for d in ("a", "b")}
+    for p, lab in files.items():
+        io.write_csv(spark.createDataFrame([(lab, "t", None, None, None)], io.RECORD_SCHEMA), p)
+    got = {(r.lens_id, r.category, r.source_file) for r in io.load_labelled(spark, files).collect()}
+    assert got == {("a", "a", "My Set.csv"), ("b", "b", "My Set.csv")}
+    rows = io.read_records_with_path(spark, list(files))
+    known = {io.local_form(p): lab for p, lab in files.items() if lab == "a"}
+    assert {(r.lens_id, r.l) for r in rows.select("lens_id", io.label_for_file(F.col("path"), known).alias("l")).collect()} == {
+        ("a", "a"), ("b", "My Set")}
+
+
+def test_short_answers_are_failures(spark):
+    df = spark.createDataFrame([(str(i), f"t{i}", "A", f"text {i}") for i in range(4)],
+                               "lens_id string, title string, category string, text string")
+    prompt = spark.createDataFrame([(1, "{text}")], "id long, prompt_template string")
+    out = so.zero_shot(df, prompt, ["A"], lambda b: ['{"scores": {"A": 1.0}}'] if len(b) == 1 else [], max_parallel=1)
+    assert {r.predicted_one for r in out.collect()} == {"A"}     # row by row it answers
+    none = so.zero_shot(df, prompt, ["A"], lambda b: [], max_parallel=1)
+    assert {r.predicted_one for r in none.collect()} == {"ERROR"}
+
+
+def test_null_texts_are_embedded_once(spark):
+    path = io.scratch_path(spark, "t-store")
+    texts = spark.createDataFrame([(1, None), (2, ""), (3, "x")], "id int, text string")
+    for _ in range(3):
+        emb = so.embed_texts(texts, hashing_embedder(4), path, "text", "h4")
+        assert emb.filter(F.col("embedding").isNull()).count() == 0 and emb.count() == 3
+    assert io.read_embeddings(spark, path).count() == 2
 
 
 def test_write_table_errors_if_exists_and_labels(spark):
@@ -96,8 +150,8 @@ def test_write_table_errors_if_exists_and_labels(spark):
     got = {r.lens_id: (r.category, r.source_file) for r in
            io.load_labelled(spark, {f1: "A", f2: "B", os.path.join(base, "nope.csv"): "C"}).collect()}
     assert got == {"1": ("A", "Set-A.csv"), "2": ("B", "Other-B.csv")}
-    names = spark.createDataFrame([("Set-A.csv",), ("Unknown.csv",)], "f string")
-    assert [r[0] for r in names.select(io.label_for_file(F.col("f"), {"Set-A.csv": "A"})).collect()] == ["A", "Unknown"]
+    names = spark.createDataFrame([("/x/Set-A.csv",), ("/y/Unknown.csv",)], "f string")
+    assert [r[0] for r in names.select(io.label_for_file(F.col("f"), {"/x/Set-A.csv": "A"})).collect()] == ["A", "Unknown"]
 
 
 def test_keyphrase_candidates_and_callable(spark):
