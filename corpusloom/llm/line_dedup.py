@@ -161,8 +161,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     id_type = texts.schema["doc_id"].dataType.simpleString()
     found = stage_table(texts.mapInArrow(suspects, f"doc_id {id_type}, key binary").distinct(), "suspects")
-    repeated = (found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
-                .where(F.col("n") >= min_docs).drop("n"))
+    # a table of its own, so that the join's sides are plain shuffles that Spark may split at a hot key
+    repeated = stage_table(found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
+                           .where(F.col("n") >= min_docs).drop("n"), "repeated")
     lost = found.join(repeated, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))  # of one document
 
