@@ -136,7 +136,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = connected_components(links(distinct, max_distance)).toDF("fp", "root")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = rooted.join(least, "root").select("fp", "root", "component_id")
+    # a table of its own, so that the join's sides are plain shuffles that Spark may split at a hot fingerprint
+    groups = stage_table(rooted.join(least, "root").select("fp", "root", "component_id"), "groups")
     return prints.join(groups, "fp").select("doc_id", "fp", "root", "component_id")
 
 
