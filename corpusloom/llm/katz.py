@@ -194,7 +194,7 @@ def _count_tables(blocks: DataFrame, bits: int) -> DataFrame:
 
     sent = blocks.mapInArrow(send, "level int, bucket long, block long, keys binary, n binary")
     return stage_table(sent.groupBy("level", "bucket").applyInArrow(
-        count, "level int, bucket long, block long, n binary, own binary, hist array<long>"), "ngram-counts")
+        count, "level int, bucket long, block long, n binary, own binary, hist array<long>"), "ngram-counts", ["level"])
 
 
 class _Model:
