@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpusloom.llm import license_scan, quality
+
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -54,4 +56,80 @@ SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM mi
 OP8 = f"""WITH {line_dedup_sql()}
 SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM line_kept"""
 
-ORACLES = {"op4_mix_sources": OP4, "op8_line_dedup": OP8}
+
+def license_sql(documents: str = "documents") -> str:
+    """Result of the license scan."""
+    factor = (2 - license_scan.THRESHOLD) / license_scan.THRESHOLD
+    rows = []
+    for name, texts in sorted(license_scan.TEMPLATES.items()):
+        for text in texts:
+            words = license_scan.template_words(text)
+            pairs = ", ".join(f"'{a} {b}'" for a, b in dict.fromkeys(zip(words, words[1:], strict=False)))
+            rows.append(f"({len(rows)}, '{name}', {len(words) - 1}, [{pairs}])")
+    gap = r"\n(?:[\x20\x09\x0B-\x0D]*\n)+"
+    return f"""
+WITH t(tid, license, n, pairs) AS (VALUES {", ".join(rows)}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM {documents}),
+p AS (SELECT rid, unnest(string_split(text, chr(10))) AS part FROM d
+      UNION ALL SELECT rid, part FROM (SELECT rid, unnest(regexp_split_to_array(text, '{gap}')) AS part FROM d) WHERE contains(part, chr(10))
+      UNION ALL SELECT rid, text FROM d WHERE regexp_matches(text, '{gap}')),
+w AS (SELECT rid, row_number() OVER () AS pid,
+             list_filter(string_split(regexp_replace(lower(part), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w
+      FROM p WHERE length(part) > 2),
+b AS (SELECT rid, pid, len(w) - 1 AS n, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pairs
+      FROM w WHERE len(w) >= 2),
+s AS (SELECT b.rid, b.pid, t.license, 2.0::DOUBLE * len(list_intersect(b.pairs, t.pairs)) / (len(b.pairs) + len(t.pairs)) AS dice
+      FROM b JOIN t ON b.n * {factor!r}::DOUBLE >= t.n AND b.n <= t.n * {factor!r}::DOUBLE),
+m AS (SELECT rid, count(DISTINCT pid) AS n_matches, arg_min(license, (-dice, license)) AS license, max(dice) AS dice
+      FROM s WHERE dice >= {license_scan.THRESHOLD} GROUP BY rid)
+SELECT d.doc_id, m.license, coalesce(m.dice, 0.0::DOUBLE) AS dice, coalesce(m.n_matches, 0) AS n_matches FROM d LEFT JOIN m USING (rid)"""
+
+
+def quality_sql(documents: str = "documents") -> str:
+    """Result of the quality rules."""
+    q = quality
+    classes = ["[^a-z]", "[^A-Z]", r"[^\p{L}]", "[^0-9]", r"""[^.,;:!?()''"-]""", r"[^#*$%&|<>]", r"[^\x20\x09-\x0D]"]
+    sizes = ", ".join(f"length(regexp_replace(text, '{c}', '', 'g'))" for c in classes)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM {documents}),
+w AS (SELECT *, regexp_extract_all(text, '{_WORD}') AS w FROM d),
+win AS (SELECT rid, unnest(range(1, len(w) - {q.WINDOW - 2})) AS i, w FROM w WHERE len(w) > {q.WINDOW}),
+txt AS (SELECT rid, i, array_to_string(w[i:i + {q.WINDOW - 1}], ' ') AS t FROM win),
+rep AS (SELECT rid, unnest(range(i, i + {q.WINDOW})) AS i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, t) AS n FROM txt) WHERE n > 1),
+nrep AS (SELECT rid, count(DISTINCT i) AS n_repeat_words FROM rep GROUP BY rid),
+ln AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines
+       FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_WORD}') GROUP BY rid),
+cls AS (SELECT rid, lang, length(text) AS n, [{sizes}] AS c FROM d),
+bins AS (SELECT rid, lang, 'class' AS kind, unnest(['az', 'AZ', 'letter', 'digit', 'point', 'symbol', 'blank', 'other']) AS bin,
+                unnest([c[1], c[2], c[3] - c[1] - c[2], c[4], c[5], c[6], c[7],
+                        n - c[3] - c[4] - c[5] - c[6] - c[7]]) AS x FROM cls),
+tok AS (SELECT rid, lang, unnest(w) AS word FROM w),
+freq AS (SELECT lang, word FROM (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS k
+                                 FROM tok GROUP BY lang, word) WHERE k <= {q.COMMON_WORDS}),
+own AS (SELECT t.rid, t.word, count(*) AS x FROM tok t JOIN freq f ON t.word = f.word AND t.lang IS NOT DISTINCT FROM f.lang GROUP BY 1, 2),
+common AS (SELECT w.rid, w.lang, f.word AS bin, coalesce(o.x, 0) AS x
+           FROM w JOIN freq f ON w.lang IS NOT DISTINCT FROM f.lang LEFT JOIN own o ON o.rid = w.rid AND o.word = f.word
+           UNION ALL SELECT w.rid, w.lang, '', len(w.w) - coalesce((SELECT sum(x) FROM own o WHERE o.rid = w.rid), 0) FROM w),
+hist AS (SELECT * FROM bins UNION ALL SELECT rid, lang, 'common', bin, x FROM common),
+ref AS (SELECT lang, kind, bin, sum(x) AS y FROM hist GROUP BY 1, 2, 3),
+both_ AS (SELECT h.rid, h.kind, h.x / nullif(sum(h.x) OVER p, 0) AS a, r.y / nullif(sum(r.y) OVER p, 0) AS b
+          FROM hist h JOIN ref r ON r.kind = h.kind AND r.bin = h.bin AND r.lang IS NOT DISTINCT FROM h.lang
+          WINDOW p AS (PARTITION BY h.rid, h.kind)),
+js AS (SELECT rid, kind, CASE WHEN bool_and(a IS NOT NULL AND b IS NOT NULL) THEN sqrt(greatest(0.0, sum(
+         CASE WHEN a > 0 THEN a * log2(a / ((a + b) / 2)) ELSE 0 END + CASE WHEN b > 0 THEN b * log2(b / ((a + b) / 2)) ELSE 0 END) / 2)) END AS dist
+       FROM both_ GROUP BY rid, kind),
+f AS (SELECT w.rid, w.doc_id, len(w.w)::BIGINT AS n_words, (cls.n - cls.c[7])::BIGINT AS word_chars, cls.c[6]::BIGINT AS n_symbols,
+             coalesce(ln.n_dup_lines, 0) AS n_dup_lines, coalesce(nrep.n_repeat_words, 0) AS n_repeat_words,
+             c.dist AS class_distance, m.dist AS common_distance
+      FROM w JOIN cls USING (rid) LEFT JOIN ln USING (rid) LEFT JOIN nrep USING (rid)
+      LEFT JOIN (SELECT * FROM js WHERE kind = 'class') c USING (rid) LEFT JOIN (SELECT * FROM js WHERE kind = 'common') m USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+       NOT (n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words)
+       AND NOT (word_chars >= {q.MIN_CLASS_CHARS} AND coalesce(class_distance, 0) > {q.MAX_CLASS_DISTANCE})
+       AND NOT (n_words >= {q.MIN_COMMON_WORDS} AND coalesce(common_distance, 0) > {q.MAX_COMMON_DISTANCE}) AS kept,
+       class_distance, common_distance FROM f"""
+
+
+ORACLES = {"op4_mix_sources": OP4, "op5_license_scan": license_sql(), "op7_quality_rules": quality_sql(),
+           "op8_line_dedup": OP8}
