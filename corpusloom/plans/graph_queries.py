@@ -44,7 +44,7 @@ def category_pair_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.sum("n").alias("n_edges")))
 
 
-query("g3_category_pair_edges", headline=True, sql=sql(["records", "level_keys"], """,
+query("g3_category_pair_edges", sql=sql(["records", "level_keys"], """,
 inc AS (SELECT DISTINCT node, key FROM level_keys),
 pairs AS (SELECT DISTINCT a.node AS src, b.node AS dst FROM inc a JOIN inc b ON a.key = b.key AND a.node < b.node),
 directed AS (SELECT src, dst FROM pairs UNION ALL SELECT dst, src FROM pairs)
@@ -197,7 +197,7 @@ def g4(spark, sf):
     return g.keyphrase_edges(recs, nodes)
 
 
-@query("j1_basket_pairs", headline=True, sql="""
+@query("j1_basket_pairs", sql="""
 WITH b AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS id, CAST(l_orderkey AS VARCHAR) AS key FROM lineitem)
 SELECT x.id AS src, y.id AS dst, count(*) AS n_shared FROM b x JOIN b y ON x.key = y.key AND x.id < y.id GROUP BY 1, 2""")
 def j1(spark, sf):

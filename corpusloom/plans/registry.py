@@ -15,18 +15,15 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, QueryFn] = {}
 _ORACLES: dict[str, str] = {}
-_HEADLINE: list[str] = []
 
 
-def query(name: str, sql: str | None = None, headline: bool = False):
+def query(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in _QUERIES:
             raise ValueError(f"duplicate query {name}")
         _QUERIES[name] = fn
         if sql is not None:
             _ORACLES[name] = sql
-        if headline:
-            _HEADLINE.append(name)
         return fn
     return deco
 
@@ -46,8 +43,3 @@ def queries() -> dict[str, QueryFn]:
 def oracles() -> dict[str, str]:
     _load_all()
     return dict(_ORACLES)
-
-
-def headline() -> list[str]:
-    _load_all()
-    return list(_HEADLINE)
