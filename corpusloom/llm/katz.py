@@ -43,7 +43,6 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import own_columns
 from corpusloom.session import stage_table
 
 BLOCK_TOKENS = 1 << 20

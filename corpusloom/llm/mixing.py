@@ -19,7 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import n_words, ordered_rank, own_columns, packed, unit_hash
+from corpusloom.llm.common import n_words, own_columns, packed, unit_hash
+from corpusloom.operators.ranking import ordered_rank
 from corpusloom.session import stage_table
 
 WEIGHTS = (3, 1, 2)

@@ -67,7 +67,7 @@ def license_sql(documents: str = "documents") -> str:
             pairs = ", ".join(f"'{a} {b}'" for a, b in dict.fromkeys(zip(words, words[1:], strict=False)))
             rows.append(f"({len(rows)}, '{name}', {len(words) - 1}, [{pairs}])")
     gap = r"\n(?:[\x20\x09\x0B-\x0D]*\n)+"
-    return f"""
+    return rf"""
 WITH t(tid, license, n, pairs) AS (VALUES {", ".join(rows)}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM {documents}),
 p AS (SELECT rid, unnest(string_split(text, chr(10))) AS part FROM d
