@@ -1,7 +1,6 @@
 """P11, J5, L2, L3, L9, L10, S1-S12, L1 (callable), streaming feed."""
 
 import os
-import tempfile
 
 import pytest
 from pyspark.sql import functions as F
