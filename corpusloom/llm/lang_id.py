@@ -51,6 +51,8 @@ FAMILIES = {
 UNDETERMINED = "und"
 SAMPLE_PER_LANGUAGE = 1000
 HASH_BITS = 12
+#: The sample is small and each optimiser step is a job.
+FIT_PARTITIONS = 3
 
 
 def family_of(lang: str) -> str:
@@ -128,7 +130,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 if x is not None:
                     yield pa.RecordBatch.from_pydict({"lang": [lang.as_py()], "x": [x]})
 
-    sample = stage_table(chosen.mapInArrow(vectors, "lang string, x array<double>"), "language-sample")
+    sample = stage_table(chosen.mapInArrow(vectors, "lang string, x array<double>").repartition(FIT_PARTITIONS),
+                         "language-sample")
     data = sample.select("lang", array_to_vector("x").alias("features"))
     names = sorted(families)
     found = {r.lang for r in sample.select("lang").distinct().collect()}

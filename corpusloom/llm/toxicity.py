@@ -42,7 +42,10 @@ from corpusloom.session import stage_table
 SAMPLE_PER_CLASS = 4000
 N_FEATURES = 2048
 MIN_ROWS = 5
-FOLDS = 3
+FOLDS = 2
+#: The sample is small and each optimiser step is a job: few partitions, fewer steps out of fold.
+FIT_PARTITIONS = 3
+STEPS, FOLD_STEPS = 50, 20
 THRESHOLD = 0.5
 PREFIXES = (4, 5, 6)
 #: Terms are the features by which graded categories are derived from one label.
@@ -99,12 +102,12 @@ def _informative(sample: DataFrame, label: str, n_features: int) -> list[tuple[s
     return [(r.f, r.a / r.n) for r in best.collect()]
 
 
-def _fit_one(data: DataFrame, label: str, inputs: str) -> LogisticRegression | float:
+def _fit_one(data: DataFrame, label: str, inputs: str, steps: int = STEPS):
     """A model, or the rate of a label that has one value only."""
     total = data.agg(F.sum(label).alias("pos"), F.count(F.lit(1)).alias("n")).first()
     if not total.n or total.pos in (0, total.n):
         return float(total.pos or 0) / max(1, total.n)
-    return LogisticRegression(featuresCol=inputs, labelCol=label, maxIter=50, regParam=1e-5,
+    return LogisticRegression(featuresCol=inputs, labelCol=label, maxIter=steps, regParam=1e-5,
                               standardization=False).fit(data.withColumn(label, F.col(label).cast("double")))
 
 
@@ -153,7 +156,7 @@ def fit(labelled: DataFrame, categories: Sequence[str], id_col: str = "doc_id",
             "repeats_terms", F.when(n_terms >= REPEATED_TERMS, F.col(last)).otherwise(0))
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, "features", "x", minTF=1.0)
     data = vectors.setBinary(True).transform(sample) if hasattr(vectors, "setBinary") else vectors.transform(sample)
-    data = stage_table(data.select(F.floor(F.col("u") * folds).cast("int").alias("fold"), *names, "x"), "toxicity-folds")
+    data = stage_table(data.select(F.floor(F.col("u") * folds).cast("int").alias("fold"), *names, "x").repartition(FIT_PARTITIONS), "toxicity-folds")
     weights, earlier = [], []
     for name in names:
         inputs = VectorAssembler(inputCols=["x", *earlier], outputCol="inputs")
@@ -165,9 +168,9 @@ def fit(labelled: DataFrame, categories: Sequence[str], id_col: str = "doc_id",
         if name != names[-1]:
             out = []
             for k in range(folds):  # a fold is scored by a model of the others
-                other = _fit_one(ready.where(F.col("fold") != k), name, "inputs")
+                other = _fit_one(ready.where(F.col("fold") != k), name, "inputs", FOLD_STEPS)
                 out.append(_scored(ready.where(F.col("fold") == k), other, "inputs", f"p_{name}").drop("inputs"))
-            data = stage_table(reduce(DataFrame.unionByName, out), "toxicity-folds")
+            data = stage_table(reduce(DataFrame.unionByName, out).repartition(FIT_PARTITIONS), "toxicity-folds")
             earlier.append(f"p_{name}")
     return Chain(names, vocabulary, weights)
 
