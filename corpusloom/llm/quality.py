@@ -34,9 +34,9 @@ COMMON_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 #: A histogram is judged from so many characters or words on; greater distances fail.
 MIN_CLASS_CHARS = 300
-MAX_CLASS_DISTANCE = 0.3
-MIN_COMMON_WORDS = 100
-MAX_COMMON_DISTANCE = 0.38
+MAX_CLASS_DISTANCE = 0.28
+MIN_COMMON_WORDS = 80
+MAX_COMMON_DISTANCE = 0.45
 
 
 def n_repeat_words(tokens: Column) -> Column:
