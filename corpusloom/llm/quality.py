@@ -32,6 +32,8 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 COMMON_WORDS = 50
 SYMBOLS = "#*$%&|<>"
+#: Tables with a row for each language are broadcast up to so many, by a count.
+FEW_LANGUAGES = 1000
 #: A histogram is judged from so many characters or words on; greater distances fail.
 MIN_CLASS_CHARS = 300
 MAX_CLASS_DISTANCE = 0.28
@@ -109,8 +111,9 @@ def _common_words(docs: DataFrame, k: int) -> DataFrame:
             .groupBy("lang").agg(F.sort_array(F.collect_list("word")).alias("common")))
 
 
-def _common_counts(tokens: Column, common: Column) -> Column:
-    """How often ``tokens`` has each word of ``common``, and all other words last."""
+def _common_counts(tokens: Column, common: Column, n_words: Column) -> Column:
+    """How often ``tokens`` has each word of ``common``, and last, how many of all
+    ``n_words`` words are none of them."""
     spaced = F.concat(F.lit(" "), F.concat_ws("  ", tokens), F.lit(" "))
 
     def each(s: Column) -> Column:
@@ -119,7 +122,7 @@ def _common_counts(tokens: Column, common: Column) -> Column:
                                               / (F.length(w) + 2)).cast("long"))
 
     return let(let(spaced, each), lambda a: F.concat(a, F.array(
-        F.size(tokens) - F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x))))
+        n_words - F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x))))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -152,20 +155,19 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     rows = own_columns(docs, id_col, text_col, lang_col).toDF("doc_id", "text", "lang").withColumn(
         "text", F.coalesce("text", F.lit("")))
     common = stage_table(_common_words(rows, common_words), "common-words")
-    known = sorted({w for (ws,) in common.select("common").collect() for w in ws})  # at most k a language
+    few = common.count() <= FEW_LANGUAGES
+    # the common words of any language, which leaves little of a text to count in
+    known = sorted({w for (ws,) in common.select("common").collect() for w in ws}) if few else []
     text = F.col("text")
     counted = rows.select("doc_id", "lang", "text", words(text).alias("tokens"))
-    frequent = F.filter("tokens", lambda w: w.isin(known)) if known else F.array().cast("array<string>")
+    frequent = F.filter("tokens", lambda w: w.isin(known)) if known else F.col("tokens")
     counted = counted.select(
         "doc_id", "lang", F.size("tokens").cast("long").alias("n_words"), char_counts(text).alias("chars"),
         n_dup_lines(text).alias("n_dup_lines"), n_repeat_words(F.col("tokens")).alias("n_repeat_words"),
         frequent.alias("frequent"))
     common = common.select(F.col("lang").alias("_lang"), "common")
-    found = counted.join(F.broadcast(common), F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    own = let(_common_counts(F.col("frequent"), F.coalesce("common", F.array().cast("array<string>"))),
-              lambda a: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(
-                  F.col("n_words") - F.aggregate(F.slice(a, F.lit(1), F.size(a) - 1), F.lit(0).cast("long"),
-                                                 lambda s, x: s + x))))
+    found = counted.join(F.broadcast(common) if few else common, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    own = _common_counts(F.col("frequent"), F.coalesce("common", F.array().cast("array<string>")), F.col("n_words"))
     return stage_table(found.select("doc_id", "lang", "n_words", "chars.word_chars", "chars.n_symbols", "n_dup_lines",
                                     "n_repeat_words", "chars.classes", own.alias("common")), "quality")
 
@@ -178,7 +180,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     refs = _sum_arrays(rows, "lang", "classes").toDF("_lang", "_classes")
     both = stage_table(refs.join(_sum_arrays(rows, "lang", "common").toDF("_lang2", "_common"),
                                  F.col("_lang").eqNullSafe(F.col("_lang2"))).drop("_lang2"), "references")
-    compared = rows.join(F.broadcast(both), F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    few = both.count() <= FEW_LANGUAGES
+    compared = rows.join(F.broadcast(both) if few else both, F.col("lang").eqNullSafe(F.col("_lang")), "left")
 
     def doubles(name: str) -> Column:
         return F.col(name).cast("array<double>")
