@@ -6,11 +6,11 @@ from __future__ import annotations
 from corpusloom.operators import keyphrases as kp
 from corpusloom.plans.registry import query
 from corpusloom.plans.sql_fixtures import sql
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import spread_table
 
 @query("l1_tfidf_keyphrases", sql=sql(["kp_top"], "SELECT doc_id, rank, phrase, score, tf, df, cf FROM kp_top"))
 def l1(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = spread_table(spark, sf, "documents", "doc_id", "text")
     return kp.tfidf_keyphrases(d, "doc_id", "text", k=10)
 
 
@@ -19,5 +19,5 @@ SELECT d.doc_id, coalesce(k.keyphrases, '') AS keyphrases
 FROM documents d LEFT JOIN (SELECT doc_id, array_to_string(list_sort(list(phrase)), '|') AS keyphrases FROM kp_top GROUP BY doc_id) k
 ON k.doc_id = d.doc_id"""))
 def l1_packed(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = spread_table(spark, sf, "documents", "doc_id", "text")
     return kp.extract_keyphrases(d, "doc_id", "text", k=10).select("doc_id", "keyphrases")

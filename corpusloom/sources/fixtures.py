@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import spread_table, table
 
 # Class labels of the vector/response fixtures are 'c1'..'c5'.
 N_VECTOR_CLASSES = 5
@@ -134,11 +134,11 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_keyphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records with ``phrases`` (the L1 keyphrases of title and abstract, sorted) and
     ``keyphrases`` (packed whole, P10)."""
-    from corpusloom.functions.text import combined_text
     from corpusloom.operators.keyphrases import extract_keyphrases
-    r = records(spark, sf_dir)
-    k = extract_keyphrases(r.select("lens_id", combined_text("title", "abstract").alias("_text")), "lens_id", "_text")
-    return r.join(k, "lens_id")
+    # title and abstract are the document's text cut at a line break, so its tokens are theirs
+    docs = spread_table(spark, sf_dir, "documents", "doc_id", "text")
+    k = extract_keyphrases(docs, "doc_id", "text").withColumn("lens_id", F.col("doc_id").cast("string")).drop("doc_id")
+    return records(spark, sf_dir).join(k, "lens_id")
 
 
 # The instruction block appended to every prompt template.
