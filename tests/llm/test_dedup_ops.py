@@ -112,6 +112,18 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("n", [1000, 3000])
+def test_components_of_chains_in_random_order(spark, n):
+    rng, links, want = random.Random(n), [], {}
+    for first in (0, n):  # two chains
+        ids = list(range(first, first + n))
+        rng.shuffle(ids)
+        links += zip(ids, ids[1:], strict=False)
+        want |= dict.fromkeys(ids, first)
+    got = connected_components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(got) == 2 * n and {r.node: r.root for r in got} == want
+
+
 def test_mix_targets_and_copies(spark):
     rows = [(i, "w " * (i % 50 + 1), f"s{i % 7}") for i in range(3000)] + [(5000 + i, "big " * 100, "hot") for i in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
