@@ -1,8 +1,10 @@
 """License scan, quality rules and syncmers against plain Python."""
 
+import random
 import re
 from collections import Counter
 from hashlib import sha256
+from string import ascii_lowercase
 
 import pytest
 from corpusloom.llm import license_scan, quality, syncmers
@@ -42,6 +44,25 @@ def test_quality_rejects_symbols_and_keeps_prose(spark):
     assert not got.pop(99) and all(got.values())
 
 
+def test_quality_rejects_gibberish_and_wrong_languages(spark):
+    rng = random.Random(7)
+
+    def word(n):
+        return "".join(rng.choices(ascii_lowercase, k=n))
+
+    common = {x: [word(3) for _ in range(quality.COMMON_WORDS)] for x in ("en", "de")}
+    rare = {x: [word(6) for _ in range(5000)] for x in ("en", "de")}
+
+    def prose(lang):  # common words hold 28% of the words
+        return " ".join(rng.choice((common if rng.random() < 0.28 else rare)[lang]) for _ in range(400))
+
+    clean = [(i, prose(x), x, "s", 1) for i, x in enumerate(["en", "de"] * 100)]
+    junk = [(1000 + i, " ".join(word(rng.choice((3, 6, 6))) for _ in range(500)), "en", "s", 1) for i in range(3)]
+    wrong = [(2000 + i, prose("en"), "de", "s", 1) for i in range(3)]
+    got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(clean + junk + wrong, cases.SCHEMA)).collect()}
+    assert {i for i, kept in got.items() if not kept} == {x[0] for x in junk + wrong}
+
+
 def test_js_distance(spark):
     r = spark.range(1).select(
         quality.js_distance(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(5.0))).alias("far"),
