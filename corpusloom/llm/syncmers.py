@@ -8,10 +8,11 @@ an edit changes no anchor outside the words it touches, and of any
 K - S + 1 neighbouring k-mers at least one is an anchor.
 
 The anchors of a text are its syncmers' hashes with their positions; positions are
-what ``aligned`` uses to place one text on another.  The fingerprint is the
-bottom-``SKETCH`` sketch of the distinct anchor hashes (hexadecimal, 16 digits each,
-ascending); the likeness of two fingerprints estimates the Jaccard likeness of the two
-anchor sets, exactly if neither text has more than ``SKETCH`` anchors.
+what ``aligned`` uses to place one text on another.  The fingerprint is the sha-256 of
+all distinct anchor hashes in ascending order, and the likeness of two texts is the
+Jaccard likeness of their whole anchor sets: it is 1 if and only if the fingerprints
+are equal.  For comparing texts that do not stand side by side there is a bottom-``SKETCH``
+sketch besides (hexadecimal, 16 digits each, ascending); nothing else is derived from it.
 
 All of it is DataFrame expressions.  A text of fewer than K words has one anchor: all
 its words (with none: all its characters, so blank texts differ by their blanks).
@@ -71,16 +72,25 @@ def anchors(text: Column) -> Column:
     return let(words(lower_ascii(text)), of_words)
 
 
-def sketch(text: Column) -> Column:
-    """The SKETCH smallest distinct anchor hashes of the text, ascending."""
+def anchor_set(text: Column) -> Column:
+    """All distinct anchor hashes of the text, ascending."""
     def of_words(tokens: Column) -> Column:
         many = let(_inner_hashes(tokens), lambda inner: F.transform(
             _anchor_positions(inner), lambda i: _mer_hash(inner, i)))
         few = F.when(F.size(tokens) > 0, F.xxhash64(F.concat_ws(" ", tokens))).otherwise(F.xxhash64(text))
         return F.when(F.size(tokens) >= K, many).otherwise(F.array(few))
 
-    hashes = let(words(lower_ascii(text)), of_words)
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
+    return F.sort_array(F.array_distinct(let(words(lower_ascii(text)), of_words)))
+
+
+def digest(hashes: Column) -> Column:
+    """sha-256 of an anchor set."""
+    return F.sha2(F.concat_ws(",", hashes.cast("array<string>")), 256)
+
+
+def sketch(hashes: Column) -> Column:
+    """The SKETCH smallest hashes of an anchor set."""
+    return F.slice(hashes, 1, SKETCH)
 
 
 def hex_sketch(hashes: Column) -> Column:
@@ -88,11 +98,8 @@ def hex_sketch(hashes: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard likeness from two sketches: of the SKETCH smallest hashes of both
-    together, the share that both have."""
-    both = let(F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH), lambda u: (
-        F.size(F.array_intersect(F.array_intersect(a, b), u)) / F.size(u)))
-    return both.cast("double")
+    """Jaccard likeness of two anchor sets."""
+    return let(F.size(F.array_intersect(a, b)), lambda met: met / (F.size(a) + F.size(b) - met)).cast("double")
 
 
 def aligned(a: Column, b: Column) -> Column:
@@ -167,10 +174,14 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                       F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), cut))
     own = rows.withColumn("edited", edited).select(
         "doc_id", "tie", "range", "extra", n_chars.cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("text")).alias("own"),
-        F.when(~F.col("extra"), sketch(F.col("edited"))).alias("changed"))
-    beside = own.withColumn("beside", F.lead("own").over(order)).where(~F.col("extra"))
-    return beside.select("doc_id", "n_chars", "edited_sha256", hex_sketch(F.col("own")).alias("fingerprint"),
-                         hex_sketch(F.col("changed")).alias("edited_fingerprint"),
-                         likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-                         likeness(F.col("own"), F.col("beside")).alias("near_next"))
+        F.sha2("edited", 256).alias("edited_sha256"), anchor_set(F.col("text")).alias("own"),
+        F.when(~F.col("extra"), anchor_set(F.col("edited"))).alias("changed"))
+    # all that needs the edited text's anchors comes before the window, whose rows then hold one set each
+    made = own.select("doc_id", "tie", "range", "extra", "n_chars", "edited_sha256", "own",
+                      digest(F.col("own")).alias("fingerprint"), digest(F.col("changed")).alias("edited_fingerprint"),
+                      hex_sketch(sketch(F.col("own"))).alias("sketch"),
+                      hex_sketch(sketch(F.col("changed"))).alias("edited_sketch"),
+                      likeness(F.col("own"), F.col("changed")).alias("near_edited"))
+    beside = made.withColumn("beside", F.lead("own").over(order)).where(~F.col("extra"))
+    return beside.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
+                         likeness(F.col("own"), F.col("beside")).alias("near_next"), "sketch", "edited_sketch")

@@ -123,6 +123,29 @@ def test_syncmer_edits_and_order(spark):
         assert 0 <= r.near_edited <= 1 and (r.fingerprint == r.edited_fingerprint) == (r.near_edited == 1)
 
 
+def test_syncmer_likeness_of_long_texts_is_exact(spark):
+    shared = [f"s{i}" for i in range(150)]
+    texts = {i: " ".join([f"t{i}w{k}" for k in range(2000)] + shared + [f"t{i}v{k}" for k in range(2000)]) for i in range(3)}
+    texts[3] = texts[2] + " and more"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    edited = {}
+    for i, text in texts.items():
+        cut = len(text) // 3
+        edited[i] = text[:len(text) - cut] + texts[(i - 1) % 4][:cut]
+    both = spark.createDataFrame([(i, texts[i], edited[i]) for i in texts], "doc_id long, text string, edited string")
+    sets = {r.doc_id: ({x.hash for x in r.a}, {x.hash for x in r.b}) for r in both.select(
+        "doc_id", syncmers.anchors(F.col("text")).alias("a"), syncmers.anchors(F.col("edited")).alias("b")).collect()}
+    got = {r.doc_id: r for r in syncmers.fingerprint_edits(df).collect()}
+    for i, (a, b) in sets.items():
+        after = sets[(i - 1) % 4][0]
+        assert len(a) > 10 * syncmers.SKETCH
+        assert got[i].near_edited == pytest.approx(len(a & b) / len(a | b))
+        assert got[i].near_next == pytest.approx(len(a & after) / len(a | after)) and got[i].near_next > 0
+        low = sorted(x - (1 << 64) if x >> 63 else x for x in a)[:syncmers.SKETCH]
+        assert got[i].sketch == "".join(f"{x % (1 << 64):016x}" for x in low)
+    assert len({r.fingerprint for r in got.values()}) == 4
+
+
 def test_syncmers_are_context_free_and_dense(spark):
     words = [f"w{i % 190}" for i in range(200)]
     df = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(["new", "start"] + words))], "doc_id long, text string")
