@@ -8,7 +8,21 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, katz, lang_id, license_scan, line_dedup, mixing, quality, simhash, syncmers, toxicity
+from corpusloom.llm import (
+    bpe,
+    chat,
+    katz,
+    lang_id,
+    license_scan,
+    line_dedup,
+    mixing,
+    quality,
+    simhash,
+    syncmers,
+    toxicity,
+    variants,
+    whitening,
+)
 from corpusloom.llm import sql as S
 from corpusloom.llm.common import held_out
 from corpusloom.sources.tables import table
@@ -76,6 +90,34 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of the words of all documents."""
+    return variants.variants(variants.count_words(table(spark, sf_dir, "documents")))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened embeddings, one row a vector and component."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+#: Two turns that say control strings, formatted with the others.
+CONTROL_TURNS = [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, and what is read back from its text and loss mask."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string")
+    out = chat.format_threads(rows.union(planted))
+    said = out.select("tree", F.length("formatted").cast("long").alias("formatted_chars"),
+                      chat.read_back(F.col("formatted"), F.col("loss_spans")).alias("said"))
+    turns = F.transform("said.turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return said.select(F.col("tree").alias("conv_id"), F.size("said.turns").cast("long").alias("n_turns"),
+                       F.sha2(F.concat_ws("", turns), 256).alias("turns_sha256"),
+                       F.length("said.loss").cast("long").alias("loss_chars"),
+                       F.sha2("said.loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
 _QUERIES: dict[str, QueryFn] = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (
     op1_language_id,
     op2_bpe,
@@ -87,6 +129,9 @@ _QUERIES: dict[str, QueryFn] = {"pipeline": corpus_pipeline.run} | {f.__name__:
     op8_line_dedup,
     op9_simhash_groups,
     op10_syncmers,
+    op11_spelling_variants,
+    op12_embedding_whitening,
+    op13_chat_formatting,
 )}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import license_scan, quality
+from corpusloom.llm import chat, license_scan, quality, variants
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -131,5 +131,53 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        class_distance, common_distance FROM f"""
 
 
+def variants_sql(documents: str = "documents") -> str:
+    """Result of the spelling variants: crc32 by a table made from its polynomial, near
+    words by the strings that one deletion leaves."""
+    v = variants
+    step = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END"
+    table = f"list_transform(range(256), lambda i: list_reduce(range(8), lambda c, _: {step}, i))"
+    octets = "list_transform(range(0, length(hex(encode(s))) // 2), lambda i: ('0x' || substr(hex(encode(s)), 2 * i + 1, 2))::BIGINT)"
+    return rf"""
+WITH RECURSIVE poly AS (SELECT {table} AS t),
+run AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS raw FROM {documents}),
+lowered AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s,
+                   translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM run WHERE length(raw) >= {v.MIN_CHARS}),
+seen AS (SELECT s, w, count(*) AS n FROM lowered GROUP BY s, w),
+hashed AS (SELECT w, n, xor(4294967295::BIGINT, list_reduce({octets}, lambda c, b: xor(t[(xor(c, b) % 256) + 1], c // 256), 4294967295::BIGINT)) AS h
+           FROM seen, poly),
+edited AS (SELECT CASE WHEN h % {v.DELETE_EVERY} = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM edited WHERE length(word) >= {v.MIN_CHARS} GROUP BY word HAVING sum(n) >= {v.MIN_COUNT}),
+gone AS (SELECT DISTINCT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS left_over
+         FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
+pair AS (SELECT a.word, b.word AS other, b.n AS other_n FROM gone a JOIN gone b ON a.left_over = b.left_over AND a.i = b.i AND a.word <> b.word
+         UNION SELECT w.word, g.word, g.n FROM words w JOIN gone g ON g.left_over = w.word
+         UNION SELECT g.word, w.word, w.n FROM words w JOIN gone g ON g.left_over = w.word),
+near AS (SELECT word, count(*)::BIGINT AS n_near, arg_min(other, (-other_n, other)) AS best, max(other_n) AS best_n FROM pair GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= {v.RATIO} * w.n THEN best END AS form,
+                 CASE WHEN best_n >= {v.RATIO} * w.n THEN best_n END AS form_n FROM words w LEFT JOIN near USING (word)),
+follow AS (SELECT word, word AS root, form AS next FROM forms
+           UNION ALL SELECT follow.word, forms.word, forms.form FROM follow JOIN forms ON follow.next = forms.word)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n::BIGINT AS form_n FROM forms f JOIN follow r ON f.word = r.word AND r.next IS NULL"""
+
+
+def chat_sql(conversations: str = "conversations") -> str:
+    """Result of the chat formatting; only the length of the formatted text depends on the
+    template."""
+    def escaped(x: str) -> str:
+        return rf"regexp_replace({x}, '{chat.ESCAPE}', '\1\\\2\3', 'g')"
+
+    role = escaped("replace(replace(role, '%', '%25'), chr(10), '%0A')")
+    return rf"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM {conversations}
+              UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS k,
+                    length({role}) + length({escaped("text")}) AS chars FROM said),
+whole AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY k) AS turns,
+                 coalesce(string_agg(CASE WHEN role = '{chat.ASSISTANT}' THEN text END, '' ORDER BY k), '') AS loss,
+                 sum(chars + {len(chat.START) + 1 + len(chat.END)})::BIGINT AS formatted_chars FROM numbered GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM whole"""
+
+
 ORACLES = {"op4_mix_sources": OP4, "op5_license_scan": license_sql(), "op7_quality_rules": quality_sql(),
-           "op8_line_dedup": OP8}
+           "op8_line_dedup": OP8, "op11_spelling_variants": variants_sql(), "op13_chat_formatting": chat_sql()}
