@@ -28,6 +28,13 @@ def hashing_embedder(dim: int = 16, seed: int = 0):
     return embed
 
 
+def letter_embedder(letters: str):
+    """How often each letter occurs, in thousands: a vector that SQL can check."""
+    def embed(texts: Sequence[str]) -> list[list[float]]:
+        return [[(t or "").count(c) / 1000 for c in letters] for t in texts]
+    return embed
+
+
 # Cue words per label of the keyword scorer (one short list each).
 LANGUAGE_CUES = {
     "en": ("the", "and", "of", "with", "is"),

@@ -117,14 +117,14 @@ def pack_keyphrases(col, split_words: bool = False, casefold: bool = True) -> Co
 
     Default keeps phrases whole and lower-cased.  ``split_words=True,
     casefold=False`` packs as the reference does from a printed list: commas,
-    quotes and brackets are removed, every space becomes a separator (a two-word
+    single quotes and brackets are removed, every space becomes a separator (a two-word
     phrase becomes two keys) and case is kept; an empty array gives ''.
     """
     arr = _c(col)
     if casefold:
         arr = F.transform(arr, lambda p: F.lower(p))
     if split_words:
-        arr = F.flatten(F.transform(arr, lambda p: F.split(F.translate(p, ",'\"[]", ""), " ", -1)))
+        arr = F.flatten(F.transform(arr, lambda p: F.split(F.translate(p, ",'[]", ""), " ", -1)))
     return F.coalesce(F.array_join(arr, KEY_SEP), F.lit(""))
 
 

@@ -419,3 +419,18 @@ def split_edges(edges: DataFrame, val: float = 0.05, test: float = 0.10, seed: i
                      F.greatest("src", "dst").alias("b"))
     return (e.join(r.select("edge_type", "a", "b", "split"), ["edge_type", "a", "b"])
             .select("edge_type", "src", "dst", "split"))
+
+
+def link_views(splits: DataFrame) -> DataFrame:
+    """What a link predictor sees in each stage, from the rows of ``split_edges``: ``(view, role,
+    edge_type, src, dst)``.  Edges of role ``message`` carry messages, those of role
+    ``supervision`` are to be predicted (label 1): training passes messages along train edges and
+    predicts them, validation passes along train edges and predicts val edges, testing passes along
+    train and val edges and predicts test edges.  One pass, no join."""
+    def rows(*pairs: tuple[str, str]) -> Column:
+        return F.array(*[F.struct(F.lit(v).alias("view"), F.lit(r).alias("role")) for v, r in pairs])
+
+    seen = (F.when(F.col("split") == "train", rows(("train", "message"), ("train", "supervision"), ("val", "message"), ("test", "message")))
+            .when(F.col("split") == "val", rows(("val", "supervision"), ("test", "message")))
+            .otherwise(rows(("test", "supervision"))))
+    return splits.select(F.inline(seen), "edge_type", "src", "dst")

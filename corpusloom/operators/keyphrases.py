@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 
 from corpusloom.functions.text import distinct_phrases, pack_keyphrases
 from corpusloom.operators.ranking import attach_scalars
+from corpusloom.operators.spans import BLANK_MARK, merge_spans
+from corpusloom.session import stage_table
 
 # Token pattern and the stop words (English, French, German,
 # Spanish) that split candidate phrases.
@@ -74,10 +76,10 @@ def tfidf_keyphrases(docs: DataFrame, id_col: str, text_col: str, k: int = 10, m
     t = d.select("_id", tokens(F.col("_t")).alias("_toks"))
     t = t.select("_id", "_toks", token_ok(F.col("_toks"), min_len=min_len).alias("_ok"))
     cand = t.select("_id", F.explode(candidates(F.col("_toks"), F.col("_ok"), max_words)).alias("phrase"))
-    tf = cand.groupBy("_id", "phrase").agg(F.count(F.lit(1)).alias("tf"))
-    # Both branches read (id, phrase, tf): the tokenising stage runs once and
-    # its shuffle output is reused (``cf`` keeps ``tf`` from being pruned away).
-    df_ = tf.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    # Both are stage tables: candidates are made once, and the join's sides are plain shuffles
+    # that Spark may split at a hot phrase.
+    tf = stage_table(cand.groupBy("_id", "phrase").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
+    df_ = stage_table(tf.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")), "document-counts")
     n = d.agg(F.count(F.lit(1)).alias("_N"))
     scored = attach_scalars(tf.join(df_, "phrase"), n).withColumn(
         "score", F.col("tf") * F.log(F.col("_N") / F.col("df")))
@@ -112,3 +114,25 @@ def extract_keyphrases(docs: DataFrame, id_col: str, text_col: str, k: int = 10,
         per = docs.select(id_col, text_col).mapInPandas(run, schema)
     per = per.withColumn("phrases", distinct_phrases("phrases"))
     return per.withColumn("keyphrases", pack_keyphrases("phrases", split_words, casefold))
+
+
+def tagged_keyphrases(docs: DataFrame, id_col: str, text_col: str, tagger: Callable[[list[str]], list[list[tuple]]],
+                      blank_mark: str = BLANK_MARK, split_words: bool = False, casefold: bool = True) -> DataFrame:
+    """L1 with a token classifier: ``tagger`` gives for each text of a batch its tokens as ``(token, tag,
+    score)``; tokens are merged to spans (``spans.merge_spans``), whose phrases are trimmed, distinct
+    and sorted (U3) and packed (P10).  Returns ``(id, phrases, keyphrases)``; ids are unique."""
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(
+        "_tokens", T.ArrayType(T.StructType.fromDDL("token string, tag string, score double")))])
+
+    def run(batches):
+        for pdf in batches:
+            out = tagger(pdf[text_col].fillna("").tolist())
+            yield pd.DataFrame({id_col: pdf[id_col], "_tokens": [[{"token": t, "tag": g, "score": float(s)} for t, g, s in o] for o in out]})
+
+    # written once: the classifier is not asked again by a later read
+    tokens_of = stage_table(docs.select(id_col, text_col).mapInPandas(run, schema), "tagged")
+    flat = tokens_of.select(id_col, F.posexplode("_tokens").alias("pos", "_t")).select(id_col, "pos", "_t.token", "_t.tag", "_t.score")
+    per = merge_spans(flat, id_col, blank_mark).where(F.col("phrase") != "").groupBy(id_col).agg(F.collect_set("phrase").alias("phrases"))
+    per = tokens_of.select(id_col).join(per, id_col, "left").withColumn(
+        "phrases", distinct_phrases(F.coalesce("phrases", F.array().cast("array<string>"))))
+    return per.withColumn("keyphrases", pack_keyphrases("phrases", split_words, casefold))

@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.scores import ERROR_LABEL
-from corpusloom.operators.ranking import ordered_rank
-from corpusloom.session import stage_table
+from corpusloom.operators.ranking import attach_scalars, ordered_rank
 
 
 def _div(num: Column, den: Column) -> Column:
@@ -116,18 +115,15 @@ def confusion_matrix(df: DataFrame, truth: str = "true_category", pred: str = "p
     by default the sorted union of actual and predicted labels (always the
     union, so a label only ever predicted keeps its column).
 
-    The grid has the square of the number of labels as rows, by its definition; it is
-    laid out by position (each label's row of positions, joined to the labels)."""
+    The grid has the square of the number of labels as rows, by its definition; the row of
+    labels that it is laid out from is far smaller."""
     counts = pair_counts(df, truth, pred)
     if labels is None:
-        both = counts.select(F.explode(F.array("truth", "pred")).alias("label")).distinct()
-        places = stage_table(_positions(both), "labels")
+        both = counts.select(F.explode(F.array("truth", "pred")).alias("label")).where(F.col("label").isNotNull())
+        row = both.agg(F.array_sort(F.collect_set("label")).alias("labels"))
     else:
-        places = df.sparkSession.createDataFrame(list(enumerate(labels)), "pos int, label string")
-    last = places.count() - 1
-    across = F.sequence(F.lit(0), F.lit(last)) if last >= 0 else F.array().cast("array<int>")
-    cells = (places.select(F.col("label").alias("actual"), F.explode(across).alias("pos"))
-             .join(places.withColumnRenamed("label", "predicted"), "pos"))
+        row = df.sparkSession.range(1).select(F.array(*[F.lit(x) for x in labels]).cast("array<string>").alias("labels"))
+    cells = row.select("labels", F.explode("labels").alias("actual")).select("actual", F.explode("labels").alias("predicted"))
     found = counts.select(F.col("truth").alias("actual"), F.col("pred").alias("predicted"), "n")
     return (cells.join(found, ["actual", "predicted"], "left")
             .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
@@ -149,6 +145,89 @@ def confidence_histogram(df: DataFrame, conf: str = "confidence_one", correct: s
     return h.withColumn("density", F.col("n") / F.sum("n").over(Window.partitionBy(correct)))
 
 
+def exact_quantiles(df: DataFrame, col: str, shares: Sequence[float]) -> DataFrame:
+    """One row ``q0, q1, ...``: exact quantiles (linear between neighbours) of the non-null values.
+    Values are ranked in ranges; only the rows on both sides of each quantile are added up."""
+    v = df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    ranked = ordered_rank(v, [F.col("_v")], "_k")
+    x = attach_scalars(ranked, v.agg(F.count(F.lit(1)).alias("_n")))
+
+    def part(share: float) -> Column:
+        at = (F.col("_n") - 1) * share
+        return F.sum(F.when(F.col("_k") == F.floor(at), F.col("_v") * (1 - (at - F.floor(at))))
+                     .when(F.col("_k") == F.floor(at) + 1, F.col("_v") * (at - F.floor(at))))
+
+    return x.agg(*[part(s).alias(f"q{i}") for i, s in enumerate(shares)])
+
+
+def automatic_bins(df: DataFrame, col: str) -> DataFrame:
+    """One row ``lo, width, n_bins`` for a histogram of ``col``: the narrower of the Freedman-Diaconis
+    width ``2 * IQR / n^(1/3)`` and the Sturges width ``range / (log2 n + 1)`` (Sturges where the
+    quartiles agree), so many whole bins over the range; one bin if all values agree."""
+    v = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
+    s = v.agg(F.count(F.lit(1)).alias("n"), F.min(F.col(col).cast("double")).alias("lo"), F.max(F.col(col).cast("double")).alias("hi"))
+    s = attach_scalars(s, exact_quantiles(df, col, (0.25, 0.75)))
+    spread = F.col("hi") - F.col("lo")
+    diaconis = 2 * (F.col("q1") - F.col("q0")) / F.pow(F.col("n").cast("double"), 1 / 3)
+    sturges = spread / (F.log2("n") + 1)
+    width = F.when(diaconis > 0, F.least(diaconis, sturges)).otherwise(sturges)
+    bins = F.when(spread > 0, F.ceil(spread / width)).otherwise(1).cast("long")
+    return s.where(F.col("n") > 0).select("lo", (spread / bins).alias("width"), bins.alias("n_bins"))
+
+
+def automatic_histogram(df: DataFrame, col: str, by: str) -> DataFrame:
+    """``(by, bin, left, n, density)`` with bins from the data, common to all groups; ``density`` is
+    normalised within each group.  The last bin holds the largest value."""
+    x = attach_scalars(df.where(F.col(col).isNotNull()), automatic_bins(df, col))
+    at = F.when(F.col("width") > 0, F.floor((F.col(col) - F.col("lo")) / F.col("width"))).otherwise(0)
+    h = (x.withColumn("bin", F.least(at, F.col("n_bins") - 1).cast("long"))
+         .groupBy(by, "bin").agg(F.count(F.lit(1)).alias("n"), F.first("lo").alias("_lo"), F.first("width").alias("_w")))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(by))
+    return h.select(by, "bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("left"), "n",
+                    F.when(F.col("_w") > 0, share / F.col("_w")).alias("density"))
+
+
+#: A fine bin is 1/16 of a bandwidth; kernels end at 9 bandwidths.
+FINE, REACH, TERMS = 16, 9, 8
+
+
+def density_curve(df: DataFrame, col: str, by: str, points: int = 200) -> DataFrame:
+    """Gaussian kernel density of each group, ``(by, point, x, density)`` at ``points`` places from the
+    smallest to the largest value of all groups.  The bandwidth is the group's standard deviation
+    (n - 1) times ``n^(-1/5)``; a group whose values all agree has no curve.
+
+    Values are not compared with all places: they are counted in fine bins (with the moments about
+    the bin's middle, so a bin acts as its values do), and the curve is the convolution of the bins
+    with the kernel.  A bin reaches the places within ``REACH`` bandwidths."""
+    v = df.select(F.col(by).alias("_by"), F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    g = v.groupBy("_by").agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("_v").alias("_sd"))
+    g = g.where(F.col("_sd") > 0).select(F.col("_by").alias("_g"), "_n", (F.col("_sd") * F.pow(F.col("_n").cast("double"), -0.2)).alias("_h"))
+    x = attach_scalars(v, v.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    # one row a group: a join with few rows
+    x = x.join(g, F.col("_by").eqNullSafe(F.col("_g"))).withColumn("_bin", F.floor((F.col("_v") - F.col("_lo")) / F.col("_h") * FINE))
+    middle = F.col("_lo") + (F.col("_bin") + 0.5) * F.col("_h") / FINE
+    off = (F.col("_v") - middle) / F.col("_h")
+    bins = x.groupBy("_by", "_bin", "_n", "_h", "_lo", "_hi").agg(*[F.sum(F.pow(off, k)).alias(f"_m{k}") for k in range(TERMS)])
+    step = (F.col("_hi") - F.col("_lo")) / (points - 1)
+    low = F.greatest(F.lit(0), F.ceil((middle - REACH * F.col("_h") - F.col("_lo")) / step)).cast("int")
+    high = F.least(F.lit(points - 1), F.floor((middle + REACH * F.col("_h") - F.col("_lo")) / step)).cast("int")
+    at = bins.withColumn("_mid", middle).withColumn("point", F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))))
+    at = at.withColumn("_u", (F.col("_lo") + F.col("point") * step - F.col("_mid")) / F.col("_h"))
+    # Taylor terms of the kernel: its k-th derivative is a Hermite polynomial times itself
+    terms, before, now = F.col("_m0"), F.lit(1.0), F.col("_u")
+    fact = 1.0
+    for k in range(1, TERMS):
+        fact *= k
+        terms = terms + F.col(f"_m{k}") * now / fact
+        before, now = now, F.col("_u") * now - k * before
+    kernel = F.exp(-F.col("_u") * F.col("_u") / 2) / ((2 * 3.141592653589793) ** 0.5)
+    reached = at.select(F.col("_by").alias(by), "point", (terms * kernel / (F.col("_n") * F.col("_h"))).alias("density"))
+    every = g.select(F.col("_g").alias(by), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"), F.lit(0.0).alias("density"))
+    curve = reached.unionByName(every).groupBy(by, "point").agg(F.sum("density").alias("density"))
+    curve = attach_scalars(curve, v.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    return curve.select(by, "point", (F.col("_lo") + F.col("point") * (F.col("_hi") - F.col("_lo")) / (points - 1)).alias("x"), "density")
+
+
 def null_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """A10: one row: row count and null count per column."""
     return df.agg(F.count(F.lit(1)).alias("n_rows"),

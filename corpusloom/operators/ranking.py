@@ -71,10 +71,12 @@ def ordered_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "rank")
 def hash_rank(df: DataFrame, order_hash: Column, by: Sequence[str] = (),
               tiebreak: Sequence[str] = (), rank_col: str = "rank",
               size_col: str | None = None,
-              bucket_bits: int | None = None) -> DataFrame:
+              bucket_bits: int | None = None, values: DataFrame | None = None) -> DataFrame:
     """Add ``rank_col`` = 0-based position of each row inside its ``by`` group
     when ordered by ``(order_hash, *tiebreak)``; optionally ``size_col`` = group
-    size.  ``order_hash`` must be a lower-case hex md5 string.
+    size.  ``order_hash`` must be a lower-case hex md5 string.  Rows whose group is null are
+    a group like any other.  ``values`` holds the ``by`` columns, once each, and columns to add to
+    every row of the group; it meets the table of sub-buckets, not the rows.
 
     ``bucket_bits`` sub-buckets per group (default 2^16 grouped, 2^20 global):
     a group of n rows is ranked in windows of ~n / 2^bits rows each."""
@@ -84,20 +86,48 @@ def hash_rank(df: DataFrame, order_hash: Column, by: Sequence[str] = (),
     x = df.withColumn("_h", order_hash)
     # Sub-bucket = leading ``bits`` bits of the hash: monotone in the order.
     x = x.withColumn("_s", F.shiftright(hash32(F.col("_h")), 32 - bits))
+    group = ["_g"] if by else []
+    if by:  # as a struct: a null inside it is equal to a null
+        x = x.withColumn("_g", F.struct(*[F.col(c) for c in by]))
     # Small count table: at most 2^bits rows per group (only non-empty ones).
-    sub = x.groupBy(*by, "_s").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*by).orderBy("_s") if by else Window.orderBy("_s")
+    sub = x.groupBy(*group, "_s").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*group).orderBy("_s") if by else Window.orderBy("_s")
     sub = sub.withColumn("_off", F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)),
                                             F.lit(0)).cast("long"))
     if size_col:
-        wn = Window.partitionBy(*by) if by else Window.partitionBy()
-        sub = sub.withColumn(size_col, F.sum("_c").over(wn).cast("long"))
+        sub = sub.withColumn(size_col, F.sum("_c").over(Window.partitionBy(*group)).cast("long"))
+    if values is not None:
+        sub = sub.join(values.withColumn("_g", F.struct(*[F.col(c) for c in by])).drop(*by), "_g", "left")
     # The join on (group, sub-bucket) and the final window share one
     # partitioning, so the big side is shuffled once.
-    x = x.join(sub.drop("_c"), by + ["_s"])
-    w2 = Window.partitionBy(*by, "_s").orderBy("_h", *tb)
+    x = x.join(sub.drop("_c"), [*group, "_s"])
+    w2 = Window.partitionBy(*group, "_s").orderBy("_h", *tb)
     x = x.withColumn(rank_col, (F.col("_off") + F.row_number().over(w2) - 1).cast("long"))
-    return x.drop("_h", "_s", "_off")
+    return x.drop("_h", "_s", "_off", "_g")
+
+
+GROUP_ROWS = 4096
+
+
+def copy_rank(df: DataFrame, order_hash: Column, by: str, tiebreak: Sequence[str] = (), rank_col: str = "rank",
+              group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``hash_rank`` for many groups that are small but for a few: only groups of more than
+    ``group_rows`` rows get sub-buckets (of about ``group_rows`` rows) and entries in the table of
+    offsets, so that table is a small share of the data, and empty if no group is large."""
+    x = df.withColumn("_h", order_hash)
+    large = (df.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > group_rows)
+             .select("_by", F.least(F.lit(31), F.ceil(F.log2(F.col("_n") / group_rows))).cast("int").alias("_bits")))
+    large = stage_table(large, "large-groups")
+    x = x.join(large, F.col(by).eqNullSafe(F.col("_by")), "left")
+    x = x.withColumn("_s", F.when(F.col("_bits").isNull(), F.lit(0)).otherwise(
+        F.floor(hash32(F.col("_h")) / F.pow(F.lit(2), 32 - F.col("_bits")))).cast("long"))
+    sub = x.where(F.col("_bits").isNotNull()).groupBy("_by", "_s").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy("_by").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stage_table(sub.select("_by", F.col("_s").alias("_os"), F.sum("_c").over(before).alias("_off")), "offsets")
+    x = x.drop("_by").join(offsets, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_s") == F.col("_os")), "left")
+    rank = F.row_number().over(Window.partitionBy(by, "_s").orderBy("_h", *tiebreak)) - 1
+    return (x.withColumn(rank_col, (F.coalesce("_off", F.lit(0)) + rank).cast("long"))
+            .drop("_h", "_s", "_bits", "_by", "_os", "_off"))
 
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:

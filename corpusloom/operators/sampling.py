@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.ranking import attach_scalars, hash60, hash_rank, row_hash, seeded_hash
+from corpusloom.operators.ranking import attach_scalars, copy_rank, hash60, hash_rank, row_hash, seeded_hash
 from corpusloom.session import stage_table
 
 DRAW_CHUNK = 4096
@@ -82,7 +82,7 @@ def suffix_copies(df: DataFrame, id_col: str = "lens_id", seed=42, order_cols: S
     """Append ``_k`` (0-based copy number per id) to make ids unique.  The
     copy order is the seeded hash of the draw (the reference follows row
     order); ranks are skew-safe, so one record drawn many times is fine."""
-    r = hash_rank(df, seeded_hash(seed, *order_cols), by=[id_col], tiebreak=list(order_cols), rank_col="_k")
+    r = copy_rank(df, seeded_hash(seed, *order_cols), id_col, list(order_cols), "_k")
     return r.withColumn(out_col or id_col, F.concat(F.col(id_col), F.lit("_"), F.col("_k").cast("string"))).drop("_k")
 
 
@@ -112,10 +112,11 @@ def mean_class_size(df: DataFrame, categories: Sequence[str], label: str = "cate
 
 def undersample_majority(df: DataFrame, majority: str, others: Sequence[str], target: int | None = None,
                          seed=42, label: str = "category", id_col: str = "lens_id") -> DataFrame:
-    """Keep every non-majority row; keep ``min(target, n_majority)`` seeded
-    rows of the majority class, target defaulting to A3 over ``others``."""
+    """Keep every non-majority row, those without a label too; keep
+    ``min(target, n_majority)`` seeded rows of the majority class, target defaulting to A3 over
+    ``others``."""
     maj = df.filter(F.col(label) == majority)
-    rest = df.filter(F.col(label) != majority)
+    rest = df.filter(~F.col(label).eqNullSafe(F.lit(majority)))
     r = hash_rank(maj, seeded_hash(seed, id_col), tiebreak=[id_col, row_hash(df)], rank_col="_r")
     if target is None:
         r = attach_scalars(r, mean_class_size(df, others, label))
@@ -124,12 +125,29 @@ def undersample_majority(df: DataFrame, majority: str, others: Sequence[str], ta
     return rest.unionByName(r.filter(F.col("_r") < target).drop("_r"))
 
 
+def apportion(sizes: DataFrame, share: float, label: str = "category", out_col: str = "n_test") -> DataFrame:
+    """Shares whole rows out to labels: of ``sizes(label, n)``, one row a label, ``ceil(share * total)`` rows
+    are taken in all.  The others are dealt by largest remainder (each label gets the whole part
+    of its proportional number, the labels with the largest remainders one more; ties in
+    label order, null first), and ``out_col`` is what is left of each label."""
+    whole = sizes.agg(F.sum("n").cast("decimal(38,0)").alias("_all"))
+    x = attach_scalars(sizes, whole.withColumn("_rest", F.col("_all") - F.ceil(F.col("_all").cast("double") * share).cast("decimal(38,0)")))
+    product = F.col("n").cast("decimal(18,0)") * F.col("_rest").cast("decimal(18,0)")
+    x = x.withColumn("_left", product % F.col("_all")).withColumn("_floor", ((product - F.col("_left")) / F.col("_all")).cast("long"))
+    missing = x.agg((F.first("_rest") - F.sum("_floor")).cast("long").alias("_more"))
+    x = attach_scalars(x, missing)
+    nth = F.row_number().over(Window.orderBy(F.desc("_left"), F.col(label).asc_nulls_first()))  # one row a label
+    kept = F.col("_floor") + F.when(nth <= F.col("_more"), 1).otherwise(0)
+    return x.select(label, "n", (F.col("n") - kept).cast("long").alias(out_col))
+
+
 def stratified_split(df: DataFrame, label: str = "category", test_size: float = 0.2, seed=42,
                      id_col: str = "lens_id", test_col: str = "is_test") -> DataFrame:
-    """Per label, the first ``round(test_size * n_label)`` rows of the seeded
-    order are test (sklearn allocates the remainder slightly differently)."""
-    r = hash_rank(df, seeded_hash(seed, id_col), by=[label], tiebreak=[id_col, row_hash(df)], rank_col="_r", size_col="_n")
-    return r.withColumn(test_col, F.col("_r") < F.round(F.col("_n") * test_size)).drop("_r", "_n")
+    """Exactly ``ceil(test_size * n)`` test rows, shared out to the labels by largest remainder; of
+    each label the first of the seeded order are test."""
+    test = apportion(class_sizes(df, label), test_size, label, "_t").drop("n")
+    r = hash_rank(df, seeded_hash(seed, id_col), by=[label], tiebreak=[id_col, row_hash(df)], rank_col="_r", values=test)
+    return r.withColumn(test_col, F.col("_r") < F.col("_t")).drop("_r", "_t")
 
 
 def sample_n(df: DataFrame, n: int, seed=42, id_col: str = "lens_id") -> DataFrame:

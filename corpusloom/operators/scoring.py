@@ -110,11 +110,11 @@ def call_model(df: DataFrame, fn: Callable[[list[str]], list], in_col: str, out_
                attempts: int = 3, wait: tuple[float, float] = (1.0, 2.0),
                per_row_errors: bool = False, profile=None) -> DataFrame:
     """Run a user callable over ``in_col`` in Arrow batches of
-    ``batch_size``.  Concurrent calls are bounded by the resources of the task, not by
-    the number of partitions: on a cluster pass ``profile`` (a Spark ResourceProfile
-    whose tasks ask for a share of a custom ``model`` resource), so work stays in many
-    small partitions and a retried task repeats only its own.  A ``local`` master has no
-    profiles; there ``max_parallel`` sets the number of partitions.  An answer of the
+    ``batch_size``.  At most ``max_parallel`` calls run at once: there are so many partitions.
+    On a cluster a ``profile`` (a Spark ResourceProfile whose tasks ask for a share of a custom
+    ``model`` resource) bounds them by the resources of the task instead, so work stays in many
+    small partitions and a retried task repeats only its own; a ``local`` master has no profiles.
+    (``ledger.run_calls`` keeps both: waves of ``max_parallel`` small tasks.)  An answer of the
     wrong length counts as a failure.  With ``per_row_errors`` a batch that still
     fails after the retries is retried row by row and failing rows get null
     (the caller turns them into error rows)."""
@@ -140,30 +140,35 @@ def call_model(df: DataFrame, fn: Callable[[list[str]], list], in_col: str, out_
                 part[out_col] = pd.Series(out, index=part.index, dtype=object)
                 yield part
 
-    if df.sparkSession.sparkContext.master.startswith("local["):
-        return (df.repartition(max_parallel) if max_parallel else df).mapInPandas(run, schema)
-    return df.mapInPandas(run, schema, profile=profile)
+    bounded = df.repartition(max_parallel) if max_parallel and profile is None else df
+    return bounded.mapInPandas(run, schema, profile=profile)
 
 
 # ----------------------------------------------------------------------------- L9
 
 def zero_shot(df: DataFrame, prompt: DataFrame, categories: Sequence[str], call_fn: Callable,
               text_col: str = "text", id_col: str = "lens_id", title_col: str = "title",
-              truth_col: str = "category", max_parallel: int | None = 10) -> DataFrame:
+              truth_col: str = "category", max_parallel: int | None = 10, profile=None) -> DataFrame:
     """Render -> call the model (3 attempts, 1-2 s jittered wait) -> clean,
     parse, top-2 -> result rows; a failing call becomes an 'ERROR' row.
 
     The result is a lazy plan: write it once (``io.write_results``, as the
     zero-shot workflow does) and read the file back before using it several
     times, so every record is sent to the model once."""
-    r = render_prompt(df.select(F.col(id_col).alias("LensID"), F.col(title_col).alias("Title"),
-                                F.col(truth_col).alias("true_category"), F.col(text_col).alias("_text")),
-                      prompt, categories, "_text")
-    answered = call_model(r.drop("_text"), call_fn, "prompt", "response", T.StringType(),
-                          max_parallel=max_parallel, per_row_errors=True)
+    r = result_prompts(df, prompt, categories, text_col, id_col, title_col, truth_col)
+    answered = call_model(r, call_fn, "prompt", "response", T.StringType(),
+                          max_parallel=max_parallel, per_row_errors=True, profile=profile)
     return to_result_rows(answered)
 
 
+def result_prompts(df: DataFrame, prompt: DataFrame, categories: Sequence[str], text_col: str = "text",
+                   id_col: str = "lens_id", title_col: str = "title", truth_col: str = "category") -> DataFrame:
+    """``(LensID, Title, true_category, prompt)`` of every record."""
+    r = df.select(F.col(id_col).alias("LensID"), F.col(title_col).alias("Title"),
+                  F.col(truth_col).alias("true_category"), F.col(text_col).alias("_text"))
+    return render_prompt(r, prompt, categories, "_text").drop("_text")
+
+
 # ----------------------------------------------------------------------------- J5 / L2
 
 def store_keys(texts: DataFrame, text_col: str, embedder: str) -> DataFrame:
@@ -178,36 +183,31 @@ def missing_embeddings(texts: DataFrame, store: DataFrame | None, text_col: str,
         .dropDuplicates(["content_key"])
     if store is None:
         return k
-    return k.join(store.select("content_key").distinct(), "content_key", "left_anti")
+    return k.join(store.select("content_key"), "content_key", "left_anti")
 
 
 def new_embeddings(texts: DataFrame, embed_fn: Callable, store: DataFrame | None, text_col: str,
-                   embedder: str, max_parallel: int | None = None, batch_size: int = 64) -> DataFrame:
+                   embedder: str, max_parallel: int | None = None, batch_size: int = 64, profile=None) -> DataFrame:
     """Rows ``(content_key, embedder, embedding)`` for the store misses only
     (a lazy plan: the model runs when it is written)."""
     miss = missing_embeddings(texts, store, text_col, embedder)
     return (call_model(miss, embed_fn, "text", "embedding", T.ArrayType(T.DoubleType()),
-                       max_parallel=max_parallel, batch_size=batch_size)
+                       max_parallel=max_parallel, batch_size=batch_size, profile=profile)
             .select("content_key", F.lit(embedder).alias("embedder"), "embedding"))
 
 
 def embed_texts(texts: DataFrame, embed_fn: Callable, store_path: str, text_col: str, embedder: str,
-                max_parallel: int | None = None, batch_size: int = 64) -> DataFrame:
-    """L2: embed only the store misses, append them to the store, and return
+                max_parallel: int | None = None, batch_size: int = 64, profile=None) -> DataFrame:
+    """L2: embed only the store misses, append them to the bucketed store, and return
     the input rows with their embedding (hits and misses alike) read back from
     the store.  The model runs exactly once per missing text — inside the
     append job, whose output commits atomically — and never again downstream
-    (a retried task re-calls only its own batch; nothing is stored twice)."""
-    from corpusloom.sources import io
-    spark = texts.sparkSession
-    new = new_embeddings(texts, embed_fn, io.read_embeddings(spark, store_path), text_col, embedder,
-                         max_parallel, batch_size)
-    io.write_embeddings(new, store_path)
-    # two writers at once may both have added a text: one row for each key
-    store = (io.read_embeddings(spark, store_path).filter(F.col("embedder") == embedder)
-             .dropDuplicates(["content_key"]))
-    return store_keys(texts, text_col, embedder).join(store.select("content_key", "embedding"),
-                                                      "content_key", "left")
+    (a retried task re-calls only its own batch; nothing is stored twice).  Stored vectors
+    are never shuffled: keys and texts go to their buckets."""
+    from corpusloom.sources.store import EmbeddingStore
+    store = EmbeddingStore(texts.sparkSession, store_path, embedder)
+    store.append(new_embeddings(texts, embed_fn, store.read(), text_col, embedder, max_parallel, batch_size, profile))
+    return store_keys(texts, text_col, embedder).join(store.read(), "content_key", "left")
 
 
 # ----------------------------------------------------------------------------- L3

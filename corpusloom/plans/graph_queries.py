@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import merge_codes, normalise_codes
 from corpusloom.operators import graph as g
+from corpusloom.operators import twins as tw
 from corpusloom.plans.registry import query
 from corpusloom.plans.sql_fixtures import sql
 from corpusloom.session import cut_lineage
@@ -236,19 +237,15 @@ def g5(spark, sf):
 
 
 @query("u4_to_undirected", sql=sql(["g3_edges", "ids", "cats"], """,
-ce AS (SELECT i.node AS src, c.cat AS dst FROM records r JOIN ids i ON i.lens_id = r.lens_id JOIN cats c ON c.category = r.category),
-allr AS (SELECT edge_type, src, dst FROM g3_edges UNION ALL SELECT edge_type, dst, src FROM g3_edges
-         UNION ALL SELECT 'contains', src, dst FROM ce UNION ALL SELECT 'rev_contains', dst, src FROM ce)
-SELECT edge_type, count(*) AS n_edges, count(DISTINCT (src, dst)) AS n_distinct FROM (
-  SELECT DISTINCT edge_type, src, dst FROM allr WHERE edge_type = 'same_classification'
-  UNION ALL SELECT edge_type, src, dst FROM allr WHERE edge_type <> 'same_classification') GROUP BY edge_type"""))
+ce AS (SELECT i.node AS src, c.cat AS dst FROM records r JOIN ids i ON i.lens_id = r.lens_id JOIN cats c ON c.category = r.category)
+SELECT edge_type, src, dst FROM g3_edges UNION SELECT edge_type, dst, src FROM g3_edges
+UNION ALL SELECT 'contains', src, dst FROM ce UNION ALL SELECT 'rev_contains', dst, src FROM ce"""))
 def u4(spark, sf):
+    """Every edge: reverses of the one type coalesced, the bipartite type reversed."""
     recs, nodes, cats, _ = _graph(spark, sf)
     e3 = _edges(recs, nodes).select("edge_type", "src", "dst")
     ce = g.category_edges(recs, nodes, cats).filter(F.col("edge_type") == "contains")
-    und = g.to_undirected(e3.unionByName(ce), bipartite_types=["contains"])
-    return und.groupBy("edge_type").agg(F.count(F.lit(1)).alias("n_edges"),
-                                        F.countDistinct("src", "dst").alias("n_distinct"))
+    return g.to_undirected(e3.unionByName(ce), bipartite_types=["contains"])
 
 
 @query("w4_fallback_masks", sql=sql(["ids"], """
@@ -389,15 +386,86 @@ def p21(spark, sf):
     return v.select("vec_id", F.posexplode(g.normalise_rows("a")).alias("dim", "value"))
 
 
-@query("b8_split_edges", sql=sql(["g3_edges"], """,
-u AS (SELECT DISTINCT edge_type, least(src, dst) AS a, greatest(src, dst) AS b FROM g3_edges),
-r AS (SELECT *, row_number() OVER (PARTITION BY edge_type ORDER BY md5('42:' || edge_type || ':' || a || ':' || b), a, b) - 1 AS rk,
-             count(*) OVER (PARTITION BY edge_type) AS n FROM u),
-s AS (SELECT edge_type, a, b, CASE WHEN rk < n - floor(n * 0.05) - floor(n * 0.10) THEN 'train'
-             WHEN rk < n - floor(n * 0.10) THEN 'val' ELSE 'test' END AS split FROM r)
-SELECT e.edge_type, s.split, count(*) AS n_edges FROM g3_edges e JOIN s ON s.edge_type = e.edge_type
-  AND s.a = least(e.src, e.dst) AND s.b = greatest(e.src, e.dst) GROUP BY 1, 2"""))
+cte("edge_split", ("g3_edges",), """
+SELECT e.edge_type, e.src, e.dst, CASE WHEN rk < n - floor(n * 0.05) - floor(n * 0.10) THEN 'train' WHEN rk < n - floor(n * 0.10) THEN 'val' ELSE 'test' END AS split
+FROM g3_edges e JOIN (SELECT *, row_number() OVER (PARTITION BY edge_type ORDER BY md5('42:' || edge_type || ':' || a || ':' || b), a, b) - 1 AS rk,
+                             count(*) OVER (PARTITION BY edge_type) AS n
+                      FROM (SELECT DISTINCT edge_type, least(src, dst) AS a, greatest(src, dst) AS b FROM g3_edges)) r
+  ON r.edge_type = e.edge_type AND r.a = least(e.src, e.dst) AND r.b = greatest(e.src, e.dst)""")
+
+
+@query("b8_split_edges", sql=sql(["edge_split"], "SELECT * FROM edge_split"))
 def b8(spark, sf):
+    """Every edge with its split."""
+    recs, nodes, _, _ = _graph(spark, sf)
+    return g.split_edges(_edges(recs, nodes), 0.05, 0.10, seed=42)
+
+
+@query("b8_link_views", sql=sql(["edge_split"], """
+SELECT v.view, v.role, e.edge_type, e.src, e.dst FROM edge_split e
+JOIN (VALUES ('train', 'train', 'message'), ('train', 'train', 'supervision'), ('train', 'val', 'message'), ('train', 'test', 'message'),
+             ('val', 'val', 'supervision'), ('val', 'test', 'message'), ('test', 'test', 'supervision')) v(split, view, role) USING (split)"""))
+def b8_views(spark, sf):
+    """What a link predictor may use and must predict in each stage."""
     recs, nodes, _, _ = _graph(spark, sf)
-    s = g.split_edges(_edges(recs, nodes), 0.05, 0.10, seed=42)
-    return s.groupBy("edge_type", "split").agg(F.count(F.lit(1)).alias("n_edges"))
+    return g.link_views(g.split_edges(_edges(recs, nodes), 0.05, 0.10, seed=42))
+
+
+# ---------------------------------------------------------------- quotient by structural twins (all raw keys, the empty one too)
+
+cte("key_sets", ("raw_keys", "ids"), """
+SELECT i.node, list_sort(list(DISTINCT k.key)) AS keys FROM raw_keys k JOIN ids i ON i.lens_id = k.node GROUP BY i.node""")
+cte("twin_members", ("key_sets",), "SELECT node, min(node) OVER (PARTITION BY keys) AS cls, count(*) OVER (PARTITION BY keys) AS size, keys FROM key_sets")
+cte("twin_edges", ("twin_members",), """
+SELECT a.cls AS src, b.cls AS dst, count(*) AS n_shared
+FROM (SELECT DISTINCT cls, unnest(keys) AS key FROM twin_members) a JOIN (SELECT DISTINCT cls, unnest(keys) AS key FROM twin_members) b
+  ON a.key = b.key AND a.cls <> b.cls GROUP BY 1, 2""")
+
+
+def _twins(spark, sf):
+    recs, nodes, _, feats = _graph(spark, sf)
+    return tw.twin_graph(g._to_dense(_raw_incidence(recs, drop_empty=False), nodes)), feats
+
+
+@query("g2_twin_members", sql=sql(["twin_members"], "SELECT node, cls, size, len(keys) AS n_keys FROM twin_members"))
+def g2_members(spark, sf):
+    """Every record with the class of records that have the same codes (those without codes are one)."""
+    graph, _ = _twins(spark, sf)
+    return graph.members.join(graph.classes, "cls").select("node", "cls", "size", "n_keys")
+
+
+@query("g2_twin_edges", sql=sql(["twin_edges"], "SELECT * FROM twin_edges"))
+def g2_quotient(spark, sf):
+    """Edges between classes."""
+    return _twins(spark, sf)[0].edges
+
+
+_PAIR_GCN = """
+deg_{t} AS (SELECT n.node, 1.0 / sqrt(1 + coalesce(d.c, 0)) AS dinv FROM ids n LEFT JOIN (SELECT dst AS node, count(*) AS c FROM e_{t} GROUP BY dst) d ON d.node = n.node),
+y_{t} AS (SELECT x.node, x.dim, x.value * d.dinv AS v FROM {x} x JOIN deg_{t} d USING (node)),
+h_{t} AS (SELECT m.node, m.dim, sum(m.v) * any_value(d.dinv) AS value
+          FROM (SELECT e.dst AS node, y.dim, y.v FROM e_{t} e JOIN y_{t} y ON y.node = e.src UNION ALL SELECT node, dim, v FROM y_{t}) m
+          JOIN deg_{t} d USING (node) GROUP BY m.node, m.dim)"""
+
+
+@query("g7_twin_propagate", sql=sql(["g2_edges_all", "ids", "feats"], """,
+e_a AS (SELECT DISTINCT src, dst FROM g2_edges_all WHERE src <> dst),""" + _PAIR_GCN.format(t="a", x="feats") + """,
+e_b AS (SELECT * FROM e_a),""" + _PAIR_GCN.format(t="b", x="h_a") + """
+SELECT node, dim, value FROM h_b"""))
+def g7_twins(spark, sf):
+    """Two propagation steps over the quotient; SQL takes them over all pairs."""
+    graph, feats = _twins(spark, sf)
+    return tw.to_nodes(graph, tw.twin_propagate(graph, feats, hops=2))
+
+
+@query("g9_twin_hetero_propagate", sql=sql(["g2_edges_all", "g4_edges", "ids", "feats"], """,
+e_a AS (SELECT DISTINCT src, dst FROM g2_edges_all WHERE src <> dst),""" + _PAIR_GCN.format(t="a", x="feats") + """,
+e_b AS (SELECT DISTINCT src, dst FROM g4_edges WHERE src <> dst),""" + _PAIR_GCN.format(t="b", x="feats") + """
+SELECT node, dim, sum(value) AS value FROM (SELECT * FROM h_a UNION ALL SELECT * FROM h_b) GROUP BY node, dim"""))
+def g9_twins(spark, sf):
+    """Class codes and keyphrases, each over its own quotient."""
+    recs = cut_lineage(fx.with_keyphrases(spark, sf).select("lens_id", "category", "cpc", "ipcr", "keyphrases"))
+    nodes, _, feats = g.build_nodes(recs, materialize=True)
+    by_code = tw.twin_graph(g._to_dense(_raw_incidence(recs, drop_empty=False), nodes))
+    by_phrase = tw.twin_graph(g._to_dense(g.incidence(recs, "lens_id", "keyphrases"), nodes))
+    return tw.twin_hetero_propagate([by_code, by_phrase], feats)

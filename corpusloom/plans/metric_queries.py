@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import metrics as mt
 from corpusloom.operators import sampling as sm
 from corpusloom.operators import scoring as so
-from corpusloom.plans import sampling_queries  # noqa: F401  (split80 CTE)
+from corpusloom.plans.sampling_queries import apportioned_sql  # (and the split80 CTE)
 from corpusloom.plans.registry import query
 from corpusloom.plans.sql_fixtures import cte, sql
 from corpusloom.sources import fixtures as fx
@@ -143,6 +143,38 @@ def a9(spark, sf):
     return mt.confidence_histogram(valid(spark, sf), bins=20)
 
 
+cte("auto_bins", ("valid_pred",), """
+SELECT lo, hi - lo AS spread, CASE WHEN hi > lo THEN ceil((hi - lo) / CASE WHEN iqr > 0 THEN least(2 * iqr / n ** (1.0 / 3), (hi - lo) / (log2(n) + 1))
+       ELSE (hi - lo) / (log2(n) + 1) END) ELSE 1 END::BIGINT AS n_bins
+FROM (SELECT count(*) AS n, min(confidence_one)::DOUBLE AS lo, max(confidence_one)::DOUBLE AS hi,
+             (quantile_cont(confidence_one::DOUBLE, 0.75) - quantile_cont(confidence_one::DOUBLE, 0.25)) AS iqr FROM valid_pred)""")
+
+
+@query("a9_automatic_bins", sql=sql(["auto_bins"], "SELECT lo, spread / n_bins AS width, n_bins FROM auto_bins"))
+def a9_bins(spark, sf):
+    """Bins of the confidences from the data."""
+    return mt.automatic_bins(valid(spark, sf), "confidence_one")
+
+
+@query("a9_automatic_histogram", sql=sql(["valid_pred", "auto_bins"], """
+SELECT is_correct, bin, lo + bin * (spread / n_bins) AS left, n, n / sum(n) OVER (PARTITION BY is_correct) / (spread / n_bins) AS density
+FROM (SELECT is_correct, least(floor((confidence_one - lo) / (spread / n_bins)), n_bins - 1)::BIGINT AS bin, count(*) AS n FROM valid_pred, auto_bins GROUP BY 1, 2), auto_bins"""))
+def a9_auto(spark, sf):
+    """Histogram of right and wrong confidences over these bins."""
+    return mt.automatic_histogram(valid(spark, sf), "confidence_one", "is_correct")
+
+
+@query("a9_density_curve", sql=sql(["valid_pred"], """,
+g AS (SELECT is_correct, count(*) AS n, stddev_samp(confidence_one) * count(*) ** -0.2 AS h FROM valid_pred GROUP BY 1),
+r AS (SELECT min(confidence_one) AS lo, max(confidence_one) AS hi FROM valid_pred),
+p AS (SELECT point::INTEGER AS point, lo + point * (hi - lo) / 199 AS x FROM r, range(200) t(point))
+SELECT g.is_correct, p.point, p.x, sum(exp(-((p.x - v.confidence_one) / g.h) ** 2 / 2)) / (any_value(g.n) * any_value(g.h) * sqrt(2 * pi())) AS density
+FROM g JOIN valid_pred v ON v.is_correct = g.is_correct, p WHERE g.h > 0 GROUP BY g.is_correct, p.point, p.x"""))
+def a9_density(spark, sf):
+    """Density curves of right and wrong confidences."""
+    return mt.density_curve(valid(spark, sf), "confidence_one", "is_correct")
+
+
 @query("a10_null_profile", sql=sql(["predictions", "valid_pred"], """
 SELECT count(*) AS n_rows, count(*) FILTER (WHERE true_category IS NULL) AS null_true_category,
        count(*) FILTER (WHERE predicted_one IS NULL) AS null_predicted_one,
@@ -154,10 +186,10 @@ def a10(spark, sf):
     return attach_scalars(before, mt.valid_predictions(p).agg(F.count(F.lit(1)).alias("n_after_cleaning")))
 
 
-cte("emb_sets", ("vectors",), """
-SELECT vec_id, category AS label, CASE WHEN rk < round(n * 0.2) THEN 'test_embeddings' ELSE 'train_embeddings' END AS set_name
-FROM (SELECT vec_id, category, row_number() OVER (PARTITION BY category ORDER BY md5('42:' || vec_id), vec_id) - 1 AS rk,
-             count(*) OVER (PARTITION BY category) AS n FROM vectors)""")
+cte("emb_sets", ("vectors",), f"""
+SELECT vec_id, v.category AS label, CASE WHEN rk < n_test THEN 'test_embeddings' ELSE 'train_embeddings' END AS set_name
+FROM (SELECT vec_id, category, row_number() OVER (PARTITION BY category ORDER BY md5('42:' || vec_id), vec_id) - 1 AS rk FROM vectors) v
+JOIN ({apportioned_sql("vectors")}) a ON a.category IS NOT DISTINCT FROM v.category""")
 
 
 def _emb_sets(spark, sf):

@@ -86,15 +86,33 @@ def b3(spark, sf):
 @query("b4_undersample_majority", sql=sql(["records"], f""",
 t AS (SELECT floor(count(*) FILTER (WHERE category IN ('fr', 'de', 'es')) / 3) AS target FROM records),
 maj AS (SELECT lens_id, category, {_rk('', '42')} AS rk FROM records WHERE category = 'en')
-SELECT lens_id, category FROM records WHERE category <> 'en'
+SELECT lens_id, category FROM records WHERE category IS DISTINCT FROM 'en'
 UNION ALL SELECT lens_id, category FROM maj, t WHERE rk < target"""))
 def b4(spark, sf):
     return sm.undersample_majority(_rec(spark, sf), MAJORITY, OTHERS)
 
 
-@query("b5_stratified_split", sql=sql(["records"], f"""
-SELECT lens_id, category, rk < round(n * 0.2) AS is_test FROM (
-  SELECT lens_id, category, {_rk('category', '42')} AS rk, count(*) OVER (PARTITION BY category) AS n FROM records)"""))
+def apportioned_sql(source: str) -> str:
+    """Rows and test rows of each label of ``source``, by largest remainder."""
+    return f"""
+SELECT category, n, n - (n * rest) // total - CASE WHEN row_number() OVER (ORDER BY (n * rest) % total DESC, category NULLS FIRST)
+       <= rest - sum((n * rest) // total) OVER () THEN 1 ELSE 0 END AS n_test
+FROM (SELECT *, sum(n) OVER () AS total, (sum(n) OVER () - ceil(sum(n) OVER () * 0.2))::BIGINT AS rest
+      FROM (SELECT category, count(*) AS n FROM {source} GROUP BY category))"""
+
+
+cte("apportioned", ("records",), apportioned_sql("records"))
+
+
+@query("b5_apportioned_sizes", sql=sql(["apportioned"], "SELECT category, n, n_test::BIGINT AS n_test FROM apportioned"))
+def b5_sizes(spark, sf):
+    """Rows and test rows of each label."""
+    return sm.apportion(sm.class_sizes(_rec(spark, sf)), 0.2)
+
+
+@query("b5_stratified_split", sql=sql(["records", "apportioned"], f"""
+SELECT r.lens_id, r.category, rk < n_test AS is_test FROM (SELECT lens_id, category, {_rk('category', '42')} AS rk FROM records) r
+JOIN apportioned a ON a.category IS NOT DISTINCT FROM r.category"""))
 def b5(spark, sf):
     return sm.stratified_split(_rec(spark, sf), "category", 0.2, 42)
 

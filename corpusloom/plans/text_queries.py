@@ -90,7 +90,7 @@ def p9(spark, sf):
 
 
 @_q("p10_pack_keyphrases", sql(["kp"], """
-SELECT lens_id, coalesce(array_to_string(flatten(list_transform(phrases, lambda p: string_split(translate(p, ',\'\'"[]', ''), ' '))), '|'), '') AS keyphrases
+SELECT lens_id, coalesce(array_to_string(flatten(list_transform(phrases, lambda p: string_split(translate(p, ',\'\'[]', ''), ' '))), '|'), '') AS keyphrases
 FROM kp"""))
 def p10(spark, sf):
     r = fx.with_keyphrases(spark, sf)
@@ -104,8 +104,11 @@ def p10_whole(spark, sf):
 
 @_q("u1_union_by_label", sql(["records"], "SELECT * FROM records"))
 def u1(spark, sf):
-    r = fx.records(spark, sf)
-    return io.build_combined([r.filter(F.col("category").eqNullSafe(lab)) for lab in fx.labels(r)])
+    """One table for each label, from one scan of the records; their union."""
+    path = io.scratch_path(spark, "by-label")
+    io.write_table(fx.records(spark, sf), path)
+    t = io.read_table(spark, path)
+    return io.build_combined([t.filter(F.col("category").eqNullSafe(lab)) for lab in fx.labels(t)])
 
 
 @_q("u2_distinct_labels", sql(["records"], "SELECT DISTINCT category FROM records"))

@@ -89,7 +89,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 # S2 / S3 -------------------------------------------------------------------------
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
@@ -102,7 +102,7 @@ def load_labelled(spark: SparkSession, files: Mapping[str, str | None],
     name belong to the path, so files of one name in two folders keep their own."""
     frames = []
     for path, label in files.items():
-        if _exists(spark, path):
+        if path_exists(spark, path):
             frames.append(read_records(spark, path, schema)
                           .withColumn("category", F.lit(label).cast("string"))
                           .withColumn("source_file", F.lit(os.path.basename(path.rstrip("/")))))
@@ -177,20 +177,18 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 # S10 -----------------------------------------------------------------------------
-def write_embeddings(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Embedding store keyed by ``content_key``, partitioned by embedder."""
-    df.write.mode(mode).partitionBy("embedder").parquet(path)
-
-
-STORE_SCHEMA = T.StructType([T.StructField("content_key", T.StringType()),
-                             T.StructField("embedding", T.ArrayType(T.DoubleType())),
-                             T.StructField("embedder", T.StringType())])
+def write_embeddings(df: DataFrame, path: str, embedder: str) -> None:
+    """Appends ``(content_key, embedding)`` to the bucketed store of an embedder."""
+    from corpusloom.sources.store import EmbeddingStore
+    EmbeddingStore(df.sparkSession, path, embedder).append(df)
 
 
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame | None:
-    """The store, or None before its first write (explicit schema: an empty
-    append still reads)."""
-    return spark.read.schema(STORE_SCHEMA).parquet(path) if _exists(spark, path) else None
+    """``(content_key, embedding, embedder)`` of all embedders' stores under the path, or None
+    before the first write."""
+    from corpusloom.sources.store import EmbeddingStore, embedders
+    frames = [EmbeddingStore(spark, path, e).read().withColumn("embedder", F.lit(e)) for e in embedders(spark, path)]
+    return reduce(DataFrame.unionByName, frames) if frames else None
 
 
 SET_SCHEMA = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("label", T.StringType()),
@@ -223,4 +221,4 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str, features: DataFra
 def read_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The stored parts of a graph by name."""
     parts = {name: os.path.join(path, name) for name in ("nodes", "edges", "features", "masks")}
-    return {name: spark.read.parquet(p) for name, p in parts.items() if _exists(spark, p)}
+    return {name: spark.read.parquet(p) for name, p in parts.items() if path_exists(spark, p)}

@@ -4,8 +4,8 @@ The reference has no streaming operator; its embedding cache (J5/L2) is what
 makes an incremental feed possible: each micro-batch embeds only the texts
 whose content key the store does not hold yet and appends them.  Re-running a
 micro-batch after a failure is harmless — the anti-join against the store
-skips keys a committed earlier attempt already wrote (Parquet appends commit
-atomically per job), so the store stays duplicate-free.
+skips keys a committed earlier attempt already wrote, so the store stays
+duplicate-free.
 """
 
 from __future__ import annotations
@@ -17,14 +17,14 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.operators.scoring import new_embeddings
-from corpusloom.sources import io
+from corpusloom.sources.store import EmbeddingStore
 
 
 def embed_batch(batch: DataFrame, embed_fn: Callable, store_path: str, text_col: str, embedder: str) -> None:
     """One micro-batch: embed the store misses and append them."""
     spark = batch.sparkSession
-    store = io.read_embeddings(spark, store_path)
-    io.write_embeddings(new_embeddings(batch, embed_fn, store, text_col, embedder), store_path)
+    store = EmbeddingStore(spark, store_path, embedder)
+    store.append(new_embeddings(batch, embed_fn, store.read(), text_col, embedder))
 
 
 def start_embedding_feed(spark: SparkSession, source_path: str, schema: T.StructType, text_col: str,
