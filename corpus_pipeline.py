@@ -26,10 +26,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_lines(docs)
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length("text").cast("long"))
-                               .otherwise(F.col("n_chars")))
-    return kept.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    return kept.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
