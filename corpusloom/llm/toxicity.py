@@ -7,50 +7,52 @@ have not seen its fold.  Scoring feeds the probabilities of the final models.
 
 Features are the distinct lower-cased words of the whole text and the first 4, 5 and
 6 letters of longer words (so inflected forms count), reduced to the
-``n_features`` that differ most between rows with and without the last category.
+``n_features`` that differ most between rows with and without the last category.  They are
+chosen anew, from its training rows alone, for the models of each fold.
 
-The models are fitted by MLlib on a bounded sample of labelled rows
-(``sample_per_class`` with and as many without the last category, chosen by a hash
-of the id).  Feature lists and weights (``n_features`` each) are broadcast; every
-whole text is scored in one pass without a shuffle.
+The models learn from a bounded sample of labelled rows (``sample_per_class`` with and as
+many without the last category, chosen by a hash of the id, one row an id).  Each level of the
+chain is one job: a group for each fold's model and one for the final model, each fitted
+whole in its task (at most ``2 * sample_per_class`` rows of up to ``n_features`` numbers).
+Feature lists and weights (``n_features`` each) are broadcast; every whole text is scored
+in one pass without a shuffle.
 
 Defined cases: a null or empty text has no features; labels that are null or
-belong to no document are not learned from; a category that only has one value in
-the sample gets that value's rate as a constant; without any label all
-probabilities are 0; rows that repeat an id are documents of their own; an empty table gives
-an empty result.
+belong to no document are not learned from; an id that is labelled more than once has its
+largest label; a feature of fewer than ``MIN_ROWS`` training rows is not chosen; an earlier
+category with one value only in its training rows is constant at it; if the last one has one value
+only, or there is no feature, it is constant at the rate of all labels, and the chain rejects
+nothing; without any label all probabilities are 0; rows that repeat an id are
+documents of their own when scored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import own_columns, unit_hash
+from corpusloom.operators.crossfit import minimise
 from corpusloom.session import stage_table
 
 SAMPLE_PER_CLASS = 4000
 N_FEATURES = 2048
-MIN_ROWS = 5
-FOLDS = 2
-#: The sample is small and each optimiser step is a job: few partitions, fewer steps out of fold.
-FIT_PARTITIONS = 3
-STEPS, FOLD_STEPS = 50, 20
+MIN_ROWS = 2
+FOLDS = 3
+STEPS = 100
+RIDGE = 1e-5
 THRESHOLD = 0.5
 PREFIXES = (4, 5, 6)
 #: Terms are the features by which graded categories are derived from one label.
 MIN_TERM_PRECISION = 0.9
 REPEATED_TERMS = 3
+GRADED = ("has_terms", "repeats_terms")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -65,13 +67,22 @@ def _logit(p: float) -> float:
     return float(np.log(p / (1 - p)))
 
 
+def _sigmoid(margin: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
+
+
 class Chain:
     """Vocabulary and, for each category, the weights of features, earlier
-    probabilities, and an intercept."""
+    probabilities, and an intercept; ``informed`` tells whether the last category was
+    learned from features."""
 
-    def __init__(self, categories: Sequence[str], vocabulary: Sequence[str], weights: Sequence[np.ndarray]):
+    def __init__(self, categories: Sequence[str], vocabulary: Sequence[str], weights: Sequence[np.ndarray], informed: bool = True):
         self.categories, self.index = list(categories), {w: i for i, w in enumerate(vocabulary)}
-        self.weights = list(weights)
+        self.weights, self.informed = list(weights), informed
+
+    def rejects(self, probability: Column, threshold: float = THRESHOLD) -> Column:
+        """Whether a document with this probability of the last category is rejected."""
+        return (probability >= threshold) & F.lit(self.informed)
 
     def predict(self, text: str | None) -> list[float]:
         get, n = self.index.get, len(self.index)
@@ -83,56 +94,103 @@ class Chain:
         return probabilities
 
 
-def _informative(sample: DataFrame, label: str, n_features: int) -> list[tuple[str, float]]:
-    """The features that differ most between the rows with and without ``label`` (by
-    the G statistic), each with the share of its rows that has the label."""
-    total = sample.agg(F.sum(label).alias("pos"), F.count(F.lit(1)).alias("n")).first()
-    pos, neg = float(total.pos or 0), float(total.n - (total.pos or 0))
-    if not pos or not neg:
-        return []
-    counts = (sample.select(label, F.explode("features").alias("f")).groupBy("f")
-              .agg(F.sum(label).cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("n"))
-              .where(F.col("n") >= MIN_ROWS).withColumn("b", F.col("n") - F.col("a")))
-
-    def part(x: str, of: float) -> Column:
-        expected = F.col("n") * of / (pos + neg)
-        return F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / expected)).otherwise(0.0)
-
-    best = counts.withColumn("g", part("a", pos) + part("b", neg)).orderBy(F.desc("g"), "f").limit(n_features)
-    return [(r.f, r.a / r.n) for r in best.collect()]
-
-
-def _fit_one(data: DataFrame, label: str, inputs: str, steps: int = STEPS):
-    """A model, or the rate of a label that has one value only."""
-    total = data.agg(F.sum(label).alias("pos"), F.count(F.lit(1)).alias("n")).first()
-    if not total.n or total.pos in (0, total.n):
-        return float(total.pos or 0) / max(1, total.n)
-    return LogisticRegression(featuresCol=inputs, labelCol=label, maxIter=steps, regParam=1e-5,
-                              standardization=False).fit(data.withColumn(label, F.col(label).cast("double")))
-
-
-def _scored(data: DataFrame, model, inputs: str, name: str) -> DataFrame:
-    if isinstance(model, float):
-        return data.withColumn(name, F.lit(model))
-    kept = data.columns
-    out = model.setPredictionCol("_y").setRawPredictionCol("_r").setProbabilityCol("_p").transform(data)
-    return out.select(*kept, vector_to_array("_p")[1].alias(name))
+def _chosen_features(sample: DataFrame, last: str, folds: int, n_features: int) -> dict[int, list[tuple[str, float]]]:
+    """For each fold (-1: none) the features that differ most between the rows outside it with
+    and without ``last`` (by the G statistic), each with the share of its rows that has it."""
+    sets = [*range(folds), -1]
+    sizes = sample.groupBy("fold", last).count().collect()  # two rows a fold
+    pos = {k: float(sum(r["count"] for r in sizes if r.fold != k and r[last] == 1)) for k in sets}
+    neg = {k: float(sum(r["count"] for r in sizes if r.fold != k and r[last] != 1)) for k in sets}
+    inside = lambda k: F.col("fold") != k
+    counts = sample.select("fold", last, F.explode("features").alias("f")).groupBy("f").agg(*[
+        e for k in sets for e in (F.sum(F.when(inside(k), F.col(last)).otherwise(0)).cast("double").alias(f"a{k}"),
+                                  F.count_if(inside(k)).cast("double").alias(f"n{k}"))])
+
+    def gain(k: int) -> Column:
+        def part(x: Column, of: float) -> Column:
+            expected = F.col(f"n{k}") * of / max(1.0, pos[k] + neg[k])
+            return F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
+
+        return part(F.col(f"a{k}"), pos[k]) + part(F.col(f"n{k}") - F.col(f"a{k}"), neg[k])
+
+    one = F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"a{k}").alias("a"), F.col(f"n{k}").alias("n"), gain(k).alias("g"))
+                             for k in sets if pos[k] and neg[k]] or [F.struct(F.lit(-1).alias("k"), F.lit(0.0).alias("a"), F.lit(0.0).alias("n"), F.lit(0.0).alias("g"))]))
+    best = Window.partitionBy("k").orderBy(F.desc("g"), "f")
+    top = (counts.select("f", one).where(F.col("n") >= MIN_ROWS).withColumn("at", F.row_number().over(best))
+           .where(F.col("at") <= n_features).orderBy("k", "at").collect())  # n_features rows a fold
+    out: dict[int, list[tuple[str, float]]] = {k: [] for k in sets}
+    for r in top:
+        out[r.k].append((r.f, r.a / r.n))
+    return out
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> np.ndarray:
+    """Weights and intercept that minimise the mean logistic loss plus ``ridge / 2 * |w|^2``."""
+    n = max(1, len(y))
+
+    def value(w: np.ndarray) -> tuple[float, np.ndarray]:
+        margin = x @ w[:-1].astype(x.dtype) + w[-1]
+        slope = (_sigmoid(margin) - y) / n
+        loss = float(np.logaddexp(0.0, margin).sum() - y @ margin) / n + ridge / 2 * float(w[:-1] @ w[:-1])
+        return loss, np.append(slope.astype(x.dtype) @ x + ridge * w[:-1], slope.sum())
+
+    return minimise(value, x.shape[1] + 1, steps, 1e-5)
+
+
+def _fit_level(data: DataFrame, level: int, width: dict[int, int], rates: Sequence[float], ridge: float,
+               steps: int) -> tuple[DataFrame, np.ndarray]:
+    """Fits the models of one level, one group a fold and one for all rows (``k`` = -1).
+    ``data`` holds ``k, id, fold, y, x`` (places of the features of a fold's models), and ``p``, the
+    out-of-fold probabilities of earlier levels.  Returns ``(id, q)`` of every row, by the model
+    that has not seen its fold, and the weights of the final model."""
+    rate, last = float(rates[-1]), level == len(rates) - 1
+
+    def fit_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        k, n = int(key[0]), width[int(key[0])]
+        x = np.zeros((len(rows), n + level), np.float32)
+        for i, at in enumerate(rows["x"]):
+            x[i, at] = 1.0
+        if level:
+            x[:, n:] = np.array([p[:level] for p in rows["p"]], np.float32)
+        y = np.array([v[level] for v in rows["y"]], float)
+        train = (rows["fold"] != k).to_numpy()
+        if not n or len(set(y[train])) < 2:
+            w = np.append(np.zeros(n + level), _logit(rate if last or not train.any() else float(y[train].mean())))
+        else:
+            w = logistic(x[train], y[train], ridge, steps)
+        if k < 0:
+            return pd.DataFrame({"id": [None], "q": [None], "w": [w.tolist()]})
+        q = _sigmoid(x[~train] @ w[:-1].astype(np.float32) + w[-1]).astype(float)
+        return pd.DataFrame({"id": rows["id"][~train], "q": q, "w": None})
+
+    dealt = data.repartition(2 * len(width), "k")  # a number of its own, so that groups are not put into one task
+    found = stage_table(dealt.groupBy("k").applyInPandas(fit_group, "id string, q double, w array<double>"), "toxicity-level")
+    final = found.where(F.col("w").isNotNull()).select("w").first()
+    weights = np.array(final.w) if final else np.append(np.zeros(width[-1] + level), _logit(rate))
+    return found.where(F.col("id").isNotNull()).select("id", "q"), weights
 
 
 def fit(labelled: DataFrame, categories: Sequence[str], id_col: str = "doc_id", text_col: str = "text",
         sample_per_class: int = SAMPLE_PER_CLASS, n_features: int = N_FEATURES, folds: int = FOLDS,
-        graded: bool = False) -> Chain:
-    """A chain over the 0/1 columns ``categories`` of ``labelled``.
+        graded: bool = False, rates: Sequence[float] | None = None, ridge: float = RIDGE, steps: int = STEPS) -> Chain:
+    """A chain over the 0/1 columns ``categories`` of ``labelled``; ``rates`` are the categories'
+    shares among all labels (those of ``labelled`` by default).
 
     With ``graded``, the only category given is preceded by two that are derived from
-    it in the sample: the label and at least one term, and the label and at least
+    it: the label and at least one term, and the label and at least
     ``REPEATED_TERMS`` terms, where terms are features of which at least
-    ``MIN_TERM_PRECISION`` of the rows have the label."""
-    last = categories[-1]
+    ``MIN_TERM_PRECISION`` of the training rows have the label."""
+    last, names = categories[-1], [*(GRADED if graded else ()), *categories]
     rows = own_columns(labelled, id_col, text_col, *categories).toDF("doc_id", "text", *categories).dropna(
         subset=list(categories))
-    chosen = rows.where(_class_share(rows, last, sample_per_class)).select(
-        unit_hash("fold", F.col("doc_id")).alias("u"), "text", *[F.col(c).cast("int").alias(c) for c in categories])
+    if rates is None:
+        mean = rows.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in categories]).first()
+        rates = [mean[c] or 0.0 for c in categories]
+    rates = [rates[0]] * (len(names) - len(categories)) + list(rates)
+    one = F.min(F.struct("text", *[F.col(c).cast("int").alias(c) for c in categories])).alias("row")
+    chosen = rows.where(_class_share(rows, last, sample_per_class)).groupBy("doc_id").agg(one).select(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
+        F.floor(unit_hash("fold", F.col("doc_id")) * folds).cast("int").alias("fold"), "row.*")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,39 +198,35 @@ def fit(labelled: DataFrame, categories: Sequence[str], id_col: str = "doc_id",
             rest = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [found], [*rest, "features"])
 
-    schema = ", ".join(["u double", *[f"`{c}` int" for c in categories], "features array<string>"])
+    schema = ", ".join(["id string", "fold int", *[f"`{c}` int" for c in categories], "features array<string>"])
     sample = stage_table(chosen.mapInArrow(extract, schema), "toxicity-sample")
-    best = _informative(sample, last, n_features)
-    vocabulary = [f for f, _ in best]
-    if not best:
-        rate = _logit(sample.agg(F.avg(last)).first()[0] or 0.0)
-        return Chain(categories, [], [np.append(np.zeros(i), rate) for i in range(len(categories))])
-    names = list(categories)
-    if graded:
-        terms = F.array(*[F.lit(f) for f, share in best if share >= MIN_TERM_PRECISION] or [F.lit("")])
-        n_terms = F.size(F.array_intersect("features", terms))
-        names = ["has_terms", "repeats_terms", last]
-        sample = sample.withColumn("has_terms", F.when(n_terms >= 1, F.col(last)).otherwise(0)).withColumn(
-            "repeats_terms", F.when(n_terms >= REPEATED_TERMS, F.col(last)).otherwise(0))
-    vectors = CountVectorizerModel.from_vocabulary(vocabulary, "features", "x", minTF=1.0)
-    data = vectors.setBinary(True).transform(sample) if hasattr(vectors, "setBinary") else vectors.transform(sample)
-    data = stage_table(data.select(F.floor(F.col("u") * folds).cast("int").alias("fold"), *names, "x").repartition(FIT_PARTITIONS), "toxicity-folds")
-    weights, earlier = [], []
-    for name in names:
-        inputs = VectorAssembler(inputCols=["x", *earlier], outputCol="inputs")
-        ready = inputs.transform(data)
-        model = _fit_one(ready, name, "inputs")
-        width = len(vocabulary) + len(earlier)
-        weights.append(np.append(np.zeros(width), _logit(model)) if isinstance(model, float)
-                       else np.append(model.coefficients.toArray(), model.intercept))
-        if name != names[-1]:
-            out = []
-            for k in range(folds):  # a fold is scored by a model of the others
-                other = _fit_one(ready.where(F.col("fold") != k), name, "inputs", FOLD_STEPS)
-                out.append(_scored(ready.where(F.col("fold") == k), other, "inputs", f"p_{name}").drop("inputs"))
-            data = stage_table(reduce(DataFrame.unionByName, out).repartition(FIT_PARTITIONS), "toxicity-folds")
-            earlier.append(f"p_{name}")
-    return Chain(names, vocabulary, weights)
+    best = _chosen_features(sample, last, folds, n_features)
+    vocabulary = [f for f, _ in best[-1]]
+    places = {k: {f: i for i, (f, _) in enumerate(found)} for k, found in best.items()}
+    terms = {k: {f for f, share in found if share >= MIN_TERM_PRECISION} for k, found in best.items()}
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every row once for each fold's models, with their features and categories."""
+        for batch in batches:
+            labels = list(zip(*(batch.column(c).to_pylist() for c in categories), strict=True))
+            for k, index in places.items():
+                x, y = [], []
+                for found, own in zip(batch.column("features").to_pylist(), labels, strict=True):
+                    x.append([index[f] for f in found if f in index])
+                    n_terms = len(terms[k].intersection(found))
+                    y.append([*((own[-1] * (n_terms >= 1), own[-1] * (n_terms >= REPEATED_TERMS)) if graded else ()), *own])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k] * len(x), pa.int32()), batch.column("id"), batch.column("fold"), pa.array(y, pa.list_(pa.int32())),
+                     pa.array(x, pa.list_(pa.int32())), pa.array([[]] * len(x), pa.list_(pa.float64()))], ["k", "id", "fold", "y", "x", "p"])
+
+    data = stage_table(sample.mapInArrow(place, "k int, id string, fold int, y array<int>, x array<int>, p array<double>"), "toxicity-folds")
+    weights = []
+    for level in range(len(names)):
+        held, w = _fit_level(data, level, {k: len(v) for k, v in places.items()}, rates, ridge, steps)
+        weights.append(w)
+        if level < len(names) - 1:
+            data = stage_table(data.join(held, "id").select("k", "id", "fold", "y", "x", F.concat("p", F.array("q")).alias("p")), "toxicity-folds")
+    return Chain(names, vocabulary, weights, informed=bool(vocabulary))
 
 
 def _class_share(rows: DataFrame, label: str, sample_per_class: int) -> Column:
@@ -187,12 +241,13 @@ def _class_share(rows: DataFrame, label: str, sample_per_class: int) -> Column:
 def fit_labels(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> Chain:
     """A chain from a table ``labels(doc_id, toxic)``.  It has one toxicity label;
     graded categories derived from it come first in the chain.  The sample is drawn
-    from the labels, so only its ids (about ``2 * sample_per_class``) are broadcast to
-    the documents and no text is shuffled."""
-    labels = labels.select("doc_id", "toxic").dropna()
+    from the labels, so only its ids (about ``2 * sample_per_class``, each once) are broadcast to
+    the documents and only the sample's texts are shuffled."""
+    labels = labels.select("doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    rate = labels.agg(F.avg("toxic")).first()[0] or 0.0
     chosen = labels.where(_class_share(labels, "toxic", sample_per_class))
     return fit(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), ["toxic"], graded=True,
-               sample_per_class=sample_per_class)
+               sample_per_class=sample_per_class, rates=[rate])
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,7 +268,10 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose last category has a probability below ``threshold``."""
+    """The rows of ``docs`` that the chain does not reject: all whose last category has a
+    probability below ``threshold``, or all if the chain has learned nothing."""
+    if not chain.informed:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     @F.pandas_udf("double")
