@@ -11,10 +11,14 @@ occurrence that stays.
    shuffled.  Their documents are counted exactly, by the whole key.
 3. A key of enough documents keeps its lines in the largest id that holds it and
    loses them elsewhere.
+4. The ids of documents that lose lines go into a Bloom filter of their own.  Documents
+   that it does not have are finished where they are read; only the others meet the
+   keys that they lose, in a join.
 
 The filters' size follows the number of lines up to ``max_filter_bits``; a filter
 that is too full only lets more keys through to the exact count.  The merged
-second filter (at most ``max_filter_bits / 8`` bytes) is all that is broadcast.
+second filter and that of the ids (at most ``max_filter_bits / 8`` bytes each) are all that
+is broadcast.
 
 Defined cases: a null or empty text is one empty line; documents that share an id
 are one document for the count, and the id keeps the line in each of them; null
@@ -168,14 +172,37 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return lost.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))  # of one document
 
 
+def _id_filter(lost: DataFrame, max_filter_bits: int):
+    """A column function that tells, of a document's id hash, whether the document may lose lines."""
+    spark, bits = lost.sparkSession, 1 << 16
+    while bits < min(max_filter_bits, BITS_PER_LINE * lost.count()):
+        bits *= 2
+    h, mask = F.xxhash64("doc_id"), F.lit(bits - 1).cast("long")  # (as _positions, in the low bits alone)
+    step = F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1).cast("long")).bitwiseAND(mask)
+    places = F.array(*[(h.bitwiseAND(mask) + k * step).bitwiseAND(mask) for k in range(HASHES)])
+    cells = (lost.select(F.explode(places).alias("p")).groupBy((F.shiftright("p", 5)).alias("cell"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("v")))
+    found = cells.toPandas()  # at most bits / 32 rows
+    words = np.zeros(bits // 32, np.uint32)
+    words[found["cell"].to_numpy(np.int64)] = found["v"].to_numpy(np.int64).astype(np.uint32)
+    shared = spark.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def has(hashes: pd.Series) -> pd.Series:
+        h = hashes.to_numpy(np.int64).view(np.uint64)
+        pos = _positions(h, bits)
+        return pd.Series(((shared.value[pos >> np.uint64(5)] >> (pos & np.uint64(31)).astype(np.uint32)) & np.uint32(1)).all(axis=1))
+
+    return has
+
+
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
                min_docs: int = MIN_DOCS, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
-    """``docs`` with its columns, the repeated lines taken out of the texts, and two
-    columns more: ``_lines`` (before dropping) and ``_dropped``.  A text of which no
-    line is dropped, a null one too, is left as it is."""
-    lost = repeated_lines(docs, id_col, text_col, min_chars, min_docs, max_filter_bits).toDF("_id", "_keys")
-    row = packed(docs)
-    rows = row.join(lost, row["row"][id_col].eqNullSafe(lost["_id"]), "left")
+    """``row`` (a struct of ``docs``' columns), ``text`` (without the repeated lines; as it is, if none
+    is dropped, null too), ``n_lines`` (before dropping) and ``n_dropped``.  The input's columns stay in a
+    struct, so no name can clash."""
+    lost = stage_table(repeated_lines(docs, id_col, text_col, min_chars, min_docs, max_filter_bits).toDF("doc_id", "keys"), "lost-lines")
+    may_lose = _id_filter(lost.select("doc_id"), max_filter_bits)
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")
     def cut(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
@@ -192,6 +219,10 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             gone.append(len(lines) - len(kept))
         return pd.DataFrame({"text": out, "n_lines": n, "n_dropped": gone})
 
-    rows = rows.withColumn("_cut", cut(F.col("row")[text_col], F.col("_keys")))
-    return rows.select(*[F.col("_cut.text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns],
-                       F.col("_cut.n_lines").alias("_lines"), F.col("_cut.n_dropped").alias("_dropped"))
+    rows = packed(docs).withColumn("_may", may_lose(F.xxhash64(F.col("row")[id_col])))
+    text = F.col("row")[text_col]
+    n_lines = F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)).cast("long")
+    untouched = rows.where(~F.col("_may")).select("row", text.alias("text"), n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    suspects = rows.where("_may").join(lost, F.col("row")[id_col].eqNullSafe(F.col("doc_id")), "left")
+    changed = suspects.withColumn("_cut", cut(text, F.col("keys"))).select("row", "_cut.text", "_cut.n_lines", "_cut.n_dropped")
+    return untouched.unionByName(changed)
