@@ -10,6 +10,13 @@ A part of n words is only compared with templates whose number of words m lets t
 coefficient reach the threshold t: m and n (each less one, the number of bigrams)
 differ at most by the factor (2 - t) / t.
 
+A notice may also stand within a longer line or paragraph, on one line with other
+notices, or in a comment whose marks leave no empty line.  So windows of each template's
+number of words slide over the words of the whole text.  A window of coefficient t has at
+least t / (2 - t) of the template's bigrams, which gives two exact filters: a text is left
+alone unless it has one of a few words that no such window can do without, and only windows
+that hold so many of the positions of the template's bigrams are compared.
+
 All of it is DataFrame expressions on one row; nothing is shuffled.
 
 Defined cases: a null, empty or one-word text matches nothing (license null, dice
@@ -19,6 +26,7 @@ rows that repeat an id are documents of their own; an empty table gives an empty
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -40,7 +48,21 @@ TEMPLATES = {
     "BSD": [
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-        "that the following conditions are met:"],
+        "that the following conditions are met:",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+        "that the following conditions are met: 1. Redistributions of source code must retain the above copyright "
+        "notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must "
+        "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright "
+        "holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND "
+        "CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED "
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+        "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR "
+        "CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF "
+        "USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN "
+        "CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+        "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."],
     "CC-BY-4.0": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License."],
@@ -55,16 +77,34 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
         "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
         "option) any later version."],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "MIT": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
         "associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
         "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
         "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
-        "following conditions:"],
+        "following conditions:",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+        "associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
+        "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+        "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+        "following conditions: The above copyright notice and this permission notice shall be included in all copies "
+        "or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, "
+        "EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+        "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, "
+        "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+        "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
         "was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be "
+        "held liable for any damages arising from the use of this software. Permission is granted to anyone to use "
+        "this software for any purpose, including commercial applications, and to alter it and redistribute it "
+        "freely, subject to the following restrictions:"],
 }
 
 
@@ -130,13 +170,73 @@ def _best(found: Column) -> Column:
         m).otherwise(best))
 
 
+def least_shared(bigrams: int, threshold: float) -> int:
+    """How many of its bigrams a template shares with any window that reaches the threshold."""
+    return math.ceil(bigrams * threshold / (2 - threshold) - 1e-9)
+
+
+def needed_words(words: list[str], threshold: float) -> list[str]:
+    """Words of which a text has one if a window of it reaches the threshold with the template: so many of the
+    longest that the bigrams without any of them are too few."""
+    left, chosen = set(zip(words, words[1:], strict=False)), []
+    least = least_shared(len(left), threshold)
+    for word in sorted(set(words), key=lambda w: (-len(w), w)):
+        if len(left) < least:
+            break
+        chosen.append(word)
+        left = {b for b in left if word not in b}
+    return chosen
+
+
+def window_matches(text: Column, threshold: float = THRESHOLD, templates: dict[str, list[str]] | None = None) -> Column:
+    """Array of ``(dice, license)``: for each template the best window of its number of words, if it reaches
+    the threshold."""
+    known = [(name, template_words(t)) for name, texts in sorted((templates or TEMPLATES).items()) for t in texts]
+    sets = [list(dict.fromkeys(map(" ".join, zip(ws, ws[1:], strict=False)))) for _, ws in known]
+    table = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(len(ws) - 1).alias("m"), F.lit(least_shared(len(bs), threshold)).alias("least"),
+                               F.array(*[F.lit(b) for b in bs]).alias("bigrams")) for (name, ws), bs in zip(known, sets, strict=True)])
+    any_bigram = sorted({b for bs in sets for b in bs})
+    lowered = F.lower(text)
+    some = F.lit(False)
+    for word in sorted({w for _, ws in known for w in needed_words(ws, threshold)}):
+        some = some | F.contains(lowered, F.lit(word))
+
+    def best_window(own: Column, hits: Column, t: Column) -> Column:
+        places = F.transform(F.filter(hits, lambda h: F.array_contains(t["bigrams"], h["b"])), lambda h: h["i"])
+
+        def of(p: Column) -> Column:
+            first = F.filter(F.sequence(F.lit(0), F.size(p) - t["least"]), lambda j: p[j + t["least"] - 1] - p[j] < t["m"])
+            spans = F.transform(first, lambda j: F.struct(F.greatest(F.lit(0), p[j + t["least"] - 1] - t["m"] + 1).alias("low"),
+                                                          F.least(p[j], F.size(own) - t["m"]).alias("high")))
+            starts = F.array_distinct(F.flatten(F.transform(F.filter(spans, lambda s: s["low"] <= s["high"]),
+                                                            lambda s: F.sequence(s["low"], s["high"]))))
+            each = F.transform(starts, lambda s: let(F.array_distinct(F.slice(own, s + 1, t["m"])), lambda w: F.struct(
+                (2.0 * F.size(F.array_intersect(t["bigrams"], w)) / (F.size(t["bigrams"]) + F.size(w))).alias("dice"),
+                t["license"].alias("license"))))
+            return F.when(F.size(p) >= t["least"], _best(F.filter(each, lambda m: m["dice"] >= threshold)))
+
+        return let(places, of)
+
+    def of_words(words: Column) -> Column:
+        bigrams = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat(words[i], F.lit(" "), words[i + 1]))
+
+        def of(own: Column) -> Column:
+            hits = F.filter(F.transform(own, lambda b, i: F.when(b.isin(any_bigram), F.struct(i.alias("i"), b.alias("b")))), lambda h: h.isNotNull())
+            return let(hits, lambda hs: F.transform(table, lambda t: best_window(own, hs, t)))
+
+        return F.when(F.size(words) >= 2, let(bigrams, of))
+
+    found = F.when(some, let(_part_words(text), of_words))
+    return F.coalesce(F.filter(found, lambda m: m.isNotNull()), F.array().cast("array<struct<dice:double,license:string>>"))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
          templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """``doc_id, license, dice, n_matches`` of every document: its best match, and how
-    many of its parts match a template."""
-    rows = own_columns(docs, id_col, text_col).toDF("doc_id", "text")
-    found = rows.select("doc_id", matches(F.coalesce("text", F.lit("")), threshold, templates).alias("found"))
-    best = _best(F.col("found"))
-    return found.select("doc_id", best["license"].alias("license"),
-                        F.coalesce(best["dice"], F.lit(0.0)).alias("dice"),
-                        F.size("found").cast("long").alias("n_matches"))
+    """``doc_id, license, dice, n_matches, n_windows`` of every document: its best match of a part or a window, how
+    many of its parts match a template, and how many templates match a window."""
+    rows = own_columns(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    found = rows.select("doc_id", matches(F.col("text"), threshold, templates).alias("found"),
+                        window_matches(F.col("text"), threshold, templates).alias("windows"))
+    found = found.select("doc_id", _best(F.concat("found", "windows")).alias("best"), F.size("found").cast("long").alias("n_matches"),
+                         F.size("windows").cast("long").alias("n_windows"))
+    return found.select("doc_id", "best.license", F.coalesce("best.dice", F.lit(0.0)).alias("dice"), "n_matches", "n_windows")

@@ -59,16 +59,17 @@ SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FRO
 
 def license_sql(documents: str = "documents") -> str:
     """Result of the license scan."""
-    factor = (2 - license_scan.THRESHOLD) / license_scan.THRESHOLD
+    t, factor = license_scan.THRESHOLD, (2 - license_scan.THRESHOLD) / license_scan.THRESHOLD
     rows = []
     for name, texts in sorted(license_scan.TEMPLATES.items()):
         for text in texts:
             words = license_scan.template_words(text)
-            pairs = ", ".join(f"'{a} {b}'" for a, b in dict.fromkeys(zip(words, words[1:], strict=False)))
-            rows.append(f"({len(rows)}, '{name}', {len(words) - 1}, [{pairs}])")
+            bigrams = list(dict.fromkeys(zip(words, words[1:], strict=False)))
+            pairs = ", ".join(f"'{a} {b}'" for a, b in bigrams)
+            rows.append(f"({len(rows)}, '{name}', {len(words) - 1}, {license_scan.least_shared(len(bigrams), t)}, [{pairs}])")
     gap = r"\n(?:[\x20\x09\x0B-\x0D]*\n)+"
     return rf"""
-WITH t(tid, license, n, pairs) AS (VALUES {", ".join(rows)}),
+WITH t(tid, license, n, least, pairs) AS (VALUES {", ".join(rows)}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM {documents}),
 p AS (SELECT rid, unnest(string_split(text, chr(10))) AS part FROM d
       UNION ALL SELECT rid, part FROM (SELECT rid, unnest(regexp_split_to_array(text, '{gap}')) AS part FROM d) WHERE contains(part, chr(10))
@@ -80,9 +81,19 @@ b AS (SELECT rid, pid, len(w) - 1 AS n, list_distinct(list_transform(range(1, le
       FROM w WHERE len(w) >= 2),
 s AS (SELECT b.rid, b.pid, t.license, 2.0::DOUBLE * len(list_intersect(b.pairs, t.pairs)) / (len(b.pairs) + len(t.pairs)) AS dice
       FROM b JOIN t ON b.n * {factor!r}::DOUBLE >= t.n AND b.n <= t.n * {factor!r}::DOUBLE),
-m AS (SELECT rid, count(DISTINCT pid) AS n_matches, arg_min(license, (-dice, license)) AS license, max(dice) AS dice
-      FROM s WHERE dice >= {license_scan.THRESHOLD} GROUP BY rid)
-SELECT d.doc_id, m.license, coalesce(m.dice, 0.0::DOUBLE) AS dice, coalesce(m.n_matches, 0) AS n_matches FROM d LEFT JOIN m USING (rid)"""
+whole AS (SELECT rid, list_filter(string_split(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM d),
+bg AS (SELECT rid, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS bs FROM whole WHERE len(w) >= 2),
+at AS (SELECT rid, bs[i + 1] AS pair, i FROM (SELECT rid, bs, unnest(range(len(bs))) AS i FROM bg)),
+hit AS (SELECT at.rid, tp.tid, at.i, array_agg(at.i) OVER (PARTITION BY at.rid, tp.tid ORDER BY at.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS later, tp.least, tp.n
+        FROM at JOIN (SELECT tid, n, least, unnest(pairs) AS pair FROM t) tp USING (pair)),
+st AS (SELECT DISTINCT rid, tid, unnest(range(greatest(0, later[least] - n + 1), least_(i, len(bs) - n) + 1)) AS s
+       FROM (SELECT hit.*, bg.bs FROM hit JOIN bg USING (rid) WHERE len(later) >= least AND later[least] - i < n)),
+win AS (SELECT st.rid, st.tid, t.license, t.pairs, list_distinct(bg.bs[st.s + 1:st.s + t.n]) AS own FROM st JOIN t USING (tid) JOIN bg USING (rid)),
+ws AS (SELECT rid, tid, license, max(2.0::DOUBLE * len(list_intersect(own, pairs)) / (len(own) + len(pairs))) AS dice FROM win GROUP BY 1, 2, 3 HAVING dice >= {t}),
+m AS (SELECT rid, count(DISTINCT pid) AS n_matches, count(DISTINCT tid) AS n_windows, arg_min(license, (-dice, license)) AS license, max(dice) AS dice
+      FROM (SELECT rid, pid, NULL AS tid, license, dice FROM s WHERE dice >= {t} UNION ALL SELECT rid, NULL, tid, license, dice FROM ws) GROUP BY rid)
+SELECT d.doc_id, m.license, coalesce(m.dice, 0.0::DOUBLE) AS dice, coalesce(m.n_matches, 0) AS n_matches, coalesce(m.n_windows, 0) AS n_windows
+FROM d LEFT JOIN m USING (rid)""".replace("least_(", "least(")
 
 
 def quality_sql(documents: str = "documents") -> str:
@@ -118,17 +129,19 @@ both_ AS (SELECT h.rid, h.kind, h.x / nullif(sum(h.x) OVER p, 0) AS a, r.y / nul
 js AS (SELECT rid, kind, CASE WHEN bool_and(a IS NOT NULL AND b IS NOT NULL) THEN sqrt(greatest(0.0, sum(
          CASE WHEN a > 0 THEN a * log2(a / ((a + b) / 2)) ELSE 0 END + CASE WHEN b > 0 THEN b * log2(b / ((a + b) / 2)) ELSE 0 END) / 2)) END AS dist
        FROM both_ GROUP BY rid, kind),
-f AS (SELECT w.rid, w.doc_id, len(w.w)::BIGINT AS n_words, (cls.n - cls.c[7])::BIGINT AS word_chars, cls.c[6]::BIGINT AS n_symbols,
+lim AS (SELECT lang, {q.MAX_COMMON_SHARE!r}::DOUBLE * sqrt(greatest(0.0, sum(CASE WHEN bin <> '' THEN b ELSE log2(2 / (1 + b)) + CASE WHEN b > 0 THEN b * log2(2 * b / (1 + b)) ELSE 0 END END) / 2)) AS common_limit
+        FROM (SELECT lang, bin, y / nullif(sum(y) OVER (PARTITION BY lang), 0) AS b FROM ref WHERE kind = 'common') GROUP BY lang),
+f AS (SELECT w.rid, w.doc_id, coalesce(lim.common_limit, 0.0) AS common_limit, len(w.w)::BIGINT AS n_words, (cls.n - cls.c[7])::BIGINT AS word_chars, cls.c[6]::BIGINT AS n_symbols,
              coalesce(ln.n_dup_lines, 0) AS n_dup_lines, coalesce(nrep.n_repeat_words, 0) AS n_repeat_words,
              c.dist AS class_distance, m.dist AS common_distance
       FROM w JOIN cls USING (rid) LEFT JOIN ln USING (rid) LEFT JOIN nrep USING (rid)
-      LEFT JOIN (SELECT * FROM js WHERE kind = 'class') c USING (rid) LEFT JOIN (SELECT * FROM js WHERE kind = 'common') m USING (rid))
+      LEFT JOIN lim ON lim.lang IS NOT DISTINCT FROM w.lang LEFT JOIN (SELECT * FROM js WHERE kind = 'class') c USING (rid) LEFT JOIN (SELECT * FROM js WHERE kind = 'common') m USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed,
        NOT (n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words)
        AND NOT (word_chars >= {q.MIN_CLASS_CHARS} AND coalesce(class_distance, 0) > {q.MAX_CLASS_DISTANCE})
-       AND NOT (n_words >= {q.MIN_COMMON_WORDS} AND coalesce(common_distance, 0) > {q.MAX_COMMON_DISTANCE}) AS kept,
-       class_distance, common_distance FROM f"""
+       AND NOT (n_words >= {q.MIN_COMMON_WORDS} AND coalesce(common_distance, 0) > common_limit) AS kept,
+       class_distance, common_distance, common_limit FROM f"""
 
 
 def variants_sql(documents: str = "documents") -> str:
