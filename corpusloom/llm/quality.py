@@ -4,7 +4,9 @@ Each language gets two reference histograms from all its documents: character
 classes, and its most common words (with one bin for all other words).  A
 document's own histograms are compared with those of its language by the
 Jensen-Shannon distance (base 2, so 0 to 1).  A document that is long enough for a
-histogram to mean something fails if a distance is above its limit.
+histogram to mean something fails if a distance is above its limit.  The limit of the
+common words follows from the language's own reference: it is a share of the distance that
+a text without any of its common words has.
 
 Besides, the plain rules: ``base_failed`` if there are fewer than ``MIN_WORDS``
 words, or more than ``MAX_REPEAT_PERCENT`` percent of the words lie in 5-word
@@ -38,9 +40,8 @@ FEW_LANGUAGES = 1000
 MIN_CLASS_CHARS = 300
 MAX_CLASS_DISTANCE = 0.28
 MIN_COMMON_WORDS = 80
-#: Below the distance of a text without any common word, which follows from their share of the
-#: language's words (28-29% in the four languages of the data: 0.395 to 0.401).
-MAX_COMMON_DISTANCE = 0.38
+#: Share of the distance of a text without any common word.
+MAX_COMMON_SHARE = 0.955
 
 
 def n_repeat_words(tokens: Column) -> Column:
@@ -176,12 +177,15 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
             common_words: int = COMMON_WORDS, max_class_distance: float = MAX_CLASS_DISTANCE,
-            max_common_distance: float = MAX_COMMON_DISTANCE) -> DataFrame:
+            max_common_share: float = MAX_COMMON_SHARE) -> DataFrame:
     """Counts, distances and verdict of every document."""
     rows = features(docs, id_col, text_col, lang_col, common_words)
     refs = _sum_arrays(rows, "lang", "classes").toDF("_lang", "_classes")
     both = stage_table(refs.join(_sum_arrays(rows, "lang", "common").toDF("_lang2", "_common"),
                                  F.col("_lang").eqNullSafe(F.col("_lang2"))).drop("_lang2"), "references")
+    # a text without any common word has all its words in the last bin
+    none = F.transform("_common", lambda x, i: F.when(i == F.size("_common") - 1, 1.0).otherwise(0.0))
+    both = both.withColumn("_limit", F.coalesce(js_distance(none, F.col("_common").cast("array<double>")), F.lit(0.0)) * max_common_share)
     few = both.count() <= FEW_LANGUAGES
     compared = rows.join(F.broadcast(both) if few else both, F.col("lang").eqNullSafe(F.col("_lang")), "left")
 
@@ -190,16 +194,16 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     return _verdict(compared.withColumn("class_distance", js_distance(doubles("classes"), doubles("_classes")))
                     .withColumn("common_distance", js_distance(doubles("common"), doubles("_common"))),
-                    max_class_distance, max_common_distance)
+                    max_class_distance)
 
 
-def _verdict(df: DataFrame, max_class: float, max_common: float) -> DataFrame:
+def _verdict(df: DataFrame, max_class: float) -> DataFrame:
     n = F.col("n_words")
     base = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)
-    odd: Callable[[str, Column, int, float], Column] = lambda name, size, least, most: (
+    odd: Callable[[str, Column, int, Column], Column] = lambda name, size, least, most: (
         (size >= least) & (F.coalesce(F.col(name), F.lit(0.0)) > most))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                      base.alias("base_failed"),
-                     (~base & ~odd("class_distance", F.col("word_chars"), MIN_CLASS_CHARS, max_class)
-                      & ~odd("common_distance", n, MIN_COMMON_WORDS, max_common)).alias("kept"),
-                     "class_distance", "common_distance", "lang")
+                     (~base & ~odd("class_distance", F.col("word_chars"), MIN_CLASS_CHARS, F.lit(max_class))
+                      & ~odd("common_distance", n, MIN_COMMON_WORDS, F.col("_limit"))).alias("kept"),
+                     "class_distance", "common_distance", F.col("_limit").alias("common_limit"), "lang")
