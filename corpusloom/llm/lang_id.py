@@ -19,6 +19,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations
@@ -33,20 +34,20 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import own_columns, unit_hash
 from corpusloom.session import stage_table
 
-#: ISO 639-1 codes of closely related languages.
+#: ISO 639-1, 639-2 and 639-3 codes of closely related languages.
 FAMILIES = {
-    "germanic": "af da de en fy is lb nb nl nn no sv yi",
-    "romance": "ca es fr gl it la oc pt ro",
-    "slavic": "be bg bs cs hr mk pl ru sk sl sr uk",
-    "baltic": "lt lv",
-    "celtic": "br cy ga gd",
-    "uralic": "et fi hu",
-    "turkic": "az kk ky tr tt ug uz",
-    "indo_aryan": "bn gu hi mr ne pa si ur",
-    "iranian": "fa ku ps tg",
-    "dravidian": "kn ml ta te",
-    "semitic": "am ar he mt",
-    "austronesian": "id jv mg ms tl",
+    "germanic": "af afr da dan de deu ger en eng fy fry is isl ice lb ltz nb nob nl nld dut nn nno no nor sv swe yi yid",
+    "romance": "ca cat es spa fr fra fre gl glg it ita la lat oc oci pt por ro ron rum",
+    "slavic": "be bel bg bul bs bos cs ces cze hr hrv mk mkd mac pl pol ru rus sk slk slo sl slv sr srp uk ukr",
+    "baltic": "lt lit lv lav",
+    "celtic": "br bre cy cym wel ga gle gd gla",
+    "uralic": "et est fi fin hu hun",
+    "turkic": "az aze kk kaz ky kir tr tur tt tat ug uig uz uzb",
+    "indo_aryan": "bn ben gu guj hi hin mr mar ne nep pa pan si sin ur urd",
+    "iranian": "fa fas per ku kur ps pus tg tgk",
+    "dravidian": "kn kan ml mal ta tam te tel",
+    "semitic": "am amh ar ara he heb mt mlt",
+    "austronesian": "ceb fil hil id ind jv jav mg mlg ms msa may tl tgl",
 }
 UNDETERMINED = "und"
 SAMPLE_PER_LANGUAGE = 1000
@@ -56,7 +57,9 @@ FIT_PARTITIONS = 3
 
 
 def family_of(lang: str) -> str:
-    return next((f for f, codes in FAMILIES.items() if lang.lower()[:2] in codes.split()), lang)
+    """The family of a language code; what follows a hyphen or underscore (script, region) does not count."""
+    code = re.split("[-_]", lang.lower())[0]
+    return next((f for f, codes in FAMILIES.items() if code in codes.split()), lang)
 
 
 def features(text: str, bits: int = HASH_BITS) -> np.ndarray | None:

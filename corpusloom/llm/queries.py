@@ -58,8 +58,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of every document without its repeated lines."""
     kept = line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return kept.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"),
-                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +75,8 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Category probabilities and verdict of every document."""
     docs = table(spark, sf_dir, "documents")
-    scored = toxicity.score(docs, toxicity.fit_labels(docs, table(spark, sf_dir, "labels")))
-    return scored.withColumn("toxic", F.col("p_toxic") >= toxicity.THRESHOLD)
+    chain = toxicity.fit_labels(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, chain).withColumn("toxic", chain.rejects(F.col("p_toxic")))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm.common import let, lower_ascii, own_columns, words
 from corpusloom.session import stage_table
@@ -139,15 +140,21 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """Every document in its range of ids, with ``next_text``, the text that follows in
     descending id order (after the last: the first), and the window of this order.
 
-    Ids are cut at approximate quantiles into many ranges; each range is one window
-    group.  The first row of a range is also sent, marked ``extra``, behind the last
+    Ids are cut at approximate quantiles into many ranges (ids that are no numbers where sorted
+    ranges of them end); each range is one window group.  The first row of a range is also sent, marked ``extra``, behind the last
     row of the range before it, so no window needs more than its range."""
     spark = docs.sparkSession
     rows = own_columns(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     n = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0]
+    kind = rows.schema["doc_id"].dataType
+    if isinstance(kind, T.NumericType):
+        cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0]
+    else:
+        known = rows.select("doc_id").where(F.col("doc_id").isNotNull())
+        ends = known.repartitionByRange(n, "doc_id").groupBy(F.spark_partition_id()).agg(F.max("doc_id").alias("c"))
+        cuts = [r.c for r in ends.collect()]  # one for each range
     cuts = sorted(set(cuts or []), reverse=True)
-    cut_array = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<long>")
+    cut_array = F.array(*[F.lit(c) for c in cuts]).cast(T.ArrayType(kind))
     placed = rows.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(
         F.size(F.filter(cut_array, lambda c: c > F.col("doc_id")))))
     tie = F.xxhash64("text")

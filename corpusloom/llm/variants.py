@@ -31,6 +31,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ MIN_COUNT = 2
 RATIO = 10
 DELETE_EVERY = 31
 MAX_GROUP = 2048
-BLOCK = 128
+BLOCK_ROWS = 128
 WORDS_AT_ONCE = 1 << 17
 #: Cells of a block's matrix and of one comparison: long words come in smaller blocks.
 BLOCK_CELLS, CELLS = 1 << 20, 1 << 22
@@ -191,7 +192,7 @@ def compare(a: _Block, b: _Block) -> None:
         b.learn(col, a, row)
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tiles(batches: Iterator[pa.RecordBatch], block_rows: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key.  A block stays as long as rows of its last key may come."""
     open_blocks: list[_Block] = []
     waiting: list[tuple] = []
@@ -216,7 +217,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("key", "len", "low", "high", "word", "n")), strict=True):
             width = max(width, len(row[4]))
-            if len(waiting) == BLOCK or waiting and (len(waiting) + 1) * width > BLOCK_CELLS:
+            if len(waiting) == block_rows or waiting and (len(waiting) + 1) * width > BLOCK_CELLS:
                 yield result(add(_Block(waiting)))
                 waiting, width = [], len(row[4])
             waiting.append(row)
@@ -225,7 +226,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield result(open_blocks)
 
 
-def near_words(words: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
+def near_words(words: DataFrame, max_group: int = MAX_GROUP, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(word, n_near, best, best_n)`` of the words of ``words(word, n)`` (distinct) that
     have near words: how many, and the one of largest n (ties: smallest in code-point order)."""
     keyed = keyed_words(words, max_group)
@@ -236,7 +237,7 @@ def near_words(words: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     met = keyed.join(stage_table(groups, "variant-groups"), at)
     n = max(1, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = met.select(*at, "word", "n").repartition(n, "key").sortWithinPartitions(*at)
-    found = dealt.mapInArrow(_tiles, "word string, near long, best string, best_n long")
+    found = dealt.mapInArrow(partial(_tiles, block_rows=block_rows), "word string, near long, best string, best_n long")
     return found.groupBy("word").agg(F.sum("near").alias("n_near"), F.min(F.struct((-F.col("best_n")).alias("m"), "best")).alias("top")
                                      ).select("word", "n_near", F.col("top.best").alias("best"), (-F.col("top.m")).alias("best_n"))
 
@@ -252,11 +253,11 @@ def roots(forms: DataFrame) -> DataFrame:
             return links
 
 
-def variants(words: DataFrame, ratio: int = RATIO, max_group: int = MAX_GROUP) -> DataFrame:
+def variants(words: DataFrame, ratio: int = RATIO, max_group: int = MAX_GROUP, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(word, form, root, n, n_near, form_n)`` of every word of ``words(word, n)``."""
     words = stage_table(words.select("word", "n"), "variant-words")
     has_form = F.col("best_n") >= ratio * F.col("n")
-    found = words.join(near_words(words, max_group), "word", "left").select(
+    found = words.join(near_words(words, max_group, block_rows), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(has_form, F.col("best")).alias("form"), F.when(has_form, F.col("best_n")).alias("form_n"))
     found = stage_table(found, "variant-forms")
