@@ -1,15 +1,18 @@
 """Line dedup, SimHash groups and mixing against plain Python and DuckDB."""
 
 import random
+import re
 from collections import defaultdict
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from corpusloom.llm import line_dedup, mixing, queries, simhash
 from corpusloom.llm import sql as S
 from corpusloom.llm.common import connected_components
 from corpusloom.sources.tables import TABLES
+from pyspark.sql import functions as F
 from tools.check_oracle import digest
 
 from . import cases
@@ -49,17 +52,28 @@ def test_line_dedup_matches_brute_force(spark, bits):
     rows += [(100 + i, "x" * 39 + "\n" + "y" * 40 + "\n" + "é" * 40 + "\n" + "ü" * 25) for i in range(7)]
     df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, key string").repartition(5)
     got = line_dedup.drop_lines(df, max_filter_bits=max(bits, 1 << 16))
-    assert sorted((str(r.doc_id), r.text or "", r._lines, r._dropped) for r in got.collect()) == brute_lines(rows)
+    assert sorted((str(r.row.doc_id), r.text or "", r.n_lines, r.n_dropped) for r in got.collect()) == brute_lines(rows)
 
 
 def test_line_dedup_merges_filters_in_levels(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "FAN_IN", 2)
     line = "a passage of more than forty characters in all"
     df = spark.createDataFrame([(i, f"{line}\nown {i}") for i in range(9)], "doc_id long, text string").repartition(9)
-    got = {r.doc_id: r._dropped for r in line_dedup.drop_lines(df).collect()}
+    got = {r.row.doc_id: r.n_dropped for r in line_dedup.drop_lines(df).collect()}
     assert got == {i: int(i < 8) for i in range(9)}
 
 
+def test_only_documents_that_lose_lines_are_joined(spark):
+    line = "a passage of more than forty characters in all"
+    df = spark.createDataFrame([(i, f"{line}\nown {i}" if i < 9 else f"clean {i}") for i in range(4000)], "doc_id long, text string")
+    lost = line_dedup.repeated_lines(df)
+    may = line_dedup._id_filter(lost.select("doc_id"), line_dedup.MAX_FILTER_BITS)
+    hit = {r.doc_id for r in df.where(may(F.xxhash64("doc_id"))).collect()}
+    assert set(range(8)) <= hit and len(hit) < 20
+    none = line_dedup._id_filter(lost.select("doc_id").limit(0), line_dedup.MAX_FILTER_BITS)
+    assert df.where(none(F.xxhash64("doc_id"))).count() == 0
+
+
 def test_golay_code_is_perfect_and_keys_are_shared():
     words = np.random.default_rng(1).integers(0, 1 << 23, 300)
     low, high, errors = simhash._golay()
@@ -72,22 +86,84 @@ def test_golay_code_is_perfect_and_keys_are_shared():
             assert all(set(x[x >= 0]) & set(y[y >= 0]) for x, y in zip(a.tolist() and a, b, strict=True))
 
 
-def test_links_find_every_pair(spark):
-    rng = random.Random(3)
-    prints = set()
+def brute_components(prints, distance=3):
+    """The least fingerprint that each one hangs together with."""
+    prints = np.array(sorted(prints), np.int64)
+    label = np.arange(len(prints))
+    near = np.bitwise_count((prints[:, None] ^ prints[None, :]).view(np.uint64)) <= distance
+    while True:
+        least = np.where(near, label[None, :], len(prints)).min(axis=1)
+        if (least == label).all():
+            return dict(zip(prints.tolist(), prints[label].tolist(), strict=True))
+        label = least
+
+
+def flipped(rng, x, d):
+    for b in rng.sample(range(64), d):
+        x ^= 1 << b
+    return x
+
+
+def clouds(rng):
+    out = set()
     for _ in range(60):
         x = rng.getrandbits(64)
-        prints.add(x)
-        for d in (1, 2, 3, 3, 3, 4):
-            y = x
-            for b in rng.sample(range(64), d):
-                y ^= 1 << b
-            prints.add(y)
-    signed = {x - (1 << 64) if x >> 63 else x for x in prints}
-    df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    got = {(r.a, r.b) for r in simhash.links(df).distinct().collect()}
-    mask = (1 << 64) - 1
-    assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & mask).bit_count() <= 3}
+        out |= {x} | {flipped(rng, x, d) for d in (1, 2, 3, 3, 3, 4)}
+    return out
+
+
+def chains(rng):
+    out = set()
+    for _ in range(4):
+        x = rng.getrandbits(64)
+        for _ in range(80):
+            x = flipped(rng, x, 3)
+            out.add(x)
+    return out
+
+
+def dense_ball(rng):
+    """Many near fingerprints around a few centres that lie just too far apart."""
+    x = rng.getrandbits(64)
+    centres = [x, x ^ 0xF, x ^ (0x1F << 40), flipped(rng, x, 9)]
+    return {flipped(rng, c, rng.choice((0, 1, 1, 2))) for c in centres for _ in range(250)}
+
+
+def apart_in_one_key(rng):
+    """Fingerprints that share a block and a segment but lie apart in the other one."""
+    x = rng.getrandbits(40) << 24
+    return {x | rng.getrandbits(24) for _ in range(500)}
+
+
+@pytest.mark.parametrize("max_group", [simhash.MAX_GROUP, 16])
+@pytest.mark.parametrize("kind", [clouds, chains, dense_ball, apart_in_one_key])
+def test_connections_join_what_links_join(spark, kind, max_group):
+    prints = {x - (1 << 64) if x >> 63 else x for x in kind(random.Random(3))}
+    df = spark.createDataFrame([(x,) for x in prints], "fp long").repartition(3)
+    edges = simhash.connections(df, max_group=max_group)
+    got = {x: x for x in prints} | {r.node: r.root for r in connected_components(edges).collect()}
+    assert got == brute_components(prints)
+
+
+def test_connections_grow_with_the_rows(spark):
+    """Twice the near fingerprints: about twice the edges."""
+    rng = random.Random(5)
+    ball = [x - (1 << 64) if x >> 63 else x for x in dense_ball(rng)]
+    some, more = (simhash.connections(spark.createDataFrame([(x,) for x in part], "fp long")).count() for part in (ball[:300], ball[:600]))
+    assert more < 2.5 * some
+
+
+def slow_fingerprint(text, shingle=3):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    shingles = [" ".join(words[i:i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_follow_the_contract(spark):
+    texts = [r[1] for r in cases.rows() if len(r[1] or "") < 20000]
+    texts += [" ".join(random.Random(i).choices(["A", "bÉ", "\u00a0x", "c\x1cd", "e"], k=i)) for i in range(40)]
+    assert [simhash.fingerprint(t) for t in texts] == [slow_fingerprint(t) for t in texts]
 
 
 def test_simhash_groups_of_awkward_rows(spark):
@@ -104,6 +180,9 @@ def test_simhash_groups_of_awkward_rows(spark):
         assert {r.component_id for r in rs} == {min(ids) if ids else None}
     kept = simhash.drop_near_copies(df)
     assert kept.columns == df.columns and kept.count() == len(group)
+    want = {rs[0].root: rs[0].component_id for rs in group.values()}
+    roots = {r.fp % (1 << 64): r.root for r in got}
+    assert {roots[simhash.fingerprint(r.text)]: r.doc_id for r in kept.collect()} == want
 
 
 def test_components_of_a_long_chain(spark):

@@ -1,10 +1,11 @@
 """Language ID, toxicity, BPE and Katz scores: held-out accuracy, round trips, brute force."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
-from hashlib import sha256
+from hashlib import md5, sha256
 
 import numpy as np
 import pytest
@@ -200,3 +201,132 @@ def test_katz_awkward_and_untrained(spark):
     assert got == sorted((str(r[0]), w[0], round(w[4], 6)) for r, w in zip(cases.rows(), want, strict=True))
     assert {r.score for r in katz.score(df, F.lit(True)).collect()} == {0.0}
     assert katz.score(cases.empty(spark), out).count() == 0
+
+
+def newton_logistic(x, y, ridge):
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w, hold = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    hold[-1] = 0.0
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-x @ w))
+        grad = x.T @ (p - y) / len(y) + hold * w
+        if np.abs(grad).max() < 1e-10:
+            break
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(y) + np.diag(hold + 1e-12), grad)
+    return w
+
+
+def brute_chain(rows, folds, n_features, ridge):
+    """Features chosen outside each fold, graded categories, out-of-fold probabilities: all by hand."""
+    sets, label = [toxicity.features(t) for _, t, _ in rows], np.array([y for *_, y in rows])
+    fold = np.array([int(int(md5(f"fold:{i}".encode()).hexdigest()[:13], 16) / (1 << 52) * folds) for i, *_ in rows])
+
+    def prepare(train):
+        n, a = Counter(), Counter()
+        for s, y, t in zip(sets, label, train, strict=True):
+            if t:
+                n.update(s)
+                a.update(s if y else ())
+        pos, neg = label[train].sum(), (1 - label[train]).sum()
+
+        def gain(f):
+            return sum(c * math.log(c / (n[f] * of / (pos + neg))) for c, of in ((a[f], pos), (n[f] - a[f], neg)) if c)
+
+        top = sorted((f for f in n if n[f] >= toxicity.MIN_ROWS), key=lambda f: (-round(gain(f), 9), f))[:n_features]
+        terms = {f for f in top if a[f] / n[f] >= toxicity.MIN_TERM_PRECISION}
+        hits = np.array([len(terms & s) for s in sets])
+        return top, np.array([[f in s for f in top] for s in sets], float), [label * (hits >= 1), label * (hits >= toxicity.REPEATED_TERMS), label]
+
+    made = {k: prepare(fold != k) for k in (*range(folds), -1)}
+    earlier, final = np.zeros((len(rows), 0)), []
+    for level in range(3):
+        q = np.zeros(len(rows))
+        for k, (_, x, ys) in made.items():
+            full = np.hstack([x, earlier])
+            y = ys[level][fold != k]
+            rate = min(max(y.mean(), 1e-6), 1 - 1e-6)
+            w = newton_logistic(full[fold != k], y, ridge) if len(set(y)) > 1 else np.append(np.zeros(full.shape[1]), math.log(rate / (1 - rate)))
+            if k < 0:
+                final.append(w)
+            else:
+                q[fold == k] = 1 / (1 + np.exp(-(full[fold == k] @ w[:-1] + w[-1])))
+        earlier = np.column_stack([earlier, q])
+    x, probabilities = made[-1][1], np.zeros((len(rows), 0))
+    for w in final:
+        probabilities = np.column_stack([probabilities, 1 / (1 + np.exp(-(np.hstack([x, probabilities]) @ w[:-1] + w[-1])))])
+    return made[-1][0], probabilities
+
+
+@pytest.mark.parametrize("noise", [0.02, 0.1])  # with much noise no term is precise in some folds
+def test_toxicity_chain_matches_brute_force(spark, noise):
+    rng = random.Random(11)
+    words, bad = [f"{c}{v}{c}" for c in "bdfgklmnprst" for v in "aeiou"], ["zarkon", "quibble", "vexing", "wretch", "zounds"]
+    rows = []
+    for i in range(240):
+        y = int(rng.random() < 0.4)
+        rows.append((i, " ".join(rng.choices(words, k=12) + (rng.choices(bad, k=rng.randint(0, 4)) if y or rng.random() < noise else [])), y))
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, toxic int, features string").repartition(3)
+    chain = toxicity.fit(df, ["toxic"], n_features=25, folds=3, graded=True, ridge=0.02, steps=500)
+    vocabulary, want = brute_chain(rows, 3, 25, 0.02)
+    assert chain.categories == ["has_terms", "repeats_terms", "toxic"] and set(chain.index) == set(vocabulary)
+    got = {r.doc_id: (r.p_has_terms, r.p_repeats_terms, r.p_toxic) for r in toxicity.score(df, chain).collect()}
+    assert np.abs(np.array([got[i] for i, *_ in rows]) - want).max() < 5e-3
+
+
+def test_toxicity_with_few_or_one_sided_labels(spark):
+    docs = spark.createDataFrame([(i, "vile vile insult" if i < 4 else f"a kind word {i}") for i in range(40)], "doc_id long, text string")
+
+    def run(labels):
+        chain = toxicity.fit_labels(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+        return chain, {r.doc_id for r in toxicity.drop_toxic(docs, chain).collect()}
+
+    chain, kept = run([(i, int(i < 4)) for i in range(8)])  # eight labels are enough to tell these apart
+    assert chain.informed and kept == set(range(4, 40))
+    for labels in ([(i, 1) for i in range(4)], [(i, 0) for i in range(4, 9)], [], [(1, None)], [(999, 1), (998, 0)]):
+        chain, kept = run(labels)  # nothing to tell apart: nothing is rejected
+        assert not chain.informed and kept == set(range(40))
+        verdict = toxicity.score(docs, chain).withColumn("toxic", chain.rejects(F.col("p_toxic")))
+        assert verdict.where("toxic").count() == 0 and verdict.count() == 40
+    # labels that repeat an id, and rows that do
+    again = docs.unionByName(docs.where("doc_id < 8"))
+    labels = spark.createDataFrame([(i, int(i < 4)) for i in range(8)] * 50, "doc_id long, toxic int")
+    chain = toxicity.fit_labels(again, labels)
+    assert {r.doc_id for r in toxicity.drop_toxic(again, chain).collect()} == set(range(4, 40))
+
+
+def test_toxicity_of_awkward_rows(spark):
+    df = cases.awkward(spark)
+    chain = toxicity.fit_labels(df, spark.createDataFrame([(4, 1), (5, 0), (6, 0), (20, 1), (21, 0), (None, 1)], "doc_id long, toxic int"))
+    assert toxicity.score(df, chain).count() == len(cases.rows())
+    kept = toxicity.drop_toxic(df, chain)
+    assert kept.columns == df.columns and kept.count() <= len(cases.rows())
+    none = cases.empty(spark)
+    empty = toxicity.fit_labels(none, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
+    assert toxicity.score(none, empty).count() == 0 and toxicity.drop_toxic(df, empty).count() == len(cases.rows())
+
+
+def test_family_codes():
+    of = lang_id.family_of
+    assert of("en") == of("eng") == of("de-AT") == of("sv_SE") == "germanic" and of("spa") == of("pt-BR") == "romance"
+    assert of("tgl") == of("fil") == of("hil") == "austronesian" and of("swe") == "germanic" and of("fin") == "uralic"
+    assert of("xx") == "xx" and of("zh-Hant") == "zh-Hant"
+
+
+def test_language_votes_match_a_plain_count(spark):
+    """Family by the greatest margin, then every pair of its languages votes."""
+    model = lang_id.fit(spark.read.parquet(SMALL))
+    rows = spark.read.parquet(SMALL).select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in lang_id.identify(spark.read.parquet(SMALL), model).collect()}
+    for doc_id, text in rows[:120]:
+        x = lang_id.features(text or "")
+        if x is None:
+            assert got[doc_id].lang_pred == "und"
+            continue
+        x = np.append(x, 1.0)
+        margins = {f: model.family_weights[k] @ x for k, f in enumerate(model.names)}
+        family = max(margins, key=margins.get) if len(margins) > 1 else model.names[0]
+        votes = Counter(a if model.pair_weights[k] @ x >= 0 else b for k, (a, b) in enumerate(model.pairs) if a in model.families[family])
+        most = max(votes.values(), default=0)
+        assert got[doc_id].family_pred == family
+        assert got[doc_id].lang_pred in ([lang for lang, v in votes.items() if v == most] or model.families[family])
+        assert 0 <= got[doc_id].score <= 1

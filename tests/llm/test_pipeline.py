@@ -4,15 +4,18 @@ import corpus_pipeline
 import pytest
 from corpusloom.llm import simhash, toxicity
 from corpusloom.session import stage_table
+from pyspark.sql import functions as F
 
 import __spark_entry__
 
+from . import cases
+
 SF = "/root/testdata/sf0.001"
 
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5
 
 
@@ -44,3 +47,20 @@ def test_each_stage_works_on_its_own_input(spark, kept):
     times = {r.doc_id: r["count"] for r in kept["mix"].groupBy("doc_id").count().collect()}
     assert set(times) <= stay and max(times.values()) <= 2
     assert kept["bpe"].count() == sum(times.values())
+
+
+def test_stages_handle_odd_input(spark):
+    """Nulls, repeats, clashing names and empty tables go through every stage."""
+    df = cases.awkward(spark)
+    for name in ("row", "text_hash", "_lines", "_dropped", "keys", "_may", "_own", "_hash"):
+        if name not in df.columns:
+            df = df.withColumn(name, F.lit("x"))
+    for docs, n in ((df, len(cases.rows())), (df.limit(0), 0)):
+        start = docs
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage_table(stage(spark, docs, SF), name)
+            if name in ("toxicity", "line_dedup"):
+                assert out.count() == n
+            if name != "bpe":
+                assert out.columns == start.columns
+            docs = out

@@ -7,6 +7,7 @@ from hashlib import sha256
 from string import ascii_lowercase
 
 import pytest
+import regex
 from corpusloom.llm import license_scan, quality, syncmers
 from corpusloom.llm.common import let
 from pyspark.sql import functions as F
@@ -63,6 +64,21 @@ def test_quality_rejects_gibberish_and_wrong_languages(spark):
     assert {i for i, kept in got.items() if not kept} == {x[0] for x in junk + wrong}
 
 
+@pytest.mark.parametrize("share", [0.15, 0.22, 0.28])
+def test_quality_limit_follows_the_language(spark, share):
+    """Gibberish fails and prose stays, however many words of a language its common words hold."""
+    rng = random.Random(int(share * 100))
+
+    def word(n):
+        return "".join(rng.choices(ascii_lowercase, k=n))
+
+    common, rare = [word(3) for _ in range(quality.COMMON_WORDS)], [word(6) for _ in range(20000)]
+    clean = [(i, " ".join(rng.choice(common if rng.random() < share else rare) for _ in range(400)), "en", "s", 1) for i in range(200)]
+    junk = [(1000 + i, " ".join(word(rng.choice((4, 6, 7))) for _ in range(500)), "en", "s", 1) for i in range(3)]
+    got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(clean + junk, cases.SCHEMA)).collect()}
+    assert {i for i, kept in got.items() if not kept} == {x[0] for x in junk}
+
+
 def test_js_distance(spark):
     r = spark.range(1).select(
         quality.js_distance(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(5.0))).alias("far"),
@@ -93,6 +109,58 @@ def brute_license(text, threshold=license_scan.THRESHOLD):
     return (best[1] if best else None, -best[0] if best else 0.0, n)
 
 
+def brute_windows(text, threshold=license_scan.THRESHOLD):
+    """Every window of every template's size, compared."""
+    ws = regex.sub(r"[^\p{L}\p{N}]+", " ", (text or "").lower()).split()
+    bs, out = [" ".join(p) for p in zip(ws, ws[1:], strict=False)], []
+    for name, texts in license_scan.TEMPLATES.items():
+        for t in texts:
+            tw = license_scan.template_words(t)
+            own, m = {" ".join(p) for p in zip(tw, tw[1:], strict=False)}, len(tw) - 1
+            dice = [2 * len(own & w) / (len(own) + len(w)) for w in (set(bs[i:i + m]) for i in range(len(bs) - m + 1))]
+            if dice and max(dice) >= threshold:
+                out.append((-max(dice), name))
+    return sorted(out)
+
+
+def test_licenses_within_prose_on_one_line_and_in_comments(spark):
+    t = license_scan.TEMPLATES
+    prose = "this helper was rewritten last year and nobody has looked at it since then so take care "
+    texts = {
+        "one line": (" ".join(t["MIT"][2].split()), "MIT"),
+        "one line among others": (prose * 3 + t["MIT"][2] + prose * 2, "MIT"),
+        "short notice in prose": (prose + "Released under the MIT License. " + prose, "MIT"),
+        "cc in prose": ("Some prose. Licensed under CC BY 4.0. More prose", "CC-BY-4.0"),
+        "comment header": ("/*\n * Copyright A\n *\n * " + t["GPL-3.0"][1].replace(" or ", "\n * or ") + "\n *\n */\nint main", "GPL-3.0"),
+        "hash header": ("# " + t["Apache-2.0"][1].replace("; ", ";\n#\n# ") + "\nimport os\n" + prose, "Apache-2.0"),
+        "two licences": (t["ISC"][0] + " " + prose + t["Zlib"][0], "ISC"),
+        "small edits": (prose + t["BSD"][2].replace("copyright holder nor", "Example Company nor").replace("2.", "b)") + prose, "BSD"),
+        "words of it only": ("software permission copyright license conditions warranty " * 30, None),
+        "prose": (prose * 20, None),
+        "repeats": ("the license MIT and the license under MIT released " * 40, None),
+        "none": (None, None),
+    }
+    df = spark.createDataFrame([(k, v[0], "x") for k, v in texts.items()], "doc_id string, text string, windows string")
+    for r in license_scan.scan(df).collect():
+        text, want = texts[r.doc_id]
+        best = brute_windows(text)
+        assert r.license == want, r.doc_id
+        assert r.n_windows == len(best), r.doc_id
+        if best:
+            assert r.dice >= -best[0][0] - 1e-12
+
+
+def test_needed_words_are_in_every_match():
+    for texts in license_scan.TEMPLATES.values():
+        for t in texts:
+            ws = license_scan.template_words(t)
+            bigrams = set(zip(ws, ws[1:], strict=False))
+            need = license_scan.needed_words(ws, 0.8)
+            assert need and sum(not set(b) & set(need) for b in bigrams) < license_scan.least_shared(len(bigrams), 0.8)
+    # the bound itself: fewer shared bigrams never reach the threshold, whatever the window
+    assert all(2 * (license_scan.least_shared(a, 0.8) - 1) / (a + license_scan.least_shared(a, 0.8) - 1) < 0.8 for a in range(1, 400))
+
+
 def test_license_scan_matches_brute_force(spark):
     mit = license_scan.TEMPLATES["MIT"][1]
     texts = [None, "", "x", "Some prose.\nReleased under the MIT license\nmore prose", mit.replace(", ", ",\n"),
@@ -170,3 +238,17 @@ def test_empty_tables(spark):
 def test_let_evaluates_in_nested_lambdas(spark):
     r = spark.range(3).select(F.transform(F.array(F.lit(1), F.lit(2)), lambda x: let(x + F.col("id"), lambda y: y * y)).alias("v"))
     assert [list(x.v) for x in r.orderBy("v").collect()] == [[1, 4], [4, 9], [9, 16]]
+
+
+def test_syncmers_of_string_ids(spark):
+    rows = [(f"id {i:03d}", f"the text of number {i} goes on with words {i * 7} and more") for i in range(60)] + [(None, "no id"), ("id 007", "again")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    got = {(r.doc_id, r.n_chars): r for r in syncmers.fingerprint_edits(df).collect()}
+    assert len(got) == len(rows)
+    order = sorted((r for r in rows if r[0]), key=lambda r: r[0], reverse=True)
+    texts = dict(rows)
+    for (a, x), (b, y) in zip(order, order[1:], strict=False):
+        if a != b and "id 007" not in (a, b):
+            cut = len(x) // 3
+            assert got[a, len(x)].edited_sha256 == sha256((x[:len(x) - cut] + y[:cut]).encode()).hexdigest()
+    assert texts and syncmers.fingerprint_edits(df.limit(0)).count() == 0

@@ -51,12 +51,11 @@ def neighbourhood(seed, n, letters="abé"):
 
 
 @pytest.mark.parametrize("max_group", [variants.MAX_GROUP, 8])
-def test_near_words_match_brute_force(spark, max_group, monkeypatch):
+def test_near_words_match_brute_force(spark, max_group):
     """Also with keys that are halved down to single places."""
-    monkeypatch.setattr(variants, "BLOCK", 16)
     words = neighbourhood(max_group, 250)
     df = spark.createDataFrame(list(words.items()), "word string, n long").repartition(4)
-    got = variants.variants(df, max_group=max_group)
+    got = variants.variants(df, max_group=max_group, block_rows=16)
     assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
     assert sorted(tuple(r) for r in got.collect()) == brute_variants(words)
 
@@ -163,7 +162,6 @@ def check_whitening(rows, vectors):
 
 def test_whitening_matches_numpy_and_drops_bad_vectors(spark, monkeypatch):
     monkeypatch.setattr(whitening, "FAN_IN", 2)
-    monkeypatch.setattr(whitening, "BLOCK_ROWS", 7)
     good = [(i % 90, row.tolist()) for i, row in enumerate(np.random.default_rng(3).standard_normal((100, 12)) * np.arange(1, 13) - 5)]
     bad = [(900, None), (901, []), (902, [1.0] * 11 + [None]), (903, [float("nan")] * 12), (904, [float("inf")] + [0.0] * 11), (905, [1.0] * 3)]
     df = spark.createDataFrame([(*r, "x", 0) for r in good + bad], "vec_id long, embedding array<double>, whitened string, n int").repartition(9)
