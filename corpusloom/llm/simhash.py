@@ -176,25 +176,29 @@ def _trees(key: np.ndarray, fp: np.ndarray, max_distance: int) -> tuple[np.ndarr
 
 
 def _connect(max_distance: int, ends_cut: bool, max_group: int):
-    """A task over rows sorted by key and fingerprint: ``(a, b, cut)`` connects two
+    """A task over rows sorted by key and fingerprint: ``(a, b, cut, n)`` connects two
     fingerprints, or names a key (in ``cut``) whose rows were not all compared with each
     other, as they are more than ``max_group`` or (with ``ends_cut``) may go on in another
-    partition."""
+    partition, and how many rows it has here."""
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp, cut = np.zeros(0, np.int64), np.zeros(0, np.int64), set()
+        key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        cut: dict[int, int] = {}
+        first, n_first, last, n_last = None, 0, None, 0
 
         def result(upto: int) -> pa.RecordBatch:
             a, b = _trees(key[:upto], fp[:upto], max_distance)
             pairs = np.unique(np.column_stack([a, b]), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())],
-                                              ["a", "b", "cut"])
+            none = pa.nulls(len(pairs), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none], ["a", "b", "cut", "n"])
 
         for batch in batches:
             more, more_fp = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "fp"))
-            if ends_cut and len(more):
-                if not len(cut):
-                    cut.add(int(more[0]))
-                last = int(more[-1])
+            if not len(more):
+                continue
+            first = int(more[0]) if first is None else first
+            n_first += int(np.searchsorted(more, first, "right"))
+            before, last = last, int(more[-1])
+            n_last = len(more) - int(np.searchsorted(more, last)) + (n_last if before == last else 0)
             key, fp = np.concatenate([key, more]), np.concatenate([fp, more_fp])
             while len(key) > 2 * max_group:
                 upto = int(np.searchsorted(key[:2 * max_group], key[2 * max_group]))  # whole keys
@@ -202,15 +206,15 @@ def _connect(max_distance: int, ends_cut: bool, max_group: int):
                     yield result(upto)
                     key, fp = key[upto:], fp[upto:]
                 else:  # one key fills the buffer: its last row meets the next ones
-                    cut.add(int(key[0]))
+                    cut[int(key[0])] = 2 * max_group + 1
                     yield result(2 * max_group)
                     key, fp = key[2 * max_group - 1:], fp[2 * max_group - 1:]
         if len(key):
             yield result(len(key))
-        if ends_cut and cut:
-            cut.add(last)
-        named = pa.array(sorted(cut), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(named), pa.int64())] * 2 + [named], ["a", "b", "cut"])
+        if ends_cut and first is not None:
+            cut |= {first: n_first, last: n_last}
+        named, none = pa.array(list(cut), pa.int64()), pa.nulls(len(cut), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, named, pa.array(list(cut.values()), pa.int64())], ["a", "b", "cut", "n"])
 
     return connect
 
@@ -228,25 +232,23 @@ def connections(distinct: DataFrame, max_distance: int = MAX_DISTANCE, max_group
         raise ValueError(f"the keys hold for at most {MAX_DISTANCE} differing bits")
     spark = distinct.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = "a long, b long, cut long"
 
     def compared(rows: DataFrame, ends_cut: bool) -> DataFrame:
         dealt = rows.repartitionByRange(n, "key", "fp") if ends_cut else rows.repartition(n, "key")
-        return stage_table(dealt.sortWithinPartitions("key", "fp").mapInArrow(_connect(max_distance, ends_cut, max_group), schema), "connections")
+        task = _connect(max_distance, ends_cut, max_group)
+        return stage_table(dealt.sortWithinPartitions("key", "fp").mapInArrow(task, "a long, b long, cut long, n long"), "connections")
 
     rows = distinct.select("fp").mapInArrow(_fuzzy_keys, "key long, fp long")
     done: list[DataFrame] = []
     for finer in (True, False):
         found = compared(rows, True)
         done.append(found.where(F.col("cut").isNull()).select("a", "b"))
-        cut = found.where(F.col("cut").isNotNull()).select(F.col("cut").alias("key")).distinct()
-        again = stage_table(rows.join(cut, "key"), "cut-rows")
-        sizes = stage_table(again.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "cut-keys")
-        small, large = (sizes.where(c).select("key") for c in (F.col("n") <= max_group, F.col("n") > max_group))
-        done.append(compared(again.join(small, "key"), False).select("a", "b").where(F.col("a").isNotNull()))
+        cut = found.where(F.col("cut").isNotNull()).groupBy(F.col("cut").alias("key")).agg(F.sum("n").alias("n"))
+        small, large = (cut.where(c).select("key") for c in (F.col("n") <= max_group, F.col("n") > max_group))
+        done.append(compared(rows.join(small, "key"), False).select("a", "b").where(F.col("a").isNotNull()))
         if large.isEmpty():
             break
-        done, large_rows = _apart(done, again.join(large, "key"))
+        done, large_rows = _apart(done, rows.join(large, "key"))
         if finer:
             rows = stage_table(large_rows.mapInArrow(_finer_keys, "key long, fp long"), "finer-keys")
         else:
