@@ -168,7 +168,7 @@ def a9_auto(spark, sf):
 g AS (SELECT is_correct, count(*) AS n, stddev_samp(confidence_one) * count(*) ** -0.2 AS h FROM valid_pred GROUP BY 1),
 r AS (SELECT min(confidence_one) AS lo, max(confidence_one) AS hi FROM valid_pred),
 p AS (SELECT point::INTEGER AS point, lo + point * (hi - lo) / 199 AS x FROM r, range(200) t(point))
-SELECT g.is_correct, p.point, p.x, sum(exp(-((p.x - v.confidence_one) / g.h) ** 2 / 2)) / (any_value(g.n) * any_value(g.h) * sqrt(2 * pi())) AS density
+SELECT g.is_correct, p.point, p.x, sum(exp(-0.5 * ((p.x - v.confidence_one) / g.h) * ((p.x - v.confidence_one) / g.h))) / (any_value(g.n) * any_value(g.h) * sqrt(2 * pi())) AS density
 FROM g JOIN valid_pred v ON v.is_correct = g.is_correct, p WHERE g.h > 0 GROUP BY g.is_correct, p.point, p.x"""))
 def a9_density(spark, sf):
     """Density curves of right and wrong confidences."""

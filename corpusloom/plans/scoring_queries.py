@@ -189,15 +189,15 @@ def zero_shot_sql(body: str) -> str:
                        for i, k in enumerate(LANGUAGE_CUES))
     total = " + ".join(f"n{i}" for i in range(len(LANGUAGE_CUES)))
     return f"""
-WITH p AS ({_RENDER_SQL}),
-w AS (SELECT lens_id, length(prompt) % 23 = 0 AS junk, {words} AS w FROM p),
-n AS (SELECT lens_id, junk, {counts} FROM w),
-s AS (SELECT lens_id, junk, list_reverse_sort([{ranked}]) AS top FROM (SELECT *, {total} AS t FROM n)),
+WITH zp AS ({_RENDER_SQL}),
+zw AS (SELECT lens_id, length(prompt) % 23 = 0 AS junk, {words} AS w FROM zp),
+zn AS (SELECT lens_id, junk, {counts} FROM zw),
+zs AS (SELECT lens_id, junk, list_reverse_sort([{ranked}]) AS top FROM (SELECT *, {total} AS t FROM zn)),
 answers AS (
 SELECT r.lens_id AS "LensID", r.title AS "Title", r.category AS true_category,
        CASE WHEN junk THEN 'ERROR' ELSE top[1].k END AS predicted_one, CASE WHEN junk THEN 0.0 ELSE top[1].v END::DOUBLE AS confidence_one,
        CASE WHEN junk THEN 'ERROR' ELSE top[2].k END AS predicted_two, CASE WHEN junk THEN 0.0 ELSE top[2].v END::DOUBLE AS confidence_two
-FROM s JOIN ({sql(["records"], "SELECT lens_id, title, category FROM records")}) r USING (lens_id)){"," if body.lstrip()[:6] != "SELECT" else ""}
+FROM zs JOIN ({sql(["records"], "SELECT lens_id, title, category FROM records")}) r USING (lens_id)){"," if body.lstrip()[:6] != "SELECT" else ""}
 {body}"""
 
 
