@@ -13,7 +13,7 @@ chosen anew, from its training rows alone, for the models of each fold.
 The models learn from a bounded sample of labelled rows (``sample_per_class`` with and as
 many without the last category, chosen by a hash of the id, one row an id).  Each level of the
 chain is one job: a group for each fold's model and one for the final model, each fitted
-whole in its task (at most ``2 * sample_per_class`` rows of up to ``n_features`` numbers).
+whole in its task (the feature places of at most about ``2 * sample_per_class`` rows).
 Feature lists and weights (``n_features`` each) are broadcast; every whole text is scored
 in one pass without a shuffle.
 
@@ -124,17 +124,33 @@ def _chosen_features(sample: DataFrame, last: str, folds: int, n_features: int)
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> np.ndarray:
+class Rows:
+    """Binary features of rows as the places of their ones, and dense columns beside them."""
+
+    def __init__(self, ones: list[np.ndarray], width: int, dense: np.ndarray):
+        self.width, self.dense, self.n = width, dense, len(ones)
+        self.row = np.repeat(np.arange(len(ones)), [len(x) for x in ones])
+        self.place = np.concatenate([np.zeros(0, np.int64), *ones]).astype(np.int64)
+
+    def margins(self, w: np.ndarray) -> np.ndarray:
+        """Of weights for the features, the dense columns and an intercept."""
+        return np.bincount(self.row, w[self.place], self.n) + self.dense @ w[self.width:-1] + w[-1]
+
+    def sums(self, v: np.ndarray) -> np.ndarray:
+        """The sum of ``v`` (a number a row) over the rows of each feature, by dense columns, and in all."""
+        return np.concatenate([np.bincount(self.place, v[self.row], self.width), v @ self.dense, [v.sum()]])
+
+
+def logistic(x: Rows, y: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> np.ndarray:
     """Weights and intercept that minimise the mean logistic loss plus ``ridge / 2 * |w|^2``."""
     n = max(1, len(y))
 
     def value(w: np.ndarray) -> tuple[float, np.ndarray]:
-        margin = x @ w[:-1].astype(x.dtype) + w[-1]
-        slope = (_sigmoid(margin) - y) / n
-        loss = float(np.logaddexp(0.0, margin).sum() - y @ margin) / n + ridge / 2 * float(w[:-1] @ w[:-1])
-        return loss, np.append(slope.astype(x.dtype) @ x + ridge * w[:-1], slope.sum())
+        margin, held = x.margins(w), np.append(w[:-1], 0.0)
+        loss = float(np.logaddexp(0.0, margin).sum() - y @ margin) / n + ridge / 2 * float(held @ held)
+        return loss, x.sums((_sigmoid(margin) - y) / n) + ridge * held
 
-    return minimise(value, x.shape[1] + 1, steps, 1e-5)
+    return minimise(value, x.width + x.dense.shape[1] + 1, steps, 1e-5)
 
 
 def _fit_level(data: DataFrame, level: int, width: dict[int, int], rates: Sequence[float], ridge: float,
@@ -147,21 +163,20 @@ def _fit_level(data: DataFrame, level: int, width: dict[int, int], rates: Sequen
 
     def fit_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         k, n = int(key[0]), width[int(key[0])]
-        x = np.zeros((len(rows), n + level), np.float32)
-        for i, at in enumerate(rows["x"]):
-            x[i, at] = 1.0
-        if level:
-            x[:, n:] = np.array([p[:level] for p in rows["p"]], np.float32)
-        y = np.array([v[level] for v in rows["y"]], float)
         train = (rows["fold"] != k).to_numpy()
-        if not n or len(set(y[train])) < 2:
-            w = np.append(np.zeros(n + level), _logit(rate if last or not train.any() else float(y[train].mean())))
+        earlier = np.array([p[:level] for p in rows["p"]], float).reshape(len(rows), level)
+
+        def some(which: np.ndarray) -> Rows:
+            return Rows([np.asarray(x, np.int64) for x in rows["x"][which]], n, earlier[which])
+
+        y = np.array([v[level] for v in rows["y"]], float)[train]
+        if not n or len(set(y)) < 2:
+            w = np.append(np.zeros(n + level), _logit(rate if last or not len(y) else float(y.mean())))
         else:
-            w = logistic(x[train], y[train], ridge, steps)
+            w = logistic(some(train), y, ridge, steps)
         if k < 0:
             return pd.DataFrame({"id": [None], "q": [None], "w": [w.tolist()]})
-        q = _sigmoid(x[~train] @ w[:-1].astype(np.float32) + w[-1]).astype(float)
-        return pd.DataFrame({"id": rows["id"][~train], "q": q, "w": None})
+        return pd.DataFrame({"id": rows["id"][~train], "q": _sigmoid(some(~train).margins(w)), "w": None})
 
     dealt = data.repartition(2 * len(width), "k")  # a number of its own, so that groups are not put into one task
     found = stage_table(dealt.groupBy("k").applyInPandas(fit_group, "id string, q double, w array<double>"), "toxicity-level")
