@@ -83,9 +83,9 @@ s AS (SELECT b.rid, b.pid, t.license, 2.0::DOUBLE * len(list_intersect(b.pairs,
       FROM b JOIN t ON b.n * {factor!r}::DOUBLE >= t.n AND b.n <= t.n * {factor!r}::DOUBLE),
 whole AS (SELECT rid, list_filter(string_split(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM d),
 bg AS (SELECT rid, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS bs FROM whole WHERE len(w) >= 2),
-at AS (SELECT rid, bs[i + 1] AS pair, i FROM (SELECT rid, bs, unnest(range(len(bs))) AS i FROM bg)),
-hit AS (SELECT at.rid, tp.tid, at.i, array_agg(at.i) OVER (PARTITION BY at.rid, tp.tid ORDER BY at.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS later, tp.least, tp.n
-        FROM at JOIN (SELECT tid, n, least, unnest(pairs) AS pair FROM t) tp USING (pair)),
+bi AS (SELECT rid, bs[i + 1] AS pair, i FROM (SELECT rid, bs, unnest(range(len(bs))) AS i FROM bg)),
+hit AS (SELECT bi.rid, tp.tid, bi.i, array_agg(bi.i) OVER (PARTITION BY bi.rid, tp.tid ORDER BY bi.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS later, tp.least, tp.n
+        FROM bi JOIN (SELECT tid, n, least, unnest(pairs) AS pair FROM t) tp USING (pair)),
 st AS (SELECT DISTINCT rid, tid, unnest(range(greatest(0, later[least] - n + 1), least_(i, len(bs) - n) + 1)) AS s
        FROM (SELECT hit.*, bg.bs FROM hit JOIN bg USING (rid) WHERE len(later) >= least AND later[least] - i < n)),
 win AS (SELECT st.rid, st.tid, t.license, t.pairs, list_distinct(bg.bs[st.s + 1:st.s + t.n]) AS own FROM st JOIN t USING (tid) JOIN bg USING (rid)),
