@@ -386,7 +386,8 @@ def shared_key_propagate(inc: DataFrame, features: DataFrame) -> DataFrame:
     Equals G7's message sum only for ``n_shared`` weights, not 0/1 edges."""
     i = inc.select("node", "key").distinct()
     xf = features.select("node", "dim", F.col("value").cast("double").alias("value"))
-    sk = i.join(xf, "node").groupBy("key", "dim").agg(F.sum("value").alias("S"))
+    # a table of its own, so that the join below is of plain shuffles that Spark may split at a hot key
+    sk = cut_lineage(i.join(xf, "node").groupBy("key", "dim").agg(F.sum("value").alias("S")))
     kcount = i.groupBy("node").agg(F.count(F.lit(1)).alias("_nk"))
     tot = i.join(sk, "key").groupBy("node", "dim").agg(F.sum("S").alias("_t"))
     own = xf.join(kcount, "node").select("node", "dim", (F.col("value") * F.col("_nk")).alias("_o"))
