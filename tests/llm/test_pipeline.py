@@ -1,8 +1,12 @@
 """The pipeline's stages, each on what the one before it keeps."""
 
+from hashlib import sha256
+
 import corpus_pipeline
+import numpy as np
 import pytest
-from corpusloom.llm import simhash, toxicity
+import tokenizers
+from corpusloom.llm import bpe, simhash, toxicity
 from corpusloom.session import stage_table
 from pyspark.sql import functions as F
 
@@ -47,6 +51,11 @@ def test_each_stage_works_on_its_own_input(spark, kept):
     times = {r.doc_id: r["count"] for r in kept["mix"].groupBy("doc_id").count().collect()}
     assert set(times) <= stay and max(times.values()) <= 2
     assert kept["bpe"].count() == sum(times.values())
+    library = tokenizers.Tokenizer.from_file(bpe.default_tokenizer())
+    mixed = {r.doc_id: r.text or "" for r in kept["mix"].collect()}
+    for r in kept["bpe"].collect()[:60]:
+        ids = library.encode(mixed[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), sha256(np.array(ids, "<u4").tobytes()).hexdigest())
 
 
 def test_stages_handle_odd_input(spark):

@@ -2,12 +2,14 @@
 
 import random
 import re
+import struct
 from collections import Counter
 from hashlib import sha256
 from string import ascii_lowercase
 
 import pytest
 import regex
+import xxhash
 from corpusloom.llm import license_scan, quality, syncmers
 from corpusloom.llm.common import let
 from pyspark.sql import functions as F
@@ -252,3 +254,37 @@ def test_syncmers_of_string_ids(spark):
             cut = len(x) // 3
             assert got[a, len(x)].edited_sha256 == sha256((x[:len(x) - cut] + y[:cut]).encode()).hexdigest()
     assert texts and syncmers.fingerprint_edits(df.limit(0)).count() == 0
+
+
+def spark_hash(*values):
+    """XXH64, each value with the hash of those before as seed; numbers as 8 bytes."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), h % (1 << 64))
+        h = h - (1 << 64) if h >> 63 else h
+    return h
+
+
+def slow_anchors(text):
+    tokens = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    if len(tokens) < 3:
+        return [spark_hash(" ".join(tokens) if tokens else text or "")]
+    h = [spark_hash(w) for w in tokens]
+    closed = [i for i in range(len(h) - 2) if min(h[i:i + 3]) in (h[i], h[i + 2])]
+    return sorted({spark_hash(*h[i:i + 3]) for i in closed})
+
+
+def test_fingerprints_match_plain_syncmers(spark):
+    texts = [r[1] for r in cases.rows() if len(r[1] or "") < 40000] + [" ".join(random.Random(i).choices(["a", "B", "ç", "dd"], k=i)) for i in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in syncmers.fingerprint_edits(df).collect()}
+    for i, text in enumerate(texts):
+        after = texts[i - 1] if i else texts[-1]  # the next one in descending order of ids
+        text, after = text or "", after or ""
+        cut = len(text) // 3
+        edited = text[:len(text) - cut] + after[:cut]
+        own, changed, beside = map(slow_anchors, (text, edited, after))
+        assert got[i].fingerprint == sha256(",".join(map(str, own)).encode()).hexdigest()
+        assert got[i].edited_fingerprint == sha256(",".join(map(str, changed)).encode()).hexdigest()
+        jaccard = lambda a, b: len({*a} & {*b}) / len({*a} | {*b})
+        assert got[i].near_edited == pytest.approx(jaccard(own, changed)) and got[i].near_next == pytest.approx(jaccard(own, beside))
