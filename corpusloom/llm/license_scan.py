@@ -188,6 +188,31 @@ def needed_words(words: list[str], threshold: float) -> list[str]:
     return chosen
 
 
+def needed_bigrams(words: list[str], threshold: float) -> list[tuple[str, str]]:
+    """The longest bigrams of a template, so many that a window which reaches the threshold has one of them."""
+    every = sorted(set(zip(words, words[1:], strict=False)), key=lambda b: (-len(b[0]) - len(b[1]), b))
+    return every[:len(every) - least_shared(len(every), threshold) + 1]
+
+
+#: Templates that need a shorter word are sought by bigrams, as such words are in many texts.
+RARE_LETTERS = 6
+
+
+def _may_match(text: Column, templates: list[list[str]], threshold: float) -> Column:
+    """Whether a lower-cased text has what a window of some template cannot do without."""
+    words, bigrams = set(), set()
+    for ws in templates:
+        needed = needed_words(ws, threshold)
+        if min(map(len, needed), default=0) >= RARE_LETTERS:
+            words |= set(needed)
+        else:
+            bigrams |= set(needed_bigrams(ws, threshold))
+    some = F.lit(False)
+    for word in sorted(words):
+        some = some | F.contains(text, F.lit(word))
+    return some | text.rlike("|".join(rf"{a}[^\p{{L}}\p{{N}}]+{b}" for a, b in sorted(bigrams))) if bigrams else some
+
+
 def window_matches(text: Column, threshold: float = THRESHOLD, templates: dict[str, list[str]] | None = None) -> Column:
     """Array of ``(dice, license)``: for each template the best window of its number of words, if it reaches
     the threshold."""
@@ -197,9 +222,7 @@ def window_matches(text: Column, threshold: float = THRESHOLD, templates: dict[s
                                F.array(*[F.lit(b) for b in bs]).alias("bigrams")) for (name, ws), bs in zip(known, sets, strict=True)])
     any_bigram = sorted({b for bs in sets for b in bs})
     lowered = F.lower(text)
-    some = F.lit(False)
-    for word in sorted({w for _, ws in known for w in needed_words(ws, threshold)}):
-        some = some | F.contains(lowered, F.lit(word))
+    some = _may_match(lowered, [ws for _, ws in known], threshold)
 
     def best_window(own: Column, hits: Column, t: Column) -> Column:
         places = F.transform(F.filter(hits, lambda h: F.array_contains(t["bigrams"], h["b"])), lambda h: h["i"])

@@ -159,6 +159,8 @@ def test_needed_words_are_in_every_match():
             bigrams = set(zip(ws, ws[1:], strict=False))
             need = license_scan.needed_words(ws, 0.8)
             assert need and sum(not set(b) & set(need) for b in bigrams) < license_scan.least_shared(len(bigrams), 0.8)
+            few = set(license_scan.needed_bigrams(ws, 0.8))
+            assert few and len(bigrams - few) < license_scan.least_shared(len(bigrams), 0.8)
     # the bound itself: fewer shared bigrams never reach the threshold, whatever the window
     assert all(2 * (license_scan.least_shared(a, 0.8) - 1) / (a + license_scan.least_shared(a, 0.8) - 1) < 0.8 for a in range(1, 400))
 
