@@ -12,10 +12,10 @@ differ at most by the factor (2 - t) / t.
 
 A notice may also stand within a longer line or paragraph, on one line with other
 notices, or in a comment whose marks leave no empty line.  So windows of each template's
-number of words slide over the words of the whole text.  A window of coefficient t has at
-least t / (2 - t) of the template's bigrams, which gives two exact filters: a text is left
-alone unless it has one of a few words that no such window can do without, and only windows
-that hold so many of the positions of the template's bigrams are compared.
+number of words slide over the words of the whole text.  A part or window of coefficient t
+has at least t / (2 - t) of the template's bigrams, which gives two exact filters: a text or
+part is left alone unless it has one of a few words that no match can do without, and only
+windows that hold so many of the positions of the template's bigrams are compared.
 
 All of it is DataFrame expressions on one row; nothing is shuffled.
 
@@ -128,7 +128,8 @@ def _parts(text: Column) -> Column:
 
 
 def matches(text: Column, threshold: float = THRESHOLD, templates: dict[str, list[str]] | None = None) -> Column:
-    """Array of ``(dice, license)``: the best template of each part that reaches the threshold."""
+    """Array of ``(dice, license)``: the best template of each part that reaches the threshold.  Parts without
+    the words that a match needs are not cut into words."""
     known = []
     for name, texts in sorted((templates or TEMPLATES).items()):
         for t in texts:
@@ -159,7 +160,8 @@ def matches(text: Column, threshold: float = THRESHOLD, templates: dict[str, lis
 
         return F.when((n >= 1) & in_bounds(n), _best(let(bigrams, scored)))
 
-    found = F.transform(F.filter(_parts(text), lambda p: F.length(p) > 2), lambda p: let(_part_words(p), compare))
+    parts = F.filter(_parts(text), lambda p: (F.length(p) > 2) & let(F.lower(p), lambda low: _may_match(low, threshold, templates)))
+    found = F.transform(parts, lambda p: let(_part_words(p), compare))
     return F.filter(found, lambda m: m.isNotNull())
 
 
@@ -198,10 +200,10 @@ def needed_bigrams(words: list[str], threshold: float) -> list[tuple[str, str]]:
 RARE_LETTERS = 6
 
 
-def _may_match(text: Column, templates: list[list[str]], threshold: float) -> Column:
-    """Whether a lower-cased text has what a window of some template cannot do without."""
+def _may_match(text: Column, threshold: float, templates: dict[str, list[str]] | None) -> Column:
+    """Whether a lower-cased text has what a match of some template cannot do without."""
     words, bigrams = set(), set()
-    for ws in templates:
+    for ws in [template_words(t) for ts in (templates or TEMPLATES).values() for t in ts]:
         needed = needed_words(ws, threshold)
         if min(map(len, needed), default=0) >= RARE_LETTERS:
             words |= set(needed)
@@ -221,8 +223,7 @@ def window_matches(text: Column, threshold: float = THRESHOLD, templates: dict[s
     table = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(len(ws) - 1).alias("m"), F.lit(least_shared(len(bs), threshold)).alias("least"),
                                F.array(*[F.lit(b) for b in bs]).alias("bigrams")) for (name, ws), bs in zip(known, sets, strict=True)])
     any_bigram = sorted({b for bs in sets for b in bs})
-    lowered = F.lower(text)
-    some = _may_match(lowered, [ws for _, ws in known], threshold)
+    some = let(F.lower(text), lambda low: _may_match(low, threshold, templates))
 
     def best_window(own: Column, hits: Column, t: Column) -> Column:
         places = F.transform(F.filter(hits, lambda h: F.array_contains(t["bigrams"], h["b"])), lambda h: h["i"])
@@ -257,9 +258,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
          templates: dict[str, list[str]] | None = None) -> DataFrame:
     """``doc_id, license, dice, n_matches, n_windows`` of every document: its best match of a part or a window, how
     many of its parts match a template, and how many templates match a window."""
-    rows = own_columns(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    found = rows.select("doc_id", matches(F.col("text"), threshold, templates).alias("found"),
-                        window_matches(F.col("text"), threshold, templates).alias("windows"))
+    rows = own_columns(docs, id_col, text_col).toDF("doc_id", "text").withColumn("low", F.lower("text"))
+    # each text is lower-cased once, and only those that may match (null: not) go into the functions on arrays
+    rows = rows.select("doc_id", F.when(_may_match(F.col("low"), threshold, templates), F.col("text")).alias("sought"))
+    none = F.array().cast("array<struct<dice:double,license:string>>")
+    found = rows.select("doc_id", *[F.when(F.col("sought").isNotNull(), f(F.col("sought"), threshold, templates)).otherwise(none).alias(name)
+                                    for f, name in ((matches, "found"), (window_matches, "windows"))])
     found = found.select("doc_id", _best(F.concat("found", "windows")).alias("best"), F.size("found").cast("long").alias("n_matches"),
                          F.size("windows").cast("long").alias("n_windows"))
     return found.select("doc_id", "best.license", F.coalesce("best.dice", F.lit(0.0)).alias("dice"), "n_matches", "n_windows")

@@ -176,6 +176,9 @@ def test_license_scan_matches_brute_force(spark):
         want = brute_license(texts[r.doc_id])
         assert (r.license, pytest.approx(r.dice), r.n_matches) == want, texts[r.doc_id]
     assert license_scan.scan(cases.awkward(spark)).count() == len(cases.rows())
+    # a text is lower-cased once, not once for each word that is sought in it
+    plan = license_scan.scan(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") < 10
 
 
 def test_syncmer_edits_and_order(spark):
