@@ -9,6 +9,7 @@ cache hits, parsing, top-2, error rows) is DataFrame work.
 
 from __future__ import annotations
 
+import math
 import random
 import time
 from collections.abc import Callable, Sequence
@@ -21,6 +22,7 @@ from pyspark.sql import types as T
 from corpusloom.functions.scores import (clean_response, parse_inputs, result_columns, scores_struct, store_key,
                                          top_two)
 from corpusloom.operators.ranking import attach_scalars
+from corpusloom.session import stage_path, stage_table
 
 # Sentinels used while unescaping a format template (never valid
 # in the template text itself).
@@ -105,12 +107,19 @@ def _with_retries(fn: Callable, attempts: int, wait: tuple[float, float]):
     return call
 
 
+#: rows, and bytes of ``in_col``, that a task of a wave should not exceed
+TASK_ROWS = 1 << 16
+TASK_BYTES = 1 << 26
+
+
 def call_model(df: DataFrame, fn: Callable[[list[str]], list], in_col: str, out_col: str,
                out_type: T.DataType, max_parallel: int | None = None, batch_size: int = 64,
                attempts: int = 3, wait: tuple[float, float] = (1.0, 2.0),
                per_row_errors: bool = False, profile=None) -> DataFrame:
     """Run a user callable over ``in_col`` in Arrow batches of
-    ``batch_size``.  At most ``max_parallel`` calls run at once: there are so many partitions.
+    ``batch_size``.  At most ``max_parallel`` calls run at once: there are so many partitions.  Rows that
+    would make these partitions large are asked now, in waves of ``max_parallel`` bounded tasks, and kept as
+    a stage table; few rows are a lazy plan.
     On a cluster a ``profile`` (a Spark ResourceProfile whose tasks ask for a share of a custom
     ``model`` resource) bounds them by the resources of the task instead, so work stays in many
     small partitions and a retried task repeats only its own; a ``local`` master has no profiles.
@@ -140,8 +149,22 @@ def call_model(df: DataFrame, fn: Callable[[list[str]], list], in_col: str, out_
                 part[out_col] = pd.Series(out, index=part.index, dtype=object)
                 yield part
 
-    bounded = df.repartition(max_parallel) if max_parallel and profile is None else df
-    return bounded.mapInPandas(run, schema, profile=profile)
+    if not max_parallel or profile is not None:
+        return df.mapInPandas(run, schema, profile=profile)
+    rows = stage_table(df, "calls")
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(in_col)), F.lit(0)).alias("bytes")).first()
+    waves = max(1, math.ceil(size.n / (max_parallel * TASK_ROWS)), math.ceil(size.bytes / (max_parallel * TASK_BYTES)))
+    if waves == 1:
+        return rows.repartition(max_parallel).mapInPandas(run, schema)
+    # every wave gets its share of every file, whatever the rows hold, and is written by several tasks
+    dealt = rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_wave", (F.col("_at") % waves).cast("int"))
+    dealt = dealt.withColumn("_at", F.floor(F.col("_at") / waves) % 8).repartition(8 * waves, "_wave", "_at").drop("_at")
+    dealt = stage_table(dealt, "call-waves", ["_wave"])
+    answers = stage_path(df.sparkSession, "answers")
+    for wave in range(waves):
+        part = dealt.where(F.col("_wave") == wave).drop("_wave").repartition(max_parallel)
+        part.mapInPandas(run, schema).write.mode("append").parquet(answers)
+    return df.sparkSession.read.schema(schema).parquet(answers)
 
 
 # ----------------------------------------------------------------------------- L9

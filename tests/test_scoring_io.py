@@ -174,3 +174,21 @@ def test_streaming_feed_fills_store_once(spark):
                              "h4", os.path.join(base, "ckpt"))
     q.awaitTermination(120)
     assert io.read_embeddings(spark, store).count() == 3
+
+
+def test_many_calls_run_in_waves_of_bounded_tasks(spark, monkeypatch):
+    def where(texts):
+        from pyspark import TaskContext
+        c = TaskContext.get()
+        return [f"{c.stageId()}/{c.partitionId()}/{t}" for t in texts]
+
+    df = spark.createDataFrame([(i % 90, None if i == 7 else f"t{i % 90}") for i in range(100)], "id int, text string").coalesce(1)
+    for limit, value in (("TASK_ROWS", 10), ("TASK_BYTES", 25)):
+        monkeypatch.setattr(so, "TASK_ROWS", 1 << 16)
+        monkeypatch.setattr(so, limit, value)
+        rows = so.call_model(df, where, "text", "answer", so.T.StringType(), max_parallel=2).collect()
+        assert sorted((r.id, r.text or "") for r in rows) == sorted((r.id, r.text or "") for r in df.collect())
+        assert all(r.answer.endswith("/" + (r.text or "")) for r in rows)
+        tasks = [tuple(map(int, r.answer.split("/")[:2])) for r in rows]
+        assert {p for _, p in tasks} == {0, 1}                       # two calls at a time
+        assert max(tasks.count(t) for t in set(tasks)) <= 15 and len({s for s, _ in tasks}) >= 5
