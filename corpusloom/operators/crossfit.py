@@ -167,8 +167,11 @@ def fit(rows: DataFrame, maps: Sequence[FeatureMap], models: Sequence[Model], st
                 x, y, fold = batch_arrays(batch, dim)
                 total = np.zeros((len(own), width + 1)) if total is None else total
                 for number, slots in by_map.items():
-                    z = maps[number](x)
-                    sign, cost = _signs([own[k] for k in slots], y, fold)
+                    # rows that none of the map's models learns from need no features
+                    held = {own[k].held for k in slots}
+                    mine = fold != held.pop() if len(held) == 1 else np.ones(len(fold), bool)
+                    z = maps[number](x[mine])
+                    sign, cost = _signs([own[k] for k in slots], y[mine], fold[mine])
                     slack = np.maximum(0.0, 1.0 - sign * (z @ weights[slots].T)) * np.abs(sign)
                     total[slots, 0] += (cost * slack * slack).sum(axis=0)
                     total[slots, 1:] += (-2.0 * cost * slack * sign).T @ z

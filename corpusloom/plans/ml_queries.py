@@ -28,7 +28,7 @@ def l4(spark, sf):
 
 def _vector_split(spark, sf):
     v = fx.vectors(spark, sf)
-    return sm.stratified_split(v, "category", 0.2, 42, id_col="vec_id")
+    return cut_lineage(sm.stratified_split(v, "category", 0.2, 42, id_col="vec_id"))  # read by the fit and by the scoring
 
 
 @query("l5_rbf_classifier")

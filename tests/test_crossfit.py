@@ -191,3 +191,12 @@ def test_minimise_finds_the_minimum():
     b = rng.standard_normal(12)
     x = cf.minimise(lambda v: (0.5 * v @ a @ v - b @ v, a @ v - b), 12, 500, 1e-9)
     assert np.allclose(x, np.linalg.solve(a, b), atol=1e-5)
+
+
+def test_fit_makes_no_features_of_held_out_rows(spark):
+    rows = [([float(i % 2), float("nan") if i % 5 == 0 else 1.0], i % 2, i % 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "x array<double>, y int, fold int").coalesce(1)
+    rng = np.random.default_rng(0)
+    maps = [cf.FeatureMap(rng.normal(size=(2, 8)), np.zeros(8))]
+    weights, _ = cf.fit(df, maps, [cf.Model(0, 0, 1, 0, 1.0, 1.0)], steps=5)
+    assert np.isfinite(weights).all() and np.abs(weights).max() > 0
