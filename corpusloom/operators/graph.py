@@ -160,19 +160,6 @@ def pair_count_by_group(inc: DataFrame, groups: DataFrame) -> DataFrame:
     return prod.groupBy("src_grp", "dst_grp").agg(F.sum("n").alias("n_pairs")).filter(F.col("n_pairs") > 0)
 
 
-def edge_count_by_group(edges: Links, groups: DataFrame) -> DataFrame:
-    """Directed edge count per (source group, destination group): a pair counts once each way, however many keys
-    it shares.  ``groups`` is ``(node, grp)``, one row a node; null is a group of its own.  Nodes receive how many
-    neighbours they have in each group, so no pair leaves the task that finds it."""
-    names = cut_lineage(groups.select("grp").distinct().withColumn("dim", F.monotonically_increasing_id()))
-    own = cut_lineage(groups.join(names.withColumnRenamed("grp", "_g"), F.col("grp").eqNullSafe(F.col("_g"))).select("node", "dim"))
-    seen = edges.received(own.withColumn("value", F.lit(1.0))).withColumnRenamed("dim", "dst")
-    per = seen.join(own.withColumnRenamed("dim", "src"), "node").groupBy("src", "dst").agg(F.sum("k").alias("n_edges"))
-    return (per.join(names.select(F.col("dim").alias("src"), F.col("grp").alias("src_grp")), "src")
-            .join(names.select(F.col("dim").alias("dst"), F.col("grp").alias("dst_grp")), "dst")
-            .select("src_grp", "dst_grp", "n_edges"))
-
-
 # --------------------------------------------------------------------------- nodes
 
 def dense_index(df: DataFrame, col: str, index_col: str = "idx", seed: int = 0) -> DataFrame:

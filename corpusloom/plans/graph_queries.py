@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import merge_codes, normalise_codes
 from corpusloom.operators import graph as g
 from corpusloom.operators import twins as tw
-from corpusloom.operators.links import Links, links
+from corpusloom.operators.links import Links
 from corpusloom.plans.registry import query
 from corpusloom.plans.sql_fixtures import sql
 from corpusloom.session import cut_lineage
@@ -32,13 +32,22 @@ def category_pair_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct directed same-classification edges per (source category,
     destination category) — the live graph path of the reference ending in a
     small aggregate."""
-    recs = cut_lineage(fx.records(spark, sf_dir).select("lens_id", "category", normalise_codes(merge_codes("cpc", "ipcr")).alias("_codes")))
-    nodes = cut_lineage(recs.select("lens_id", "category").distinct().withColumn("node", F.monotonically_increasing_id()))
-    own = nodes.select(F.col("lens_id").alias("_l"), F.col("category").alias("_c"), "node")
-    coded = recs.join(own, F.col("lens_id").eqNullSafe(F.col("_l")) & F.col("category").eqNullSafe(F.col("_c")))
-    edges = links(g.incidence(coded, "node", "_codes", levels=("group",)), "same_classification")
-    n = g.edge_count_by_group(edges, nodes.select("node", F.col("category").alias("grp")))
-    return n.select(F.col("src_grp").alias("src_category"), F.col("dst_grp").alias("dst_category"), "n_edges")
+    # the category travels on the incidence rows, so no edge is joined to a record; so do a record's few keys:
+    # each undirected pair is counted under its smallest shared key only, where it is found (pairs are not
+    # shuffled to be told apart), and only the few result rows are mirrored
+    recs = fx.records(spark, sf_dir).select(
+        F.struct("lens_id", "category").alias("node"),
+        normalise_codes(merge_codes("cpc", "ipcr")).alias("_codes"))
+    keys = g.incidence(recs, "node", "_codes", levels=("group",)).groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    inc = keys.select(F.struct("node.lens_id", "node.category", "keys").alias("node"), F.explode("keys").alias("key"))
+    pairs = g.cooccurrence_pairs(inc, keep_key=True)
+    pairs = pairs.where(F.col("key") == F.array_min(F.array_intersect("src.keys", "dst.keys")))
+    one_way = pairs.groupBy(F.col("src.category").alias("src_category"), F.col("dst.category").alias("dst_category")).agg(
+        F.count(F.lit(1)).alias("n"))
+    other_way = F.array(F.struct("src_category", "dst_category", "n"),
+                        F.struct(F.col("dst_category").alias("src_category"), F.col("src_category").alias("dst_category"), "n"))
+    return (one_way.select(F.inline(other_way)).groupBy("src_category", "dst_category")
+            .agg(F.sum("n").alias("n_edges")))
 
 
 query("g3_category_pair_edges", sql=sql(["records", "level_keys"], """,
