@@ -15,7 +15,8 @@ are equal.  For comparing texts that do not stand side by side there is a bottom
 sketch besides (hexadecimal, 16 digits each, ascending); nothing else is derived from it.
 
 All of it is DataFrame expressions.  A text of fewer than K words has one anchor: all
-its words (with none: all its characters, so blank texts differ by their blanks).
+its words (with none: all its characters, so blank texts differ by their blanks).  A text
+whose k-mers are none of them closed (its only one is not) has its first as the anchor.
 
 Defined cases: a null text is an empty one; the likeness of two empty texts is 1;
 rows that repeat an id stand next to each other in the order of the text's
@@ -38,14 +39,16 @@ SKETCH = 128
 
 
 def _anchor_positions(inner: Column) -> Column:
-    """Positions of the closed syncmers, from the hashes of the S-word runs."""
+    """Positions of the closed syncmers (if there is none: of the first k-mer), from the hashes of the S-word runs."""
     span = K - S
 
     def closed(i: Column) -> Column:
         least = F.least(*[inner[i + j] for j in range(span + 1)])
         return (inner[i] == least) | (inner[i + span] == least)
 
-    return F.filter(F.sequence(F.lit(0), F.size(inner) - span - 1), closed)
+    # one k-mer alone may not be closed: it then is the anchor itself, so no set is empty
+    found = F.filter(F.sequence(F.lit(0), F.size(inner) - span - 1), closed)
+    return let(found, lambda at: F.when(F.size(at) > 0, at).otherwise(F.array(F.lit(0))))
 
 
 def _inner_hashes(tokens: Column) -> Column:

@@ -1,5 +1,6 @@
 """License scan, quality rules and syncmers against plain Python."""
 
+import itertools
 import random
 import re
 import struct
@@ -247,6 +248,17 @@ def test_let_evaluates_in_nested_lambdas(spark):
     assert [list(x.v) for x in r.orderBy("v").collect()] == [[1, 4], [4, 9], [9, 16]]
 
 
+def test_three_words_have_an_anchor(spark):
+    """Texts whose only k-mer is not closed had no anchors: one fingerprint for all of them, and a division by zero."""
+    rows = [(i, " ".join(p)) for i, p in enumerate(itertools.permutations("abcdef", 3))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert df.where(F.size(syncmers.anchor_set(F.col("text"))) != 1).count() == 0
+    assert df.where(F.size(syncmers.anchors(F.col("text"))) != 1).count() == 0
+    got = syncmers.fingerprint_edits(df).collect()
+    assert len(got) == len(rows) == len({r.fingerprint for r in got})
+    assert all(r.near_next == 0.0 and r.near_edited == float(r.fingerprint == r.edited_fingerprint) for r in got)
+
+
 def test_syncmers_of_string_ids(spark):
     rows = [(f"id {i:03d}", f"the text of number {i} goes on with words {i * 7} and more") for i in range(60)] + [(None, "no id"), ("id 007", "again")]
     df = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
