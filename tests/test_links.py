@@ -97,3 +97,69 @@ def test_category_pair_edges_shuffles_no_pairs(spark):
     from corpusloom.plans import graph_queries as q
     plan = q.category_pair_edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(src_category#" in plan and not re.search(r"hashpartitioning\(src#", plan)
+
+
+def _wide_rows(seed, n=40, keys=9, most=6):
+    rnd = random.Random(seed)
+    return [(i * 1000003, f"k{k}") for i in range(n) for k in rnd.sample(range(keys), rnd.randint(0, most))]
+
+
+@pytest.mark.parametrize("subset_keys,subsets", [(12, 127), (3, 1), (0, 0)])
+def test_received_of_wide_nodes(spark, monkeypatch, subset_keys, subsets):
+    """Sums by subsets, in pairs where a node has too many keys, and both side by side are those of brute force."""
+    monkeypatch.setattr(lk, "SUBSET_KEYS", subset_keys)
+    monkeypatch.setattr(lk, "SUBSETS", subsets)
+    rows = _wide_rows(7)
+    graph = lk.links(spark.createDataFrame(rows, "node long, key string"), "t", 30)
+    wide = graph.sets.where("wide").count()
+    assert graph.any_wide == (wide > 0) == (subset_keys < 12) and (subset_keys != 3 or wide < graph.sets.count())
+    x = {(i * 1000003, d): float((i * 7 + d) % 5) - 2 for i in range(40) for d in (0, 3) if (i + d) % 4}
+    sums = defaultdict(list)
+    for a, b in _brute(rows):
+        for to, of in ((a, b), (b, a)):
+            for d in (0, 3):
+                if (of, d) in x:
+                    sums[to, d].append(x[of, d])
+    feats = spark.createDataFrame([(n, d, v) for (n, d), v in x.items()], "node long, dim int, value double")
+    got = graph.received(feats, most=True)
+    assert {(r.node, r.dim): (r.s, r.k, r.m) for r in got.collect()} == {k: (pytest.approx(sum(v)), len(v), max(v)) for k, v in sums.items()}
+    assert ("MapInArrow" in got._jdf.queryExecution().executedPlan().toString()) == (wide > 0)
+
+
+def test_incidence_rows_are_sent_once(spark, monkeypatch):
+    """Shuffled rows are one for each node and key, whatever the number of blocks; only rows of a hot key are sent more than once."""
+    rows = _wide_rows(8)
+    n_rows = len({r for r in rows})
+
+    def sent(graph):
+        plan = graph.pairs()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(k#" in plan
+        return graph, {(r.src, r.dst): r.n_shared for r in graph.pairs().collect()}
+
+    assert lk.links(spark.createDataFrame(rows, "node long, key string"), "t", 3).inc.count() == n_rows
+    for key_rows in (1, 4, 1 << 13):
+        monkeypatch.setattr(lk, "KEY_ROWS", key_rows)
+        graph, found = sent(lk.links(spark.createDataFrame(rows, "node long, key string"), "t", 3))
+        assert graph.blocks > 1 and found == _brute(rows)
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 50, 10**6])
+def test_pairs_of_a_key_in_chunks(monkeypatch, chunk):
+    """Keys and their blocks that are cut by batches and made chunk by chunk lose and double no pair."""
+    import pyarrow as pa
+    monkeypatch.setattr(lk, "CHUNK", chunk)
+    rows = sorted(set(_wide_rows(9)))
+    number = {k: i for i, k in enumerate(sorted({k for _, k in rows}))}
+    keys = defaultdict(list)
+    for node, k in rows:
+        keys[node].append(number[k])
+    for blocks in (1, 3):
+        sent = []
+        for node, k in rows:
+            u = node % blocks
+            sent += [{"node": node, "k": number[k], "keys": sorted(keys[node]), "p": min(u, v), "q": max(u, v), "side": int(u > v)} for v in range(blocks)]
+        sent.sort(key=lambda r: (r["k"], r["p"], r["q"], r["side"], r["node"]))
+        for size in (1, 7, 1000):
+            batches = [pa.RecordBatch.from_pylist(sent[i:i + size]) for i in range(0, len(sent), size)]
+            got = [(*r.values(),) for b in lk._pair_rows(iter(batches)) for r in b.to_pylist()]
+            assert len(got) == len({r[:2] for r in got}) and {(a, b): n for a, b, n in got} == _brute(rows)
